@@ -13,6 +13,10 @@ from furrow.session import cut_lineage, shuffle_partitions
 # monotonically_increasing_id keeps the partition number above bit 33.
 POSITION_BITS = 33
 ACCURACY = 10_000
+# Half width of a bracket, five times the rank error of the sketch. Groups of up to
+# SMALL_GROUP rows keep all values: there a bracket would be under ten ranks wide.
+SLACK = 5.0 / ACCURACY
+SMALL_GROUP = 10_000
 
 
 def sequential_ids(
@@ -49,7 +53,6 @@ def exact_quantiles(
     probs: Sequence[float],
     keys: Sequence[str] = (),
     partitions: int | None = None,
-    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: one row per (keys, measure), columns q0, q1, ...
 
@@ -60,15 +63,14 @@ def exact_quantiles(
     """
     parts = partitions or shuffle_partitions(df.sparkSession)
     group = [*keys, "measure"]
-    values = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns])
-    )
-    long = df.select(*keys, values.alias("m")).select(*keys, "m.measure", "m.value")
-    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    cells = ", ".join(f"'{c}', cast({c} as double)" for c in columns)
+    long = df.selectExpr(*keys, f"stack({len(columns)}, {cells}) as (measure, value)")
+    long = long.where("value is not null and not isnan(value)")
 
-    slack = 2.0 / accuracy
-    edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-slack, slack)]
-    cuts = long.groupBy(*group).agg(F.percentile_approx("value", edges, accuracy).alias("_cuts"))
+    edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-SLACK, SLACK)]
+    cuts = long.groupBy(*group).agg(
+        F.percentile_approx("value", edges, ACCURACY).alias("_cuts"), (F.count(F.lit(1)) <= SMALL_GROUP).alias("_small")
+    )
     picked = cut_lineage(_pick(_counted(long, cuts, group, len(probs)), group, probs, parts))
     if picked.where("_missed").limit(1).count():
         whole = long.withColumn("_gap", F.lit(False)).groupBy(*group, "value", "_gap").agg(F.count(F.lit(1)).alias("_n"))
@@ -79,14 +81,13 @@ def exact_quantiles(
 def _counted(long: DataFrame, cuts: DataFrame, group: list[str], n_probs: int) -> DataFrame:
     """Value counts, where values outside all brackets fall onto the nearest lower edge."""
     joined = lookup_join(long, cuts, group, how="inner", null_safe=True)
-    value = F.col("value")
-    edge = [(F.col("_cuts")[2 * i], F.col("_cuts")[2 * i + 1]) for i in range(n_probs)]
-    inside = F.lit(False)
-    for low, high in edge:
-        inside = inside | value.between(low, high)
-    below = [F.when(value > high, high).otherwise(F.lit(float("-inf"))) for _, high in edge]
-    lower_edge = F.greatest(*below) if len(below) > 1 else below[0]
-    snapped = joined.select(*group, F.when(inside, value).otherwise(lower_edge).alias("value"), (~inside).alias("_gap"))
+    edges = [(f"_cuts[{2 * i}]", f"_cuts[{2 * i + 1}]") for i in range(n_probs)]
+    inside = " or ".join(["_small", *[f"value between {low} and {high}" for low, high in edges]])
+    below = "double('-Infinity')"
+    lower_edge = ", ".join(f"if(value > {high}, {high}, {below})" for _, high in edges)
+    snapped = joined.selectExpr(
+        *group, f"if({inside}, value, greatest({below}, {lower_edge})) as value", f"not ({inside}) as _gap"
+    )
     return snapped.groupBy(*group, "value", "_gap").agg(F.count(F.lit(1)).alias("_n"))
 
 
@@ -94,40 +95,28 @@ def _pick(counted: DataFrame, group: list[str], probs: Sequence[float], parts: i
     blocks = cut_lineage(
         counted.repartitionByRange(parts, *group, "value", "_gap").withColumn("_block", F.spark_partition_id())
     )
-    whole = Window.partitionBy(*group)
+    names = ", ".join(group)
+    upto = f"sum(_rows) over (partition by {names} order by _block)"
     sizes = (
         blocks.groupBy(*group, "_block")
         .agg(F.sum("_n").alias("_rows"))
-        .withColumn("_total", F.sum("_rows").over(whole))
-        .withColumn("_upto", F.sum("_rows").over(whole.orderBy("_block")))
-        .withColumn("_offset", F.col("_upto") - F.col("_rows"))
+        .selectExpr("*", f"sum(_rows) over (partition by {names}) as _total", f"{upto} as _upto", f"{upto} - _rows as _offset")
     )
-    ranks = []
-    for p in probs:
-        place = (F.col("_total") - 1) * F.lit(float(p))
-        ranks.append((place, F.floor(place) + 1, F.ceil(place) + 1))
-    wanted = F.lit(False)
-    for _, low, high in ranks:
-        for rank in (low, high):
-            wanted = wanted | ((rank > F.col("_offset")) & (rank <= F.col("_upto")))
+    place = [f"((_total - 1) * {float(p)!r}D)" for p in probs]
+    ranks = [(f"(floor({x}) + 1)", f"(ceil({x}) + 1)") for x in place]
+    wanted = " or ".join(f"({rank} > _offset and {rank} <= _upto)" for pair in ranks for rank in pair)
     needed = sizes.where(wanted).select(*group, "_block", "_total", "_offset")
-    inside = Window.partitionBy(*group, "_block").orderBy("value", "_gap")
-    ranked = lookup_join(blocks, needed, [*group, "_block"], how="inner", null_safe=True).withColumn(
-        "_upto", F.col("_offset") + F.sum("_n").over(inside)
+    ranked = lookup_join(blocks, needed, [*group, "_block"], how="inner", null_safe=True).selectExpr(
+        "*", f"_offset + sum(_n) over (partition by {names}, _block order by value, _gap) as _upto"
     )
-    entry = F.struct("value", "_gap")
-    found = []
-    for i, (_, low, high) in enumerate(ranks):
-        found += [
-            F.min(F.when(F.col("_upto") >= low, entry)).alias(f"_lo{i}"),
-            F.min(F.when(F.col("_upto") >= high, entry)).alias(f"_hi{i}"),
-        ]
+    found = [
+        F.expr(f"min(if(_upto >= {rank}, struct(value, _gap), null)) as _{side}{i}")
+        for i, pair in enumerate(ranks)
+        for side, rank in zip(("lo", "hi"), pair)
+    ]
     result = ranked.groupBy(*group, "_total").agg(*found)
-    missed = F.lit(False)
-    out = []
-    for i, (place, low, _) in enumerate(ranks):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        missed = missed | lo["_gap"] | hi["_gap"]
-        part = place - (low - 1)
-        out.append((lo["value"] + (hi["value"] - lo["value"]) * part).alias(f"q{i}"))
-    return result.select(*group, *out, missed.alias("_missed"))
+    between = [
+        f"_lo{i}.value + (_hi{i}.value - _lo{i}.value) * ({place[i]} - ({ranks[i][0]} - 1)) as q{i}" for i in range(len(probs))
+    ]
+    missed = " or ".join(f"_lo{i}._gap or _hi{i}._gap" for i in range(len(probs)))
+    return result.selectExpr(*group, *between, f"{missed} as _missed")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow import fixed_values as fixed
-from furrow.functions.scalars import clipped, in_set
 from furrow.operators.checks import missing_columns
-from furrow.operators.features import in_planting_month, with_crop_facts
+from furrow.operators.features import with_crop_facts
+from furrow.operators.ordering import exact_quantiles
 from furrow.operators.stats import (
     category_shares,
     correlations,
@@ -22,46 +22,30 @@ from furrow.operators.stats import (
     with_share,
 )
 
-EPS = fixed.EPS
-c = F.col
-
-
 class Rule(NamedTuple):
-    """``value`` is an aggregate over the records, ``needs`` the columns it reads."""
+    """``value`` is an aggregate in Spark SQL, ``needs`` the columns it reads."""
 
     section: str
     name: str
     needs: tuple[str, ...]
-    value: Callable[[], Column]
-
-
-def _count(section: str, name: str, needs: str, mask: Callable[[], Column]) -> Rule:
-    return Rule(section, name, tuple(needs.split()), lambda: F.count_if(mask()))
-
-
-def _ratio(a: str, b: str) -> Column:
-    return F.try_divide(c(a), c(b) + EPS)
-
-
-def _mean_where(column: str, mask: Column) -> Column:
-    return F.avg(F.when(mask, c(column)))
-
-
-def _days() -> Column:
-    return F.datediff("harvest_date", "planting_date")
+    value: str
 
 
-def _gap() -> Column:
-    return F.datediff("sale_date", "harvest_date")
+def _ratio(a: str, b: str) -> str:
+    return f"try_divide({a}, {b} + 1e-6D)"
 
 
-def _risky_weather() -> Column:
-    return F.coalesce((c("humidity") > 60) | (c("rainfall") > 25) | (c("temperature") > 34), F.lit(False))
+def _counts(section: str, rules: str) -> list[Rule]:
+    """Lines of ``name | columns | condition``: number of records where it holds."""
+    made = []
+    for line in rules.strip().splitlines():
+        name, needs, mask = (part.strip() for part in line.split("|", 2))
+        made.append(Rule(section, name, tuple(needs.split()), f"count_if({mask})"))
+    return made
 
 
-def _score_ratio() -> Column:
-    adjusted = clipped(c("supply_score") * 0.92 + c("demand_score") * 0.08, 0.0, 1.0)
-    return F.bround(F.try_divide(adjusted, c("demand_score") + 1e-4), 6)
+def _mean(section: str, name: str, value: str, by: str, category: str) -> Rule:
+    return Rule(section, name, (value, by), f"avg(if({by} = '{category}', {value}, null))")
 
 
 def _domain_rules() -> list[Rule]:
@@ -76,194 +60,205 @@ def _domain_rules() -> list[Rule]:
         "supply_level": fixed.LEVELS,
         "sufficiency_status": fixed.SUFFICIENCY,
     }
-    return [
-        _count("categories", f"invalid_{name}_count", name, lambda n=name, v=allowed: ~in_set(c(n), v))
-        for name, allowed in domains.items()
-    ]
+    rules = []
+    for name, allowed in domains.items():
+        listed = ", ".join(f"'{value}'" for value in allowed)
+        rules += _counts("categories", f"invalid_{name}_count | {name} | not coalesce({name} in ({listed}), false)")
+    return rules
 
 
 def _range_rules() -> list[Rule]:
-    rules = [
-        _count("ranges", f"{name}_negative_count", name, lambda n=name: c(n) < 0) for name in fixed.NON_NEGATIVE_COLUMNS
-    ]
-    rules.append(_count("ranges", "area_size_too_large_count", "area_size", lambda: c("area_size") > 120))
     bounds = {
         "temperature": (5, 50), "humidity": (10, 100), "rainfall": (0, 150),
         "wind_speed": (0, 35), "demand_score": (0, 1), "supply_score": (0, 1),
     }
-    for name, (low, high) in bounds.items():
-        rules.append(
-            _count("ranges", f"{name}_out_of_range_count", name, lambda n=name, a=low, b=high: (c(n) < a) | (c(n) > b))
-        )
-    return rules
+    lines = [f"{name}_negative_count | {name} | {name} < 0" for name in fixed.NON_NEGATIVE_COLUMNS]
+    lines.append("area_size_too_large_count | area_size | area_size > 120")
+    lines += [f"{n}_out_of_range_count | {n} | {n} < {low} or {n} > {high}" for n, (low, high) in bounds.items()]
+    return _counts("ranges", "\n".join(lines))
 
 
-def _mean_rules() -> list[Rule]:
-    rules = []
-    wanted = [
-        ("resources", "desert_avg_water_used", "water_used", "region_type", "Desert"),
-        ("resources", "rural_avg_water_used", "water_used", "region_type", "Rural"),
-        ("weather", "average_desert_temperature", "temperature", "region_type", "Desert"),
-        ("weather", "average_rural_temperature", "temperature", "region_type", "Rural"),
-        ("weather", "average_desert_rainfall", "rainfall", "region_type", "Desert"),
-        ("weather", "average_rural_rainfall", "rainfall", "region_type", "Rural"),
+def _planting_month_rule() -> list[Rule]:
+    fits = " or ".join(
+        f"(season = '{season}' and month(planting_date) in ({', '.join(map(str, months))}))"
+        for season, months in fixed.SEASON_PLANTING_MONTHS.items()
+    )
+    return _counts(
+        "planting_month", f"planting_month_out_of_season_count | season planting_date | not coalesce({fits}, false)"
+    )
+
+
+def _level_means() -> list[Rule]:
+    return [
+        _mean("levels", f"{side}_score_{level.lower()}_level_mean", f"{side}_score", f"{side}_level", level)
+        for side in ("demand", "supply")
+        for level in fixed.LEVELS
     ]
-    for side in ("demand", "supply"):
-        for level in fixed.LEVELS:
-            wanted.append(("levels", f"{side}_score_{level.lower()}_level_mean", f"{side}_score", f"{side}_level", level))
-    for section, name, value, by, which in wanted:
-        rules.append(Rule(section, name, (value, by), lambda v=value, b=by, w=which: _mean_where(v, c(b) == w)))
-    return rules
 
 
 def _sufficiency_rules() -> list[Rule]:
     low, high = fixed.RATIO_CUTS
-    slack = 1e-3
+    adjusted = "least(greatest(supply_score * 0.92D + demand_score * 0.08D, 0D), 1D)"
+    ratio = f"bround(try_divide({adjusted}, demand_score + 1e-4D), 6)"
     wrong = {
-        "shortage": lambda r: (c("sufficiency_status") == "Shortage") & (r >= low + slack),
-        "balanced": lambda r: (c("sufficiency_status") == "Balanced") & ((r < low - slack) | (r > high + slack)),
-        "surplus": lambda r: (c("sufficiency_status") == "Surplus") & (r <= high - slack),
+        "shortage": f"(sufficiency_status = 'Shortage' and {ratio} >= {low + 1e-3}D)",
+        "balanced": f"(sufficiency_status = 'Balanced' and ({ratio} < {low - 1e-3}D or {ratio} > {high + 1e-3}D))",
+        "surplus": f"(sufficiency_status = 'Surplus' and {ratio} <= {high - 1e-3}D)",
     }
+    wrong["total"] = " or ".join(wrong.values())
     needs = "sufficiency_status supply_score demand_score"
-    rules = [
-        _count("sufficiency", f"sufficiency_{name}_rule_violation_count", needs, lambda f=mask: f(_score_ratio()))
-        for name, mask in wrong.items()
+    lines = [f"sufficiency_{name}_rule_violation_count | {needs} | {mask}" for name, mask in wrong.items()]
+    return _counts("sufficiency", "\n".join(lines))
+
+
+def _pest_rules() -> list[Rule]:
+    risky = "coalesce(humidity > 60 or rainfall > 25 or temperature > 34, false)"
+    needs = ("pest_indicator", "humidity", "rainfall", "temperature")
+    rate = "avg(if({}, cast(pest_indicator as double), null))"
+    return [
+        Rule("pests", "pest_rate_high_risk", needs, rate.format(risky)),
+        Rule("pests", "pest_rate_low_risk", needs, rate.format(f"not {risky}")),
     ]
-    either = lambda: wrong["shortage"](_score_ratio()) | wrong["balanced"](_score_ratio()) | wrong["surplus"](_score_ratio())
-    return [*rules, _count("sufficiency", "sufficiency_total_rule_violation_count", needs, either)]
 
 
-def _pct(mask: Callable[[], Column], places: int) -> Callable[[], Column]:
-    return lambda: F.round(F.avg(F.coalesce(mask(), F.lit(False)).cast("double")) * 100, places)
+def _profit_shares() -> list[Rule]:
+    share = "round(avg(cast(coalesce(profit {} 0, false) as double)) * 100, {})"
+    return [
+        Rule("profit", "positive_profit_pct", ("profit",), share.format(">", 2)),
+        Rule("profit", "negative_profit_pct", ("profit",), share.format("<", 2)),
+        Rule("profit", "zero_profit_pct", ("profit",), share.format("=", 4)),
+        Rule("profit", "avg_profit", ("profit",), "avg(profit)"),
+    ]
 
 
+_SOLD = _ratio("quantity_sold", "actual_yield")
+_PER_AREA = _ratio("actual_yield", "area_size")
+_MARKUP = _ratio("market_price", "unit_price")
+_MARGIN = _ratio("profit", "total_sales")
+_PER_KM = _ratio("transport_cost", "distance_to_market")
+_GROWN = "datediff(harvest_date, planting_date)"
+_KEPT = "datediff(sale_date, harvest_date)"
+
 RULES: list[Rule] = [
     *_domain_rules(),
-    _count("crop_season", "crop_season_mismatch_count", "crop_name season",
-           lambda: ~F.coalesce(c("season") == c("crop_season"), F.lit(False))),
-    _count("dates", "bad_date_order_count", "planting_date harvest_date sale_date",
-           lambda: (c("planting_date") >= c("harvest_date")) | (c("harvest_date") >= c("sale_date"))),
-    _count("dates", "crop_duration_too_short_count", "planting_date harvest_date", lambda: _days() < 30),
-    _count("dates", "crop_duration_too_long_count", "planting_date harvest_date", lambda: _days() > 250),
-    _count("dates", "sale_gap_too_short_count", "harvest_date sale_date", lambda: _gap() < 1),
-    _count("dates", "sale_gap_too_long_count", "harvest_date sale_date", lambda: _gap() > 45),
-    _count("crop_duration", "crop_duration_below_crop_min_count", "crop_name planting_date harvest_date",
-           lambda: _days() < c("days_lo")),
-    _count("crop_duration", "crop_duration_above_crop_max_count", "crop_name planting_date harvest_date",
-           lambda: _days() > c("days_hi")),
-    _count("planting_month", "planting_month_out_of_season_count", "season planting_date",
-           lambda: ~in_planting_month(c("season"), c("planting_date"))),
+    *_counts("crop_season", "crop_season_mismatch_count | crop_name season | not coalesce(season = crop_season, false)"),
+    *_counts("dates", f"""
+        bad_date_order_count | planting_date harvest_date sale_date | planting_date >= harvest_date or harvest_date >= sale_date
+        crop_duration_too_short_count | planting_date harvest_date | {_GROWN} < 30
+        crop_duration_too_long_count | planting_date harvest_date | {_GROWN} > 250
+        sale_gap_too_short_count | harvest_date sale_date | {_KEPT} < 1
+        sale_gap_too_long_count | harvest_date sale_date | {_KEPT} > 45
+    """),
+    *_counts("crop_duration", f"""
+        crop_duration_below_crop_min_count | crop_name planting_date harvest_date | {_GROWN} < days_lo
+        crop_duration_above_crop_max_count | crop_name planting_date harvest_date | {_GROWN} > days_hi
+    """),
+    *_planting_month_rule(),
     *_range_rules(),
-    _count("yield_sales", "quantity_sold_gt_actual_yield_count", "quantity_sold actual_yield",
-           lambda: c("quantity_sold") > c("actual_yield") + EPS),
-    _count("yield_sales", "quantity_sold_equal_zero_count", "quantity_sold", lambda: c("quantity_sold") <= 0),
-    _count("yield_sales", "actual_yield_equal_zero_count", "actual_yield", lambda: c("actual_yield") <= 0),
-    _count("yield_sales", "sales_ratio_gt_1_count", "quantity_sold actual_yield",
-           lambda: _ratio("quantity_sold", "actual_yield") > 1.0),
-    _count("yield_sales", "sales_ratio_lt_0_75_count", "quantity_sold actual_yield",
-           lambda: _ratio("quantity_sold", "actual_yield") < 0.75),
-    _count("yield_sales", "sales_ratio_gt_0_999_count", "quantity_sold actual_yield",
-           lambda: _ratio("quantity_sold", "actual_yield") > 0.999),
-    _count("yield_sales", "yield_per_area_too_low_count", "crop_name actual_yield area_size",
-           lambda: _ratio("actual_yield", "area_size") < c("yield_lo") * 0.5),
-    _count("yield_sales", "yield_per_area_too_high_count", "crop_name actual_yield area_size",
-           lambda: _ratio("actual_yield", "area_size") > c("yield_hi") * 2.8),
-    _count("yield_sales", "yield_per_area_zero_count", "actual_yield area_size",
-           lambda: _ratio("actual_yield", "area_size") <= 0),
-    _count("prices", "unit_price_non_positive_count", "unit_price", lambda: c("unit_price") <= 0),
-    _count("prices", "market_price_non_positive_count", "market_price", lambda: c("market_price") <= 0),
-    _count("prices", "unit_price_too_low_vs_base_count", "crop_name unit_price",
-           lambda: c("unit_price") < c("base_price") * 0.6),
-    _count("prices", "unit_price_too_high_vs_base_count", "crop_name unit_price",
-           lambda: c("unit_price") > c("base_price") * 4.0),
-    _count("prices", "market_price_too_far_from_unit_price_count", "market_price unit_price",
-           lambda: (_ratio("market_price", "unit_price") < 0.9) | (_ratio("market_price", "unit_price") > 1.15)),
-    _count("prices", "unit_price_gt_market_price_count", "market_price unit_price",
-           lambda: c("unit_price") > c("market_price") * 1.05),
-    _count("finance", "profit_formula_mismatch_count", "profit total_sales total_expenses",
-           lambda: F.abs(c("profit") - F.bround(c("total_sales") - c("total_expenses"), 2)) > 1.0),
-    _count("finance", "total_sales_formula_mismatch_count", "total_sales quantity_sold unit_price",
-           lambda: F.abs(c("total_sales") - F.bround(c("quantity_sold") * c("unit_price"), 2)) > 1.0),
-    _count("finance", "profit_margin_gt_300pct_count", "profit total_sales", lambda: _ratio("profit", "total_sales") > 3.0),
-    _count("finance", "profit_margin_lt_minus90pct_count", "profit total_sales", lambda: _ratio("profit", "total_sales") < -0.9),
-    _count("finance", "expenses_gt_5x_sales_count", "total_expenses total_sales",
-           lambda: _ratio("total_expenses", "total_sales") > 5.0),
-    _count("resources", "fertilizer_per_area_too_low_count", "fertilizer_used area_size",
-           lambda: _ratio("fertilizer_used", "area_size") < 0.15),
-    _count("resources", "fertilizer_per_area_too_high_count", "fertilizer_used area_size",
-           lambda: _ratio("fertilizer_used", "area_size") > 1.0),
-    _count("resources", "water_per_area_too_low_count", "water_used area_size", lambda: _ratio("water_used", "area_size") < 5),
-    _count("resources", "water_per_area_too_high_count", "water_used area_size", lambda: _ratio("water_used", "area_size") > 25),
-    _count("resources", "transport_cost_zero_with_positive_distance_count", "distance_to_market transport_cost",
-           lambda: (c("distance_to_market") > 0) & (c("transport_cost") <= 0)),
-    _count("resources", "transport_per_km_too_low_count", "transport_cost distance_to_market",
-           lambda: _ratio("transport_cost", "distance_to_market") < 0.005),
-    _count("resources", "transport_per_km_too_high_count", "transport_cost distance_to_market",
-           lambda: _ratio("transport_cost", "distance_to_market") > 0.2),
-    *_mean_rules(),
-    Rule("pests", "pest_rate_high_risk", ("pest_indicator", "humidity", "rainfall", "temperature"),
-         lambda: F.avg(F.when(_risky_weather(), c("pest_indicator").cast("double")))),
-    Rule("pests", "pest_rate_low_risk", ("pest_indicator", "humidity", "rainfall", "temperature"),
-         lambda: F.avg(F.when(~_risky_weather(), c("pest_indicator").cast("double")))),
+    *_counts("yield_sales", f"""
+        quantity_sold_gt_actual_yield_count | quantity_sold actual_yield | quantity_sold > actual_yield + 1e-6D
+        quantity_sold_equal_zero_count | quantity_sold | quantity_sold <= 0
+        actual_yield_equal_zero_count | actual_yield | actual_yield <= 0
+        sales_ratio_gt_1_count | quantity_sold actual_yield | {_SOLD} > 1
+        sales_ratio_lt_0_75_count | quantity_sold actual_yield | {_SOLD} < 0.75D
+        sales_ratio_gt_0_999_count | quantity_sold actual_yield | {_SOLD} > 0.999D
+        yield_per_area_too_low_count | crop_name actual_yield area_size | {_PER_AREA} < yield_lo * 0.5D
+        yield_per_area_too_high_count | crop_name actual_yield area_size | {_PER_AREA} > yield_hi * 2.8D
+        yield_per_area_zero_count | actual_yield area_size | {_PER_AREA} <= 0
+    """),
+    *_counts("prices", f"""
+        unit_price_non_positive_count | unit_price | unit_price <= 0
+        market_price_non_positive_count | market_price | market_price <= 0
+        unit_price_too_low_vs_base_count | crop_name unit_price | unit_price < base_price * 0.6D
+        unit_price_too_high_vs_base_count | crop_name unit_price | unit_price > base_price * 4D
+        market_price_too_far_from_unit_price_count | market_price unit_price | {_MARKUP} < 0.9D or {_MARKUP} > 1.15D
+        unit_price_gt_market_price_count | market_price unit_price | unit_price > market_price * 1.05D
+    """),
+    *_counts("finance", f"""
+        profit_formula_mismatch_count | profit total_sales total_expenses | abs(profit - bround(total_sales - total_expenses, 2)) > 1
+        total_sales_formula_mismatch_count | total_sales quantity_sold unit_price | abs(total_sales - bround(quantity_sold * unit_price, 2)) > 1
+        profit_margin_gt_300pct_count | profit total_sales | {_MARGIN} > 3
+        profit_margin_lt_minus90pct_count | profit total_sales | {_MARGIN} < -0.9D
+        expenses_gt_5x_sales_count | total_expenses total_sales | {_ratio("total_expenses", "total_sales")} > 5
+    """),
+    *_counts("resources", f"""
+        fertilizer_per_area_too_low_count | fertilizer_used area_size | {_ratio("fertilizer_used", "area_size")} < 0.15D
+        fertilizer_per_area_too_high_count | fertilizer_used area_size | {_ratio("fertilizer_used", "area_size")} > 1
+        water_per_area_too_low_count | water_used area_size | {_ratio("water_used", "area_size")} < 5
+        water_per_area_too_high_count | water_used area_size | {_ratio("water_used", "area_size")} > 25
+        transport_cost_zero_with_positive_distance_count | distance_to_market transport_cost | distance_to_market > 0 and transport_cost <= 0
+        transport_per_km_too_low_count | transport_cost distance_to_market | {_PER_KM} < 0.005D
+        transport_per_km_too_high_count | transport_cost distance_to_market | {_PER_KM} > 0.2D
+    """),
+    _mean("resources", "desert_avg_water_used", "water_used", "region_type", "Desert"),
+    _mean("resources", "rural_avg_water_used", "water_used", "region_type", "Rural"),
+    _mean("weather", "average_desert_temperature", "temperature", "region_type", "Desert"),
+    _mean("weather", "average_rural_temperature", "temperature", "region_type", "Rural"),
+    _mean("weather", "average_desert_rainfall", "rainfall", "region_type", "Desert"),
+    _mean("weather", "average_rural_rainfall", "rainfall", "region_type", "Rural"),
+    *_level_means(),
+    *_pest_rules(),
     *_sufficiency_rules(),
-    _count("booleans", "invalid_pest_indicator_type_count", "pest_indicator", lambda: c("pest_indicator").isNull()),
-    _count("profit", "positive_profit_count", "profit", lambda: c("profit") > 0),
-    _count("profit", "negative_profit_count", "profit", lambda: c("profit") < 0),
-    _count("profit", "zero_profit_count", "profit", lambda: c("profit") == 0),
-    Rule("profit", "positive_profit_pct", ("profit",), _pct(lambda: c("profit") > 0, 2)),
-    Rule("profit", "negative_profit_pct", ("profit",), _pct(lambda: c("profit") < 0, 2)),
-    Rule("profit", "zero_profit_pct", ("profit",), _pct(lambda: c("profit") == 0, 4)),
-    Rule("profit", "avg_profit", ("profit",), lambda: F.avg("profit")),
+    *_counts("booleans", "invalid_pest_indicator_type_count | pest_indicator | pest_indicator is null"),
+    *_counts("profit", """
+        positive_profit_count | profit | profit > 0
+        negative_profit_count | profit | profit < 0
+        zero_profit_count | profit | profit = 0
+    """),
+    *_profit_shares(),
 ]
 
-# flag -> comparison of two measured values; it is raised when the comparison holds
+# (section, flag) -> condition on measured values that raises the flag
 ORDER_FLAGS = {
-    ("resources", "desert_water_not_higher_than_rural_flag"): lambda v: v("desert_avg_water_used") <= v("rural_avg_water_used"),
-    ("weather", "desert_not_hotter_than_rural_flag"): lambda v: v("average_desert_temperature") <= v("average_rural_temperature"),
-    ("weather", "desert_not_drier_than_rural_flag"): lambda v: v("average_desert_rainfall") >= v("average_rural_rainfall"),
-    ("pests", "pest_not_higher_in_high_risk_flag"): lambda v: v("pest_rate_high_risk") <= v("pest_rate_low_risk"),
-    ("levels", "demand_level_order_issue_flag"): lambda v: ~F.coalesce(_rising(v, "demand"), F.lit(False)),
-    ("levels", "supply_level_order_issue_flag"): lambda v: ~F.coalesce(_rising(v, "supply"), F.lit(False)),
+    ("resources", "desert_water_not_higher_than_rural_flag"): "desert_avg_water_used <= rural_avg_water_used",
+    ("weather", "desert_not_hotter_than_rural_flag"): "average_desert_temperature <= average_rural_temperature",
+    ("weather", "desert_not_drier_than_rural_flag"): "average_desert_rainfall >= average_rural_rainfall",
+    ("pests", "pest_not_higher_in_high_risk_flag"): "pest_rate_high_risk <= pest_rate_low_risk",
+    ("levels", "demand_level_order_issue_flag"): (
+        "not (demand_score_low_level_mean < demand_score_medium_level_mean"
+        " and demand_score_medium_level_mean < demand_score_high_level_mean)"
+    ),
+    ("levels", "supply_level_order_issue_flag"): (
+        "not (supply_score_low_level_mean < supply_score_medium_level_mean"
+        " and supply_score_medium_level_mean < supply_score_high_level_mean)"
+    ),
 }
 
 CROP_FACTS = {"crop_season", "crop_duration", "yield_sales", "prices"}
 GROUPED = ["crop_name", "demand_level", "supply_level", "sufficiency_status", "customer_type", "region_type"]
 
 
-def _rising(v: Callable[[str], Column], side: str) -> Column:
-    low, mid, high = (v(f"{side}_score_{level}_level_mean") for level in ("low", "medium", "high"))
-    return (low < mid) & (mid < high)
-
-
 def section_columns(*sections: str) -> list[str]:
     """Columns the rules of the sections read."""
     return sorted({n for r in RULES if r.section in sections for n in r.needs})
 
 
 def rule_values(df: DataFrame, *sections: str) -> DataFrame:
-    """(section, rule, value) of the chosen sections, all from one scan."""
+    """(section, rule, value) of the chosen sections, all from one scan.
+
+    A flag whose means are missing is raised only where an order was required.
+    """
     rules = [r for r in RULES if not sections or r.section in sections]
     records = with_crop_facts(df) if not sections or CROP_FACTS & set(sections) else df
-    measured = records.agg(*[r.value().cast("double").alias(r.name) for r in rules])
-    flags = {
-        name: flag(F.col).cast("double")
-        for (section, name), flag in ORDER_FLAGS.items()
-        if not sections or section in sections
-    }
-    flag_sections = {name: section for section, name in ORDER_FLAGS}
-    row = measured.withColumns(flags) if flags else measured
-    named = [(r.section, r.name) for r in rules] + [(flag_sections[n], n) for n in flags]
-    entries = [F.struct(F.lit(s).alias("section"), F.lit(n).alias("rule"), F.col(n).alias("value")) for s, n in named]
-    return row.select(F.explode(F.array(*entries)).alias("m")).select("m.*")
+    row = records.selectExpr(*[f"cast({r.value} as double) as {r.name}" for r in rules])
+    flags = {key: test for key, test in ORDER_FLAGS.items() if not sections or key[0] in sections}
+    if flags:
+        raised = [
+            f"cast(coalesce({test}, {str(section == 'levels').lower()}) as double) as {name}"
+            for (section, name), test in flags.items()
+        ]
+        row = row.selectExpr("*", *raised)
+    return _long(row, [(r.section, r.name, r.name) for r in rules] + [(s, n, n) for s, n in flags])
+
+
+def _long(row: DataFrame, named: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """One-row result -> a row per (section, rule, column)."""
+    cells = ", ".join(f"'{section}', '{rule}', cast({col} as double)" for section, rule, col in named)
+    return row.selectExpr(f"stack({len(named)}, {cells}) as (section, rule, value)")
 
 
 def as_rules(row: DataFrame, section: str, names: dict[str, str]) -> DataFrame:
-    """One-row result -> (section, rule, value)."""
-    entries = [
-        F.struct(F.lit(section).alias("section"), F.lit(rule).alias("rule"), F.col(col).cast("double").alias("value"))
-        for col, rule in names.items()
-    ]
-    return row.select(F.explode(F.array(*entries)).alias("m")).select("m.*")
+    return _long(row, [(section, rule, col) for col, rule in names.items()])
 
 
 def overview(df: DataFrame) -> DataFrame:
@@ -363,16 +358,15 @@ WARNINGS: dict[str, list[str]] = {
 
 def warning_flags(values: DataFrame) -> DataFrame:
     """(flag, raised) from measured values; a flag is raised by any positive value."""
-    row = values.agg(
-        *[F.coalesce(F.bool_or(F.col("rule").isin(names) & (F.col("value") > 0)), F.lit(False)).alias(flag) for flag, names in WARNINGS.items()]
-    )
-    entries = [F.struct(F.lit(flag).alias("flag"), F.col(flag).alias("raised")) for flag in WARNINGS]
-    return row.select(F.explode(F.array(*entries)).alias("m")).select("m.*")
+    raised = []
+    for flag, names in WARNINGS.items():
+        listed = ", ".join(f"'{name}'" for name in names)
+        raised.append(f"coalesce(bool_or(rule in ({listed}) and value > 0), false) as {flag}")
+    cells = ", ".join(f"'{flag}', {flag}" for flag in WARNINGS)
+    return values.selectExpr(*raised).selectExpr(f"stack({len(WARNINGS)}, {cells}) as (flag, raised)")
 
 
 def median_profit(df: DataFrame) -> DataFrame:
-    from furrow.operators.ordering import exact_quantiles
-
     found = exact_quantiles(df, ["profit"], [0.5])
     return found.select(F.lit("profit").alias("section"), F.lit("median_profit").alias("rule"), F.col("q0").alias("value"))
 

@@ -93,15 +93,14 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def null_profile(df: DataFrame) -> DataFrame:
     """One row per column: type and number of missing values."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
-    types = dict(df.dtypes)
-    entries = [F.struct(F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"), F.col(c).alias("nulls")) for c in df.columns]
-    return counts.select(F.explode(F.array(*entries)).alias("m")).select("m.*")
+    counts = df.selectExpr(*[f"count_if(`{c}` is null) as `{c}`" for c in df.columns])
+    cells = ", ".join(f"'{c}', '{t}', `{c}`" for c, t in df.dtypes)
+    return counts.selectExpr(f"stack({len(df.columns)}, {cells}) as (column_name, data_type, nulls)")
 
 
 def table_shape(df: DataFrame) -> DataFrame:
     """Row and column count, missing values, rows that repeat an earlier one."""
-    missing = sum((F.col(c).isNull().cast("long") for c in df.columns[1:]), F.col(df.columns[0]).isNull().cast("long"))
+    missing = F.expr(" + ".join(f"if(`{c}` is null, 1, 0)" for c in df.columns))
     copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
     missing_per_copy = missing * F.col("_n")
     return copies.agg(
@@ -130,24 +129,22 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.col("measure").alias("column_name"), "q0", "q1", (F.col("q0") - reach).alias("low"), (F.col("q1") + reach).alias("high")
     )
     # one row that holds the bounds of all columns, so the table is scanned once
-    wide = bounds.agg(
-        *[F.max(F.when(F.col("column_name") == c, F.col(e))).alias(f"_{c}_{e}") for c in columns for e in ("low", "high")]
+    wide = bounds.selectExpr(
+        *[f"max(if(column_name = '{c}', {e}, null)) as _{c}_{e}" for c in columns for e in ("low", "high")]
     )
-    outside = one_row(df.select(*columns), wide).agg(
-        *[F.count_if((F.col(c) < F.col(f"_{c}_low")) | (F.col(c) > F.col(f"_{c}_high"))).alias(c) for c in columns]
+    outside = one_row(df.select(*columns), wide).selectExpr(
+        *[f"count_if({c} < _{c}_low or {c} > _{c}_high) as {c}" for c in columns]
     )
-    counts = outside.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("outliers")) for c in columns])).alias("m")
-    ).select("m.*")
+    cells = ", ".join(f"'{c}', {c}" for c in columns)
+    counts = outside.selectExpr(f"stack({len(columns)}, {cells}) as (column_name, outliers)")
     return counts.join(F.broadcast(bounds), "column_name", "left")
 
 
 def correlations(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Pearson correlation of each named pair, all in one aggregate."""
-    row = df.agg(*[F.corr(a, b).alias(name) for name, (a, b) in pairs.items()])
-    return row.select(
-        F.explode(F.array(*[F.struct(F.lit(n).alias("pair"), F.col(n).alias("corr")) for n in pairs])).alias("m")
-    ).select("m.*")
+    row = df.selectExpr(*[f"corr({a}, {b}) as {name}" for name, (a, b) in pairs.items()])
+    cells = ", ".join(f"'{name}', {name}" for name in pairs)
+    return row.selectExpr(f"stack({len(pairs)}, {cells}) as (pair, corr)")
 
 
 def true_shares(df: DataFrame, masks: Mapping[str, Column]) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow import fixed_values as fixed
-from furrow.functions.scalars import level_from_score
 from furrow.schemas import FARM_RECORD
 from furrow.sources import lookups
 
@@ -24,10 +23,59 @@ CUSTOMERS = {"BUILDING": "Trader", "MACHINERY": "Local Market", "FURNITURE": "Ex
 DEMAND_LEVELS = {"1-URGENT": "High", "2-HIGH": "High", "3-MEDIUM": "Medium", "5-LOW": "Low"}
 STATUSES = {"F": "Shortage", "O": "Surplus", "P": "Balanced"}
 
-SOURCES = {
-    "crop_name": "part", "planting_date": "orders", "area_size": "part", "unit_price": "part", "region_type": "part",
-    "market_location": "customer", "customer_type": "customer", "farm_location": "supplier", "market_price": "part",
-    "demand_level": "orders", "sufficiency_status": "orders",
+
+
+def _case(column: str, names: dict[str, str], other: str = "null") -> str:
+    arms = " ".join(f"when '{key}' then '{value}'" for key, value in names.items())
+    return f"case {column} {arms} else {other} end"
+
+
+def _level(score: str, cuts: tuple[float, float]) -> str:
+    return f"case when {score} < {cuts[0]}D then 'Low' when {score} >= {cuts[1]}D then 'High' else 'Medium' end"
+
+
+# column -> (table it needs besides lineitem, Spark SQL expression)
+COLUMNS = {
+    "record_id": (None, "l_orderkey * 10 + l_linenumber"),
+    "crop_name": ("part", "crop_name"),
+    "planting_date": ("orders", "to_date(o_orderdate)"),
+    "harvest_date": (None, "to_date(l_shipdate)"),
+    "season": (
+        None,
+        "case when month(l_shipdate) in (11, 12, 1, 2) then 'Winter' when month(l_shipdate) in (3, 4, 5) then 'Spring'"
+        " when month(l_shipdate) in (6, 7, 8) then 'Summer' else 'Fall' end",
+    ),
+    "area_size": ("part", "cast(p_size as double)"),
+    "quantity_sold": (None, "l_quantity"),
+    "inventory_remaining": (None, "cast(l_linenumber as double)"),
+    "unit_price": ("part", "p_retailprice / 100D"),
+    "total_sales": (None, "if(l_linestatus = 'F', l_extendedprice, null)"),
+    "total_expenses": (None, "l_extendedprice * (1D - l_discount)"),
+    "fertilizer_used": (None, "l_tax * 100D"),
+    "water_used": (None, "l_discount * 1000D"),
+    "actual_yield": (None, "l_quantity + l_linenumber"),
+    "profit": (None, "l_extendedprice * l_discount - l_extendedprice * l_tax"),
+    "sale_date": (None, "date_add(to_date(l_shipdate), l_linenumber)"),
+    "sale_gap_days": (None, "l_linenumber"),
+    "market_location": ("customer", "market_location"),
+    "farm_location": ("supplier", "farm_location"),
+    "region_type": ("part", _case("p_type", REGIONS, "p_type")),
+    "distance_to_market": (None, "l_linenumber * 10D"),
+    "transport_cost": (None, "l_extendedprice * l_tax"),
+    "customer_type": ("customer", _case("c_mktsegment", CUSTOMERS)),
+    "market_price": ("part", "p_retailprice / 100D * (l_tax * 3D + 0.9D)"),
+    "temperature": (None, "l_quantity"),
+    "humidity": (None, "l_discount * 1000D"),
+    "rainfall": (None, "l_tax * 1000D"),
+    "wind_speed": (None, "l_linenumber * 5D"),
+    "pest_indicator": (None, "l_returnflag = 'R'"),
+    "water_efficiency": (None, "try_divide(l_quantity + l_linenumber, l_discount * 1000D)"),
+    "fertilizer_efficiency": (None, "try_divide(l_quantity + l_linenumber, l_tax * 100D)"),
+    "demand_score": (None, "l_discount * 10D"),
+    "demand_level": ("orders", _case("o_orderpriority", DEMAND_LEVELS, "o_orderpriority")),
+    "supply_score": (None, "l_tax / 0.08D"),
+    "supply_level": (None, _level("l_tax / 0.08D", fixed.SUPPLY_CUTS)),
+    "sufficiency_status": ("orders", _case("o_orderstatus", STATUSES)),
 }
 
 
@@ -35,33 +83,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _renamed(column: str, names: dict[str, str], other=None):
-    result = None
-    for key, value in names.items():
-        result = F.when(F.col(column) == key, value) if result is None else result.when(F.col(column) == key, value)
-    return result.otherwise(other)
-
-
 def crop_of_part(part: DataFrame) -> DataFrame:
     """crop_name of each part: the crop with the brand's number, else the brand."""
-    crops = lookups.crops(part.sparkSession).where(F.col("crop_no") <= MAPPED_BRANDS)
-    crops = crops.select("crop_no", F.col("crop_name").alias("_crop"))
-    numbered = part.withColumn("crop_no", F.substring("p_brand", 7, 9).cast("long"))
-    return numbered.join(F.broadcast(crops), "crop_no", "left").withColumn("crop_name", F.coalesce("_crop", "p_brand")).drop("_crop")
+    crops = lookups.crops(part.sparkSession).where(f"crop_no <= {MAPPED_BRANDS}").selectExpr("crop_no", "crop_name as _crop")
+    numbered = part.selectExpr("*", "cast(substring(p_brand, 7, 9) as bigint) as crop_no")
+    named = numbered.join(F.broadcast(crops), "crop_no", "left")
+    return named.selectExpr(*part.columns, "coalesce(_crop, p_brand) as crop_name")
 
 
 def place_of(df: DataFrame, nation: DataFrame, key: str, name: str) -> DataFrame:
     """Place name of a nation: one of the known places, else the nation's name."""
-    known = F.array(*[F.lit(p) for p in fixed.LOCATIONS])
-    place = F.when(F.col("n_nationkey") < len(fixed.LOCATIONS), F.try_element_at(known, F.col("n_nationkey") + 1))
-    named = nation.select(F.col("n_nationkey").alias(key), F.coalesce(place, F.col("n_name")).alias(name))
-    return df.join(named, key).drop(key)
+    known = ", ".join(f"'{place}'" for place in fixed.LOCATIONS)
+    named = nation.selectExpr(f"n_nationkey as {key}", f"coalesce(elt(n_nationkey + 1, {known}), n_name) as {name}")
+    return df.join(named, key)
 
 
 def farm_records(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
     """The farm-record table, or the given columns of it."""
     wanted = list(columns or FARM_RECORD.fieldNames())
-    needed = {SOURCES[c] for c in wanted if c in SOURCES}
+    needed = {COLUMNS[c][0] for c in wanted}
     rows = table(spark, sf_dir, "lineitem")
     if "part" in needed:
         part = table(spark, sf_dir, "part")
@@ -80,52 +120,4 @@ def farm_records(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None
     if "supplier" in needed:
         supplier = place_of(table(spark, sf_dir, "supplier"), nation, "s_nationkey", "farm_location")
         rows = rows.join(supplier, rows.l_suppkey == supplier.s_suppkey)
-    made = _expressions()
-    return rows.select(*[made[c].alias(c) if c in made else F.col(c) for c in wanted])
-
-
-def _expressions() -> dict:
-    c = F.col
-    harvest = F.to_date("l_shipdate")
-    month = F.month(harvest)
-    unit_price = c("p_retailprice") / 100
-    supply = c("l_tax") / 0.08
-    grown = c("l_quantity") + c("l_linenumber")
-    water, fertilizer = c("l_discount") * 1000, c("l_tax") * 100
-    season = F.when(month.isin(11, 12, 1, 2), "Winter").when(month.isin(3, 4, 5), "Spring")
-    season = season.when(month.isin(6, 7, 8), "Summer").otherwise("Fall")
-    return {
-        "record_id": c("l_orderkey") * 10 + c("l_linenumber"),
-        "planting_date": F.to_date("o_orderdate"),
-        "harvest_date": harvest,
-        "season": season,
-        "area_size": c("p_size").cast("double"),
-        "quantity_sold": c("l_quantity"),
-        "inventory_remaining": c("l_linenumber").cast("double"),
-        "unit_price": unit_price,
-        "total_sales": F.when(c("l_linestatus") == "F", c("l_extendedprice")),
-        "total_expenses": c("l_extendedprice") * (1 - c("l_discount")),
-        "fertilizer_used": fertilizer,
-        "water_used": water,
-        "actual_yield": grown,
-        "profit": c("l_extendedprice") * c("l_discount") - c("l_extendedprice") * c("l_tax"),
-        "sale_date": F.date_add(harvest, c("l_linenumber")),
-        "sale_gap_days": c("l_linenumber"),
-        "region_type": _renamed("p_type", REGIONS, c("p_type")),
-        "distance_to_market": c("l_linenumber") * F.lit(10.0),
-        "transport_cost": c("l_extendedprice") * c("l_tax"),
-        "customer_type": _renamed("c_mktsegment", CUSTOMERS),
-        "market_price": unit_price * (c("l_tax") * 3 + 0.9),
-        "temperature": c("l_quantity"),
-        "humidity": c("l_discount") * 1000,
-        "rainfall": c("l_tax") * 1000,
-        "wind_speed": c("l_linenumber") * F.lit(5.0),
-        "pest_indicator": c("l_returnflag") == "R",
-        "water_efficiency": F.try_divide(grown, water),
-        "fertilizer_efficiency": F.try_divide(grown, fertilizer),
-        "demand_score": c("l_discount") * 10,
-        "demand_level": _renamed("o_orderpriority", DEMAND_LEVELS, c("o_orderpriority")),
-        "supply_score": supply,
-        "supply_level": level_from_score(supply, fixed.SUPPLY_CUTS),
-        "sufficiency_status": _renamed("o_orderstatus", STATUSES),
-    }
+    return rows.selectExpr(*[f"{COLUMNS[c][1]} as {c}" for c in wanted])
