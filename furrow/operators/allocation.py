@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow import fixed_values as fixed
+from furrow.functions.limits import solve_bound
 
 KEYS = ("farm", "crop")
 
@@ -212,98 +212,3 @@ def recommendations(report: DataFrame) -> DataFrame:
         " '\\nLargest share: ', _rows[0].crop, ' with ', _rows[0].crop_area, ' area units.',"
         " '\\nExpected total profit: ', format_string('%.2f', _total)) as recommendation",
     )
-
-
-# --- farms whose resource limits bind: numpy over a batch of farms -------------------
-
-
-def solve_bound(farms: pd.DataFrame, min_share: float, max_share: float, smoothing: float, steps: int = 60) -> pd.DataFrame:
-    """Prices of water and fertilizer by bisection, all farms of the batch at once."""
-    farms = farms.reset_index(drop=True)
-    sizes = [len(crops) for crops in farms["crops"]]
-    shape = (len(farms), max(sizes, default=0))
-    data = {name: np.zeros(shape) for name in ("profit", "target", "water_per_area", "fert_per_area")}
-    real = np.zeros(shape, dtype=bool)
-    for i, crops in enumerate(farms["crops"]):
-        real[i, : sizes[i]] = True
-        for name, grid in data.items():
-            grid[i, : sizes[i]] = [0.0 if c[name] is None else c[name] for c in crops]
-    area = farms["area"].to_numpy(float)
-    cap_w, cap_f = (_limit(farms[c]) for c in ("water_limit", "fertilizer_limit"))
-    low = np.where(real, area[:, None] * min_share, 0.0)
-    high = np.where(real, area[:, None] * max_share, 0.0)
-    water, fert = data["water_per_area"], data["fert_per_area"]
-
-    def split(rows, price_w, price_f):
-        gain = data["profit"][rows] - price_w[:, None] * water[rows] - price_f[:, None] * fert[rows]
-        return _area_split(gain, data["target"][rows], low[rows], high[rows], area[rows], real[rows], smoothing)
-
-    def water_priced(rows, price_f):
-        """Split with the smallest water price that keeps the water limit."""
-        def excess(price_w):
-            return (water[rows] * split(rows, price_w, price_f)).sum(1) - cap_w[rows]
-
-        return split(rows, _least_price(excess, len(rows), cap_w[rows], steps), price_f)
-
-    everyone = np.arange(len(farms))
-
-    def excess_fert(price_f):
-        return (fert * water_priced(everyone, price_f)).sum(1) - cap_f
-
-    amounts = water_priced(everyone, _least_price(excess_fert, len(farms), cap_f, steps)) if len(farms) else np.zeros(shape)
-    keeps = ((water * amounts).sum(1) <= cap_w * (1 + 1e-6) + 1e-9) & ((fert * amounts).sum(1) <= cap_f * (1 + 1e-6) + 1e-9)
-    return pd.DataFrame(
-        {
-            "farm": farms["farm"],
-            "area": area,
-            "water_limit": farms["water_limit"],
-            "fertilizer_limit": farms["fertilizer_limit"],
-            "status": np.where(keeps, "optimized", "infeasible"),
-            "crops": farms["crops"],
-            "amounts": [list(a[:n]) if ok else [None] * n for a, n, ok in zip(amounts, sizes, keeps)],
-        }
-    )
-
-
-def _limit(column: pd.Series) -> np.ndarray:
-    return column.astype(float).fillna(np.inf).to_numpy()
-
-
-def _least_price(excess, n: int, cap: np.ndarray, steps: int) -> np.ndarray:
-    """Smallest price >= 0 with no excess; ``excess`` falls as the price rises."""
-    tolerance = 1e-9 * np.where(np.isfinite(cap), np.abs(cap), 0.0)
-    low, high = np.zeros(n), np.zeros(n)
-    over = excess(low) > tolerance
-    if not over.any():
-        return low
-    high = np.where(over, 1.0, 0.0)
-    for _ in range(steps):
-        short = over & (excess(high) > tolerance)
-        if not short.any():
-            break
-        low, high = np.where(short, high, low), np.where(short, high * 2, high)
-    for _ in range(steps):
-        middle = (low + high) / 2
-        short = excess(middle) > tolerance
-        low, high = np.where(short, middle, low), np.where(short, high, middle)
-    return high
-
-
-def _area_split(gain, target, low, high, area, real, smoothing) -> np.ndarray:
-    """Exact split for given gains: total area is piecewise linear in its price."""
-    pull = 2 * smoothing
-    points = np.concatenate([gain + pull * (target - high), gain + pull * (target - low)], axis=1)
-    points = np.where(np.concatenate([real, real], axis=1), points, np.nan)
-    points = np.sort(points, axis=1)
-    last = np.nanmax(points, axis=1, keepdims=True)
-    points = np.where(np.isnan(points), last, points)
-    wish = np.clip(
-        target[:, None, :] + (gain[:, None, :] - points[:, :, None]) / pull, low[:, None, :], high[:, None, :]
-    ).sum(2)
-    slack = 1e-12 * np.abs(area)[:, None]
-    left = np.maximum((wish >= area[:, None] - slack).sum(1) - 1, 0)
-    right = np.minimum(left + 1, points.shape[1] - 1)
-    pick = np.arange(len(points))
-    x0, x1, y0, y1 = points[pick, left], points[pick, right], wish[pick, left], wish[pick, right]
-    step = np.divide((y0 - area) * (x1 - x0), y0 - y1, out=np.zeros_like(x0), where=(y0 - y1) > 0)
-    return np.clip(target + (gain - (x0 + step)[:, None]) / pull, low, high)

@@ -32,8 +32,8 @@ def in_planting_month(season: Column, planting: Column) -> Column:
 
 
 def harvest_and_sale(planting: Column, duration: Column, gap: Column) -> tuple[Column, Column]:
-    harvest = F.date_add(planting, duration)
-    return harvest, F.date_add(harvest, gap)
+    harvest = F.date_add(planting, duration.cast("int"))
+    return harvest, F.date_add(harvest, gap.cast("int"))
 
 
 def yield_factor(region: Column) -> Column:

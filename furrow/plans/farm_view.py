@@ -94,7 +94,7 @@ def crop_of_part(part: DataFrame) -> DataFrame:
 def place_of(df: DataFrame, nation: DataFrame, key: str, name: str) -> DataFrame:
     """Place name of a nation: one of the known places, else the nation's name."""
     known = ", ".join(f"'{place}'" for place in fixed.LOCATIONS)
-    named = nation.selectExpr(f"n_nationkey as {key}", f"coalesce(elt(n_nationkey + 1, {known}), n_name) as {name}")
+    named = nation.selectExpr(f"n_nationkey as {key}", f"if(n_nationkey < {len(fixed.LOCATIONS)}, elt(n_nationkey + 1, {known}), n_name) as {name}")
     return df.join(named, key)
 
 

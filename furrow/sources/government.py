@@ -25,7 +25,7 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     raw = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
     raw = raw.withColumn("line_no", F.monotonically_increasing_id())
     latin = raw.where(~F.is_valid_utf8("value")).select("file").distinct().withColumn("_latin", F.lit(True))
-    text = F.when(F.col("_latin"), F.decode(F.col("value").cast("binary"), F.lit("ISO-8859-1"))).otherwise(F.col("value"))
+    text = F.when(F.col("_latin"), F.decode(F.col("value").cast("binary"), "ISO-8859-1")).otherwise(F.col("value"))
     return lookup_join(raw, latin, ["file"]).select("file", "line_no", F.regexp_replace(text, "^\\uFEFF", "").alias("line"))
 
 

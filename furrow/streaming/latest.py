@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from furrow.operators.stats import latest_per_key
 from furrow.session import scratch_path
@@ -13,25 +14,27 @@ from furrow.session import scratch_path
 def start_latest(stream: DataFrame, key: str, order: Sequence[str], value: str, table: str, checkpoint: str):
     """Keep the latest value per key of a stream in a parquet table.
 
-    State is one row per key. Each trigger rewrites the table from the full state, so
-    a late row that is older than the known one changes nothing. A batch is written
-    to a folder of its own, so a retried batch replaces only itself.
+    State is one row per key, and each trigger writes only the keys it changed. A late
+    row that is older than the known one changes nothing. Every batch has a folder of
+    its own, so a retried batch replaces only itself.
     """
 
     def publish(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{table}/batch={batch}")
 
     latest = latest_per_key(stream, key, order, value)
-    writer = latest.writeStream.outputMode("complete").foreachBatch(publish)
+    writer = latest.writeStream.outputMode("update").foreachBatch(publish)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def published(spark: SparkSession, table: str, key: str) -> DataFrame:
+    """Current values: per key, the one of the last batch that changed it."""
+    return spark.read.parquet(table).groupBy(key).agg(F.max_by("latest", "batch").alias("latest"))
+
+
 def latest_of_stream(stream: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
-    """Drain what is available and return the newest published table."""
+    """Drain what is available and return the current values."""
     spark = stream.sparkSession
     table = scratch_path(spark, "latest")
-    query = start_latest(stream, key, order, value, table, scratch_path(spark, "latest-state"))
-    query.awaitTermination()
-    rows = spark.read.parquet(table)
-    newest = rows.agg({"batch": "max"}).first()[0]
-    return rows.where(rows.batch == newest).drop("batch")
+    start_latest(stream, key, order, value, table, scratch_path(spark, "latest-state")).awaitTermination()
+    return published(spark, table, key)
