@@ -1,12 +1,12 @@
 """Area splits under water and fertilizer limits, numpy over a batch of farms.
 
-Each farm has a concave dual in three prices (area, water, fertilizer). A projected
-Newton iteration solves all farms of the batch together; the few it does not settle
-are solved by nested bisection.
+Each farm has a price for area, water and fertilizer. The area price is exact for given
+other two; those are found by nested one-dimensional searches, all farms at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,18 +30,9 @@ class Farms:
     def pick(self, rows: np.ndarray) -> Farms:
         return Farms(*(x[rows] for x in (self.profit, self.target, self.use, self.cap, self.low, self.high)), self.pull)
 
-    def split(self, price: np.ndarray) -> np.ndarray:
-        wish = self.target + (self.profit - np.einsum("fk,fkc->fc", price, self.use)) / self.pull
-        return np.clip(wish, self.low, self.high)
-
     def excess(self, amounts: np.ndarray) -> np.ndarray:
         return np.einsum("fkc,fc->fk", self.use, amounts) - self.cap
 
-    def dual(self, price: np.ndarray) -> np.ndarray:
-        amounts = self.split(price)
-        cost = -self.profit * amounts + self.pull / 2 * (amounts - self.target) ** 2
-        return cost.sum(1) + (price * self.excess(amounts)).sum(1)
-
 
 def solve_bound(rows: pd.DataFrame, min_share: float, max_share: float, smoothing: float) -> pd.DataFrame:
     rows = rows.reset_index(drop=True)
@@ -51,10 +42,7 @@ def solve_bound(rows: pd.DataFrame, min_share: float, max_share: float, smoothin
     possible = _reachable(farms)
     todo = np.flatnonzero(possible)
     if len(todo):
-        amounts[todo], settled = _newton(farms.pick(todo))
-        rest = todo[~settled]
-        if len(rest):
-            amounts[rest] = _bisected(farms.pick(rest))
+        amounts[todo] = _bound_split(farms.pick(todo))
     keeps = possible & _feasible(farms, amounts, 1e-6)
     area = farms.cap[:, 0] if len(rows) else np.zeros(0)
     return pd.DataFrame(
@@ -118,81 +106,66 @@ def _reachable(farms: Farms) -> np.ndarray:
     return fits
 
 
-def _newton(farms: Farms, steps: int = 80) -> tuple[np.ndarray, np.ndarray]:
-    n = len(farms.cap)
-    price = np.zeros((n, 3))
-    price[:, 0] = np.median(farms.profit, axis=1)
-    settled = np.zeros(n, dtype=bool)
-    for _ in range(steps):
-        live = np.flatnonzero(~settled)
-        if not len(live):
-            break
-        part, x = farms.pick(live), price[live]
-        amounts = part.split(x)
-        slope = part.excess(amounts)
-        scale = np.maximum(np.abs(part.cap[:, :1]), 1e-12)
-        held = (x <= 0) & (slope <= 0)
-        held[:, 0] = False
-        off = np.where(held, 0.0, slope) / scale
-        done = (np.abs(off) <= TOLERANCE).all(1)
-        settled[live[done]] = True
-        inner = ((amounts > part.low) & (amounts < part.high)).astype(float)
-        curve = np.einsum("fkc,fc,fjc->fkj", part.use, inner, part.use) / part.pull
-        curve += np.eye(3) * (1e-10 + 1e-10 * np.trace(curve, axis1=1, axis2=2))[:, None, None]
-        # a held price stays at zero: its row and column leave the system
-        loose = (~held).astype(float)
-        curve = curve * loose[:, :, None] * loose[:, None, :] + np.eye(3) * (1 - loose)[:, :, None]
-        step = np.linalg.solve(curve, (slope * loose)[:, :, None])[:, :, 0]
-        price[live] = _line_search(part, x, step, slope)
-    return farms.split(price), settled
-
-
-def _line_search(farms: Farms, x: np.ndarray, step: np.ndarray, slope: np.ndarray) -> np.ndarray:
-    start = farms.dual(x)
-    length = np.ones(len(x))
-    best, open_ = x.copy(), np.ones(len(x), dtype=bool)
-    for _ in range(30):
-        trial = x + length[:, None] * step
-        trial[:, 1:] = np.maximum(trial[:, 1:], 0.0)
-        gain = farms.dual(trial) - start
-        good = open_ & (gain >= 1e-4 * (slope * (trial - x)).sum(1) - 1e-15 * np.abs(start))
-        best[good] = trial[good]
-        open_ &= ~good
-        if not open_.any():
-            break
-        length = np.where(open_, length / 2, length)
-    return best
-
-
-def _bisected(farms: Farms, steps: int = 60) -> np.ndarray:
+def _bound_split(farms: Farms) -> np.ndarray:
     """Fertilizer price outside, water price inside, exact area price innermost."""
-    everyone = np.arange(len(farms.cap))
 
-    def water_settled(fert_price):
-        def over(water_price):
-            amounts = _area_split(farms, water_price, fert_price)
-            return farms.excess(amounts)[:, 1]
+    def thrifty(fert_price: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        part = farms.pick(rows)
 
-        return _area_split(farms, _least_price(over, len(everyone), steps), fert_price)
+        def over_water(price: np.ndarray, inner: np.ndarray) -> np.ndarray:
+            some = part.pick(inner)
+            return some.excess(_area_split(some, price, fert_price[inner]))[:, 1] / some.cap[:, 0]
 
-    return water_settled(_least_price(lambda p: farms.excess(water_settled(p))[:, 2], len(everyone), steps))
+        return _area_split(part, _least_price(over_water, len(rows), TOLERANCE / 100), fert_price)
 
+    def over_fert(price: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return farms.pick(rows).excess(thrifty(price, rows))[:, 2] / farms.cap[rows, 0]
 
-def _least_price(over, n: int, steps: int) -> np.ndarray:
-    """Smallest price >= 0 without excess, which falls as the price rises."""
-    low, high = np.zeros(n), np.zeros(n)
-    wanted = over(low) > TOLERANCE
-    high[wanted] = 1.0
-    for _ in range(40):
-        short = wanted & (over(high) > TOLERANCE)
+    everyone = np.arange(len(farms.cap))
+    return thrifty(_least_price(over_fert, len(everyone), TOLERANCE), everyone)
+
+
+def _least_price(over: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, tolerance: float) -> np.ndarray:
+    """Smallest price >= 0 without excess, per row.
+
+    The excess falls continuously and piecewise linearly with the price, so a bracketed
+    secant (with a bisection every fourth step) needs few evaluations. Rows that are
+    settled leave the search.
+    """
+    price = np.zeros(n)
+    found = over(price, np.arange(n))
+    rows = np.flatnonzero(found > tolerance)
+    if not len(rows):
+        return price
+    low, f_low = np.zeros(len(rows)), found[rows]
+    high = np.ones(len(rows))
+    f_high = over(high, rows)
+    for _ in range(30):
+        short = f_high > 0
         if not short.any():
             break
-        low, high = np.where(short, high, low), np.where(short, high * 2, high)
-    for _ in range(steps if wanted.any() else 0):
-        middle = (low + high) / 2
-        short = wanted & (over(middle) > TOLERANCE)
-        low, high = np.where(short, middle, low), np.where(short, high, middle)
-    return high
+        low[short], f_low[short] = high[short], f_high[short]
+        high[short] *= 4
+        f_high[short] = over(high[short], rows[short])
+    price[rows] = high
+    live = np.flatnonzero((f_high <= 0) & (f_high < -tolerance))
+    for step in range(80):
+        if not len(live):
+            break
+        lo, hi, flo, fhi = low[live], high[live], f_low[live], f_high[live]
+        middle = (lo + hi) / 2
+        if step % 4 != 3:
+            secant = lo + (hi - lo) * flo / (flo - fhi)
+            middle = np.where((secant > lo) & (secant < hi), secant, middle)
+        f = over(middle, rows[live])
+        above = f > 0
+        # the end that stays is weighted down, so the other end moves next time
+        f_high[live] = np.where(above, fhi / 2, f)
+        f_low[live] = np.where(above, f, flo / 2)
+        low[live], high[live] = np.where(above, middle, lo), np.where(above, hi, middle)
+        price[rows[live]] = np.where(np.abs(f) <= tolerance, middle, high[live])
+        live = live[(np.abs(f) > tolerance) & (high[live] - low[live] > 1e-15 * high[live])]
+    return price
 
 
 def _area_split(farms: Farms, water_price: np.ndarray, fert_price: np.ndarray) -> np.ndarray:
