@@ -629,7 +629,8 @@ def _training(spark, sf, spec):
     rows = farm_records(spark, sf, ["record_id", *dict.fromkeys(names)])
     if spec.classes:
         rows = rows.where(F.col(spec.target).isin(fixed.LEVELS))
-    return ml.hash_split(ml.prepared(rows, spec, keep=["record_id"]).dropna(), ["record_id"])
+    # fitting reads its rows many times: the joins behind them run once
+    return ml.hash_split(cut_lineage(ml.prepared(rows, spec, keep=["record_id"]).dropna()), ["record_id"])
 
 
 def _fitted(spark, sf, spec, estimator):
@@ -647,9 +648,7 @@ def _logistic():
 
 def _trained_board(spark, sf, spec, chosen):
     train, test = _training(spark, sf, spec)
-    kept = train.persist()
-    rows = [ml.train_and_evaluate(name, model, spec, kept, test)[1] for name, model in chosen.items()]
-    kept.unpersist()
+    rows = [ml.train_and_evaluate(name, model, spec, train, test)[1] for name, model in chosen.items()]
     return ml.leaderboard(spark, rows, "f1" if spec.classes else "r2")
 
 
