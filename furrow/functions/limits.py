@@ -140,7 +140,7 @@ def _least_price(over: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, t
     low, f_low = np.zeros(len(rows)), found[rows]
     high = np.ones(len(rows))
     f_high = over(high, rows)
-    for _ in range(30):
+    for _ in range(14):
         short = f_high > 0
         if not short.any():
             break

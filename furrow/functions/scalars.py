@@ -127,7 +127,7 @@ def per_hectare(rate: Column, area: Column) -> Column:
 
 def split_list(column: Column) -> Column:
     """Comma-separated text -> array of trimmed parts."""
-    return F.transform(F.split(column, ","), F.trim)
+    return F.transform(F.split(column, ","), lambda part: F.trim(part))
 
 
 def never_negative(column: Column) -> Column:

@@ -9,11 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow import fixed_values as fixed
-from furrow.functions.limits import solve_bound
+from furrow.functions import limits as limit_prices
+
+# executors need not have this package: the solver travels with the task
+cloudpickle.register_pickle_by_value(limit_prices)
 
 KEYS = ("farm", "crop")
 
@@ -80,7 +84,7 @@ def allocate_smooth(
     """
     targets = _sized(with_targets(df, factor), min_share, max_share)
     priced = _with_price(_packed(targets.where("_fits"), []), min_share, max_share, smoothing)
-    split = _unpacked(priced, min_share, max_share, smoothing, [])
+    split = _unpacked(priced, min_share, max_share, smoothing)
     return split.unionByName(_no_split(targets, []))
 
 
@@ -93,33 +97,28 @@ def allocate_resources(
 ) -> DataFrame:
     """``allocate_smooth`` under a water and a fertilizer limit per farm.
 
-    Extra columns: water_per_area, fert_per_area, water_limit, fertilizer_limit. Only
-    farms whose unlimited split breaks a limit are solved for the two extra prices.
+    Extra columns: water_per_area, fert_per_area, water_limit, fertilizer_limit. Farms
+    are solved together, one Arrow batch at a time; those whose unlimited split keeps
+    both limits are done after one evaluation.
     """
     extra = ["water_per_area", "fert_per_area"]
     limits = ["water_limit", "fertilizer_limit"]
     targets = _sized(with_targets(df, factor), min_share, max_share)
-    priced = _with_price(_packed(targets.where("_fits"), extra, limits), min_share, max_share, smoothing)
-    amount = _amount("c", "_price", min_share, max_share, smoothing)
-    use = "aggregate(crops, 0D, (t, c) -> t + {amount} * coalesce(c.{need}, 0D)) <= {limit} * (1D + 1e-12D)"
-    tests = [use.format(amount=amount, need=n, limit=m) for n, m in zip(extra, limits)]
-    priced = priced.selectExpr("*", f"coalesce({tests[0]}, true) and coalesce({tests[1]}, true) as _within")
-    free = _unpacked(priced.where("_within").drop("_within"), min_share, max_share, smoothing, extra, limits)
-    bound = priced.where("not _within").select("farm", "area", *limits, "crops")
+    packed = _packed(targets.where("_fits"), extra, limits).select("farm", "area", *limits, "crops")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield solve_bound(batch, min_share, max_share, smoothing)
+            yield limit_prices.solve_bound(batch, min_share, max_share, smoothing)
 
-    types = dict(bound.dtypes)
+    types = dict(packed.dtypes)
     schema = ", ".join(
         [f"farm {types['farm']}", "area double", *[f"{name} double" for name in limits], "status string",
          f"crops {types['crops']}", "amounts array<double>"]
     )
-    solved = bound.mapInPandas(solve, schema)
+    solved = packed.mapInPandas(solve, schema)
     rows = solved.selectExpr("farm", "area", *limits, "status", "inline(arrays_zip(crops, amounts))")
-    rows = rows.selectExpr("farm", "crops.*", "area", *limits, "amounts as allocation", "status")
-    return free.unionByName(rows).unionByName(_no_split(targets, [*extra, *limits]))
+    split = rows.selectExpr("farm", "crops.*", "area", *limits, "amounts as allocation", "status")
+    return split.unionByName(_no_split(targets, [*extra, *limits]))
 
 
 def _sized(df: DataFrame, min_share: float, max_share: float) -> DataFrame:
@@ -164,22 +163,10 @@ def _with_price(packed: DataFrame, min_share: float, max_share: float, smoothing
     return edges.selectExpr("* except (_left, _right)", f"{between} as _price")
 
 
-def _unpacked(
-    priced: DataFrame, min_share: float, max_share: float, smoothing: float, extra: list[str], limits: list[str] | None = None
-) -> DataFrame:
-    rows = priced.selectExpr("farm", "area", *(limits or []), "_price", "explode(crops) as c")
+def _unpacked(priced: DataFrame, min_share: float, max_share: float, smoothing: float) -> DataFrame:
+    rows = priced.selectExpr("farm", "area", "_price", "explode(crops) as c")
     amount = _amount("c", "_price", min_share, max_share, smoothing)
-    return rows.selectExpr(
-        "farm",
-        "c.crop",
-        "c.profit",
-        "c.target",
-        *[f"c.{name}" for name in extra],
-        "area",
-        *(limits or []),
-        f"{amount} as allocation",
-        "'optimized' as status",
-    )
+    return rows.selectExpr("farm", "c.crop", "c.profit", "c.target", "area", f"{amount} as allocation", "'optimized' as status")
 
 
 def allocation_report(df: DataFrame) -> DataFrame:

@@ -334,7 +334,8 @@ def _prices(spark, sf, **options):
 def melt_years(spark, sf):
     wide = inputs.production_wide(spark, sf)
     names = ["kind", "season", "crop", "location"]
-    long = reshape.melt_years(wide.withColumns({c: s.normal_text(F.col(c)) for c in names}), names, inputs.YEARS)
+    clean = wide.withColumns({c: s.normal_text(F.col(c)) for c in names})
+    long = reshape.melt_years(clean.withColumn("kind", s.canonical_kind(F.col("kind"))), names, inputs.YEARS)
     return long.withColumn("year", F.col("year").cast("long"))
 
 
