@@ -141,8 +141,11 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """Pearson correlation of each named pair, all in one aggregate."""
-    row = df.selectExpr(*[f"corr({a}, {b}) as {name}" for name, (a, b) in pairs.items()])
+    """Pearson correlation of each named pair, all in one aggregate; null for a constant column."""
+    both = "stddev_pop({0}) filter (where {1} is not null)"
+    row = df.selectExpr(
+        *[f"try_divide(covar_pop({a}, {b}), {both.format(a, b)} * {both.format(b, a)}) as {n}" for n, (a, b) in pairs.items()]
+    )
     cells = ", ".join(f"'{name}', {name}" for name in pairs)
     return row.selectExpr(f"stack({len(pairs)}, {cells}) as (pair, corr)")
 
