@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -19,7 +20,6 @@ from furrow.operators.stats import (
     id_gaps,
     iqr_outliers,
     table_shape,
-    with_share,
 )
 
 class Rule(NamedTuple):
@@ -98,8 +98,7 @@ def _level_means() -> list[Rule]:
 
 def _sufficiency_rules() -> list[Rule]:
     low, high = fixed.RATIO_CUTS
-    adjusted = "least(greatest(supply_score * 0.92D + demand_score * 0.08D, 0D), 1D)"
-    ratio = f"bround(try_divide({adjusted}, demand_score + 1e-4D), 6)"
+    ratio = "_score_ratio"
     wrong = {
         "shortage": f"(sufficiency_status = 'Shortage' and {ratio} >= {low + 1e-3}D)",
         "balanced": f"(sufficiency_status = 'Balanced' and ({ratio} < {low - 1e-3}D or {ratio} > {high + 1e-3}D))",
@@ -112,12 +111,11 @@ def _sufficiency_rules() -> list[Rule]:
 
 
 def _pest_rules() -> list[Rule]:
-    risky = "coalesce(humidity > 60 or rainfall > 25 or temperature > 34, false)"
     needs = ("pest_indicator", "humidity", "rainfall", "temperature")
     rate = "avg(if({}, cast(pest_indicator as double), null))"
     return [
-        Rule("pests", "pest_rate_high_risk", needs, rate.format(risky)),
-        Rule("pests", "pest_rate_low_risk", needs, rate.format(f"not {risky}")),
+        Rule("pests", "pest_rate_high_risk", needs, rate.format("_risky")),
+        Rule("pests", "pest_rate_low_risk", needs, rate.format("not _risky")),
     ]
 
 
@@ -131,64 +129,74 @@ def _profit_shares() -> list[Rule]:
     ]
 
 
-_SOLD = _ratio("quantity_sold", "actual_yield")
-_PER_AREA = _ratio("actual_yield", "area_size")
-_MARKUP = _ratio("market_price", "unit_price")
-_MARGIN = _ratio("profit", "total_sales")
-_PER_KM = _ratio("transport_cost", "distance_to_market")
-_GROWN = "datediff(harvest_date, planting_date)"
-_KEPT = "datediff(sale_date, harvest_date)"
+# Values that several rules share: computed once per record, before the aggregate.
+DERIVED = {
+    "_sold": _ratio("quantity_sold", "actual_yield"),
+    "_per_area": _ratio("actual_yield", "area_size"),
+    "_markup": _ratio("market_price", "unit_price"),
+    "_margin": _ratio("profit", "total_sales"),
+    "_per_km": _ratio("transport_cost", "distance_to_market"),
+    "_fert_per_area": _ratio("fertilizer_used", "area_size"),
+    "_water_per_area": _ratio("water_used", "area_size"),
+    "_spent": _ratio("total_expenses", "total_sales"),
+    "_grown": "datediff(harvest_date, planting_date)",
+    "_kept": "datediff(sale_date, harvest_date)",
+    "_risky": "coalesce(humidity > 60 or rainfall > 25 or temperature > 34, false)",
+    "_score_ratio": (
+        "bround(try_divide(least(greatest(supply_score * 0.92D + demand_score * 0.08D, 0D), 1D), demand_score + 1e-4D), 6)"
+    ),
+}
 
 RULES: list[Rule] = [
     *_domain_rules(),
     *_counts("crop_season", "crop_season_mismatch_count | crop_name season | not coalesce(season = crop_season, false)"),
-    *_counts("dates", f"""
+    *_counts("dates", """
         bad_date_order_count | planting_date harvest_date sale_date | planting_date >= harvest_date or harvest_date >= sale_date
-        crop_duration_too_short_count | planting_date harvest_date | {_GROWN} < 30
-        crop_duration_too_long_count | planting_date harvest_date | {_GROWN} > 250
-        sale_gap_too_short_count | harvest_date sale_date | {_KEPT} < 1
-        sale_gap_too_long_count | harvest_date sale_date | {_KEPT} > 45
+        crop_duration_too_short_count | planting_date harvest_date | _grown < 30
+        crop_duration_too_long_count | planting_date harvest_date | _grown > 250
+        sale_gap_too_short_count | harvest_date sale_date | _kept < 1
+        sale_gap_too_long_count | harvest_date sale_date | _kept > 45
     """),
-    *_counts("crop_duration", f"""
-        crop_duration_below_crop_min_count | crop_name planting_date harvest_date | {_GROWN} < days_lo
-        crop_duration_above_crop_max_count | crop_name planting_date harvest_date | {_GROWN} > days_hi
+    *_counts("crop_duration", """
+        crop_duration_below_crop_min_count | crop_name planting_date harvest_date | _grown < days_lo
+        crop_duration_above_crop_max_count | crop_name planting_date harvest_date | _grown > days_hi
     """),
     *_planting_month_rule(),
     *_range_rules(),
-    *_counts("yield_sales", f"""
+    *_counts("yield_sales", """
         quantity_sold_gt_actual_yield_count | quantity_sold actual_yield | quantity_sold > actual_yield + 1e-6D
         quantity_sold_equal_zero_count | quantity_sold | quantity_sold <= 0
         actual_yield_equal_zero_count | actual_yield | actual_yield <= 0
-        sales_ratio_gt_1_count | quantity_sold actual_yield | {_SOLD} > 1
-        sales_ratio_lt_0_75_count | quantity_sold actual_yield | {_SOLD} < 0.75D
-        sales_ratio_gt_0_999_count | quantity_sold actual_yield | {_SOLD} > 0.999D
-        yield_per_area_too_low_count | crop_name actual_yield area_size | {_PER_AREA} < yield_lo * 0.5D
-        yield_per_area_too_high_count | crop_name actual_yield area_size | {_PER_AREA} > yield_hi * 2.8D
-        yield_per_area_zero_count | actual_yield area_size | {_PER_AREA} <= 0
+        sales_ratio_gt_1_count | quantity_sold actual_yield | _sold > 1
+        sales_ratio_lt_0_75_count | quantity_sold actual_yield | _sold < 0.75D
+        sales_ratio_gt_0_999_count | quantity_sold actual_yield | _sold > 0.999D
+        yield_per_area_too_low_count | crop_name actual_yield area_size | _per_area < yield_lo * 0.5D
+        yield_per_area_too_high_count | crop_name actual_yield area_size | _per_area > yield_hi * 2.8D
+        yield_per_area_zero_count | actual_yield area_size | _per_area <= 0
     """),
-    *_counts("prices", f"""
+    *_counts("prices", """
         unit_price_non_positive_count | unit_price | unit_price <= 0
         market_price_non_positive_count | market_price | market_price <= 0
         unit_price_too_low_vs_base_count | crop_name unit_price | unit_price < base_price * 0.6D
         unit_price_too_high_vs_base_count | crop_name unit_price | unit_price > base_price * 4D
-        market_price_too_far_from_unit_price_count | market_price unit_price | {_MARKUP} < 0.9D or {_MARKUP} > 1.15D
+        market_price_too_far_from_unit_price_count | market_price unit_price | _markup < 0.9D or _markup > 1.15D
         unit_price_gt_market_price_count | market_price unit_price | unit_price > market_price * 1.05D
     """),
-    *_counts("finance", f"""
+    *_counts("finance", """
         profit_formula_mismatch_count | profit total_sales total_expenses | abs(profit - bround(total_sales - total_expenses, 2)) > 1
         total_sales_formula_mismatch_count | total_sales quantity_sold unit_price | abs(total_sales - bround(quantity_sold * unit_price, 2)) > 1
-        profit_margin_gt_300pct_count | profit total_sales | {_MARGIN} > 3
-        profit_margin_lt_minus90pct_count | profit total_sales | {_MARGIN} < -0.9D
-        expenses_gt_5x_sales_count | total_expenses total_sales | {_ratio("total_expenses", "total_sales")} > 5
+        profit_margin_gt_300pct_count | profit total_sales | _margin > 3
+        profit_margin_lt_minus90pct_count | profit total_sales | _margin < -0.9D
+        expenses_gt_5x_sales_count | total_expenses total_sales | _spent > 5
     """),
-    *_counts("resources", f"""
-        fertilizer_per_area_too_low_count | fertilizer_used area_size | {_ratio("fertilizer_used", "area_size")} < 0.15D
-        fertilizer_per_area_too_high_count | fertilizer_used area_size | {_ratio("fertilizer_used", "area_size")} > 1
-        water_per_area_too_low_count | water_used area_size | {_ratio("water_used", "area_size")} < 5
-        water_per_area_too_high_count | water_used area_size | {_ratio("water_used", "area_size")} > 25
+    *_counts("resources", """
+        fertilizer_per_area_too_low_count | fertilizer_used area_size | _fert_per_area < 0.15D
+        fertilizer_per_area_too_high_count | fertilizer_used area_size | _fert_per_area > 1
+        water_per_area_too_low_count | water_used area_size | _water_per_area < 5
+        water_per_area_too_high_count | water_used area_size | _water_per_area > 25
         transport_cost_zero_with_positive_distance_count | distance_to_market transport_cost | distance_to_market > 0 and transport_cost <= 0
-        transport_per_km_too_low_count | transport_cost distance_to_market | {_PER_KM} < 0.005D
-        transport_per_km_too_high_count | transport_cost distance_to_market | {_PER_KM} > 0.2D
+        transport_per_km_too_low_count | transport_cost distance_to_market | _per_km < 0.005D
+        transport_per_km_too_high_count | transport_cost distance_to_market | _per_km > 0.2D
     """),
     _mean("resources", "desert_avg_water_used", "water_used", "region_type", "Desert"),
     _mean("resources", "rural_avg_water_used", "water_used", "region_type", "Rural"),
@@ -233,13 +241,19 @@ def section_columns(*sections: str) -> list[str]:
     return sorted({n for r in RULES if r.section in sections for n in r.needs})
 
 
+def with_shared_values(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The derived values the rules use."""
+    words = {word for rule in rules for word in re.findall(r"\b_\w+", rule.value)}
+    return df.selectExpr("*", *[f"{sql} as {name}" for name, sql in DERIVED.items() if name in words])
+
+
 def rule_values(df: DataFrame, *sections: str) -> DataFrame:
     """(section, rule, value) of the chosen sections, all from one scan.
 
     A flag whose means are missing is raised only where an order was required.
     """
     rules = [r for r in RULES if not sections or r.section in sections]
-    records = with_crop_facts(df) if not sections or CROP_FACTS & set(sections) else df
+    records = with_shared_values(with_crop_facts(df) if not sections or CROP_FACTS & set(sections) else df, rules)
     row = records.selectExpr(*[f"cast({r.value} as double) as {r.name}" for r in rules])
     flags = {key: test for key, test in ORDER_FLAGS.items() if not sections or key[0] in sections}
     if flags:
@@ -295,23 +309,23 @@ def combined_groups(df: DataFrame) -> DataFrame:
 
 def distributions(groups: DataFrame) -> DataFrame:
     """(attribute, category, n, share_pct) for each categorical attribute."""
-    parts = []
-    for name in GROUPED:
-        counts = groups.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("category")).agg(F.sum("n").alias("n"))
-        parts.append(with_share(counts).select(F.lit(name).alias("attribute"), "category", "n", "share_pct"))
-    return _all(parts)
+    cells = ", ".join(f"'{name}', {name}, n" for name in GROUPED)
+    long = groups.selectExpr(f"stack({len(GROUPED)}, {cells}) as (attribute, category, n)").where("category is not null")
+    counts = long.groupBy("attribute", "category").agg(F.sum("n").alias("n"))
+    totals = counts.groupBy("attribute").agg(F.sum("n").alias("_total"))  # one row per attribute
+    shares = counts.join(F.broadcast(totals), "attribute")
+    return shares.selectExpr("attribute", "category", "n", "n / _total * 100 as share_pct")
 
 
 def group_checks(groups: DataFrame) -> DataFrame:
     """(attribute, measure, lowest, highest): categories with the extreme means."""
-    parts = []
-    for key, total, n in (
-        ("crop_name", "profit", "n_profit"), ("region_type", "profit", "n_profit"), ("customer_type", "sales", "n_sales"),
-    ):
-        means = groups.where(F.col(key).isNotNull()).groupBy(key).agg(F.try_divide(F.sum(total), F.sum(n)).alias("mean"))
-        found = extreme_keys(means, key).select("lowest", "highest")
-        parts.append(found.select(F.lit(key).alias("attribute"), F.lit(total).alias("measure"), "lowest", "highest"))
-    return _all(parts)
+    checks = (("crop_name", "profit", "n_profit"), ("region_type", "profit", "n_profit"), ("customer_type", "sales", "n_sales"))
+    cells = ", ".join(f"'{key}', '{total}', {key}, {total}, {n}" for key, total, n in checks)
+    long = groups.selectExpr(f"stack({len(checks)}, {cells}) as (attribute, measure, category, total, n)")
+    means = long.where("category is not null").groupBy("attribute", "measure", "category").agg(
+        F.try_divide(F.sum("total"), F.sum("n")).alias("mean")
+    )
+    return extreme_keys(means, "category", ["attribute", "measure"]).select("attribute", "measure", "lowest", "highest")
 
 
 def crop_share_extremes(df: DataFrame) -> DataFrame:

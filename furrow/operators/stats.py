@@ -53,9 +53,9 @@ def group_extremes(df: DataFrame, key: str, value: str) -> DataFrame:
     return extreme_keys(means, key)
 
 
-def extreme_keys(means: DataFrame, key: str) -> DataFrame:
+def extreme_keys(means: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
     means = means.where(F.col("mean").isNotNull())
-    return means.agg(
+    return means.groupBy(*by).agg(
         F.min_by(key, F.struct(F.col("mean"), F.col(key))).alias("lowest"),
         F.min("mean").alias("lowest_mean"),
         F.min_by(key, F.struct(-F.col("mean"), F.col(key))).alias("highest"),

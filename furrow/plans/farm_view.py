@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from furrow import fixed_values as fixed
 from furrow.schemas import FARM_RECORD
+from furrow.session import spread
 from furrow.sources import lookups
 
 # Brands with a higher number keep their brand as an unknown crop name.
@@ -80,7 +81,8 @@ COLUMNS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "lineitem" else rows
 
 
 def crop_of_part(part: DataFrame) -> DataFrame:

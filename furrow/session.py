@@ -73,3 +73,18 @@ def _fixed_width(data_type: T.DataType) -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+# A task should hold about this much of a file.
+TASK_BYTES = 64 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a small table stored in few row groups.
+
+    Tables of more than ``TASK_BYTES`` per core are left as they are: their scan is
+    already split, and shuffling them would only cost.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * TASK_BYTES else df
