@@ -22,15 +22,17 @@ def lookup_join(
     null_safe: bool = False,
     max_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
+    known_bytes: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` on equal column names, keeping the key of ``facts``.
 
     The lookup is computed once and its size is read from that same job. Up to
     ``max_bytes`` it is broadcast, so the facts are not shuffled at all. Beyond, the
     facts are spread over ``salts`` sub-keys and the lookup is repeated once per
-    sub-key, so a key with a third of all rows becomes many small tasks.
+    sub-key, so a key with a third of all rows becomes many small tasks. A lookup that
+    was measured before (or is part of one) is passed with ``known_bytes``.
     """
-    stored, size = measured(lookup)
+    stored, size = (lookup, known_bytes) if known_bytes is not None else measured(lookup)
     if size <= max_bytes:
         return keyed_join(facts, F.broadcast(stored), keys, how, null_safe)
     return salted_join(facts, stored, keys, how, null_safe, salts)

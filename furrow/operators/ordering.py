@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from furrow.operators.joins import lookup_join
@@ -71,8 +71,10 @@ def exact_quantiles(
     cuts = long.groupBy(*group).agg(
         F.percentile_approx("value", edges, ACCURACY).alias("_cuts"), (F.count(F.lit(1)) <= SMALL_GROUP).alias("_small")
     )
-    picked = cut_lineage(_pick(_counted(long, cuts, group, len(probs)), group, probs, parts))
-    if picked.where("_missed").limit(1).count():
+    seen = Observation()
+    picked = _pick(_counted(long, cuts, group, len(probs)), group, probs, parts)
+    picked = cut_lineage(picked.observe(seen, F.coalesce(F.bool_or("_missed"), F.lit(False)).alias("missed")))
+    if seen.get["missed"]:
         whole = long.withColumn("_gap", F.lit(False)).groupBy(*group, "value", "_gap").agg(F.count(F.lit(1)).alias("_n"))
         picked = _pick(whole, group, probs, parts)
     return picked.drop("_missed")

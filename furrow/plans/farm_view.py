@@ -81,8 +81,7 @@ COLUMNS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name == "lineitem" else rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crop_of_part(part: DataFrame) -> DataFrame:
@@ -104,7 +103,7 @@ def farm_records(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None
     """The farm-record table, or the given columns of it."""
     wanted = list(columns or FARM_RECORD.fieldNames())
     needed = {COLUMNS[c][0] for c in wanted}
-    rows = table(spark, sf_dir, "lineitem")
+    rows = lines = table(spark, sf_dir, "lineitem")
     if "part" in needed:
         part = table(spark, sf_dir, "part")
         if "crop_name" in wanted:
@@ -122,4 +121,5 @@ def farm_records(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None
     if "supplier" in needed:
         supplier = place_of(table(spark, sf_dir, "supplier"), nation, "s_nationkey", "farm_location")
         rows = rows.join(supplier, rows.l_suppkey == supplier.s_suppkey)
-    return rows.selectExpr(*[f"{COLUMNS[c][1]} as {c}" for c in wanted])
+    made = rows.selectExpr(*[f"{COLUMNS[c][1]} as {c}" for c in wanted])
+    return spread(made, lines)

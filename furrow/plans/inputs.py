@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from furrow import fixed_values as fixed
 from furrow.plans.farm_view import crop_of_part, place_of, table
+from furrow.session import spread
 
 YEARS = ["1996", "1997", "1998", "1999", "2000"]
 METRICS = {"R": "Farm-Gate Price", "A": "Central Market Prices ", "N": "Packs"}
@@ -27,7 +28,7 @@ def _shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
     places = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return lines.join(part, lines.l_partkey == part.p_partkey).join(places, lines.l_suppkey == places.s_suppkey)
+    return spread(lines.join(part, lines.l_partkey == part.p_partkey).join(places, lines.l_suppkey == places.s_suppkey), lines)
 
 
 def production_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,7 @@ def farm_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(orders, lines.l_orderkey == orders.o_orderkey)
         .join(customer, orders.o_custkey == customer.c_custkey)
     )
-    return joined.selectExpr(
+    return spread(joined, lines).selectExpr(
         "l_orderkey * 10 + l_linenumber as request_id", "crop_name", "place as governorate", "place as market_location",
         "cast(p_size - 3 as double) as area_donums", "cast(to_date(o_orderdate) as string) as planting_date",
         "if(l_linenumber = 7, 'soon', cast(to_date(l_shipdate) as string)) as sale_date", "l_returnflag = 'R' as pest_indicator",
@@ -165,7 +166,7 @@ def farm_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size")
     joined = lines.join(part, lines.l_partkey == part.p_partkey).join(orders, lines.l_orderkey == orders.o_orderkey)
-    return joined.groupBy(F.col("o_custkey").alias("farm"), F.col("p_brand").alias("crop")).agg(
+    return spread(joined, lines).groupBy(F.col("o_custkey").alias("farm"), F.col("p_brand").alias("crop")).agg(
         F.max(F.expr("p_retailprice / 10D")).alias("profit"),
         F.max(F.expr("1D + l_discount * 100D")).alias("water_per_area"),
         F.max(F.expr("1D + l_tax * 100D")).alias("fert_per_area"),

@@ -79,12 +79,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 TASK_BYTES = 64 * 1024 * 1024
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a small table stored in few row groups.
+def spread(df: DataFrame, source: DataFrame) -> DataFrame:
+    """Use all cores for rows that come from a small table stored in few row groups.
 
-    Tables of more than ``TASK_BYTES`` per core are left as they are: their scan is
-    already split, and shuffling them would only cost.
+    When ``source`` holds more than ``TASK_BYTES`` per core its scan is split already
+    and the rows are left as they are: shuffling them would only cost.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * TASK_BYTES else df
