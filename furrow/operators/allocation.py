@@ -169,20 +169,23 @@ def _unpacked(priced: DataFrame, min_share: float, max_share: float, smoothing:
     return rows.selectExpr("farm", "c.crop", "c.profit", "c.target", "area", f"{amount} as allocation", "'optimized' as status")
 
 
-def allocation_report(df: DataFrame) -> DataFrame:
+def allocation_report(df: DataFrame, places: int = 2) -> DataFrame:
     """Area, share, profit and resources per crop, largest area first within a farm."""
+    figures = {
+        "crop_area": "allocation",
+        "percentage": "try_divide(allocation, area) * 100",
+        "profit_per_hectare": "profit",
+        "total_profit_crop": "profit * allocation",
+        "water_used_est": "water_per_area * allocation",
+        "fertilizer_used_est": "fert_per_area * allocation",
+        "target_area": "target",
+        "total_profit": "sum(profit * allocation) over (partition by farm)",
+    }
     return df.selectExpr(
         "farm",
         "crop",
-        "round(allocation, 2) as crop_area",
-        "round(try_divide(allocation, area) * 100, 2) as percentage",
-        "round(profit, 2) as profit_per_hectare",
-        "round(profit * allocation, 2) as total_profit_crop",
-        "round(water_per_area * allocation, 2) as water_used_est",
-        "round(fert_per_area * allocation, 2) as fertilizer_used_est",
-        "round(target, 2) as target_area",
-        "row_number() over (partition by farm order by allocation desc, crop) as place",
-        "round(sum(profit * allocation) over (partition by farm), 2) as total_profit",
+        f"row_number() over (partition by farm order by round(allocation, {places}) desc, crop) as place",
+        *[f"round({value}, {places}) as {name}" for name, value in figures.items()],
     )
 
 

@@ -527,7 +527,7 @@ def allocation_report(spark, sf):
     crops = inputs.farm_crops(spark, sf)
     split = allocation.allocate_smooth(crops).where("status = 'optimized'")
     needs = crops.select("farm", "crop", "water_per_area", "fert_per_area")
-    report = allocation.allocation_report(split.join(needs, ["farm", "crop"]))
+    report = allocation.allocation_report(split.join(needs, ["farm", "crop"]), places=6)
     return report.withColumn("place", F.col("place").cast("long"))
 
 
@@ -653,6 +653,16 @@ def _trained_board(spark, sf, spec, chosen):
     return ml.leaderboard(spark, rows, "f1" if spec.classes else "r2")
 
 
+@query
+def profit_inputs(spark, sf):
+    """The profit model's numeric inputs: levels as ordinals, dates as parts."""
+    names = [c for c in ml.PROFIT.raw_columns if c in FARM_RECORD.fieldNames()]
+    rows = farm_records(spark, sf, ["record_id", *names, "demand_level"])
+    made = ml.prepared(rows, ml.PROFIT, keep=["record_id"])
+    parts = [c for c in ml.PROFIT.numeric_columns if c.endswith(("_year", "_month", "_day"))]
+    return made.withColumns({c: F.col(c).cast("long") for c in parts})
+
+
 @query
 def train_profit(spark, sf):
     zoo = ml.regressors("profit")

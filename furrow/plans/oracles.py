@@ -577,6 +577,13 @@ smooth AS (SELECT t.*, CASE WHEN y IS NOT NULL THEN greatest(area * 0.05e0, leas
   CASE WHEN y IS NULL THEN 'infeasible' ELSE 'optimized' END AS status FROM targets t LEFT JOIN price USING (farm))"""
 ORACLES["allocate_smooth"] = _with(SMOOTH) + "SELECT farm, crop, round(target, 6) AS target, round(allocation, 6) AS allocation, status FROM smooth"
 
+ORACLES["allocation_report"] = _with(SMOOTH) + """
+  SELECT farm, crop, row_number() OVER (PARTITION BY farm ORDER BY round(allocation, 6) DESC, crop) AS place, round(allocation, 6) AS crop_area,
+    round(allocation / area * 100, 6) AS percentage, round(profit, 6) AS profit_per_hectare, round(profit * allocation, 6) AS total_profit_crop,
+    round(water_per_area * allocation, 6) AS water_used_est, round(fert_per_area * allocation, 6) AS fertilizer_used_est,
+    round(target, 6) AS target_area, round(sum(profit * allocation) OVER (PARTITION BY farm), 6) AS total_profit
+  FROM smooth WHERE status = 'optimized'"""
+
 # --- requests -------------------------------------------------------------------------
 
 REQUESTS = CROPS + f""",
@@ -639,3 +646,22 @@ ORACLES["hash_split"] = """SELECT CASE WHEN (o_orderkey * 7919 + 42) % 100 < 80
 ORACLES["leaderboard"] = _farm(
     """SELECT * FROM (SELECT model, r2, 'best' AS version FROM board ORDER BY r2 DESC, model LIMIT 1) UNION ALL SELECT model, r2, 'all' FROM board""",
     "board AS (SELECT region_type AS model, round(corr(actual_yield, quantity_sold), 9) AS r2 FROM farm GROUP BY 1)")
+ORACLES["profit_inputs"] = _farm(
+    "SELECT record_id, crop_name, farm_location, area_size, fertilizer_used, water_used, actual_yield, market_price, humidity, rainfall, wind_speed, profit, "
+    + ", ".join(f"CASE {c} WHEN 'Low' THEN 0e0 WHEN 'Medium' THEN 1e0 WHEN 'High' THEN 2e0 END AS {n}" for c, n in (("supply_level", "supply_level"), ("demand_level", "demand_level_ord")))
+    + ", " + ", ".join(f"CAST({u}({p}_date) AS BIGINT) AS {p}_{u}" for p in ("planting", "sale") for u in ("year", "month", "day"))
+    + " FROM farm")
+
+# --- the whole report -----------------------------------------------------------------
+
+_REPORT = [ORACLES[f"dq_{name}"] for name in ["overview", "record_id", "median_profit", *RULES]]
+_REPORT.append(
+    "SELECT 'required' AS section, rule, 0e0 AS value FROM (VALUES "
+    + ", ".join([f"('missing_{c}')" for c in fixed.REQUIRED_COLUMNS] + ["('missing_required_columns_count')"]) + ") v(rule)")
+_REPORT.append(_farm(_union(
+    f"SELECT 'distribution' AS section, 'crop_{f}_share_pct' AS rule, {f}(n) * 100e0 / sum(n) AS value FROM counts" for f in ("max", "min")),
+    "counts AS (SELECT crop_name, count(*) AS n FROM farm GROUP BY 1)"))
+_REPORT.append(f"SELECT 'correlation' AS section, pair AS rule, corr AS value FROM ({ORACLES['correlations']})")
+_REPORT.append(
+    f"SELECT 'outliers' AS section, column_name || '_outlier_count_iqr' AS rule, CAST(outliers AS DOUBLE) AS value FROM ({ORACLES['iqr_outliers']})")
+ORACLES["dq_report"] = _union(f"SELECT section, rule, round(value, 6) AS value FROM ({q})" for q in _REPORT)
