@@ -5,15 +5,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from furrow.llm.packing import pack
+from furrow.llm.simhash import near_duplicates
 from furrow.llm.texts import documents
 from furrow.llm.token_counts import token_counts
 
 
+def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), shingle=4, distance=4)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
+    "op5_pattern_packing": op5_pattern_packing,
+    "op7_simhash": op7_simhash,
     "op10_token_counts": op10_token_counts,
 }
 
