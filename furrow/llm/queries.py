@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from furrow.llm import line_dedup
 from furrow.llm.packing import pack
 from furrow.llm.simhash import near_duplicates
 from furrow.llm.texts import documents
@@ -15,6 +16,10 @@ def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest_columns(line_dedup.drop_lines(documents(spark, sf_dir), limit=10, least=1))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=4, distance=4)
 
@@ -25,8 +30,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_pattern_packing": op5_pattern_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+OP6 = r"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+    FROM documents
+), keyed AS (
+    SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+    FROM lines
+), repeated AS (
+    SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(r.k) AS n_dropped,
+    sha256(coalesce(string_agg(CASE WHEN r.k IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM keyed LEFT JOIN repeated r ON keyed.k = r.k
+GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": OP6,
+}
