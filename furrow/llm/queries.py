@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from furrow.llm import line_dedup
 from furrow.llm.packing import pack
+from furrow.llm.quality import quality_rules
 from furrow.llm.simhash import near_duplicates
 from furrow.llm.texts import documents
 from furrow.llm.token_counts import token_counts
@@ -24,6 +25,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=4, distance=4)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir), carry=["doc_id"]).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "far", "kept"
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -32,6 +39,7 @@ QUERIES = {
     "op5_pattern_packing": op5_pattern_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
+    "op8_quality_rules": op8_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 
