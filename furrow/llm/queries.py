@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from furrow.llm import line_dedup
+from furrow.llm.fingerprints import with_neighbours
 from furrow.llm.packing import pack
 from furrow.llm.quality import quality_rules
 from furrow.llm.simhash import near_duplicates
@@ -13,6 +14,10 @@ from furrow.llm.texts import documents
 from furrow.llm.token_counts import token_counts
 
 
+def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_neighbours(documents(spark, sf_dir))
+
+
 def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -36,6 +41,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_weighted_sampling": op2_weighted_sampling,
     "op5_pattern_packing": op5_pattern_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
