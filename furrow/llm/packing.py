@@ -7,6 +7,7 @@ among the pieces of its length, and the plan says in which sequence and where th
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -22,8 +23,12 @@ from furrow.llm.token_counts import tokenizer
 #: Patterns are built on this many length classes and hold at most so many documents.
 CLASSES = 64
 DEPTH = 4
-CACHE_SIZE = 300_000
+CACHE_SIZE = 400_000
+RUN_CACHE_SIZE = 300_000
 KEPT_BYTES = 64
+#: Visible characters below the combining marks (U+0130 has one in lower case), and the runs that the tokenizer's pattern makes of them.
+PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\\w]|_)+")
 
 _workers: dict[int, Ids] = {}
 
@@ -32,20 +37,41 @@ class Ids(dict):
     """Ids of words, as bytes of little-endian 32-bit numbers, for a tokenizer that drops white space.
 
     Such a tokenizer treats words between ASCII blanks one by one, so a bounded cache by word
-    gives the ids of the whole text.
+    gives the ids of the whole text. Plain words (no combining mark, no special string) are put
+    together from their runs, which are far fewer than the words and have a cache of their own;
+    other words go to the library as they are.
     """
 
     def __init__(self, vocabulary: bytes):
         super().__init__()
         self.library = tokenizer(vocabulary)
+        self.runs: dict[str, bytes] = {}
+        self.long: list[bytes] = []
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def cover(self, texts: list[list[bytes]]) -> None:
         if len(self) > CACHE_SIZE:
             self.clear()
+        if len(self.runs) > RUN_CACHE_SIZE:
+            self.runs.clear()
         missed = list(set().union(*texts).difference(self))
-        found = self.library.encode_batch_fast([x.decode() for x in missed], add_special_tokens=False) if missed else []
-        self.update((x, np.array(y.ids, "<u4").tobytes()) for x, y in zip(missed, found))
+        split, whole = [], []
+        for word in missed:
+            plain = word.decode()
+            if PLAIN.fullmatch(plain) and "<|" not in plain:
+                split.append((word, RUN.findall(word.lower().decode())))
+            else:
+                whole.append(word)
+        new = list({run for _, runs in split for run in runs}.difference(self.runs))
+        self.runs.update(zip(new, self._encode(new)))
+        for word, runs in split:
+            self[word] = b"".join(map(self.runs.__getitem__, runs))
+        self.update(zip(whole, self._encode([x.decode() for x in whole])))
         self.long = [x for x in missed if len(x) > KEPT_BYTES]
+        for run in [x for x in new if len(x) > KEPT_BYTES]:
+            del self.runs[run]
 
     def forget_long(self) -> None:
         for x in self.long:
