@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from furrow.llm import line_dedup
 from furrow.llm.fingerprints import with_neighbours
+from furrow.llm.lm_score import lm_scores
 from furrow.llm.packing import pack
 from furrow.llm.quality import quality_rules
 from furrow.llm.simhash import near_duplicates
@@ -18,6 +19,10 @@ def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_neighbours(documents(spark, sf_dir))
 
 
+def op3_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -42,6 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_weighted_sampling": op2_weighted_sampling,
+    "op3_partial_matching": op3_partial_matching,
     "op5_pattern_packing": op5_pattern_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
