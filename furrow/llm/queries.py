@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from furrow.llm import line_dedup
 from furrow.llm.fingerprints import with_neighbours
+from furrow.llm.language_id import held_out, identify
 from furrow.llm.lm_score import lm_scores
 from furrow.llm.packing import pack
 from furrow.llm.quality import quality_rules
@@ -23,6 +25,11 @@ def op3_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(documents(spark, sf_dir), carry=["doc_id"])
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -48,6 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_weighted_sampling": op2_weighted_sampling,
     "op3_partial_matching": op3_partial_matching,
+    "op4_language_id": op4_language_id,
     "op5_pattern_packing": op5_pattern_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
