@@ -10,6 +10,7 @@ from furrow.llm import line_dedup
 from furrow.llm.fingerprints import with_neighbours
 from furrow.llm.language_id import held_out, identify
 from furrow.llm.lm_score import lm_scores
+from furrow.llm import pieces
 from furrow.llm.packing import pack
 from furrow.llm.quality import quality_rules
 from furrow.llm.simhash import near_duplicates
@@ -17,6 +18,13 @@ from furrow.llm.texts import documents
 from furrow.llm.token_counts import token_counts
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every text, decodes the ids and compares."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(documents(spark, sf_dir), model)
+    return pieces.round_trip(encoded, model)
+
+
 def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_neighbours(documents(spark, sf_dir))
 
@@ -53,6 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_weighted_sampling": op2_weighted_sampling,
     "op3_partial_matching": op3_partial_matching,
     "op4_language_id": op4_language_id,
