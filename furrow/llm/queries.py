@@ -16,6 +16,7 @@ from furrow.llm.quality import quality_rules
 from furrow.llm.simhash import near_duplicates
 from furrow.llm.texts import documents
 from furrow.llm.token_counts import token_counts
+from furrow.llm.url_filter import DAMPING, ROUNDS, RULES, THRESHOLD, judge
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
+    "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -90,6 +96,67 @@ FROM keyed LEFT JOIN repeated r ON keyed.k = r.k
 GROUP BY doc_id
 """
 
+
+
+def url_filter_sql() -> str:
+    """The walk of op9, one pair of tables per round."""
+    rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(k, h + p, f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))") for k, h, p in rules]
+    name = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for _, n, c in fits) + " END"
+    kind = "CASE " + " ".join(f"WHEN {c} THEN '{k}'" for k, _, c in fits) + " END"
+    lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    rounds = ""
+    for i in range(1, ROUNDS + 1):
+        sums = ", ".join(
+            f"sum(CASE WHEN {'ahead' if v in ('trust', 'weight') else 'NOT ahead'} THEN w * {v} ELSE 0 END) AS {v}"
+            for v in ("trust", "weight", "distrust", "gravity")
+        )
+        mixed = ", ".join(f"{1 - DAMPING} * f.{v} + {DAMPING} * s.{v} AS {v}" for v in ("trust", "weight", "distrust", "gravity"))
+        rounds += f"""
+, v{i} AS MATERIALIZED (
+    SELECT f.host, {mixed}
+    FROM v0 f JOIN (SELECT "to" AS host, {sums} FROM edges JOIN v{i - 1} USING (host) GROUP BY 1) s ON f.host = s.host
+)"""
+    return rf"""
+WITH parts AS MATERIALIZED (
+    SELECT page_id, html,
+        translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {lower}) AS host,
+        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages
+), parsed AS MATERIALIZED (
+    SELECT page_id, host, path, {name} AS rule, {kind} AS kind, html FROM parts
+), links AS MATERIALIZED (
+    SELECT source, target, count(*) AS n FROM (
+        SELECT host AS source, translate(regexp_extract(
+            unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?([^"''\s>]+)', 1)),
+            '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), {lower}) AS target
+        FROM parsed WHERE host <> ''
+    ) WHERE target <> '' AND target <> source GROUP BY ALL
+), counted AS (
+    SELECT host, count(*) / sum(count(*)) OVER () AS pages, count(*) FILTER (kind = 'allow') / sum(count(*)) OVER () AS good,
+        count(*) FILTER (kind = 'block') / sum(count(*)) OVER () AS bad
+    FROM parsed WHERE host <> '' GROUP BY host
+), hosts AS MATERIALIZED (
+    FROM counted UNION ALL SELECT DISTINCT target, 0, 0, 0 FROM links WHERE target NOT IN (SELECT host FROM counted)
+), edges AS MATERIALIZED (
+    SELECT source AS host, target AS "to", n / sum(n) OVER (PARTITION BY source) AS w, true AS ahead FROM links
+    UNION ALL SELECT target, source, n / sum(n) OVER (PARTITION BY target), false FROM links
+    UNION ALL SELECT host, host, 1, true FROM hosts WHERE host NOT IN (SELECT source FROM links)
+    UNION ALL SELECT host, host, 1, false FROM hosts WHERE host NOT IN (SELECT target FROM links)
+), v0 AS MATERIALIZED (
+    SELECT host, good AS trust, pages AS weight, bad AS distrust, pages AS gravity FROM hosts
+){rounds}
+, bad AS (
+    SELECT host FROM v{ROUNDS}
+    WHERE CASE WHEN gravity > 0 THEN distrust / gravity ELSE 0 END - CASE WHEN weight > 0 THEN trust / weight ELSE 0 END > {THRESHOLD}
+)
+SELECT page_id, host, path, rule,
+    coalesce(kind, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parsed
+"""
+
+
 ORACLES: dict[str, str] = {
     "op6_line_dedup": OP6,
+    "op9_url_filter": url_filter_sql(),
 }
