@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.texts import BLANKS, blobs, column, keyed, map_batches, map_partition, staged, table, task
+from furrow.llm.texts import BLANKS, blobs, column, map_batches, map_partition, staged, table, task
 
 #: Keys per filter, as planned, and bytes of filters that are broadcast at most.
 SHARD_KEYS = 1 << 16
@@ -216,18 +216,20 @@ def drop_lines(
     docs: DataFrame,
     limit: int = 10,
     least: int = 1,
-    key: str = "doc_id",
     text: str = "text",
+    carry: list[str] | None = None,
     refs: DataFrame | None = None,
     filter_bytes: int = FILTER_BYTES,
     shard_keys: int = SHARD_KEYS,
 ) -> DataFrame:
-    """``row, doc_id, text, n_lines, dropped, kept``: every row with its kept text.
+    """``carried, n_lines, n_dropped, kept``: every row with its kept text.
 
-    ``dropped`` counts the lines whose key (at least ``least`` code points) is in ``limit``
+    ``n_dropped`` counts the lines whose key (at least ``least`` code points) is in ``limit``
     documents or more, by ``refs`` or else by ``docs`` themselves; ``kept`` joins the others.
-    ``row`` numbers the rows, so that repeated or null ``doc_id`` are told apart. Null texts are
-    one empty line and stay; an empty key never drops when ``least`` is 1 or more.
+    ``carried`` holds the columns ``carry`` of ``docs``, by default all but the text. Rows are told
+    apart by their place in the input, so repeated or null ids do no harm; every row counts as a
+    document. Null texts are one empty line; an empty key never drops when ``least`` is 1 or more.
+    An empty table gives an empty result.
     """
     counted = staged(line_refs(docs, least, text) if refs is None else refs, "line-refs")
     repeated = counted.where(F.col("refs") >= limit)
@@ -235,10 +237,9 @@ def drop_lines(
     spark = docs.sparkSession
     content, missing = load_filters(staged(build_filters(repeated, shards), "filters"), shards, filter_bytes)
     sent = spark.sparkContext.broadcast((shards, content, missing))
-    schema = [
-        ("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()),
-        ("lines", pa.list_(pa.int32())), ("keys", pa.list_(pa.binary())),
-    ]
+    columns = [c for c in docs.columns if c != text] if carry is None else carry
+    ready = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("carried"), F.col(f"`{text}`").cast("string").alias("text"))
+    kind = ready.schema["carried"].dataType.simpleString()
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = Filters(*sent.value)
@@ -251,28 +252,27 @@ def drop_lines(
                 held = filters.candidates([own[i] for i in at]) if at else []
                 places.append([i for i, x in zip(at, held) if x])
                 found.append([own[i] for i in places[-1]])
+            schema = [
+                ("part", pa.int32()), ("row", pa.int64()), ("carried", batch.schema.field(0).type), ("text", pa.string()),
+                ("lines", pa.list_(pa.int32())), ("keys", pa.list_(pa.binary())),
+            ]
             yield table(schema, [here] * len(places), list(range(row, row + len(places))), batch.column(0), batch.column(1), places, found)
             row += len(places)
 
-    ready = keyed(docs, key, text).select(F.col("doc_id").cast("long"), "text")
     probed = staged(
-        map_partition(ready, probe, "part int, row long, doc_id long, text string, lines array<int>, keys array<binary>"), "probed"
+        map_partition(ready, probe, f"part int, row long, carried {kind}, text string, lines array<int>, keys array<binary>"), "probed"
     )
     asked = probed.where(F.size("keys") > 0).select("part", "row", F.explode(F.arrays_zip("lines", "keys")).alias("c"))
     # One row per task and key meets the exact table, however many lines of the task ask.
     asked = asked.groupBy("part", F.col("c.keys").alias("key")).agg(F.collect_list(F.struct("row", F.col("c.lines").alias("line"))).alias("at"))
     sure = asked.join(repeated.select("key"), "key", "left_semi").select("part", F.explode("at").alias("at"))
     drops = sure.groupBy("part", F.col("at.row").alias("row")).agg(F.collect_list("at.line").alias("drop"))
-    joined = probed.where(F.size("keys") > 0).select("part", "row", "doc_id", "text").join(drops, ["part", "row"], "left")
-    clear = probed.where(F.size("keys") == 0).select("part", "row", "doc_id", "text", F.lit(None).cast("array<int>").alias("drop"))
-    return _kept(joined.union(clear))
+    joined = probed.where(F.size("keys") > 0).select("part", "row", "carried", "text").join(drops, ["part", "row"], "left")
+    clear = probed.where(F.size("keys") == 0).select("carried", "text", F.lit(None).cast("array<int>").alias("drop"))
+    return _kept(joined.select("carried", "text", "drop").union(clear))
 
 
 def _kept(rows: DataFrame) -> DataFrame:
-    schema = [
-        ("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string()),
-    ]
-
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines_of, dropped, kept = [], [], []
         for content, drop in zip(blobs(batch, "text"), column(batch, "drop")):
@@ -282,10 +282,12 @@ def _kept(rows: DataFrame) -> DataFrame:
             dropped.append(len(gone))
             kept.append(b"\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else content)
         texts = pa.array(kept, pa.binary()).cast(pa.string())
-        return table(schema, batch.column(0), batch.column(1), batch.column(2), lines_of, dropped, texts)
+        schema = [("carried", batch.schema.field(0).type), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())]
+        return table(schema, batch.column(0), lines_of, dropped, texts)
 
-    return map_batches(rows, each, "part int, row long, doc_id long, n_lines long, n_dropped long, kept string")
+    kind = rows.schema["carried"].dataType.simpleString()
+    return map_batches(rows, each, f"carried {kind}, n_lines long, n_dropped long, kept string")
 
 
 def digest_columns(kept: DataFrame) -> DataFrame:
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("carried.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))

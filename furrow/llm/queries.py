@@ -44,7 +44,7 @@ def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest_columns(line_dedup.drop_lines(documents(spark, sf_dir), limit=10, least=1))
+    return line_dedup.digest_columns(line_dedup.drop_lines(documents(spark, sf_dir), limit=10, least=1, carry=["doc_id"]))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

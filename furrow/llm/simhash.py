@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.components import components
@@ -48,14 +48,22 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, bits``: the fingerprint as a signed 64-bit number."""
-    schema = [("doc_id", pa.int64()), ("bits", pa.int64())]
+    """``doc_id, mark, other_mark, bits``: two hashes of id and text, the fingerprint as a signed 64-bit number."""
+    schema = [("doc_id", pa.int64()), ("mark", pa.int64()), ("other_mark", pa.int64()), ("bits", pa.int64())]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = np.array([fingerprint(x.lower().split(), shingle) for x in blobs(batch, "text")], np.uint64)
-        return table(schema, batch.column(0), made.view(np.int64))
+        return table(schema, *batch.columns[:3], made.view(np.int64))
 
-    return map_batches(keyed(docs, key, text).select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, bits long")
+    ready = keyed(docs, key, text).select(F.col("doc_id").cast("long"), "text")
+    ready = ready.select("doc_id", *marks(F.col("doc_id"), F.col("text")), "text")
+    return map_batches(ready, each, "doc_id long, mark long, other_mark long, bits long")
+
+
+def marks(key: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that tell rows of other id or text apart."""
+    parts = [key.isNull(), key.cast("long"), text.isNull(), text]
+    return F.xxhash64(*parts).alias("mark"), F.xxhash64(F.lit(1), *reversed(parts)).alias("other_mark")
 
 
 def rotated(bits: np.ndarray, quarter: int) -> np.ndarray:
@@ -223,31 +231,40 @@ def links(distinct: DataFrame, distance: int, subtree: int = SUBTREE) -> DataFra
     return spread_out.groupBy("quarter", "low", "high").applyInArrow(each, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id`` per row.
-
-    ``component_id`` is the smallest ``doc_id`` that can be reached over links of at most
-    ``distance`` differing bits. Null texts and texts without a word have fingerprint zero and
-    link like any other; rows with equal ``doc_id`` each get a row; a null ``doc_id`` never
-    names a component unless it is alone; an empty table gives an empty result.
-    """
+def labelled(docs: DataFrame, shingle: int, distance: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``fingerprints`` with ``group`` (its smallest fingerprint) and ``component_id``."""
     made = staged(fingerprints(docs, shingle, key, text), "fingerprints")
     classes = staged(made.groupBy("bits").agg(F.min("doc_id").alias("first")), "classes")
     joined = components(links(classes.select("bits"), distance))
     named = classes.join(joined.withColumnRenamed("node", "bits"), "bits", "left").withColumn("group", F.coalesce("root", "bits"))
     first = named.groupBy("group").agg(F.min("first").alias("component_id"))
-    labels = named.join(first, "group").select(F.col("bits").alias("_bits"), "component_id")
-    return spread_join(made, labels).select(
-        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    labels = named.join(first, "group").select(F.col("bits").alias("_bits"), "group", "component_id")
+    # Rows are gathered per task and fingerprint first: the join meets a fingerprint once per task,
+    # so one of very many rows is no hot key.
+    own = [c for c in made.columns if c != "bits"]
+    gathered = made.groupBy(F.spark_partition_id().alias("part"), "bits").agg(F.collect_list(F.struct(*own)).alias("rows"))
+    found = gathered.join(labels, F.col("bits") == F.col("_bits")).select("bits", "group", "component_id", F.explode("rows").alias("r"))
+    return found.select("r.*", "bits", "group", "component_id")
 
 
-def spread_join(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows get the label of their fingerprint; a fingerprint of very many rows is joined in many tasks.
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, fingerprint, component_id`` per row.
 
-    Rows are first gathered per task and fingerprint, so the join sees a fingerprint once per task.
+    ``component_id`` is the smallest ``doc_id`` that can be reached over links of at most
+    ``distance`` differing bits. Null texts and texts without a word have fingerprint zero and
+    link like any other; rows with equal ``doc_id`` each get a row; a null ``doc_id`` never
+    names a component unless it is alone; an empty table gives an empty result.
     """
-    gathered = rows.groupBy(F.spark_partition_id().alias("part"), "bits").agg(F.collect_list(F.struct("doc_id")).alias("ids"))
-    return gathered.join(labels, F.col("bits") == F.col("_bits")).select("bits", "component_id", F.explode("ids").alias("id")).select(
-        "bits", "component_id", "id.doc_id"
-    )
+    found = labelled(docs, shingle, distance, key, text)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, shingle: int = 4, distance: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of every group the one with the smallest id (then by hash of id and text)."""
+    found = labelled(docs, shingle, distance, key, text)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "other_mark")
+    chosen = found.groupBy("group").agg(F.min(order).alias("least")).select("least.mark", "least.other_mark")
+    names = [f"_{name}" for name in ("mark", "other_mark")]
+    marked = docs.withColumns(dict(zip(names, marks(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")))))
+    kept = marked.join(chosen.toDF(*names), names, "left_semi")
+    return kept.dropDuplicates(names).select(*[F.col(f"`{c}`") for c in docs.columns])
