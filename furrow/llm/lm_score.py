@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm.texts import blobs, column, map_partition, staged, table, task
+from furrow.llm.texts import blobs, column, map_partition, most_frequent, staged, table, task
 
 ORDER = 5
 CONTEXTS = 1 << 17
@@ -121,19 +121,6 @@ def training_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word", "run").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> int:
-    """The least ``n`` at which no more than ``most`` rows are left; by a histogram of eighths of powers of two."""
-    level = F.floor(8 * F.log2(F.col("n"))).cast("int")
-    rows = counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect()
-    total, least = 0, None
-    for row in rows:
-        total += row["rows"]
-        if total > most:
-            break
-        least = row["level"]
-    return 1 if total <= most else (1 << 62 if least is None else math.ceil(2 ** (least / 8) - 1e-9))
-
-
 def context_counts(runs: DataFrame, contexts: int = CONTEXTS, order: int = ORDER) -> tuple[np.ndarray, ...]:
     """``length, context, symbol, n`` of the kept contexts, by length and context; at most 256 rows each."""
     length = F.explode(F.sequence(F.lit(0), F.lit(order))).alias("length")

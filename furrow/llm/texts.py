@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -81,6 +82,19 @@ def shared_file(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
+def most_frequent(counts: DataFrame, most: int) -> int:
+    """The least ``n`` at which no more than ``most`` rows are left; by a histogram of eighths of powers of two."""
+    level = F.floor(8 * F.log2(F.col("n"))).cast("int")
+    rows = counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).orderBy(F.desc("level")).collect()
+    total, least = 0, None
+    for row in rows:
+        total += row["rows"]
+        if total > most:
+            break
+        least = row["level"]
+    return 1 if total <= most else (1 << 62 if least is None else math.ceil(2 ** (least / 8) - 1e-9))
+
+
 def windows(words: list[bytes], size: int) -> list[bytes]:
     """All runs of ``size`` words, joined by blanks, in order; none if there are fewer words."""
     if len(words) < size:

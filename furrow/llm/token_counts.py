@@ -6,8 +6,8 @@ these, so the sum of their lengths is the length of the text. Texts with special
 rare white space go to the library as a whole.
 
 Tier one: every task keeps a bounded summary of its frequent pre-tokens; the summaries (not
-the pre-tokens) are added up, the ``table_size`` most frequent are encoded and broadcast. It
-saves work and never changes a count. Tier two: a cache per worker for what was missed.
+the pre-tokens) are added up, the most frequent, at most ``table_size``, are encoded and broadcast.
+It saves work and never changes a count. Tier two: a cache per worker for what was missed.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.texts import column, keyed, map_batches, map_partition, shared_file, table
+from furrow.llm.texts import column, keyed, map_batches, map_partition, most_frequent, shared_file, staged, table
 
 PRE_TOKEN = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 #: White space and separators on which libraries may differ; such texts are encoded whole.
@@ -66,14 +66,9 @@ def frequent_lengths(docs: DataFrame, library, table_size: int = TABLE_SIZE) ->
         if top:
             yield table([("pre", pa.string()), ("n", pa.int64())], *map(list, zip(*top)))
 
-    found = (
-        map_partition(docs.select("text"), summary, "pre string, n long")
-        .groupBy("pre")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "pre")
-        .limit(table_size)
-        .collect()
-    )
+    summaries = map_partition(docs.select("text"), summary, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
+    counts = staged(summaries, "pre-tokens")
+    found = counts.where(F.col("n") >= most_frequent(counts, table_size)).select("pre").orderBy("pre").collect()
     words = [row["pre"] for row in found]
     counts = np.minimum(lengths(library, words) if words else [], 65535).astype(np.uint16)
     return zlib.compress("\0".join(words).encode()), counts.tobytes()
