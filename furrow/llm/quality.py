@@ -33,6 +33,8 @@ REWEIGHT = 0.975
 CUTOFF = 0.99999
 #: Smaller groups are pooled by language, and what is still small, as a whole.
 LEAST_ROWS = 100
+#: Rows of a group are joined with its estimates in so many parts: fewer copies than a group has rows.
+PARTS = 32
 LEAST_WORDS = 10
 MOST_REPEAT_PERCENT = 20
 
@@ -148,6 +150,17 @@ def grouped(rows: DataFrame, least: int) -> DataFrame:
     return joined.withColumn("grp", F.coalesce("grp", "_own")).drop("_own", "_pool")
 
 
+def in_parts(rows: DataFrame, parts: int = PARTS) -> DataFrame:
+    """Rows with a part of their group, fixed once they are written."""
+    return rows.withColumn("part", F.floor(F.rand(7) * parts).cast("int"))
+
+
+def with_group(rows: DataFrame, groups: DataFrame, how: str = "inner", parts: int = PARTS) -> DataFrame:
+    """Every row with its group's row; a group of very many rows is joined in ``parts`` tasks."""
+    copies = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.join(copies, ["grp", "part"], how)
+
+
 def squared_distance(d: int) -> Column:
     """Mahalanobis distance of ``x`` from ``mean`` under ``inverse`` (row by row)."""
     apart = [F.col("x")[i] - F.col("mean")[i] for i in range(d)]
@@ -185,14 +198,14 @@ def estimates(found: DataFrame, d: int, factor: float, floors: list[float]) -> D
 def covariance_determinants(
     rows: DataFrame, floors: list[float] = FLOORS, share: float = SHARE, steps: int = STEPS, reweight: float = REWEIGHT
 ) -> DataFrame:
-    """``grp, mean, inverse`` from rows ``grp, x``: robust estimates per group.
+    """``grp, mean, inverse`` from rows ``grp, part, x``: robust estimates per group.
 
     Starts from medians and absolute deviations, so it is deterministic. Quantiles are Spark's
     approximate ones; ties at the quantile are inside. A group of a few rows rests on the floors.
     """
     d = len(floors)
     middle = rows.groupBy("grp").agg(F.array(*[F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(d)]).alias("centre"))
-    away = rows.join(middle, "grp")
+    away = with_group(rows, middle)
     wide = [F.percentile_approx(F.abs(F.col("x")[i] - F.col("centre")[i]), 0.5, 1000) for i in range(d)]
     start = away.groupBy("grp").agg(F.first("centre").alias("centre"), F.array(*wide).alias("wide"))
     diagonal = [
@@ -200,11 +213,11 @@ def covariance_determinants(
     ]
     current = staged(start.select("grp", "centre", F.col("centre").alias("mean"), F.array(*diagonal).alias("inverse")), "estimates")
     for _ in range(steps):
-        far = rows.join(current, "grp").withColumn("far", squared_distance(d))
+        far = with_group(rows, current).withColumn("far", squared_distance(d))
         edge = far.groupBy("grp").agg(F.percentile_approx("far", share, 1000).alias("edge"))
-        inner = far.join(edge, "grp").where(F.col("far") <= F.col("edge"))
+        inner = with_group(rows, current.join(edge, "grp")).where(squared_distance(d) <= F.col("edge"))
         current = estimates(moments(inner, d), d, consistency(share, d), floors)
-    near = rows.join(current, "grp").where(squared_distance(d) <= chi_square_quantile(reweight, d))
+    near = with_group(rows, current).where(squared_distance(d) <= chi_square_quantile(reweight, d))
     return estimates(moments(near, d), d, consistency(reweight, d), floors)
 
 
@@ -225,10 +238,10 @@ def quality_rules(
     table gives an empty result.
     """
     d = len(FEATURES)
-    rows = staged(grouped(measured_rows(docs, text, lang, source, carry), least_rows), "statistics")
-    passed = rows.where("not base_failed").select("grp", "x")
+    rows = staged(in_parts(grouped(measured_rows(docs, text, lang, source, carry), least_rows)), "statistics")
+    passed = rows.where("not base_failed").select("grp", "part", "x")
     found = covariance_determinants(passed).select("grp", "mean", "inverse")
-    judged = rows.join(found, "grp", "left").withColumn("far", F.when(~F.col("base_failed"), squared_distance(d)))
+    judged = with_group(rows, found, "left").withColumn("far", F.when(~F.col("base_failed"), squared_distance(d)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("far") <= chi_square_quantile(cutoff, d), F.lit(True))
     return judged.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "far", kept.alias("kept")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import furrow
 from furrow.session import scratch_path
 
 #: White space of the word definition: blank and \t \n \v \f \r, as bytes.split() has it.
@@ -35,12 +37,18 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch |
 
 
 def map_partition(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    reachable(df.sparkSession)
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 
+def reachable(spark: SparkSession) -> None:
+    """Workers that share the driver's file system find the package where the driver has it."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(furrow.__file__).parents[1]))
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: computed once, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
