@@ -23,6 +23,8 @@ from furrow.llm.token_counts import tokenizer
 #: Patterns are built on this many length classes and hold at most so many documents.
 CLASSES = 64
 DEPTH = 4
+#: Sequences with more room than this are packed again by best fit.
+SPARE = 4
 CACHE_SIZE = 400_000
 RUN_CACHE_SIZE = 300_000
 KEPT_BYTES = 64
@@ -198,6 +200,21 @@ class Plan:
         if count % each:
             self.add([length] * (count % each), 1)
 
+    def fill(self, left: dict[int, int]) -> None:
+        for length in sorted(left, reverse=True):
+            self.best_fit(length, left[length])
+
+    def take_apart(self, spare: int) -> dict[int, int]:
+        """Sequences with more than ``spare`` tokens of room are undone; the histogram of their pieces."""
+        found: dict[int, int] = {}
+        for group in self.groups:
+            if self.limit - sum(group[0]) > spare:
+                for length in group[0]:
+                    found[length] = found.get(length, 0) + group[1]
+                group[1] = 0
+        self.open = {}
+        return found
+
     def slots(self) -> dict[str, np.ndarray]:
         """Per length: first rank, first sequence and offset of each run of ranks, sorted."""
         rows, sequence, taken = [], 0, [0] * (self.limit + 1)
@@ -216,8 +233,10 @@ class Plan:
 def make_plan(histogram: dict[int, int], limit: int, classes: int = CLASSES, depth: int = DEPTH) -> Plan:
     """``histogram``: pieces per length, 1 to ``limit``.
 
-    Lengths are rounded up to classes, so the pieces of a pattern always fit; best fit then
-    also uses the room that rounding left.
+    Lengths are rounded to the nearest class, so a pattern's sum is right on average. Its last and
+    shortest place stays open: with the residuals, the pieces counted for these places are packed
+    by best fit, longest first, which makes up for the rounding. The others always fit together.
+    Sequences that still have more than ``SPARE`` tokens of room are residuals too.
     """
     plan = Plan(limit)
     left = {n: c for n, c in histogram.items() if c}
@@ -226,8 +245,11 @@ def make_plan(histogram: dict[int, int], limit: int, classes: int = CLASSES, dep
     unit = -(-limit // classes)
     by_class: dict[int, list[int]] = {}
     for length in sorted(left):  # the longest of a class is taken first
-        by_class.setdefault(-(-length // unit), []).append(length)
-    patterns = [p for p in class_patterns(limit // unit, depth) if all(c in by_class for c in p)]
+        by_class.setdefault(max(1, round(length / unit)), []).append(length)
+    patterns = [
+        p for p in class_patterns(limit // unit, depth)
+        if all(c in by_class for c in p) and sum(by_class[c][-1] for c in p[:-1]) <= limit
+    ]
     if patterns:
         present = sorted(by_class)
         place = {c: i for i, c in enumerate(present)}
@@ -238,18 +260,21 @@ def make_plan(histogram: dict[int, int], limit: int, classes: int = CLASSES, dep
         b = np.array([sum(left[n] for n in by_class[c]) for c in present], float)
         scale = max(1.0, b.max())
         repeats = np.rint(nonnegative_fit(a, b / scale) * scale).astype(np.int64)
+        free = {c: sum(left[n] for n in by_class[c]) for c in by_class}
         for j in np.argsort(-repeats, kind="stable"):
-            have = {c: sum(left[n] for n in by_class[c]) for c in set(patterns[j])}
-            count = min([int(repeats[j]), *(have[c] // patterns[j].count(c) for c in have)])
-            _take(plan, [by_class[c] for c in patterns[j]], left, count)
-    for length in sorted(left, reverse=True):
-        if left[length]:
-            plan.best_fit(length, left[length])
+            *first, _ = patterns[j]
+            count = min([int(repeats[j]), *(free[c] // patterns[j].count(c) for c in set(patterns[j]))])
+            for c in patterns[j]:
+                free[c] -= count
+            if first:
+                _take(plan, [by_class[c] for c in first], left, count)
+    plan.fill(left)
+    plan.fill(plan.take_apart(SPARE))
     return plan
 
 
 def _take(plan: Plan, classes: list[list[int]], left: dict[int, int], count: int) -> None:
-    """``count`` sequences with one piece of each class; equal ones are one group."""
+    """``count`` sequences with one piece of each class, the longest left; equal ones are one group."""
     runs = []
     for lengths in classes:
         need, run = count, []
