@@ -30,6 +30,10 @@ class Farms:
     def pick(self, rows: np.ndarray) -> Farms:
         return Farms(*(x[rows] for x in (self.profit, self.target, self.use, self.cap, self.low, self.high)), self.pull)
 
+    def wide(self) -> Farms:
+        """The same in long doubles, for profits that are huge beside the areas."""
+        return Farms(*(x.astype(np.longdouble) for x in (self.profit, self.target, self.use, self.cap, self.low, self.high)), self.pull)
+
     def excess(self, amounts: np.ndarray) -> np.ndarray:
         return np.einsum("fkc,fc->fk", self.use, amounts) - self.cap
 
@@ -44,6 +48,10 @@ def solve_bound(rows: pd.DataFrame, min_share: float, max_share: float, smoothin
     if len(todo):
         amounts[todo] = _bound_split(farms.pick(todo))
     keeps = possible & _feasible(farms, amounts, 1e-6)
+    again = np.flatnonzero(possible & ~keeps)
+    if len(again):  # lost to rounding, not to the limits
+        amounts[again] = _bound_split(farms.pick(again).wide())
+        keeps = possible & _feasible(farms, amounts, 1e-6)
     area = farms.cap[:, 0] if len(rows) else np.zeros(0)
     return pd.DataFrame(
         {
@@ -116,42 +124,58 @@ def _bound_split(farms: Farms) -> np.ndarray:
             some = part.pick(inner)
             return some.excess(_area_split(some, price, fert_price[inner]))[:, 1] / some.cap[:, 0]
 
-        return _area_split(part, _least_price(over_water, len(rows), TOLERANCE / 100), fert_price)
+        bound = _price_bound(part, 1, fert_price[:, None] * part.use[:, 2])
+        return _area_split(part, _least_price(over_water, bound, TOLERANCE / 100), fert_price)
 
     def over_fert(price: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return farms.pick(rows).excess(thrifty(price, rows))[:, 2] / farms.cap[rows, 0]
 
     everyone = np.arange(len(farms.cap))
-    return thrifty(_least_price(over_fert, len(everyone), TOLERANCE), everyone)
+    # the water price that answers a fertilizer price may cost a crop as much as its own bound does
+    water = _price_bound(farms, 1, 0.0)[:, None] * farms.use[:, 1]
+    return thrifty(_least_price(over_fert, _price_bound(farms, 2, water), TOLERANCE), everyone)
+
+
+def _price_bound(farms: Farms, k: int, cost: np.ndarray | float) -> np.ndarray:
+    """A price of use ``k`` beyond which crops are served in the order of that use alone.
+
+    It is the largest difference between the crops' gains over the least difference
+    between their uses; ``cost`` is what the other limit takes from the gains at most.
+    """
+    real = farms.use[:, 0] > 0
+    top = np.where(real, farms.profit + farms.pull * (farms.target - farms.low), -np.inf).max(1)
+    bottom = np.where(real, farms.profit + farms.pull * (farms.target - farms.high) - cost, np.inf).min(1)
+    steps = np.diff(np.sort(np.where(real, farms.use[:, k], np.nan), axis=1), axis=1)
+    least = np.where(steps > 1e-12, steps, np.inf).min(1, initial=np.inf)
+    return 1 + np.maximum(top - bottom, 0) / least
 
 
-def _least_price(over: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, tolerance: float) -> np.ndarray:
-    """Smallest price >= 0 without excess, per row.
+def _least_price(over: Callable[[np.ndarray, np.ndarray], np.ndarray], bound: np.ndarray, tolerance: float) -> np.ndarray:
+    """Smallest price >= 0 without excess, per row; at most ``bound``, where no excess can be left.
 
     The excess falls continuously and piecewise linearly with the price, so a bracketed
     secant (with a bisection every fourth step) needs few evaluations. Rows that are
     settled leave the search.
     """
-    price = np.zeros(n)
-    found = over(price, np.arange(n))
+    price = np.zeros_like(bound)
+    finest = 8 * np.finfo(bound.dtype).eps
+    found = over(price, np.arange(len(bound)))
     rows = np.flatnonzero(found > tolerance)
     if not len(rows):
         return price
     low, f_low = np.zeros(len(rows)), found[rows]
-    high = np.ones(len(rows))
+    most = bound[rows]
+    high = np.minimum(1.0, most)
     f_high = over(high, rows)
-    for _ in range(14):
-        short = f_high > 0
-        if not short.any():
-            break
+    while (short := (f_high > 0) & (high < most)).any():
         low[short], f_low[short] = high[short], f_high[short]
-        high[short] *= 4
+        high[short] = np.minimum(4 * high[short], most[short])
         f_high[short] = over(high[short], rows[short])
     price[rows] = high
     live = np.flatnonzero((f_high <= 0) & (f_high < -tolerance))
-    for step in range(80):
-        if not len(live):
-            break
+    step = -1
+    while len(live):  # every fourth step halves the bracket, so all rows settle
+        step += 1
         lo, hi, flo, fhi = low[live], high[live], f_low[live], f_high[live]
         middle = (lo + hi) / 2
         if step % 4 != 3:
@@ -164,7 +188,7 @@ def _least_price(over: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int, t
         f_low[live] = np.where(above, f, flo / 2)
         low[live], high[live] = np.where(above, middle, lo), np.where(above, hi, middle)
         price[rows[live]] = np.where(np.abs(f) <= tolerance, middle, high[live])
-        live = live[(np.abs(f) > tolerance) & (high[live] - low[live] > 1e-15 * high[live])]
+        live = live[(np.abs(f) > tolerance) & (high[live] - low[live] > finest * high[live])]
     return price
 
 

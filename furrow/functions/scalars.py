@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 from furrow import fixed_values as fixed
 
 
+NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?))$"
+
+
 def normal_text(column: Column) -> Column:
-    """Trimmed lower-case text; a missing value becomes the word 'nan'."""
-    return F.lower(F.trim(F.coalesce(column, F.lit("nan"))))
+    """Lower-case text without white space at its ends; a missing value becomes the word 'nan'."""
+    return F.lower(stripped(F.coalesce(column, F.lit("nan"))))
+
+
+def stripped(column: Column) -> Column:
+    """Without any white space at both ends, blanks or not."""
+    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
 
 
 def canonical_kind(column: Column) -> Column:
@@ -21,9 +29,12 @@ def canonical_kind(column: Column) -> Column:
 
 
 def number_or_zero(column: Column) -> Column:
-    """Number from text with thousands separators; anything else is 0."""
-    parsed = F.regexp_replace(column, ",", "").try_cast("double")
-    return F.coalesce(F.when(F.isnan(parsed), None).otherwise(parsed), F.lit(0.0))
+    """Number from text with thousands separators; anything else is 0.
+
+    The text must look like a number: a cast alone also takes type suffixes such as ``12d``.
+    """
+    text = stripped(F.regexp_replace(column.cast("string"), ",", ""))
+    return F.coalesce(F.when(text.rlike(NUMBER), text.try_cast("double")), F.lit(0.0))
 
 
 def year_number(column: Column) -> Column:

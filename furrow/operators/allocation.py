@@ -27,6 +27,11 @@ def one_row_per_crop(df: DataFrame, value: str = "profit", keys: tuple[str, str]
     return df.groupBy(*keys).agg(F.max(value).alias(value), *[F.max(c).alias(c) for c in keep])
 
 
+def with_profit(df: DataFrame) -> DataFrame:
+    """A crop without a profit counts as one that earns nothing: it gets its lower bound like any other."""
+    return df.withColumn("profit", F.coalesce(F.when(~F.isnan(F.col("profit").cast("double")), F.col("profit")), F.lit(0.0)))
+
+
 def allocate(
     df: DataFrame, min_share: float = fixed.MIN_SHARE, max_share: float = fixed.CLASS_MAX_SHARE, places: int | None = 2
 ) -> DataFrame:
@@ -39,7 +44,7 @@ def allocate(
     """
     low, high = f"(area * {min_share!r}D)", f"(area * {max_share!r}D)"
     per_farm = "over (partition by farm)"
-    ranked = df.selectExpr(
+    ranked = with_profit(df).selectExpr(
         "*",
         f"count(1) {per_farm} as _n",
         f"sum(profit) {per_farm} as _weight",
@@ -63,7 +68,7 @@ def allocate(
 
 def with_targets(df: DataFrame, factor: float = fixed.SOFTMAX_FACTOR) -> DataFrame:
     """Target area of each crop: softmax of the profits within the farm."""
-    shifted = df.selectExpr("*", "max(profit) over (partition by farm) as _top")
+    shifted = with_profit(df).selectExpr("*", "max(profit) over (partition by farm) as _top")
     weighed = shifted.selectExpr("*", f"exp({factor!r}D * (profit - _top)) as _score")
     return weighed.selectExpr(*df.columns, "area * _score / sum(_score) over (partition by farm) as target")
 

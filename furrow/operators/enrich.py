@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow import fixed_values as fixed
@@ -20,7 +20,7 @@ def validated(df: DataFrame) -> DataFrame:
     day = "try_to_date(cast({} as string))"
     rules = [
         ("crop_name", "coalesce(length(crop_name), 0) not between 1 and 100", "crop_name length"),
-        ("area_donums", "not coalesce(area_donums > 0, false)", "area not positive"),
+        ("area_donums", "not coalesce(area_donums > 0 and not isnan(cast(area_donums as double)), false)", "area not positive"),
         ("governorate", f"not coalesce(governorate in ({known}), false)", "unknown governorate"),
         ("planting_date", f"{day.format('planting_date')} is null", "unreadable planting date"),
         ("sale_date", f"{day.format('sale_date')} is null", "unreadable sale date"),
@@ -86,10 +86,13 @@ def with_balance(df: DataFrame, balance: DataFrame) -> DataFrame:
     """Supply and demand tonnes (0 when unknown), pressure and sufficiency."""
     joined = lookup_join(df, balance, ["crop_name"])
     tonnes = joined.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("supply", "demand")})
+    return tonnes.withColumns(balance_columns())
+
+
+def balance_columns() -> dict[str, Column]:
+    """Demand pressure and sufficiency from the columns ``supply`` and ``demand``."""
     supply, demand = F.col("supply"), F.col("demand")
-    return tonnes.withColumns(
-        {"demand_level_ord": demand_pressure(supply, demand), "sufficiency_status": sufficiency_by_balance(supply, demand)}
-    )
+    return {"demand_level_ord": demand_pressure(supply, demand), "sufficiency_status": sufficiency_by_balance(supply, demand)}
 
 
 def with_baselines(df: DataFrame, baselines: DataFrame) -> DataFrame:

@@ -35,10 +35,16 @@ def predicted(df: DataFrame, model: PipelineModel, spec: ModelSpec, name: str) -
     return model.transform(inputs).select("_row.*", F.col("prediction").alias(name))
 
 
-def enriched(requests: DataFrame, context: Context, hectares: str | None = None) -> DataFrame:
-    """Place, weather, balance, baselines and resources of farm requests."""
+def enriched(requests: DataFrame, context: Context, hectares: str | None = None, filled_supply: bool = False) -> DataFrame:
+    """Place, weather, balance, baselines and resources of farm requests.
+
+    ``filled_supply``: demand pressure from the supply after its fallback to the crop's
+    average, as for allocations; else from the supply as it was found.
+    """
     placed = enrich.with_weather(enrich.with_place(requests), context.weather)
     known = enrich.with_baselines(enrich.with_balance(placed, context.balance), context.baselines)
+    if filled_supply:
+        known = known.withColumns(enrich.balance_columns())
     sized = enrich.with_area(known, hectares)
     level = f"case when base_supply < {fixed.SUPPLY_CUTS[0]}D then 0D when base_supply >= {fixed.SUPPLY_CUTS[1]}D then 2D else 1D end"
     return sized.selectExpr("*", f"{level} as supply_level")
@@ -107,7 +113,7 @@ def candidate_profits(requests: DataFrame, context: Context, profit: PipelineMod
     Negative predictions count as 0; a request whose crops all have 0 takes the crops'
     prices instead.
     """
-    crops = enriched(enrich.candidate_crops(requests), context, hectares="1D")
+    crops = enriched(enrich.candidate_crops(requests), context, hectares="1D", filled_supply=True)
     inputs = crops.withColumn("actual_yield", F.col("base_yield_per_ha"))
     scored = predicted(inputs, profit, PROFIT, "_profit").selectExpr(
         "request_id", "position", "crop_name", "area_donums", "market_price", "greatest(_profit, 0D) as _profit"

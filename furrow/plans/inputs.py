@@ -12,7 +12,7 @@ from furrow import fixed_values as fixed
 from furrow.plans.farm_view import crop_of_part, place_of, table
 from furrow.session import spread
 
-YEARS = ["1996", "1997", "1998", "1999", "2000"]
+YEARS = ["1995", "1996", "1997", "1998", "1999", "2000", "2001"]
 METRICS = {"R": "Farm-Gate Price", "A": "Central Market Prices ", "N": "Packs"}
 AS_OF = "1998-01-01"
 

@@ -19,7 +19,7 @@ def _list(values) -> str:
 
 
 PLACE = "CASE WHEN {k} < 12 THEN ([" + _list(fixed.LOCATIONS) + "])[{k} + 1] ELSE {n} END"
-YEARS = "(1996, 1997, 1998, 1999, 2000)"
+YEARS = "(1995, 1996, 1997, 1998, 1999, 2000, 2001)"
 MONTH = "([" + _list(fixed.MONTHS) + "])[month(l_shipdate)]"
 DAY = "CAST({} AS DATE)"
 
@@ -261,7 +261,7 @@ kinds AS (
   SELECT 'production', season, crop, location, yr, CASE WHEN grown < 10 THEN 0 ELSE grown END FROM sums WHERE location <> 'nation_3'),
 melted AS (
   SELECT k.kind, k.season, k.crop, k.location, CAST(y.yr AS BIGINT) AS year, CAST(coalesce(v, 0) AS DOUBLE) AS value
-  FROM (SELECT DISTINCT kind, season, crop, location FROM kinds) k CROSS JOIN (SELECT unnest([1996, 1997, 1998, 1999, 2000]) AS yr) y
+  FROM (SELECT DISTINCT kind, season, crop, location FROM kinds) k CROSS JOIN (SELECT unnest([1995, 1996, 1997, 1998, 1999, 2000, 2001]) AS yr) y
   LEFT JOIN kinds USING (kind, season, crop, location, yr)),
 production AS (
   SELECT crop, location, season, year, sum(value) FILTER (WHERE kind = 'area') AS area_size, sum(value) FILTER (WHERE kind = 'production') AS total_yield
@@ -272,7 +272,7 @@ PRICES = f"""price_cells AS (
   FROM shipped WHERE yr IN {YEARS} AND p_brand <> 'Brand#5' AND NOT (r_regionkey <> 0 AND p_brand IN ('Brand#3', 'Brand#7')) GROUP BY ALL),
 all_prices AS (
   SELECT k.flag, k.region, k.crop, k.month, CAST(y.yr AS BIGINT) AS year, CAST(coalesce(v, 0) AS DOUBLE) AS price
-  FROM (SELECT DISTINCT flag, region, crop, month FROM price_cells) k CROSS JOIN (SELECT unnest([1996, 1997, 1998, 1999, 2000]) AS yr) y
+  FROM (SELECT DISTINCT flag, region, crop, month FROM price_cells) k CROSS JOIN (SELECT unnest([1995, 1996, 1997, 1998, 1999, 2000, 2001]) AS yr) y
   LEFT JOIN price_cells USING (flag, region, crop, month, yr)),
 prices AS (SELECT * FROM all_prices WHERE flag = 'R')"""
 REGIONS = """regions AS (

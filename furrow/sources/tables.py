@@ -32,7 +32,7 @@ def read_farm_records(spark: SparkSession, path: str | Sequence[str], schema: T.
 def load_sample(spark: SparkSession, path: str | None, n_rows: int = 100_000, schema: T.StructType | None = None) -> DataFrame:
     """The first rows of a CSV file, for looking around."""
     if not path:
-        raise ValueError("No data_path provided")
+        raise ValueError("a path to a CSV file is needed")
     return read_csv(spark, path, schema).limit(n_rows)
 
 
