@@ -175,7 +175,7 @@ def _unpacked(priced: DataFrame, min_share: float, max_share: float, smoothing:
 
 
 def allocation_report(df: DataFrame, places: int = 2) -> DataFrame:
-    """Area, share, profit and resources per crop, largest area first within a farm."""
+    """Area, share, profit and resources per crop, largest area first within a farm; farms without a split keep their status."""
     figures = {
         "crop_area": "allocation",
         "percentage": "try_divide(allocation, area) * 100",
@@ -191,17 +191,20 @@ def allocation_report(df: DataFrame, places: int = 2) -> DataFrame:
         "crop",
         f"row_number() over (partition by farm order by round(allocation, {places}) desc, crop) as place",
         *[f"round({value}, {places}) as {name}" for name, value in figures.items()],
+        "status",
     )
 
 
 def recommendations(report: DataFrame) -> DataFrame:
-    """One advice text per farm, naming its crops from the largest area down."""
+    """One advice text per farm, naming its crops from the largest area down; null for a farm without a split."""
     lines = report.groupBy("farm").agg(
-        F.expr("array_sort(collect_list(struct(place, crop, crop_area, percentage))) as _rows"),
-        F.round(F.sum("total_profit_crop"), 2).alias("_total"),
+        F.max("status").alias("status"),
+        F.expr("array_sort(collect_list(struct(place, crop, round(crop_area, 2) as crop_area, round(percentage, 2) as percentage))) as _rows"),
+        F.round(F.max("total_profit"), 2).alias("_total"),
     )
     return lines.selectExpr(
         "farm",
+        "status",
         "concat('Recommended planting plan:\\n',"
         " array_join(transform(_rows, r -> concat('- ', r.crop, ': ', r.crop_area, ' area units (', r.percentage, '%)')), '\\n'),"
         " '\\nLargest share: ', _rows[0].crop, ' with ', _rows[0].crop_area, ' area units.',"

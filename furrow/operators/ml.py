@@ -11,7 +11,7 @@ from pyspark.ml import regression as rg
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IndexToString, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEED = 42
@@ -87,9 +87,12 @@ def prepared(df: DataFrame, spec: ModelSpec, target: bool = True, keep: Sequence
     return df.selectExpr(*extra, *spec.categories, *made, *([spec.target] if target else []))
 
 
-def hash_split(df: DataFrame, keys: Sequence[str], train_pct: int = 80) -> tuple[DataFrame, DataFrame]:
-    """80/20 split by a hash of the key: the same rows however the table is partitioned."""
-    bucket = F.pmod(F.xxhash64(F.lit(SEED), *keys), F.lit(100))
+def hash_split(
+    df: DataFrame, keys: Sequence[str], train_pct: int = 80, bucket: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """80/20 split by a hash of the key (or a ``bucket`` of 0 to 99): the same rows however the table is partitioned."""
+    if bucket is None:
+        bucket = F.pmod(F.xxhash64(F.lit(SEED), *keys), F.lit(100))
     return df.where(bucket < train_pct), df.where(bucket >= train_pct)
 
 

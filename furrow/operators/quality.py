@@ -289,11 +289,17 @@ def record_ids(df: DataFrame) -> DataFrame:
 
 
 def required_columns(df: DataFrame) -> DataFrame:
-    """From the schema alone: each required column and whether it is missing."""
-    missing = set(missing_columns(df, fixed.REQUIRED_COLUMNS))
-    rows = [("required", f"missing_{name}", float(name in missing)) for name in fixed.REQUIRED_COLUMNS]
-    rows.append(("required", "missing_required_columns_count", float(len(missing))))
-    return df.sparkSession.createDataFrame(rows, "section string, rule string, value double")
+    """Each required column and whether it is missing: not there, or without any value."""
+    absent = set(missing_columns(df, fixed.REQUIRED_COLUMNS))
+    flags = {
+        name: F.lit(1.0) if name in absent else (F.count(name) == 0).cast("double") for name in fixed.REQUIRED_COLUMNS
+    }
+    row = df.agg(*[flag.alias(f"missing_{name}") for name, flag in flags.items()])
+    names = [f"missing_{name}" for name in flags]
+    total = " + ".join(names)
+    return as_rules(
+        row.selectExpr("*", f"{total} as missing_required_columns_count"), "required", {n: n for n in [*names, "missing_required_columns_count"]}
+    )
 
 
 def combined_groups(df: DataFrame) -> DataFrame:
@@ -317,15 +323,35 @@ def distributions(groups: DataFrame) -> DataFrame:
     return shares.selectExpr("attribute", "category", "n", "n / _total * 100 as share_pct")
 
 
+def share_rules(groups: DataFrame) -> DataFrame:
+    """The share of every category as report rows."""
+    return distributions(groups).select(
+        F.lit("distribution").alias("section"), F.concat_ws("_", "attribute", "category", F.lit("share_pct")).alias("rule"),
+        F.col("share_pct").alias("value"),
+    )
+
+
+def group_rules(groups: DataFrame) -> DataFrame:
+    """The highest and lowest mean of each group check as report rows."""
+    found = group_means(groups).groupBy("attribute", "measure").agg(F.max("mean").alias("max"), F.min("mean").alias("min"))
+    return found.selectExpr("attribute", "measure", "stack(2, 'max', max, 'min', min) as (which, value)").select(
+        F.lit("groups").alias("section"), F.concat_ws("_", "attribute", "measure", F.lit("mean"), "which").alias("rule"), "value"
+    )
+
+
 def group_checks(groups: DataFrame) -> DataFrame:
     """(attribute, measure, lowest, highest): categories with the extreme means."""
+    return extreme_keys(group_means(groups), "category", ["attribute", "measure"]).select("attribute", "measure", "lowest", "highest")
+
+
+def group_means(groups: DataFrame) -> DataFrame:
+    """(attribute, measure, category, mean) of the measures that are compared between groups."""
     checks = (("crop_name", "profit", "n_profit"), ("region_type", "profit", "n_profit"), ("customer_type", "sales", "n_sales"))
     cells = ", ".join(f"'{key}', '{total}', {key}, {total}, {n}" for key, total, n in checks)
     long = groups.selectExpr(f"stack({len(checks)}, {cells}) as (attribute, measure, category, total, n)")
-    means = long.where("category is not null").groupBy("attribute", "measure", "category").agg(
+    return long.where("category is not null").groupBy("attribute", "measure", "category").agg(
         F.try_divide(F.sum("total"), F.sum("n")).alias("mean")
     )
-    return extreme_keys(means, "category", ["attribute", "measure"]).select("attribute", "measure", "lowest", "highest")
 
 
 def crop_share_extremes(df: DataFrame) -> DataFrame:
@@ -387,6 +413,7 @@ def median_profit(df: DataFrame) -> DataFrame:
 
 def report(df: DataFrame) -> DataFrame:
     """Every numeric value of the report as (section, rule, value)."""
+    groups = combined_groups(df)
     return _all(
         [
             overview(df),
@@ -394,6 +421,8 @@ def report(df: DataFrame) -> DataFrame:
             required_columns(df),
             rule_values(df),
             crop_share_extremes(df),
+            share_rules(groups),
+            group_rules(groups),
             pair_correlations(df),
             outliers(df),
             median_profit(df),

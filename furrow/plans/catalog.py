@@ -525,7 +525,7 @@ def allocate_resources(spark, sf):
 @query
 def allocation_report(spark, sf):
     crops = inputs.farm_crops(spark, sf)
-    split = allocation.allocate_smooth(crops).where("status = 'optimized'")
+    split = allocation.allocate_smooth(crops)
     needs = crops.select("farm", "crop", "water_per_area", "fert_per_area")
     report = allocation.allocation_report(split.join(needs, ["farm", "crop"]), places=6)
     return report.withColumn("place", F.col("place").cast("long"))
@@ -534,8 +534,8 @@ def allocation_report(spark, sf):
 @query
 def recommendations(spark, sf):
     crops = inputs.farm_crops(spark, sf)
-    split = allocation.allocate(crops, fixed.MIN_SHARE, fixed.MAX_SHARE, places=None).where("status = 'optimized'")
-    return allocation.recommendations(allocation.allocation_report(split.withColumn("target", F.col("allocation"))))
+    split = allocation.allocate(crops, fixed.MIN_SHARE, fixed.MAX_SHARE, places=None)
+    return allocation.recommendations(allocation.allocation_report(split.withColumn("target", F.col("allocation")), places=6))
 
 
 # --- requests -------------------------------------------------------------------------
@@ -593,7 +593,7 @@ def regression_metrics(spark, sf):
 
 @query
 def classification_metrics(spark, sf):
-    rows = farm_records(spark, sf, ["demand_level", "demand_score"]).where(F.col("demand_level").isin(fixed.LEVELS))
+    rows = farm_records(spark, sf, ["demand_level", "demand_score"])
     levels = rows.select("demand_level", s.level_from_score(F.col("demand_score"), fixed.DEMAND_CUTS).alias("prediction"))
     found = ml.classification_metrics(levels, "demand_level")
     return _round(found, 9, "accuracy", "f1", "weighted_precision", "weighted_recall")
@@ -611,7 +611,8 @@ def fit_verdict(spark, sf):
 def hash_split(spark, sf):
     """Row counts and key sums of a repeatable split; plain arithmetic instead of a hash."""
     bucket = F.pmod(F.col("o_orderkey") * 7919 + 42, F.lit(100))
-    rows = table(spark, sf, "orders").select("o_orderkey", F.when(bucket < 80, "train").otherwise("test").alias("part"))
+    train, test = ml.hash_split(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], bucket=bucket)
+    rows = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
@@ -628,10 +629,8 @@ def _training(spark, sf, spec):
     if "demand_level_ord" in spec.raw_columns:
         names.append("demand_level")
     rows = farm_records(spark, sf, ["record_id", *dict.fromkeys(names)])
-    if spec.classes:
-        rows = rows.where(F.col(spec.target).isin(fixed.LEVELS))
     # fitting reads its rows many times: the joins behind them run once
-    return ml.hash_split(cut_lineage(ml.prepared(rows, spec, keep=["record_id"]).dropna()), ["record_id"])
+    return ml.hash_split(cut_lineage(ml.prepared(rows, spec, keep=["record_id"])), ["record_id"])
 
 
 def _fitted(spark, sf, spec, estimator):

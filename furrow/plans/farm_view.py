@@ -21,7 +21,7 @@ MAPPED_BRANDS = 20
 
 REGIONS = {"ECONOMY": "Desert", "LARGE": "Valley", "STANDARD": "Rural", "MEDIUM": "Urban"}
 CUSTOMERS = {"BUILDING": "Trader", "MACHINERY": "Local Market", "FURNITURE": "Export", "AUTOMOBILE": "AUTOMOBILE"}
-DEMAND_LEVELS = {"1-URGENT": "High", "2-HIGH": "High", "3-MEDIUM": "Medium", "5-LOW": "Low"}
+DEMAND_LEVELS = {"1-URGENT": "High", "2-HIGH": "High", "3-MEDIUM": "Medium", "4-NOT SPECIFIED": "Medium", "5-LOW": "Low"}
 STATUSES = {"F": "Shortage", "O": "Surplus", "P": "Balanced"}
 
 

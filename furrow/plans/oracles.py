@@ -51,7 +51,7 @@ farm AS (
     (l_quantity + l_linenumber) / nullif(l_discount * 1000e0, 0) AS water_efficiency,
     (l_quantity + l_linenumber) / nullif(l_tax * 100e0, 0) AS fertilizer_efficiency,
     l_discount * 10e0 AS demand_score,
-    CASE o_orderpriority WHEN '1-URGENT' THEN 'High' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Medium' WHEN '5-LOW' THEN 'Low' ELSE o_orderpriority END AS demand_level,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'High' WHEN '2-HIGH' THEN 'High' WHEN '3-MEDIUM' THEN 'Medium' WHEN '4-NOT SPECIFIED' THEN 'Medium' WHEN '5-LOW' THEN 'Low' ELSE o_orderpriority END AS demand_level,
     l_tax / 0.08e0 AS supply_score,
     CASE WHEN l_tax / 0.08e0 < 0.28e0 THEN 'Low' WHEN l_tax / 0.08e0 >= 0.5e0 THEN 'High' ELSE 'Medium' END AS supply_level,
     CASE o_orderstatus WHEN 'F' THEN 'Shortage' WHEN 'O' THEN 'Surplus' WHEN 'P' THEN 'Balanced' END AS sufficiency_status
@@ -508,9 +508,17 @@ IDS = {
 }
 ORACLES["dq_record_id"] = _farm(_union(f"SELECT 'record_id' AS section, '{n}' AS rule, CAST({q} AS DOUBLE) AS value FROM farm" for n, q in IDS.items()))
 ORACLES["dq_median_profit"] = _farm("SELECT 'profit' AS section, 'median_profit' AS rule, round(quantile_cont(profit, 0.5), 9) AS value FROM farm")
-ORACLES["dq_required"] = "SELECT 'required' AS section, rule, value FROM (VALUES " + ", ".join(
-    [f"('missing_{c}', {float(c in ('wind_speed', 'profit'))}e0)" for c in fixed.REQUIRED_COLUMNS] + ["('missing_required_columns_count', 2e0)"]
-) + ") v(rule, value)"
+
+
+def _required(absent: tuple[str, ...]) -> str:
+    """A column is missing if it is not there or has no value at all."""
+    missing = {c: "max(1e0)" if c in absent else f"CAST(count({c}) = 0 AS DOUBLE)" for c in fixed.REQUIRED_COLUMNS}
+    rows = [f"SELECT 'required' AS section, 'missing_{c}' AS rule, {q} AS value FROM farm" for c, q in missing.items()]
+    total = " + ".join(missing.values())
+    return _farm(_union([*rows, f"SELECT 'required' AS section, 'missing_required_columns_count' AS rule, {total} AS value FROM farm"]))
+
+
+ORACLES["dq_required"] = _required(("wind_speed", "profit"))
 
 
 def _flag(name: str, *conditions: str) -> str:
@@ -581,8 +589,21 @@ ORACLES["allocation_report"] = _with(SMOOTH) + """
   SELECT farm, crop, row_number() OVER (PARTITION BY farm ORDER BY round(allocation, 6) DESC, crop) AS place, round(allocation, 6) AS crop_area,
     round(allocation / area * 100, 6) AS percentage, round(profit, 6) AS profit_per_hectare, round(profit * allocation, 6) AS total_profit_crop,
     round(water_per_area * allocation, 6) AS water_used_est, round(fert_per_area * allocation, 6) AS fertilizer_used_est,
-    round(target, 6) AS target_area, round(sum(profit * allocation) OVER (PARTITION BY farm), 6) AS total_profit
-  FROM smooth WHERE status = 'optimized'"""
+    round(target, 6) AS target_area, round(sum(profit * allocation) OVER (PARTITION BY farm), 6) AS total_profit, status
+  FROM smooth"""
+ORACLES["recommendations"] = _with(CANDIDATES) + """
+  , ranked AS (SELECT *, count(*) OVER w AS n, sum(profit) OVER w AS weight, row_number() OVER (PARTITION BY farm ORDER BY profit DESC, crop) AS k
+    FROM farm_crops WINDOW w AS (PARTITION BY farm)),
+  split AS (SELECT farm, crop, area, profit, CASE WHEN n * 0.05e0 <= 1 + 1e-12 AND n * 0.4e0 >= 1 - 1e-12
+      THEN area * 0.05e0 + greatest(0, least(area * 0.4e0 - area * 0.05e0, area - n * area * 0.05e0 - (k - 1) * (area * 0.4e0 - area * 0.05e0)))
+      ELSE area * profit / nullif(weight, 0) END AS x, n * 0.05e0 <= 1 + 1e-12 AND n * 0.4e0 >= 1 - 1e-12 AS fits FROM ranked),
+  placed AS (SELECT *, CAST(round(CAST(x AS DECIMAL(18, 6)), 2) AS DOUBLE) AS a, CAST(round(CAST(x / area * 100 AS DECIMAL(18, 6)), 2) AS DOUBLE) AS pct,
+    row_number() OVER (PARTITION BY farm ORDER BY round(x, 6) DESC, crop) AS place FROM split)
+  SELECT farm, CASE WHEN any_value(fits) THEN 'optimized' ELSE 'fallback' END AS status, 'Recommended planting plan:' || chr(10)
+      || string_agg('- ' || crop || ': ' || a || ' area units (' || pct || '%)', chr(10) ORDER BY place)
+      || chr(10) || 'Largest share: ' || arg_min(crop, place) || ' with ' || arg_min(a, place) || ' area units.'
+      || chr(10) || 'Expected total profit: ' || printf('%.2f', CAST(round(CAST(sum(profit * x) AS DECIMAL(18, 6)), 2) AS DOUBLE)) AS recommendation
+  FROM placed GROUP BY farm"""
 
 # --- requests -------------------------------------------------------------------------
 
@@ -633,7 +654,7 @@ ORACLES["classification_metrics"] = _farm(
     """SELECT round(sum(tp) / any_value(total), 9) AS accuracy, round(sum(CASE WHEN pr + re = 0 THEN 0 ELSE support * (2 * pr * re / (pr + re)) END) / any_value(total), 9) AS f1,
       round(sum(support * pr) / any_value(total), 9) AS weighted_precision, round(sum(support * re) / any_value(total), 9) AS weighted_recall FROM stats""",
     """labelled AS (SELECT demand_level AS y, CASE WHEN demand_score < 0.36e0 THEN 'Low' WHEN demand_score < 0.64e0 THEN 'Medium' ELSE 'High' END AS p
-      FROM farm WHERE demand_level IN ('Low', 'Medium', 'High'))""",
+      FROM farm)""",
     """stats AS (SELECT c, support, tp, total, coalesce(tp / nullif(predicted, 0), 0) AS pr, tp / support AS re FROM (
       SELECT c, (SELECT count(*) FROM labelled WHERE y = c) * 1e0 AS support, (SELECT count(*) FROM labelled WHERE p = c) * 1e0 AS predicted,
         (SELECT count(*) FROM labelled WHERE y = c AND p = c) * 1e0 AS tp, (SELECT count(*) FROM labelled) * 1e0 AS total
@@ -655,9 +676,14 @@ ORACLES["profit_inputs"] = _farm(
 # --- the whole report -----------------------------------------------------------------
 
 _REPORT = [ORACLES[f"dq_{name}"] for name in ["overview", "record_id", "median_profit", *RULES]]
+_REPORT.append(_required(()))
 _REPORT.append(
-    "SELECT 'required' AS section, rule, 0e0 AS value FROM (VALUES "
-    + ", ".join([f"('missing_{c}')" for c in fixed.REQUIRED_COLUMNS] + ["('missing_required_columns_count')"]) + ") v(rule)")
+    f"SELECT 'distribution' AS section, attribute || '_' || category || '_share_pct' AS rule, share_pct AS value FROM ({ORACLES['category_shares']})")
+_REPORT.append(_farm(_union(
+    f"SELECT 'groups' AS section, '{key}_{name}_mean_{f}' AS rule, {f}(m) AS value"
+    f" FROM (SELECT avg({column}) AS m FROM farm WHERE {key} IS NOT NULL GROUP BY {key})"
+    for key, column, name in (("crop_name", "profit", "profit"), ("region_type", "profit", "profit"), ("customer_type", "total_sales", "sales"))
+    for f in ("max", "min"))))
 _REPORT.append(_farm(_union(
     f"SELECT 'distribution' AS section, 'crop_{f}_share_pct' AS rule, {f}(n) * 100e0 / sum(n) AS value FROM counts" for f in ("max", "min")),
     "counts AS (SELECT crop_name, count(*) AS n FROM farm GROUP BY 1)"))
