@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.session import measured
+from furrow.session import cut_lineage, measured
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 32
@@ -27,8 +27,8 @@ def lookup_join(
     """Join ``facts`` to ``lookup`` on equal column names, keeping the key of ``facts``.
 
     The lookup is computed once and its size is read from that same job. Up to
-    ``max_bytes`` it is broadcast, so the facts are not shuffled at all. Beyond, the
-    facts are spread over ``salts`` sub-keys and the lookup is repeated once per
+    ``max_bytes`` it is broadcast, so the facts are not shuffled at all. Beyond, the rows
+    of hot keys are spread over ``salts`` sub-keys and their lookups repeated once per
     sub-key, so a key with a third of all rows becomes many small tasks. A lookup that
     was measured before (or is part of one) is passed with ``known_bytes``.
     """
@@ -46,11 +46,22 @@ def salted_join(
     null_safe: bool = False,
     salts: int = SALTS,
 ) -> DataFrame:
-    """The sub-key of a row depends on its partition and content, so a retry repeats it."""
-    salted = facts.withColumn(
-        "_salt", F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in _hashable(facts)]), F.lit(salts)).cast("int")
-    )
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    """Only hot keys get sub-keys; the rows and lookups of all others are joined as they are.
+
+    A key is hot with more than ``1 / (8 * salts)`` of the rows, so there are fewer than ``8 * salts``
+    hot keys and their list is broadcast. The sub-key of a row depends on its partition and
+    content, so a retry repeats it.
+    """
+    counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rows = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_all"))
+    hot = one_row(counts, rows).where(F.col("_n") * 8 * salts > F.col("_all")).select(*keys, F.lit(True).alias("_hot"))
+    hot = cut_lineage(hot)
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in _hashable(facts)]), F.lit(salts)).cast("int")
+    marked = keyed_join(facts, F.broadcast(hot), keys, "left", null_safe)
+    salted = marked.withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
+    last = F.when(F.col("_hot"), salts - 1).otherwise(0)
+    copies = keyed_join(lookup, F.broadcast(hot), keys, "left", null_safe)
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
     return keyed_join(salted, copies, [*keys, "_salt"], how, null_safe).drop("_salt")
 
 

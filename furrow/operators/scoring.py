@@ -13,6 +13,7 @@ from furrow import fixed_values as fixed
 from furrow.operators import enrich
 from furrow.operators.allocation import allocate
 from furrow.operators.ml import DEMAND, PRICE, PROFIT, YIELD, ModelSpec, prepared, readable_predictions
+from furrow.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,13 @@ class Context:
     weather: DataFrame
     as_of: str
 
+    def stored(self) -> Context:
+        """The same with its tables computed once, for many batches of requests."""
+        values = list(fixed.WEATHER_DEFAULTS)
+        newest = F.max_by(F.struct("observed_at", *values), F.struct("observed_at", *values)).alias("w")
+        weather = self.weather.groupBy("governorate").agg(newest).select("governorate", "w.*")
+        return Context(cut_lineage(self.baselines), cut_lineage(self.balance), cut_lineage(weather), self.as_of)
+
 
 def predicted(df: DataFrame, model: PipelineModel, spec: ModelSpec, name: str) -> DataFrame:
     """Prediction next to the input columns, which travel through the pipeline unjoined."""

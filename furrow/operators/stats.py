@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow import fixed_values as fixed
 from furrow.operators.joins import lookup_join, one_row
-from furrow.operators.ordering import exact_quantiles
+from furrow.operators.ordering import exact_quantiles, sequential_ids
 from furrow.functions.scalars import at_least, in_set, pct_true
 
 
@@ -99,14 +99,19 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def table_shape(df: DataFrame) -> DataFrame:
-    """Row and column count, missing values, rows that repeat an earlier one."""
+    """Row and column count, missing values, rows that repeat an earlier one.
+
+    Equal rows meet by 128 bits of hashes, not by all their columns: 16 bytes a row are shuffled.
+    Which columns are null is hashed too, as hashes pass over nulls.
+    """
     missing = F.expr(" + ".join(f"if(`{c}` is null, 1, 0)" for c in df.columns))
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    missing_per_copy = missing * F.col("_n")
+    parts = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    marked = df.select(F.xxhash64(*parts).alias("_a"), F.xxhash64(F.lit(1), *reversed(parts)).alias("_b"), missing.alias("_missing"))
+    copies = marked.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_missing").alias("_missing"))
     return copies.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
         F.lit(len(df.columns)).cast("long").alias("column_count"),
-        F.coalesce(F.sum(missing_per_copy), F.lit(0)).alias("missing_values_total"),
+        F.coalesce(F.sum("_missing"), F.lit(0)).alias("missing_values_total"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
     )
 
@@ -196,13 +201,23 @@ def id_gaps(df: DataFrame, id_col: str = "record_id") -> DataFrame:
     )
 
 
+def missing_ranges(df: DataFrame, id_col: str = "record_id") -> DataFrame:
+    """(first, last) of every run of ids that are missing between two present ones."""
+    present = df.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
+    placed = sequential_ids(present, ["_id"], "_place")
+    after = placed.select((F.col("_place") - 1).alias("_place"), F.col("_id").alias("_next"))
+    gaps = placed.join(after, "_place").where("_next - _id > 1")
+    return gaps.selectExpr("_id + 1 as first", "_next - 1 as last")
+
+
 def missing_ids(df: DataFrame, id_col: str = "record_id") -> DataFrame:
-    """The ids themselves: a distributed range without the present ones."""
-    bounds = df.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
-    if bounds["lo"] is None:
-        return df.select(id_col).limit(0)
-    full = df.sparkSession.range(bounds["lo"], bounds["hi"] + 1).withColumnRenamed("id", id_col)
-    return full.join(df.select(id_col).distinct(), id_col, "left_anti")
+    """The ids themselves, from the gaps alone; a wide gap is unfolded in steps of 2^20, never as one array."""
+    step = 1 << 20
+    rows = missing_ranges(df, id_col)
+    for size in (step * step, step, 1):
+        parts = rows.select("last", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(last - first) div {size}L"))).alias("_part"), "first")
+        rows = parts.selectExpr(f"first + _part * {size}L as first", f"least(last, first + _part * {size}L + {size}L - 1) as last")
+    return rows.select(F.col("first").alias(id_col))
 
 
 def outside_domain(df: DataFrame, domains: Mapping[str, Sequence]) -> DataFrame:

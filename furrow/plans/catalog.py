@@ -786,7 +786,7 @@ def stream_scores(spark, sf):
     requests = inputs.farm_requests(spark, sf)
     requests.write.parquet(folder)
     model = _fitted(spark, sf, ml.YIELD, _tree(ml.YIELD))
-    context = _context(spark, sf)
+    context = _context(spark, sf).stored()
     stream = spark.readStream.schema(requests.schema).parquet(folder)
     scored, _ = scored_stream(stream, lambda batch: scoring.score_yield(batch, context, model))
     return scored.select("request_id", "crop_name", "predicted_yield")

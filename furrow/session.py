@@ -48,13 +48,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, survives lost executors."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written to the shared folder as parquet and read back.
+
+    Computed once, survives lost executors, and later steps still read only the columns and
+    row groups that they need.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def measured(df: DataFrame) -> tuple[DataFrame, int]:
-    """Checkpoint ``df`` and return it with its size in bytes, seen in the same job."""
+    """Store ``df`` and return it with its size in bytes, seen in the same job."""
     width = sum(_fixed_width(f.dataType) for f in df.schema.fields)
     size = F.lit(width).cast("long")
     for field in df.schema.fields:

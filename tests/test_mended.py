@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 
 from furrow.functions import scalars as s
-from furrow.operators import allocation, enrich
+from furrow.operators import allocation, enrich, joins, stats
 from furrow.sources import government
 from pyspark.sql import functions as F
 
@@ -59,3 +59,25 @@ def test_pressure_before_or_after_the_fallback(spark):
     assert frame.withColumns(enrich.balance_columns()).first()["demand_level_ord"] == 2
     filled = frame.withColumn("supply", F.lit(100.0)).withColumns(enrich.balance_columns())
     assert filled.first()["demand_level_ord"] == 0
+
+
+def test_sparse_ids_cost_no_range(spark):
+    frame = spark.createDataFrame([(1,), (10**15,), (3,), (3,), (None,)], "record_id long")
+    assert rows(stats.missing_ranges(frame)) == [(2, 2), (4, 10**15 - 1)]
+    near = spark.createDataFrame([(i,) for i in range(0, 50, 7)], "record_id long")
+    assert rows(stats.missing_ids(near)) == [(i,) for i in range(50) if i % 7 and i < 49]
+    assert stats.missing_ids(frame.limit(0)).count() == 0
+
+
+def test_equal_rows_are_told_by_all_columns(spark):
+    frame = spark.createDataFrame([("a", None), (None, "a"), ("a", None), ("a", "a")], "x string, y string")
+    row = stats.table_shape(frame).first()
+    assert (row["row_count"], row["missing_values_total"], row["duplicate_rows"]) == (4, 3, 1)
+
+
+def test_only_hot_keys_get_sub_keys(spark):
+    facts = spark.range(9000).selectExpr("if(id % 3 = 0, 0, id) as k", "id")
+    lookup = spark.range(9000).selectExpr("id as k", "id * 2 as v")
+    made = joins.salted_join(facts, lookup, ["k"], salts=8)
+    assert made.count() == 9000 and made.where("v <> k * 2").count() == 0
+    assert joins.salted_join(facts, lookup.where("k > 5"), ["k"], salts=8).where("v is null").count() == facts.where("k <= 5").count()
