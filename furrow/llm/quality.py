@@ -137,17 +137,20 @@ def measured_rows(
     return made.withColumn("base_failed", failed).withColumn("x", x)
 
 
-def grouped(rows: DataFrame, least: int) -> DataFrame:
-    """Adds ``grp``: language and source, or the language's small sources together, or all that is left."""
-    own = F.to_json(F.struct("lang", "source"))
-    pooled = F.to_json(F.struct("lang", F.lit(True).alias("pooled")))
-    keyed = rows.withColumn("_own", own).withColumn("_pool", pooled)
-    counts = keyed.where("not base_failed").groupBy("_own", "_pool").agg(F.count("*").alias("n"))
+def grouped(rows: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """Adds ``grp``: language and source, or the language's small sources together, or all that is left.
+
+    Sizes are counted on ``docs (lang, source)``, the rows before their texts were read.
+    """
+    own = F.to_json(F.struct("lang", "source")).alias("_own")
+    pooled = F.to_json(F.struct("lang", F.lit(True).alias("pooled"))).alias("_pool")
+    keyed = rows.select("*", own)
+    counts = docs.select(own, pooled).groupBy("_own", "_pool").agg(F.count("*").alias("n"))
     small = counts.where(F.col("n") < least)
     enough = small.groupBy("_pool").agg((F.sum("n") >= least).alias("enough"))
     moved = small.join(enough, "_pool").select("_own", F.when(F.col("enough"), F.col("_pool")).otherwise("{}").alias("grp"))
     joined = keyed.join(moved, "_own", "left")
-    return joined.withColumn("grp", F.coalesce("grp", "_own")).drop("_own", "_pool")
+    return joined.withColumn("grp", F.coalesce("grp", "_own")).drop("_own")
 
 
 def in_parts(rows: DataFrame, parts: int = PARTS) -> DataFrame:
@@ -238,7 +241,8 @@ def quality_rules(
     table gives an empty result.
     """
     d = len(FEATURES)
-    rows = staged(in_parts(grouped(measured_rows(docs, text, lang, source, carry), least_rows)), "statistics")
+    keys = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{source}`").cast("string").alias("source"))
+    rows = staged(in_parts(grouped(measured_rows(docs, text, lang, source, carry), keys, least_rows)), "statistics")
     passed = rows.where("not base_failed").select("grp", "part", "x")
     found = covariance_determinants(passed).select("grp", "mean", "inverse")
     judged = with_group(rows, found, "left").withColumn("far", F.when(~F.col("base_failed"), squared_distance(d)))
