@@ -7,6 +7,7 @@ among the pieces of its length, and the plan says in which sequence and where th
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ RUN_CACHE_SIZE = 300_000
 KEPT_BYTES = 64
 #: Visible characters below the combining marks (U+0130 has one in lower case), and the runs that the tokenizer's pattern makes of them.
 PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+MARKS = b".,;:!?*$%#&|()-"
 RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\\w]|_)+")
 
 _workers: dict[int, Ids] = {}
@@ -54,6 +56,16 @@ class Ids(dict):
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def cover(self, texts: list[list[bytes]]) -> None:
+        """Adds all words of ``texts``; meanwhile no cycle search walks over the many small lists."""
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            self._cover(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _cover(self, texts: list[list[bytes]]) -> None:
         if len(self) > CACHE_SIZE:
             self.clear()
         if len(self.runs) > RUN_CACHE_SIZE:
@@ -61,9 +73,14 @@ class Ids(dict):
         missed = list(set().union(*texts).difference(self))
         split, whole = [], []
         for word in missed:
+            low = word.lower()
+            letters = low.rstrip(MARKS)
+            if letters.isalpha():  # of bytes: a to z alone; what follows is one run
+                split.append((word, (letters.decode(), low[len(letters) :].decode()) if len(letters) < len(low) else (letters.decode(),)))
+                continue
             plain = word.decode()
             if PLAIN.fullmatch(plain) and "<|" not in plain:
-                split.append((word, RUN.findall(word.lower().decode())))
+                split.append((word, RUN.findall(low.decode())))
             else:
                 whole.append(word)
         new = list({run for _, runs in split for run in runs}.difference(self.runs))
