@@ -7,7 +7,6 @@ among the pieces of its length, and the plan says in which sequence and where th
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.texts import blobs, column, keyed, map_batches, map_partition, shared_file, staged, table, task
+from furrow.llm.texts import blobs, column, keyed, map_batches, map_partition, no_cycle_search, shared_file, staged, table, task
 from furrow.llm.token_counts import tokenizer
 
 #: Patterns are built on this many length classes and hold at most so many documents.
@@ -56,14 +55,9 @@ class Ids(dict):
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def cover(self, texts: list[list[bytes]]) -> None:
-        """Adds all words of ``texts``; meanwhile no cycle search walks over the many small lists."""
-        collecting = gc.isenabled()
-        gc.disable()
-        try:
+        """Adds all words of ``texts``."""
+        with no_cycle_search():
             self._cover(texts)
-        finally:
-            if collecting:
-                gc.enable()
 
     def _cover(self, texts: list[list[bytes]]) -> None:
         if len(self) > CACHE_SIZE:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.texts import blobs, column, keyed, map_batches, shared_file, table
+from furrow.llm.texts import blobs, column, keyed, map_batches, no_cycle_search, shared_file, table
 
 BLANK = "\u2581"
 #: A line end, or blanks with the letters or the other characters after them; \u00b2 and its like are no letters.
@@ -39,7 +39,7 @@ NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, MERGES = 1, 2
 #: What a unigram model's unknown character costs over the worst piece.
 UNKNOWN_COST = 10.0
-CACHE_SIZE = 400_000
+CACHE_SIZE = 800_000
 KEPT_CHARS = 48
 PAIR_CACHE_SIZE = 1_000_000
 
@@ -212,7 +212,8 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "t
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = _transducer(sent)
-        found = [np.frombuffer(made.encode(x or ""), "<i4") for x in column(batch, "text")]
+        with no_cycle_search():
+            found = [np.frombuffer(made.encode(x or ""), "<i4") for x in column(batch, "text")]
         ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
         ids = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), pa.int32()))
         return table(schema, batch.column(0), batch.column(1), ids, [-float(made.scores[x].sum()) + 0.0 for x in found])

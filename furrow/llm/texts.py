@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -56,6 +58,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def no_cycle_search() -> Iterator[None]:
+    """While caches fill, the collector would walk over them again and again; they hold no cycles."""
+    collecting = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if collecting:
+            gc.enable()
+
+
 def task() -> int:
     """Number of this task's partition; the same when the task is repeated."""
     context = TaskContext.get()
