@@ -73,6 +73,20 @@ def test_scores(corpus, no_rows):
     assert lm_score.lm_scores(no_rows).count() == 0
 
 
+def test_scores_do_not_depend_on_the_broadcast_contexts(spark):
+    """Contexts that are not broadcast count as well: equal to brute force over all counts, held out or not."""
+    texts = [words(i, 15, "abcdefghijkl" if i % 3 else "abc\u00e9\u65e5") for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    streams = [lm_score.stream(t.encode().split()) for t in texts]
+    model = brute_model([s for i, s in enumerate(streams) if not is_held_out(i, 7, 2)], lm_score.ORDER)
+    expected = [
+        sum(np.log10(brute_chances(model, s[i - lm_score.ORDER : i])[s[i]]) for i in range(lm_score.ORDER, len(s))) for s in streams
+    ]
+    for contexts in (1, 30, 400):
+        made = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(docs, contexts=contexts).collect()}
+        assert np.allclose([made[i] for i in range(len(texts))], expected, rtol=1e-5)
+
+
 def test_probabilities_sum_to_one():
     draw = random.Random(1)
     streams = [lm_score.stream(words(i, 20, "abc").encode().split()) for i in range(20)]
