@@ -3,7 +3,8 @@
 Per document some statistics are made and transformed to a vector. Per language and source the
 mean and covariance of the ``share`` of rows that make the covariance smallest are found by
 concentration steps over all rows: distances, the quantile of the distances, new moments of the
-rows below it. Every step is a few aggregates in Spark; a group is only ever seen as its moments,
+rows below it, until no group's determinant falls any more. With half of the rows inside, up to
+half of a group may be bad. Every step is a few aggregates in Spark; a group is only ever seen as its moments,
 so a source with a third of all rows is summed like any other. Afterwards the usual reweighting
 follows, and rows whose squared Mahalanobis distance is over the chi-square quantile are rejected.
 """
@@ -27,8 +28,9 @@ FEATURES = ["log_words", "log_word_chars", "symbol_rate", "dup_line_rate", "repe
 #: Least standard deviation per feature: where most rows are equal (no symbol, no repeated line),
 #: a single symbol is not an outlier.
 FLOORS = [0.5, 0.1, 0.1, 0.15, 0.15]
-SHARE = 0.75
-STEPS = 4
+SHARE = 0.5
+#: A group goes on while the log of its determinant falls by more than this; the floors bound it from below.
+FALLS = 1e-4
 REWEIGHT = 0.975
 CUTOFF = 0.99999
 #: Smaller groups are pooled by language, and what is still small, as a whole.
@@ -182,26 +184,35 @@ def moments(rows: DataFrame, d: int) -> DataFrame:
 
 
 def estimates(found: DataFrame, d: int, factor: float, floors: list[float]) -> DataFrame:
-    """``grp, centre, mean, inverse``: inverse covariances, with the floors on the diagonal."""
-    schema = [("grp", pa.string()), ("centre", pa.list_(pa.float64())), ("mean", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64()))]
+    """``grp, centre, mean, inverse, determinant`` (its log): inverse covariances, with the floors on the diagonal."""
+    schema = [("grp", pa.string()), ("centre", pa.list_(pa.float64())), ("mean", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64())), ("determinant", pa.float64())]
     least = np.diag(np.square(floors))
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        means, inverses = [], []
+        means, inverses, determinants = [], [], []
         for row in batch.to_pylist():
             shift = np.array(row["sums"]) / row["n"]
             spread = np.array(row["products"]).reshape(d, d) / row["n"] - np.outer(shift, shift)
             means.append((np.array(row["centre"]) + shift).tolist())
             inverses.append(np.linalg.inv(factor * spread + least).ravel().tolist())
-        return table(schema, batch.column(0), batch.column(1), means, inverses)
+            determinants.append(np.linalg.slogdet(factor * spread + least)[1])
+        return table(schema, batch.column(0), batch.column(1), means, inverses, determinants)
 
-    return staged(map_batches(found, each, "grp string, centre array<double>, mean array<double>, inverse array<double>"), "estimates")
+    return staged(map_batches(found, each, "grp string, centre array<double>, mean array<double>, inverse array<double>, determinant double"), "estimates")
+
+
+def lower(current: DataFrame, found: DataFrame) -> DataFrame:
+    """The new estimates of the groups whose determinant falls; the others stay as they are."""
+    values = ["mean", "inverse", "determinant"]
+    both = current.join(found.select("grp", *[F.col(v).alias(f"_{v}") for v in values]), "grp", "left")
+    falls = F.coalesce(F.col("_determinant") < F.col("determinant") - FALLS, F.lit(False))
+    return staged(both.select("grp", "centre", *[F.when(falls, F.col(f"_{v}")).otherwise(F.col(v)).alias(v) for v in values], falls.alias("falls")), "estimates")
 
 
 def covariance_determinants(
-    rows: DataFrame, floors: list[float] = FLOORS, share: float = SHARE, steps: int = STEPS, reweight: float = REWEIGHT
+    rows: DataFrame, floors: list[float] = FLOORS, share: float = SHARE, reweight: float = REWEIGHT
 ) -> DataFrame:
-    """``grp, mean, inverse`` from rows ``grp, part, x``: robust estimates per group.
+    """``grp, mean, inverse, determinant`` from rows ``grp, part, x``: robust estimates per group.
 
     Starts from medians and absolute deviations, so it is deterministic. Quantiles are Spark's
     approximate ones; ties at the quantile are inside. A group of a few rows rests on the floors.
@@ -214,12 +225,16 @@ def covariance_determinants(
     diagonal = [
         (1 / (F.pow(1.4826 * F.col("wide")[i], 2) + floors[i] ** 2)) if i == j else F.lit(0.0) for i in range(d) for j in range(d)
     ]
-    current = staged(start.select("grp", "centre", F.col("centre").alias("mean"), F.array(*diagonal).alias("inverse")), "estimates")
-    for _ in range(steps):
-        far = with_group(rows, current).withColumn("far", squared_distance(d))
+    first = start.select(
+        "grp", "centre", F.col("centre").alias("mean"), F.array(*diagonal).alias("inverse"), F.lit(math.inf).alias("determinant"), F.lit(True).alias("falls")
+    )
+    current = staged(first, "estimates")
+    while current.where("falls").limit(1).count():
+        moving = current.where("falls").select("grp", "centre", "mean", "inverse")
+        far = with_group(rows, moving).withColumn("far", squared_distance(d))
         edge = far.groupBy("grp").agg(F.percentile_approx("far", share, 1000).alias("edge"))
-        inner = with_group(rows, current.join(edge, "grp")).where(squared_distance(d) <= F.col("edge"))
-        current = estimates(moments(inner, d), d, consistency(share, d), floors)
+        inner = with_group(rows, moving.join(edge, "grp")).where(squared_distance(d) <= F.col("edge"))
+        current = lower(current, estimates(moments(inner, d), d, consistency(share, d), floors))
     near = with_group(rows, current).where(squared_distance(d) <= chi_square_quantile(reweight, d))
     return estimates(moments(near, d), d, consistency(reweight, d), floors)
 

@@ -231,6 +231,24 @@ def test_outliers_are_found_and_prose_stays(spark):
     assert not any(kept[1000 + i] for i in range(60))
 
 
+def test_a_third_of_a_group_is_bad(spark):
+    draw = random.Random(18)
+
+    def word(low, high):
+        return "".join(draw.choice("abcdefghij") for _ in range(draw.randint(low, high)))
+
+    def prose(low=2, high=8, symbol=""):
+        return " ".join(word(low, high) + symbol for _ in range(draw.randint(60, 400)))
+
+    rows = [(i, prose(), "x", source) for i, source in enumerate(["symbols", "long", "clean"] * 200)]
+    rows += [(1000 + i, prose(symbol="#"), "x", "symbols") for i in range(100)]
+    rows += [(2000 + i, prose(38, 42), "x", "long") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    made = {r["row"]["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.quality_rules(docs, carry=["doc_id"]).collect()}
+    assert not any(failed for failed, _ in made.values())
+    assert [i for i, (_, kept) in made.items() if kept != (i < 1000)] == []
+
+
 def test_determinant_steps_against_numpy(spark):
     """A tenth of the rows lie far away; the estimate is that of the others."""
     draw = np.random.default_rng(3)
