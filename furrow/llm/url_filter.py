@@ -14,6 +14,7 @@ pages.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,9 +30,10 @@ RULES = [
     ("allow", "org", "/fr/"),
 ]
 DAMPING = 0.85
+#: Rounds of the SQL twin; the walk itself goes on until it has settled.
 ROUNDS = 20
 THRESHOLD = 0.5
-#: The walk ends early when no value moves by more than this.
+#: The walk has settled when no value moves by more than this share of its host's weight or gravity.
 SETTLED = 1e-12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?([^\"'\s>]+)"
@@ -65,10 +67,11 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return name, verdict
 
 
-def walk(hosts: DataFrame, links: DataFrame, damping: float, rounds: int) -> DataFrame:
+def walk(hosts: DataFrame, links: DataFrame, damping: float, rounds: int | None = None, settled: float = SETTLED) -> DataFrame:
     """``host, trust, distrust`` as shares of importance, from ``host, pages, good, bad`` and ``source, target, n``.
 
-    A host without links in a direction keeps its value in that direction.
+    A host without links in a direction keeps its value in that direction. Without ``rounds`` the
+    walk goes on until it has settled, and raises if it has not when the damping says that it must.
     """
     out = links.groupBy("source").agg(F.sum("n").alias("out"))
     into = links.groupBy("target").agg(F.sum("n").alias("into"))
@@ -84,7 +87,8 @@ def walk(hosts: DataFrame, links: DataFrame, damping: float, rounds: int) -> Dat
         "host-values",
     )
     first = now
-    for _ in range(rounds):
+    done, most = 0, rounds
+    while most is None or done < most:
         moved = edges.join(now, "host")
         sums = moved.groupBy(F.col("to").alias("host")).agg(
             *[F.sum(F.when(F.col("ahead") if v in ("trust", "weight") else ~F.col("ahead"), F.col("w") * F.col(v)).otherwise(0.0)).alias(f"_{v}") for v in values]
@@ -93,13 +97,20 @@ def walk(hosts: DataFrame, links: DataFrame, damping: float, rounds: int) -> Dat
         new = new.select(
             "host",
             *[(kept * F.col(v) + damping * F.col(f"_{v}")).alias(v) for v in values],
-            reduce(F.greatest, [F.abs(kept * F.col(v) + damping * F.col(f"_{v}") - F.col(f"{v}_")) for v in values]).alias("moved"),
+            *[F.abs(kept * F.col(v) + damping * F.col(f"_{v}") - F.col(f"{v}_")).alias(f"{v}_") for v in values],
         )
         new = staged(new, "host-values")
-        change = new.agg(F.max("moved")).first()[0]
-        now = new.drop("moved")
-        if change is None or change <= SETTLED:
+        parts = [F.when(F.col(f"{v}_") > 0, F.col(f"{v}_") / F.col(of)).otherwise(0.0) for v, of in zip(values, ["weight", "weight", "gravity", "gravity"])]
+        change = new.agg(F.max(reduce(F.greatest, parts))).first()[0]
+        now = new.select("host", *values)
+        done += 1
+        if change is None or change <= settled:
             break
+        if most is None:
+            most = most_rounds(first, now, damping, settled)
+    else:
+        if rounds is None:
+            raise RuntimeError(f"The walk has not settled after {done} rounds: {change} is over {settled}")
     return now.select(
         "host",
         F.when(F.col("weight") > 0, F.col("trust") / F.col("weight")).otherwise(0.0).alias("trust"),
@@ -107,11 +118,23 @@ def walk(hosts: DataFrame, links: DataFrame, damping: float, rounds: int) -> Dat
     )
 
 
+def most_rounds(first: DataFrame, second: DataFrame, damping: float, settled: float) -> int:
+    """Rounds after which no value can move by more than ``settled`` of its host's weight or gravity.
+
+    Round k moves no more than ``damping ** k`` of all there is at first, and no host's weight or
+    gravity gets under ``1 - damping`` of what it has after the first round (``second``).
+    """
+    values = ["trust", "weight", "distrust", "gravity"]
+    largest = max(first.agg(*[F.sum(v) for v in values]).first())
+    least = min(x for x in second.agg(*[F.min(F.when(F.col(v) > 0, F.col(v))) for v in ("weight", "gravity")]).first() if x is not None)
+    return math.ceil(math.log(settled * (1 - damping) * least / largest) / math.log(damping)) + 1
+
+
 def judge(
     pages: DataFrame,
     rules: list[tuple[str, str, str]] = RULES,
     damping: float = DAMPING,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
     threshold: float = THRESHOLD,
     key: str = "page_id",
     url: str = "url",

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from furrow.llm import components, fingerprints, line_dedup, quality, simhash, url_filter
@@ -325,3 +326,23 @@ def test_walk_against_numpy(spark):
     distrust = spread(m.T, start[:, 2]) / spread(m.T, start[:, 0])
     for i, h in enumerate(hosts):
         assert np.allclose(made[h], (trust[i], distrust[i]))
+
+
+def test_walk_goes_on_until_it_has_settled(spark, monkeypatch):
+    """A blocked host of many pages at the end of a chain of 30 others: distrust reaches all of them as far as it must."""
+    size, pages = 31, np.array([1.0] * 30 + [2000.0]) / 2030
+    hosts = [f"h{i}" for i in range(size)]
+    bad = np.where(np.arange(size) == size - 1, pages, 0.0)
+    frame = spark.createDataFrame([(h, float(p), 0.0, float(b)) for h, p, b in zip(hosts, pages, bad)], "host string, pages double, good double, bad double").coalesce(1)
+    links = spark.createDataFrame([(hosts[i], hosts[i + 1], 1) for i in range(size - 1)], "source string, target string, n long").coalesce(1)
+    made = {r["host"]: r["distrust"] for r in url_filter.walk(frame, links, 0.85).collect()}
+    back = np.diag(np.ones(size - 1), -1)
+    back[0, 0] = 1
+    both = np.stack([bad, pages])
+    distrust, gravity = np.linalg.solve((np.eye(size) - 0.85 * back).T, 0.15 * both.T).T
+    expected = distrust / gravity
+    assert np.allclose([made[h] for h in hosts], expected)
+    assert expected[:10].min() > url_filter.THRESHOLD
+    monkeypatch.setattr(url_filter, "most_rounds", lambda *_: 2)
+    with pytest.raises(RuntimeError):
+        url_filter.walk(frame, links, 0.85)
