@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import line_dedup
+from furrow.llm.filter_audit import audit
 from furrow.llm.fingerprints import with_neighbours
 from furrow.llm.language_id import held_out, identify
 from furrow.llm.lm_score import lm_scores
@@ -65,6 +66,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_weighted_sampling": op2_weighted_sampling,
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 OP6 = r"""
@@ -96,6 +102,47 @@ FROM keyed LEFT JOIN repeated r ON keyed.k = r.k
 GROUP BY doc_id
 """
 
+OP13 = r"""
+WITH docs AS MATERIALIZED (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), firsts AS (
+    SELECT text, min(doc_id) AS first_id FROM docs GROUP BY text
+), judged AS MATERIALIZED (
+    SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+        len(words) < 200 AS A, 100 * len(list_distinct(words)) < 50 * len(words) AS B,
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS C,
+        regexp_matches(text, '[#$%&*|]') AS D, first_id < d.doc_id AS E
+    FROM (SELECT d.*, first_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs d JOIN firsts USING (text)) d
+    LEFT JOIN labels USING (doc_id)
+), combos AS MATERIALIZED (
+    SELECT part, list_filter([CASE WHEN A THEN 'A' END, CASE WHEN B THEN 'B' END, CASE WHEN C THEN 'C' END,
+        CASE WHEN D THEN 'D' END, CASE WHEN E THEN 'E' END], lambda x: x IS NOT NULL) AS failed,
+        count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM judged GROUP BY ALL
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), orders AS (
+    SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+    SELECT filter_order, step, filter_order[step] AS own, string_split(filter_order[:step - 1], '') AS earlier
+    FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), counted AS (
+    SELECT part, filter_order, step, own,
+        coalesce(sum(n) FILTER (NOT list_contains(failed, own) AND NOT list_has_any(failed, earlier)), 0) AS kept,
+        coalesce(sum(n) FILTER (list_contains(failed, own) AND NOT list_has_any(failed, earlier)), 0) AS removed,
+        coalesce(sum(n) FILTER (list_contains(failed, own) AND list_has_any(failed, earlier)), 0) AS redundant,
+        coalesce(sum(n) FILTER (failed = [own]), 0) AS unique_fails,
+        coalesce(sum(good) FILTER (list_contains(failed, own) AND NOT list_has_any(failed, earlier)), 0) AS good_lost,
+        coalesce(sum(toxic) FILTER (list_contains(failed, own) AND NOT list_has_any(failed, earlier)), 0) AS toxic_lost
+    FROM combos, steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+    unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted
+"""
 
 
 def url_filter_sql() -> str:
@@ -159,4 +206,5 @@ FROM parsed
 ORACLES: dict[str, str] = {
     "op6_line_dedup": OP6,
     "op9_url_filter": url_filter_sql(),
+    "op13_filter_audit": OP13,
 }
