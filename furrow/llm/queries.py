@@ -11,7 +11,7 @@ from furrow.llm.filter_audit import audit
 from furrow.llm.fingerprints import with_neighbours
 from furrow.llm.language_id import held_out, identify
 from furrow.llm.lm_score import lm_scores
-from furrow.llm import periodic, pieces
+from furrow.llm import periodic, pieces, toxicity
 from furrow.llm.packing import pack
 from furrow.llm.quality import quality_rules
 from furrow.llm.simhash import near_duplicates
@@ -66,6 +66,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = toxicity.score(docs, model, carry=["doc_id"])
+    return found.select(
+        "row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = periodic.planted_periods(documents(spark, sf_dir))
     return periodic.digest_columns(periodic.periodic_runs(texts, least=24, power=3, carry=["doc_id"]))
@@ -86,6 +95,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_token_counts": op10_token_counts,
+    "op11_toxicity": op11_toxicity,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_filter_audit": op13_filter_audit,
 }
