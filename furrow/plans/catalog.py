@@ -779,6 +779,16 @@ def stream_latest(spark, sf):
     return latest_of_stream(stream, "user_id", ["ts", "event_id"], "value")
 
 
+@query
+def stream_latest_levels(spark, sf):
+    """The same in many small batches, merged into levels on the way."""
+    folder = scratch_path(spark, "events")
+    events = spark.read.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events.repartition(9, "event_id").write.parquet(folder)
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+    return latest_of_stream(stream, "user_id", ["ts", "event_id"], "value", fanout=3)
+
+
 @query
 def stream_scores(spark, sf):
     """Requests arriving as files, validated and scored by the batch functions."""

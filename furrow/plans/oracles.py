@@ -129,6 +129,7 @@ LATEST = """SELECT user_id, value AS latest FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
 ORACLES["latest_per_key"] = LATEST
 ORACLES["stream_latest"] = LATEST
+ORACLES["stream_latest_levels"] = LATEST
 ORACLES["distinct_profile"] = _farm(_union(
     f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct FROM farm"
     for c in ("crop_name", "season", "region_type", "market_location", "customer_type", "demand_level")))
