@@ -1,25 +1,32 @@
-"""Area split across crops, for any number of farms at once.
+"""Area split across crops, for any number of farms of any size at once.
 
-A farm's rows are one per candidate crop, so its size is bounded by the crop
-vocabulary; ``one_row_per_crop`` enforces that before any per-farm step.
+Only farms of a bounded size enter a window or an array: with a least share, a farm of more than
+``1 / min_share`` rows has no split within the bounds. Larger farms are told apart by an aggregate with one row
+per farm; their rows meet its sums in a join that stays balanced when one farm holds most rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow import fixed_values as fixed
 from furrow.functions import limits as limit_prices
+from furrow.operators.joins import lookup_join
+from furrow.operators.ordering import sequential_ids
+from furrow.session import cut_lineage, measured
 
 # executors need not have this package: the solver travels with the task
 cloudpickle.register_pickle_by_value(limit_prices)
 
 KEYS = ("farm", "crop")
+#: Rows of a farm that a window holds at most where the shares set no lower limit.
+FARM_ROWS = 1000
 
 
 def one_row_per_crop(df: DataFrame, value: str = "profit", keys: tuple[str, str] = KEYS, keep: tuple[str, ...] = ("area",)) -> DataFrame:
@@ -32,6 +39,26 @@ def with_profit(df: DataFrame) -> DataFrame:
     return df.withColumn("profit", F.coalesce(F.when(~F.isnan(F.col("profit").cast("double")), F.col("profit")), F.lit(0.0)))
 
 
+def by_size(df: DataFrame, most: int, **sums: Column) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the farms with at most ``most`` rows, and those of larger farms with their ``sums``, if there are any.
+
+    Both have ``_row``, a number per row. The sums are combined before the shuffle; only those of large farms
+    are kept, and their rows are joined with them without a task that holds a whole farm.
+    """
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    counted = rows.groupBy("farm").agg(F.count(F.lit(1)).alias("_n"), *[value.alias(name) for name, value in sums.items()])
+    large, size = measured(counted.where(F.col("_n") > most))
+    if size == 0:
+        return rows, None
+    small = lookup_join(rows, large.select("farm"), ["farm"], how="left_anti", null_safe=True, known_bytes=size)
+    return small, lookup_join(rows, large, ["farm"], how="inner", null_safe=True, known_bytes=size)
+
+
+def most_rows(min_share: float) -> int:
+    """Rows of a farm that can all have the least share."""
+    return math.floor(1 / min_share + 1e-9) if min_share * FARM_ROWS > 1 else FARM_ROWS
+
+
 def allocate(
     df: DataFrame, min_share: float = fixed.MIN_SHARE, max_share: float = fixed.CLASS_MAX_SHARE, places: int | None = 2
 ) -> DataFrame:
@@ -40,37 +67,84 @@ def allocate(
     Every crop gets the lower bound; what remains goes to the crops in profit order,
     each up to the upper bound. Equal profits are served in crop order. When the
     bounds cannot add up to the area, shares follow the profits (status 'fallback',
-    no total).
+    no total). A farm may have any number of rows.
     """
+    small, large = by_size(with_profit(df), most_rows(min_share), _weight=F.sum("profit"))
+    total = _window_split(small, df.columns, min_share, max_share)
+    if large is not None:
+        total = total.unionByName(_large_split(large, df.columns, min_share, max_share))
+    if places is None:
+        return total
+    return total.withColumns({c: F.bround(c, places) for c in ("allocation", "total_profit")})
+
+
+def _possible(n: str, min_share: float, max_share: float) -> str:
+    return f"({n} * {min_share!r}D <= 1D + 1e-12D and {n} * {max_share!r}D >= 1D - 1e-12D)"
+
+
+def _window_split(df: DataFrame, columns: list[str], min_share: float, max_share: float) -> DataFrame:
     low, high = f"(area * {min_share!r}D)", f"(area * {max_share!r}D)"
     per_farm = "over (partition by farm)"
-    ranked = with_profit(df).selectExpr(
+    ranked = df.selectExpr(
         "*",
         f"count(1) {per_farm} as _n",
         f"sum(profit) {per_farm} as _weight",
         "row_number() over (partition by farm order by profit desc, crop) as _rank",
     )
-    possible = f"(_n * {min_share!r}D <= 1D + 1e-12D and _n * {max_share!r}D >= 1D - 1e-12D)"
+    possible = _possible("_n", min_share, max_share)
     room = f"(area - _n * {low} - (_rank - 1) * ({high} - {low}))"
     best = f"({low} + greatest(0D, least({high} - {low}, {room})))"
     split = ranked.selectExpr(
-        *df.columns,
+        *columns,
         f"if({possible}, {best}, area * try_divide(profit, _weight)) as allocation",
         f"if({possible}, 'optimized', 'fallback') as status",
     )
-    total = split.selectExpr(
-        "*", f"if(status = 'optimized', sum(allocation * profit) {per_farm}, null) as total_profit"
+    return split.selectExpr("*", f"if(status = 'optimized', sum(allocation * profit) {per_farm}, null) as total_profit")
+
+
+def _large_split(df: DataFrame, columns: list[str], min_share: float, max_share: float) -> DataFrame:
+    """Farms beyond ``most_rows``: without a least share the best crops fill the area, all others have shares by profit.
+
+    The rank is asked for the first ``1 / max_share`` rows only, so Spark keeps that many per farm and
+    task before it shuffles.
+    """
+    possible = _possible("_n", min_share, max_share)
+    follow = df.where(f"not {possible}").selectExpr(
+        *columns, "area * try_divide(profit, _weight) as allocation", "'fallback' as status", "cast(null as double) as total_profit"
+    )
+    if min_share * FARM_ROWS > 1:
+        return follow
+    low, high = f"(area * {min_share!r}D)", f"(area * {max_share!r}D)"
+    served = math.ceil(1 / max_share) + 1
+    best = df.where(possible).selectExpr("*", "row_number() over (partition by farm order by profit desc, crop, _row) as _rank")
+    filled = best.where(f"_rank <= {served}").selectExpr(
+        "_row", "farm", "profit", f"greatest(0D, least({high} - {low}, area - _n * {low} - (_rank - 1) * ({high} - {low}))) as _more"
     )
-    if places is None:
-        return total
-    return total.withColumns({c: F.bround(c, places) for c in ("allocation", "total_profit")})
+    filled = cut_lineage(filled)
+    rest = df.where(possible).join(filled.select("_row", "_more"), "_row", "left")
+    split = rest.selectExpr(*columns, f"{low} + coalesce(_more, 0D) as allocation", "'optimized' as status")
+    totals = split.groupBy("farm").agg(F.sum(F.col("allocation") * F.col("profit")).alias("total_profit"))
+    return follow.unionByName(lookup_join(split, totals, ["farm"], null_safe=True).select(*follow.columns))
 
 
 def with_targets(df: DataFrame, factor: float = fixed.SOFTMAX_FACTOR) -> DataFrame:
-    """Target area of each crop: softmax of the profits within the farm."""
-    shifted = with_profit(df).selectExpr("*", "max(profit) over (partition by farm) as _top")
-    weighed = shifted.selectExpr("*", f"exp({factor!r}D * (profit - _top)) as _score")
-    return weighed.selectExpr(*df.columns, "area * _score / sum(_score) over (partition by farm) as target")
+    """Target area of each crop: softmax of the profits within the farm, which may have any number of rows."""
+    return _targets(df, FARM_ROWS, factor).select(*df.columns, "target")
+
+
+def _targets(df: DataFrame, most: int, factor: float) -> DataFrame:
+    """The rows with ``target`` and, for farms of at most ``most`` rows, their count ``_n``."""
+    small, large = by_size(with_profit(df), most, _top=F.max("profit"))
+    shifted = small.selectExpr("*", "max(profit) over (partition by farm) as _top", "count(1) over (partition by farm) as _n")
+    score = f"exp({factor!r}D * (profit - _top)) as _score"
+    share = "area * _score / {} as target"
+    made = shifted.selectExpr("*", score).selectExpr(*df.columns, share.format("sum(_score) over (partition by farm)"), "_n")
+    if large is None:
+        return made
+    weighed = large.selectExpr("*", score)
+    sums = weighed.groupBy("farm").agg(F.sum("_score").alias("_sum"))
+    joined = lookup_join(weighed, sums, ["farm"], null_safe=True)
+    return made.unionByName(joined.selectExpr(*df.columns, share.format("_sum"), "cast(null as bigint) as _n"))
 
 
 def allocate_smooth(
@@ -87,7 +161,7 @@ def allocate_smooth(
     The allocated total falls piecewise linearly with the price, so it is evaluated at
     the breakpoints and interpolated between the two that enclose the farm's area.
     """
-    targets = _sized(with_targets(df, factor), min_share, max_share)
+    targets = _sized(df, min_share, max_share, factor)
     priced = _with_price(_packed(targets.where("_fits"), []), min_share, max_share, smoothing)
     split = _unpacked(priced, min_share, max_share, smoothing)
     return split.unionByName(_no_split(targets, []))
@@ -108,7 +182,7 @@ def allocate_resources(
     """
     extra = ["water_per_area", "fert_per_area"]
     limits = ["water_limit", "fertilizer_limit"]
-    targets = _sized(with_targets(df, factor), min_share, max_share)
+    targets = _sized(df, min_share, max_share, factor)
     packed = _packed(targets.where("_fits"), extra, limits).select("farm", "area", *limits, "crops")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,10 +200,12 @@ def allocate_resources(
     return split.unionByName(_no_split(targets, [*extra, *limits]))
 
 
-def _sized(df: DataFrame, min_share: float, max_share: float) -> DataFrame:
-    """Mark farms whose bounds can add up: they have at most 1 / min_share crops."""
-    n = "count(1) over (partition by farm)"
-    return df.selectExpr("*", f"{n} * {min_share!r}D <= 1D + 1e-9D and {n} * {max_share!r}D >= 1D - 1e-9D as _fits")
+def _sized(df: DataFrame, min_share: float, max_share: float, factor: float) -> DataFrame:
+    """Targets, and a mark on farms whose bounds can add up: they have at most 1 / min_share crops."""
+    if min_share * FARM_ROWS <= 1:
+        raise ValueError(f"the least share must be over 1 / {FARM_ROWS}: it bounds the crops of a farm")
+    fits = f"coalesce(_n * {min_share!r}D <= 1D + 1e-9D and _n * {max_share!r}D >= 1D - 1e-9D, false) as _fits"
+    return _targets(df, most_rows(min_share), factor).selectExpr("* except (_n)", fits)
 
 
 def _no_split(targets: DataFrame, extra: list[str]) -> DataFrame:
@@ -175,7 +251,10 @@ def _unpacked(priced: DataFrame, min_share: float, max_share: float, smoothing:
 
 
 def allocation_report(df: DataFrame, places: int = 2) -> DataFrame:
-    """Area, share, profit and resources per crop, largest area first within a farm; farms without a split keep their status."""
+    """Area, share, profit and resources per crop, largest area first within a farm; farms without a split keep their status.
+
+    Places in farms of more than ``FARM_ROWS`` rows come from one order over all of them, not from a window.
+    """
     figures = {
         "crop_area": "allocation",
         "percentage": "try_divide(allocation, area) * 100",
@@ -184,15 +263,22 @@ def allocation_report(df: DataFrame, places: int = 2) -> DataFrame:
         "water_used_est": "water_per_area * allocation",
         "fertilizer_used_est": "fert_per_area * allocation",
         "target_area": "target",
-        "total_profit": "sum(profit * allocation) over (partition by farm)",
+        "total_profit": "_total",
     }
-    return df.selectExpr(
-        "farm",
-        "crop",
+    shown = ["farm", "crop", "place", *[f"round({value}, {places}) as {name}" for name, value in figures.items()], "status"]
+    small, large = by_size(df, FARM_ROWS, _total=F.sum(F.col("profit") * F.col("allocation")))
+    made = small.selectExpr(
+        "*",
         f"row_number() over (partition by farm order by round(allocation, {places}) desc, crop) as place",
-        *[f"round({value}, {places}) as {name}" for name, value in figures.items()],
-        "status",
-    )
+        "sum(profit * allocation) over (partition by farm) as _total",
+    ).selectExpr(*shown)
+    if large is None:
+        return made
+    order = [F.col("farm"), F.expr(f"round(allocation, {places})").desc(), F.col("crop"), F.col("_row")]
+    placed = sequential_ids(large, order, "_place")
+    first = placed.groupBy("farm").agg(F.min("_place").alias("_first"))
+    ranked = lookup_join(placed, first, ["farm"], null_safe=True)
+    return made.unionByName(ranked.selectExpr("*", "cast(_place - _first + 1 as int) as place").selectExpr(*shown))
 
 
 def recommendations(report: DataFrame) -> DataFrame:

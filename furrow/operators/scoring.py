@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from furrow import fixed_values as fixed
 from furrow.operators import enrich
 from furrow.operators.allocation import allocate
+from furrow.operators.joins import lookup_join
 from furrow.operators.ml import DEMAND, PRICE, PROFIT, YIELD, ModelSpec, prepared, readable_predictions
 from furrow.session import cut_lineage
 
@@ -119,15 +120,17 @@ def candidate_profits(requests: DataFrame, context: Context, profit: PipelineMod
     """Profit per hectare of every candidate crop of every request.
 
     Negative predictions count as 0; a request whose crops all have 0 takes the crops'
-    prices instead.
+    prices instead. The best profit of a request is an aggregate and a lookup, not a window.
     """
     crops = enriched(enrich.candidate_crops(requests), context, hectares="1D", filled_supply=True)
     inputs = crops.withColumn("actual_yield", F.col("base_yield_per_ha"))
     scored = predicted(inputs, profit, PROFIT, "_profit").selectExpr(
         "request_id", "position", "crop_name", "area_donums", "market_price", "greatest(_profit, 0D) as _profit"
     )
-    best = "max(_profit) over (partition by request_id)"
-    return scored.selectExpr("* except (_profit)", f"if({best} = 0D, market_price, _profit) as profit")
+    rows = cut_lineage(scored)
+    best = rows.groupBy("request_id").agg(F.max("_profit").alias("_best"))
+    known = lookup_join(rows, best, ["request_id"], null_safe=True)
+    return known.selectExpr("* except (_profit, _best)", "if(_best = 0D, market_price, _profit) as profit")
 
 
 def allocate_requests(
