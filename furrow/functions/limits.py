@@ -1,18 +1,24 @@
 """Area splits under water and fertilizer limits, numpy over a batch of farms.
 
-Each farm has a price for area, water and fertilizer. The area price is exact for given
-other two; those are found by nested one-dimensional searches, all farms at once.
+Each farm has a price for area, water and fertilizer. For given prices the best split is known crop by
+crop, and what it uses beyond the three caps is the slope of the dual objective, a concave function of
+quadratic pieces. The walk goes up that function: in each step the prices of the binding caps move along the
+Newton direction of the piece they stand on, and the best point of that line is found exactly among the
+breakpoints where a crop reaches or leaves a bound. It ends on the piece that holds the optimum; the prices
+prove the split (no slope is left, and a price is above zero only where its limit is used up).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 
 TOLERANCE = 1e-9
+#: Steps after which a walk that rounding keeps from its end is given up.
+STEPS = 400
+PRICES = ("area_price", "water_price", "fertilizer_price")
 
 
 @dataclass
@@ -25,14 +31,22 @@ class Farms:
     cap: np.ndarray  # (farms, 3)
     low: np.ndarray
     high: np.ndarray
+    scale: np.ndarray  # (farms, 3): what the uses and caps were multiplied by
     pull: float
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.profit, self.target, self.use, self.cap, self.low, self.high, self.scale
+
     def pick(self, rows: np.ndarray) -> Farms:
-        return Farms(*(x[rows] for x in (self.profit, self.target, self.use, self.cap, self.low, self.high)), self.pull)
+        return Farms(*(x[rows] for x in self.arrays()), self.pull)
 
     def wide(self) -> Farms:
         """The same in long doubles, for profits that are huge beside the areas."""
-        return Farms(*(x.astype(np.longdouble) for x in (self.profit, self.target, self.use, self.cap, self.low, self.high)), self.pull)
+        return Farms(*(x.astype(np.longdouble) for x in self.arrays()), self.pull)
+
+    def wishes(self, prices: np.ndarray) -> np.ndarray:
+        """Amounts at given prices, were there no bounds."""
+        return self.target + (self.profit - np.einsum("fkc,fk->fc", self.use, prices)) / self.pull
 
     def excess(self, amounts: np.ndarray) -> np.ndarray:
         return np.einsum("fkc,fc->fk", self.use, amounts) - self.cap
@@ -42,16 +56,18 @@ def solve_bound(rows: pd.DataFrame, min_share: float, max_share: float, smoothin
     rows = rows.reset_index(drop=True)
     sizes = np.array([len(crops) for crops in rows["crops"]], dtype=int)
     farms = _padded(rows, sizes, min_share, max_share, smoothing)
-    amounts = np.zeros_like(farms.target)
+    amounts, prices = np.zeros_like(farms.target), np.zeros((len(rows), 3))
     possible = _reachable(farms)
     todo = np.flatnonzero(possible)
     if len(todo):
-        amounts[todo] = _bound_split(farms.pick(todo))
+        prices[todo], ended = walk(farms.pick(todo))
+        again = todo[~ended]
+        if len(again):  # kept from the end by rounding, or without any split
+            prices[again], ended = walk(farms.pick(again).wide())
+            possible[again[~ended]] = False
+        amounts[todo] = np.clip(farms.wishes(prices), farms.low, farms.high)[todo]
     keeps = possible & _feasible(farms, amounts, 1e-6)
-    again = np.flatnonzero(possible & ~keeps)
-    if len(again):  # lost to rounding, not to the limits
-        amounts[again] = _bound_split(farms.pick(again).wide())
-        keeps = possible & _feasible(farms, amounts, 1e-6)
+    shown = np.where(keeps[:, None], prices * farms.scale, np.nan)
     area = farms.cap[:, 0] if len(rows) else np.zeros(0)
     return pd.DataFrame(
         {
@@ -61,6 +77,7 @@ def solve_bound(rows: pd.DataFrame, min_share: float, max_share: float, smoothin
             "fertilizer_limit": rows["fertilizer_limit"],
             "status": np.where(keeps, "optimized", "infeasible"),
             "crops": rows["crops"],
+            **{name: [x if ok else None for x, ok in zip(shown[:, k], keeps)] for k, name in enumerate(PRICES)},
             "amounts": [list(a[:n]) if ok else [None] * n for a, n, ok in zip(amounts, sizes, keeps)],
         }
     )
@@ -77,7 +94,7 @@ def _padded(rows: pd.DataFrame, sizes: np.ndarray, min_share: float, max_share:
         return out
 
     area = rows["area"].to_numpy(float)
-    caps = [area]
+    caps, scales = [area], [np.ones_like(area)]
     uses = [real.astype(float)]
     for need, limit in (("water_per_area", "water_limit"), ("fert_per_area", "fertilizer_limit")):
         cap = rows[limit].astype(float).to_numpy()
@@ -87,9 +104,10 @@ def _padded(rows: pd.DataFrame, sizes: np.ndarray, min_share: float, max_share:
         scale = area / np.where(cap > 0, cap, 1.0)
         uses.append(np.where(free[:, None], 0.0, grid(need) * scale[:, None]))
         caps.append(np.where(free, area, cap * scale))
+        scales.append(np.where(free, 0.0, scale))
     return Farms(
         grid("profit"), grid("target"), np.stack(uses, axis=1), np.stack(caps, axis=1),
-        real * area[:, None] * min_share, real * area[:, None] * max_share, 2 * smoothing,
+        real * area[:, None] * min_share, real * area[:, None] * max_share, np.stack(scales, axis=1), 2 * smoothing,
     )
 
 
@@ -114,88 +132,100 @@ def _reachable(farms: Farms) -> np.ndarray:
     return fits
 
 
-def _bound_split(farms: Farms) -> np.ndarray:
-    """Fertilizer price outside, water price inside, exact area price innermost."""
-
-    def thrifty(fert_price: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        part = farms.pick(rows)
-
-        def over_water(price: np.ndarray, inner: np.ndarray) -> np.ndarray:
-            some = part.pick(inner)
-            return some.excess(_area_split(some, price, fert_price[inner]))[:, 1] / some.cap[:, 0]
-
-        bound = _price_bound(part, 1, fert_price[:, None] * part.use[:, 2])
-        return _area_split(part, _least_price(over_water, bound, TOLERANCE / 100), fert_price)
-
-    def over_fert(price: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return farms.pick(rows).excess(thrifty(price, rows))[:, 2] / farms.cap[rows, 0]
-
-    everyone = np.arange(len(farms.cap))
-    # the water price that answers a fertilizer price may cost a crop as much as its own bound does
-    water = _price_bound(farms, 1, 0.0)[:, None] * farms.use[:, 1]
-    return thrifty(_least_price(over_fert, _price_bound(farms, 2, water), TOLERANCE), everyone)
-
-
-def _price_bound(farms: Farms, k: int, cost: np.ndarray | float) -> np.ndarray:
-    """A price of use ``k`` beyond which crops are served in the order of that use alone.
-
-    It is the largest difference between the crops' gains over the least difference
-    between their uses; ``cost`` is what the other limit takes from the gains at most.
+def walk(farms: Farms) -> tuple[np.ndarray, np.ndarray]:
+    """Prices of the optimum per farm, and whether the walk ended there; without a split it cannot end."""
+    start = np.zeros_like(farms.cap)
+    start[:, 0] = _area_price(farms)
+    prices, ended = start, np.zeros(len(start), bool)
+    live = np.arange(len(start))
+    fine = 1e-12 if farms.cap.dtype == np.longdouble else 1e-13
+    for _ in range(STEPS):
+        part, at = farms.pick(live), prices[live]
+        wish = part.wishes(at)
+        slope = part.excess(np.clip(wish, part.low, part.high))
+        # water and fertilizer count where they are used up or have a price
+        moves = np.concatenate([np.ones((len(live), 1), bool), (at[:, 1:] > 0) | (slope[:, 1:] > 0)], axis=1)
+        slope = np.where(moves, slope, 0)
+        done = np.abs(slope).max(1) <= fine * np.maximum(np.abs(part.cap[:, 0]), np.abs(part.use).max((1, 2)) * part.high.max(1))
+        ended[live[done]] = True
+        live, part, at, wish, slope, moves = live[~done], part.pick(~done), at[~done], wish[~done], slope[~done], moves[~done]
+        if not len(live):
+            break
+        for _ in range(3):
+            way = _newton(part, wish, slope, moves)
+            back = (at <= 0) & (way < 0) & (np.arange(3) > 0)
+            if not back.any():
+                break
+            # a price of zero cannot fall: it stays, and the others find their way without it
+            moves = moves & ~back
+            slope = np.where(moves, slope, 0)
+        far = _best_step(part, wish, slope, way)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            room = np.where((way < 0) & (np.arange(3) > 0), -at / way, np.inf)
+        least = room.min(1)
+        endless = ~np.isfinite(np.minimum(far, least))
+        # no breakpoint ends the rise: prices without a bound, so no split keeps the limits
+        step = np.where(endless, 0, np.minimum(far, least))
+        moved = at + step[:, None] * way
+        moved[:, 1:] = np.where((room[:, 1:] <= step[:, None]) & (way[:, 1:] < 0), 0, np.maximum(moved[:, 1:], 0))
+        prices[live] = moved
+        live = live[~endless]
+        if not len(live):
+            break
+    return prices.astype(float), ended
+
+
+def _newton(farms: Farms, wish: np.ndarray, slope: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Direction to the top of the quadratic piece; upwards also where the piece is flat."""
+    inner = (wish > farms.low) & (wish < farms.high)
+    use = (farms.use * moves[:, :, None]).astype(float)
+    bend = np.einsum("fkc,flc->fkl", use * inner[:, None, :], use) / farms.pull
+    size = np.trace(bend, axis1=1, axis2=2)
+    some = np.where(size > 0, size, 1.0)
+    bend += np.eye(3) * (1e-13 * some)[:, None, None]
+    bend += np.eye(3) * np.where(moves, 0.0, 1.0)[:, :, None]
+    way = np.linalg.solve(bend, slope.astype(float)[:, :, None])[:, :, 0]
+    way = np.where(moves, way, 0)
+    rises = (way * slope).sum(1) > 0
+    slope = np.where(moves, slope, 0)
+    return np.where((rises & (size > 0))[:, None], way, slope)
+
+
+def _best_step(farms: Farms, wish: np.ndarray, slope: np.ndarray, way: np.ndarray) -> np.ndarray:
+    """Length of the step to the best point on the line, infinite if it rises for ever.
+
+    The rise along the line falls piecewise linearly; a crop takes part between the two points where its
+    amount meets its bounds.
     """
-    real = farms.use[:, 0] > 0
-    top = np.where(real, farms.profit + farms.pull * (farms.target - farms.low), -np.inf).max(1)
-    bottom = np.where(real, farms.profit + farms.pull * (farms.target - farms.high) - cost, np.inf).min(1)
-    steps = np.diff(np.sort(np.where(real, farms.use[:, k], np.nan), axis=1), axis=1)
-    least = np.where(steps > 1e-12, steps, np.inf).min(1, initial=np.inf)
-    return 1 + np.maximum(top - bottom, 0) / least
-
-
-def _least_price(over: Callable[[np.ndarray, np.ndarray], np.ndarray], bound: np.ndarray, tolerance: float) -> np.ndarray:
-    """Smallest price >= 0 without excess, per row; at most ``bound``, where no excess can be left.
-
-    The excess falls continuously and piecewise linearly with the price, so a bracketed
-    secant (with a bisection every fourth step) needs few evaluations. Rows that are
-    settled leave the search.
-    """
-    price = np.zeros_like(bound)
-    finest = 8 * np.finfo(bound.dtype).eps
-    found = over(price, np.arange(len(bound)))
-    rows = np.flatnonzero(found > tolerance)
-    if not len(rows):
-        return price
-    low, f_low = np.zeros(len(rows)), found[rows]
-    most = bound[rows]
-    high = np.minimum(1.0, most)
-    f_high = over(high, rows)
-    while (short := (f_high > 0) & (high < most)).any():
-        low[short], f_low[short] = high[short], f_high[short]
-        high[short] = np.minimum(4 * high[short], most[short])
-        f_high[short] = over(high[short], rows[short])
-    price[rows] = high
-    live = np.flatnonzero((f_high <= 0) & (f_high < -tolerance))
-    step = -1
-    while len(live):  # every fourth step halves the bracket, so all rows settle
-        step += 1
-        lo, hi, flo, fhi = low[live], high[live], f_low[live], f_high[live]
-        middle = (lo + hi) / 2
-        if step % 4 != 3:
-            secant = lo + (hi - lo) * flo / (flo - fhi)
-            middle = np.where((secant > lo) & (secant < hi), secant, middle)
-        f = over(middle, rows[live])
-        above = f > 0
-        # the end that stays is weighted down, so the other end moves next time
-        f_high[live] = np.where(above, fhi / 2, f)
-        f_low[live] = np.where(above, f, flo / 2)
-        low[live], high[live] = np.where(above, middle, lo), np.where(above, hi, middle)
-        price[rows[live]] = np.where(np.abs(f) <= tolerance, middle, high[live])
-        live = live[(np.abs(f) > tolerance) & (high[live] - low[live] > finest * high[live])]
-    return price
-
-
-def _area_split(farms: Farms, water_price: np.ndarray, fert_price: np.ndarray) -> np.ndarray:
-    """Exact split for given prices: the total falls piecewise linearly in the area price."""
-    gain = farms.profit - water_price[:, None] * farms.use[:, 1] - fert_price[:, None] * farms.use[:, 2]
-    start, stop = gain + farms.pull * (farms.target - farms.high), gain + farms.pull * (farms.target - farms.low)
+    speed = np.einsum("fkc,fk->fc", farms.use, way)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ends = np.stack([(wish - farms.high) * farms.pull / speed, (wish - farms.low) * farms.pull / speed])
+    still = speed == 0
+    first = np.where(still, 0, np.maximum(ends.min(0), 0))
+    last = np.where(still, 0, np.maximum(ends.max(0), 0))
+    falls = np.where(still, 0, speed**2 / farms.pull)
+    points = np.concatenate([first, last], axis=1)
+    turn = np.concatenate([-falls, falls], axis=1)
+    order = np.argsort(points, axis=1, kind="stable")
+    points, turn = np.take_along_axis(points, order, 1), np.take_along_axis(turn, order, 1)
+    bend = np.cumsum(turn, axis=1)
+    rise = (slope * way).sum(1, keepdims=True)
+    at = np.concatenate([rise, rise + np.cumsum(bend[:, :-1] * np.diff(points, axis=1), axis=1)], axis=1)
+    over = at > 0
+    left = np.where(over.all(1), at.shape[1] - 1, np.argmin(over, axis=1) - 1)
+    rows = np.arange(len(at))
+    left = np.maximum(left, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        more = np.where(bend[rows, left] < 0, -at[rows, left] / bend[rows, left], np.inf)
+    # after the last breakpoint nothing changes any more: what is left there is a true rise or rounding
+    tail = over.all(1)
+    rounding = at[:, -1] <= 1e-12 * np.abs(rise[:, 0])
+    return np.where(tail, np.where(rounding, points[:, -1], np.inf), points[rows, left] + more)
+
+
+def _area_price(farms: Farms) -> np.ndarray:
+    """Exact area price while the limits cost nothing: the total falls piecewise linearly with it."""
+    start, stop = farms.profit + farms.pull * (farms.target - farms.high), farms.profit + farms.pull * (farms.target - farms.low)
     points = np.concatenate([start, stop], axis=1)
     turn = np.concatenate([-np.ones_like(start), np.ones_like(stop)], axis=1) * np.tile(farms.use[:, 0], (1, 2)) / farms.pull
     order = np.argsort(points, axis=1)
@@ -206,6 +236,5 @@ def _area_split(farms: Farms, water_price: np.ndarray, fert_price: np.ndarray) -
     left = np.maximum((total >= farms.cap[:, :1]).sum(1) - 1, 0)
     rows = np.arange(len(points))
     slope = slopes[rows, left]
-    step = np.divide(farms.cap[:, 0] - total[rows, left], slope, out=np.zeros(len(rows)), where=slope < 0)
-    price = points[rows, left] + step
-    return np.clip(farms.target + (gain - price[:, None]) / farms.pull, farms.low, farms.high)
+    step = np.divide(farms.cap[:, 0] - total[rows, left], slope, out=np.zeros_like(farms.cap[:, 0]), where=slope < 0)
+    return points[rows, left] + step

@@ -176,9 +176,10 @@ def allocate_resources(
 ) -> DataFrame:
     """``allocate_smooth`` under a water and a fertilizer limit per farm.
 
-    Extra columns: water_per_area, fert_per_area, water_limit, fertilizer_limit. Farms
-    are solved together, one Arrow batch at a time; those whose unlimited split keeps
-    both limits are done after one evaluation.
+    Extra columns: water_per_area, fert_per_area, water_limit, fertilizer_limit. The prices of area,
+    water and fertilizer come with the split: it is clip(target + (profit - prices * uses) / 2s, low, high),
+    and a price is above 0 only where its limit is used up, which proves it optimal. Farms are solved
+    together, one Arrow batch at a time.
     """
     extra = ["water_per_area", "fert_per_area"]
     limits = ["water_limit", "fertilizer_limit"]
@@ -192,12 +193,42 @@ def allocate_resources(
     types = dict(packed.dtypes)
     schema = ", ".join(
         [f"farm {types['farm']}", "area double", *[f"{name} double" for name in limits], "status string",
-         f"crops {types['crops']}", "amounts array<double>"]
+         f"crops {types['crops']}", *[f"{name} double" for name in limit_prices.PRICES], "amounts array<double>"]
     )
     solved = packed.mapInPandas(solve, schema)
-    rows = solved.selectExpr("farm", "area", *limits, "status", "inline(arrays_zip(crops, amounts))")
-    split = rows.selectExpr("farm", "crops.*", "area", *limits, "amounts as allocation", "status")
-    return split.unionByName(_no_split(targets, [*extra, *limits]))
+    prices = list(limit_prices.PRICES)
+    rows = solved.selectExpr("farm", "area", *limits, *prices, "status", "inline(arrays_zip(crops, amounts))")
+    split = rows.selectExpr("farm", "crops.*", "area", *limits, "amounts as allocation", *prices, "status")
+    return split.unionByName(_no_split(targets, [*extra, *limits]), allowMissingColumns=True)
+
+
+def proven(df: DataFrame, min_share: float = fixed.MIN_SHARE, max_share: float = fixed.MAX_SHARE, smoothing: float = fixed.SMOOTHING) -> DataFrame:
+    """One row per farm of ``allocate_resources``: whether its split and prices meet the conditions of the optimum.
+
+    These are the sums and limits, the bounds and the amount that the prices ask for, and complementary
+    slackness: a limit that is not used up has no price. Null where there is no split.
+    """
+    low, high = f"area * {min_share!r}D", f"area * {max_share!r}D"
+    asked = f"target + (profit - area_price - water_price * coalesce(water_per_area, 0D) - fertilizer_price * coalesce(fert_per_area, 0D)) / {2 * smoothing!r}D"
+    rows = df.selectExpr("*", f"abs(allocation - greatest({low}, least({high}, {asked}))) <= 1e-6D * area as _asked",
+                         f"allocation between {low} - 1e-9D * area and {high} + 1e-9D * area as _bounds")
+    sums = rows.groupBy("farm").agg(
+        F.max("status").alias("status"), F.max("area").alias("area"), F.count(F.lit(1)).alias("crops"), F.sum("allocation").alias("_sum"),
+        *[F.max(c).alias(c) for c in ("water_limit", "fertilizer_limit", "water_price", "fertilizer_price")],
+        F.sum(F.expr("allocation * coalesce(water_per_area, 0D)")).alias("_water"), F.sum(F.expr("allocation * coalesce(fert_per_area, 0D)")).alias("_fertilizer"),
+        F.bool_and("_bounds").alias("in_bounds"), F.bool_and("_asked").alias("as_priced"),
+    )
+    def kept(use: str, limit: str) -> str:
+        return f"coalesce({use} <= {limit} * (1 + 1e-6D), true)"
+
+    def slack(use: str, limit: str, price: str) -> str:
+        return f"({price} >= 0 and coalesce({price} = 0 or abs({use} - {limit}) <= 1e-6D * {limit}, true))"
+
+    return sums.selectExpr(
+        "farm", "status", "crops", "in_bounds", "as_priced", "abs(_sum - area) <= 1e-6D * area as sums_up",
+        f"if(_sum is null, null, {kept('_water', 'water_limit')} and {kept('_fertilizer', 'fertilizer_limit')}) as within_limits",
+        f"{slack('_water', 'water_limit', 'water_price')} and {slack('_fertilizer', 'fertilizer_limit', 'fertilizer_price')} as slackness",
+    )
 
 
 def _sized(df: DataFrame, min_share: float, max_share: float, factor: float) -> DataFrame:

@@ -519,7 +519,17 @@ def _limited(spark, sf):
 
 @query
 def allocate_resources(spark, sf):
-    return _round(_limited(spark, sf), 4, "target", "allocation")
+    """Splits of all farms; amounts are shown where no limit costs anything, and the rest by its proof."""
+    split = cut_lineage(_limited(spark, sf))
+    free = F.when((F.col("water_price") == 0) & (F.col("fertilizer_price") == 0), F.round("allocation", 6))
+    shown = split.select("farm", "crop", F.round("target", 6).alias("target"), free.alias("free_allocation"))
+    return shown.join(allocation.proven(split), "farm")
+
+
+@query
+def resource_prices(spark, sf):
+    """Amounts and prices of the farms' splits under their limits."""
+    return _round(_limited(spark, sf), 4, "target", "allocation", "area_price", "water_price", "fertilizer_price")
 
 
 @query

@@ -586,6 +586,26 @@ smooth AS (SELECT t.*, CASE WHEN y IS NOT NULL THEN greatest(area * 0.05e0, leas
   CASE WHEN y IS NULL THEN 'infeasible' ELSE 'optimized' END AS status FROM targets t LEFT JOIN price USING (farm))"""
 ORACLES["allocate_smooth"] = _with(SMOOTH) + "SELECT farm, crop, round(target, 6) AS target, round(allocation, 6) AS allocation, status FROM smooth"
 
+# Whether both limits can hold together: for every weight between them, the least weighted use must fit.
+# The least use is concave in the weight, so the weights at which two crops change places are enough.
+FEASIBLE = """bent AS (SELECT *, row_number() OVER (PARTITION BY farm ORDER BY crop) AS i FROM targets WHERE n * 0.05e0 <= 1 + 1e-9 AND n * 0.4e0 >= 1 - 1e-9),
+weights AS (SELECT DISTINCT a.farm, (b.fert_per_area - a.fert_per_area) / ((a.water_per_area - a.fert_per_area) - (b.water_per_area - b.fert_per_area)) AS th
+  FROM bent a JOIN bent b ON a.farm = b.farm AND a.i < b.i WHERE (a.water_per_area - a.fert_per_area) <> (b.water_per_area - b.fert_per_area)
+  UNION SELECT farm, 0e0 FROM bent UNION SELECT farm, 1e0 FROM bent),
+filled AS (SELECT farm, th, area, n, u, row_number() OVER (PARTITION BY farm, th ORDER BY u) AS k
+  FROM (SELECT farm, th, area, n, th * water_per_area + (1 - th) * fert_per_area AS u FROM weights JOIN bent USING (farm) WHERE th BETWEEN 0 AND 1)),
+least AS (SELECT farm, th, any_value(area) AS area,
+    sum(u * (area * 0.05e0 + greatest(0, least(area * 0.35e0, area - n * area * 0.05e0 - (k - 1) * area * 0.35e0)))) AS used FROM filled GROUP BY farm, th),
+possible AS (SELECT farm, bool_and(used <= area * (th * 7 + (1 - th) * 6.5e0) * (1 + 1e-9)) AS ok FROM least GROUP BY farm),
+used AS (SELECT farm, sum(allocation * water_per_area) <= any_value(area) * 7e0 * (1 + 1e-12)
+    AND sum(allocation * fert_per_area) <= any_value(area) * 6.5e0 * (1 + 1e-12) AS free FROM smooth GROUP BY farm)"""
+ORACLES["allocate_resources"] = _with(SMOOTH, FEASIBLE) + """
+  SELECT s.farm, s.crop, round(s.target, 6) AS target, CASE WHEN u.free THEN round(s.allocation, 6) END AS free_allocation,
+    CASE WHEN coalesce(p.ok, false) THEN 'optimized' ELSE 'infeasible' END AS status, CAST(s.n AS BIGINT) AS crops,
+    CASE WHEN p.ok THEN true END AS in_bounds, CASE WHEN p.ok THEN true END AS as_priced, CASE WHEN p.ok THEN true END AS sums_up,
+    CASE WHEN p.ok THEN true END AS within_limits, CASE WHEN p.ok THEN true END AS slackness
+  FROM smooth s LEFT JOIN possible p USING (farm) LEFT JOIN used u USING (farm)"""
+
 ORACLES["allocation_report"] = _with(SMOOTH) + """
   SELECT farm, crop, row_number() OVER (PARTITION BY farm ORDER BY round(allocation, 6) DESC, crop) AS place, round(allocation, 6) AS crop_area,
     round(allocation / area * 100, 6) AS percentage, round(profit, 6) AS profit_per_hectare, round(profit * allocation, 6) AS total_profit_crop,
