@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from furrow import fixed_values as fixed
 from furrow.functions import scalars as s
-from furrow.operators import allocation, enrich, features, finance, ml, ordering, quality, reshape, scoring, stats
+from furrow.operators import allocation, enrich, features, finance, linear, ml, moments, ordering, quality, reshape, scoring, stats
 from furrow.plans import etl, inputs
 from furrow.plans.farm_view import farm_records, table
 from furrow.schemas import EVENTS, FARM_RECORD
@@ -163,6 +163,12 @@ def correlations(spark, sf):
     return _round(stats.correlations(farm_records(spark, sf, names), fixed.CORRELATION_PAIRS), 9, "corr")
 
 
+@query
+def correlation_matrix(spark, sf):
+    """All pairs of the numeric columns, from one state."""
+    return _round(moments.correlation_matrix(farm_records(spark, sf, fixed.CORRELATED), fixed.CORRELATED), 9, "corr")
+
+
 @query
 def relative_price(spark, sf):
     rows = features.with_relative_price(farm_records(spark, sf, ["record_id", "crop_name", "market_price"]))
@@ -703,6 +709,23 @@ def tune_profit(spark, sf):
     return ml.with_verdict(ml.leaderboard(spark, [row], "test_r2"), "train_r2", "test_r2")
 
 
+@query
+def tune_linear(spark, sf):
+    """The whole linear grid over three folds from one scan: profit by the value of the sales."""
+    rows = farm_records(spark, sf, ["record_id", "quantity_sold", "profit"]).withColumn("fold", F.pmod("record_id", F.lit(3)))
+    found = linear.search(linear.fold_states(rows, ["quantity_sold"], "profit", "fold"))
+    return _round(found.board(spark), 9, "r2")
+
+
+@query
+def tune_profit_states(spark, sf):
+    """The grid over all inputs of the profit model."""
+    train, _ = _training(spark, sf, ml.PROFIT)
+    stages = ml.Pipeline(stages=ml.feature_stages(ml.PROFIT)).fit(train)
+    rows = linear.assembled(train.withColumn("fold", F.pmod(F.xxhash64("record_id"), F.lit(3))), stages, ["profit", "fold"])
+    return linear.search(linear.fold_states(rows, "features", "profit", "fold")).board(spark)
+
+
 @query
 def feature_importances(spark, sf):
     train, _ = _training(spark, sf, ml.YIELD)

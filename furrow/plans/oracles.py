@@ -157,6 +157,13 @@ def _outlier(column: str) -> str:
 ORACLES["iqr_outliers"] = _farm(_union(_outlier(c) for c in fixed.OUTLIER_COLUMNS))
 ORACLES["correlations"] = _farm(_union(
     f"SELECT '{name}' AS pair, round(corr({a}, {b}), 9) AS corr FROM farm" for name, (a, b) in fixed.CORRELATION_PAIRS.items()))
+ORACLES["correlation_matrix"] = _farm(
+    "SELECT p.* FROM (SELECT unnest(["
+    + ", ".join(
+        f"{{'first': '{a}', 'second': '{b}', 'n': CAST(regr_count({a}, {b}) AS BIGINT), 'corr': round(CASE WHEN var_pop({a}) FILTER ({b} IS NOT NULL) > 0"
+        f" AND var_pop({b}) FILTER ({a} IS NOT NULL) > 0 THEN corr({a}, {b}) END, 9)}}"
+        for i, a in enumerate(fixed.CORRELATED) for b in fixed.CORRELATED[i + 1:])
+    + "]) AS p FROM farm)")
 ORACLES["relative_price"] = _farm(
     """SELECT record_id, crop_name, round(market_price / CASE WHEN m = 0 THEN 1 ELSE m END, 9) AS relative_price_index
     FROM (SELECT *, avg(market_price) OVER (PARTITION BY crop_name) AS m FROM farm)""")
@@ -694,6 +701,17 @@ ORACLES["profit_inputs"] = _farm(
     + ", " + ", ".join(f"CAST({u}({p}_date) AS BIGINT) AS {p}_{u}" for p in ("planting", "sale") for u in ("year", "month", "day"))
     + " FROM farm")
 
+# Elastic net of one scaled input in closed form, judged on each third by the model of the other two.
+ORACLES["tune_linear"] = _farm(
+    """SELECT reg AS "regParam", el AS "elasticNetParam", round(r2, 9) AS r2, row_number() OVER (ORDER BY r2 DESC, reg, el) = 1 AS best FROM scored""",
+    """pairs AS MATERIALIZED (SELECT quantity_sold AS x, profit AS y, record_id % 3 AS fold FROM farm WHERE profit IS NOT NULL AND quantity_sold IS NOT NULL)""",
+    """grid AS (SELECT reg, el FROM (SELECT unnest([0e0, 0.01e0, 0.1e0]) AS reg), (SELECT unnest([0e0, 0.5e0, 1e0]) AS el))""",
+    """others AS (SELECT k, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy, corr(x, y) AS r
+      FROM pairs, (SELECT unnest([0, 1, 2]) AS k) WHERE fold <> k GROUP BY k)""",
+    """lines AS (SELECT k, reg, el, mx, my, sign(r) * greatest(abs(r) - reg / sy * el, 0) / (1 + reg / sy * (1 - el)) * sy / sx AS b FROM others, grid)""",
+    """folds AS (SELECT k, reg, el, 1 - sum((y - my - b * (x - mx)) ** 2) / (var_pop(y) * count(*)) AS r2 FROM lines JOIN pairs ON fold = k GROUP BY ALL)""",
+    """scored AS (SELECT reg, el, avg(r2) AS r2 FROM folds GROUP BY ALL)""")
+
 # --- the whole report -----------------------------------------------------------------
 
 _REPORT = [ORACLES[f"dq_{name}"] for name in ["overview", "record_id", "median_profit", *RULES]]
