@@ -82,6 +82,23 @@ def latest_balance(crops: DataFrame, supply: DataFrame, demand: DataFrame) -> Da
     )
 
 
+def with_crop_table(df: DataFrame, crops: DataFrame) -> DataFrame:
+    """``crop_id`` and ``avg_yield_per_donum`` of the crop's name; no id and a yield of 0 for an unknown crop.
+
+    Of several rows of one name the smallest id counts.
+    """
+    first = F.min_by(F.struct("id", "avg_yield_per_donum"), F.struct("id", "avg_yield_per_donum")).alias("c")
+    known = crops.where("name_en is not null").groupBy(F.col("name_en").alias("crop_name")).agg(first)
+    joined = lookup_join(df, known.selectExpr("crop_name", "c.id as crop_id", "c.avg_yield_per_donum"), ["crop_name"])
+    return joined.withColumn("avg_yield_per_donum", F.coalesce("avg_yield_per_donum", F.lit(0.0)))
+
+
+def with_coefficients(df: DataFrame, medians: DataFrame) -> DataFrame:
+    """Water and fertilizer per area of the crop, from its medians; unknown crops have none."""
+    needs = medians.selectExpr("crop_name as crop", "water_per_area", "fert_per_area")
+    return lookup_join(df, needs, ["crop"])
+
+
 def with_balance(df: DataFrame, balance: DataFrame) -> DataFrame:
     """Supply and demand tonnes (0 when unknown), pressure and sufficiency."""
     joined = lookup_join(df, balance, ["crop_name"])

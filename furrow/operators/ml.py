@@ -126,8 +126,8 @@ def regressors(label: str, features: str = "features") -> dict[str, Estimator]:
         "Decision Tree": rg.DecisionTreeRegressor(seed=SEED, **cols),
         "Random Forest": rg.RandomForestRegressor(seed=SEED, **cols),
         "GBT": rg.GBTRegressor(seed=SEED, **cols),
-        "Generalized LR": rg.GeneralizedLinearRegression(family="gaussian", link="identity", **cols),
-        "FM Regressor": rg.FMRegressor(seed=SEED, **cols),
+        "Gaussian GLM": rg.GeneralizedLinearRegression(family="gaussian", link="identity", **cols),
+        "Factorization Machine": rg.FMRegressor(seed=SEED, **cols),
     }
 
 
@@ -183,19 +183,25 @@ def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction
 
 def classification_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Accuracy and weighted f1, precision, recall from the confusion counts."""
-    cells = confusion(df, label, prediction)
+    return _class_metrics(confusion(df, label, prediction), [])
+
+
+def _class_metrics(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per ``keys`` from counts ``n`` per label and prediction; the windows hold one row per pair of classes."""
+    within = ", ".join([*keys, ""])
     counts = cells.selectExpr(
         "*",
-        "sum(n) over (partition by label) as support",
-        "sum(n) over (partition by prediction) as predicted",
+        f"sum(n) over (partition by {within}label) as support",
+        f"sum(n) over (partition by {within}prediction) as predicted",
         "label = prediction as hit",
     )
-    return counts.selectExpr(
-        "sum(if(hit, n, 0)) / sum(n) as accuracy",
-        "sum(if(hit, support * (2 * (n / predicted) * (n / support) / (n / predicted + n / support)), 0D)) / sum(n) as f1",
-        "sum(if(hit, support * (n / predicted), 0D)) / sum(n) as weighted_precision",
-        "sum(if(hit, support * (n / support), 0D)) / sum(n) as weighted_recall",
-    )
+    measures = {
+        "accuracy": "sum(if(hit, n, 0)) / sum(n)",
+        "f1": "sum(if(hit, support * (2 * (n / predicted) * (n / support) / (n / predicted + n / support)), 0D)) / sum(n)",
+        "weighted_precision": "sum(if(hit, support * (n / predicted), 0D)) / sum(n)",
+        "weighted_recall": "sum(if(hit, support * (n / support), 0D)) / sum(n)",
+    }
+    return counts.groupBy(*keys).agg(*[F.expr(value).alias(name) for name, value in measures.items()])
 
 
 def measured_on(model: PipelineModel, spec: ModelSpec, df: DataFrame) -> dict[str, float]:
@@ -211,6 +217,50 @@ def train_and_evaluate(
     return model, {"model": name, **measured_on(model, spec, test)}
 
 
+def evaluated(models: Mapping[str, PipelineModel], spec: ModelSpec, df: DataFrame) -> DataFrame:
+    """Metrics of every model, one row each, from one scan of the rows.
+
+    The models' predictions are columns of one row. Regression metrics are one wide aggregate; classes are
+    counted per model, label and prediction.
+    """
+    scored, kept = df, list(df.columns)
+    for i, model in enumerate(models.values()):
+        added = [F.col("prediction").alias(f"_p{i}")]
+        if spec.classes and i == 0:  # every pipeline indexes the target itself, and alike
+            added.append(F.col("label").alias("_label"))
+        scored = model.transform(scored).select(*kept, *added)
+        kept = scored.columns
+    names = list(models)
+    if spec.classes:
+        cells = ", ".join(f"struct({i} as i, _p{i} as prediction)" for i in range(len(names)))
+        long = scored.selectExpr("_label as label", f"inline(array({cells}))")
+        counts = long.groupBy("i", "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+        found = _class_metrics(counts, ["i"]).collect()
+        values = [{"model": names[r["i"]], **{k: v for k, v in r.asDict().items() if k != "i"}} for r in sorted(found, key=lambda r: r["i"])]
+    else:
+        wide = []
+        for i in range(len(names)):
+            there = f"filter (where {spec.target} is not null and _p{i} is not null)"
+            error = f"({spec.target} - _p{i})"
+            wide += [
+                f"1 - try_divide(sum({error} * {error}) {there}, (var_pop({spec.target}) {there}) * (count(1) {there})) as r2_{i}",
+                f"sqrt(avg({error} * {error}) {there}) as rmse_{i}", f"avg(abs({error})) {there} as mae_{i}",
+            ]
+        row = scored.selectExpr(*wide).first()
+        values = [{"model": name, **{m: row[f"{m}_{i}"] for m in ("r2", "rmse", "mae")}} for i, name in enumerate(names)]
+    metrics = ["accuracy", "f1", "weighted_precision", "weighted_recall"] if spec.classes else ["r2", "rmse", "mae"]
+    schema = "model string, " + ", ".join(f"{m} double" for m in metrics)
+    return df.sparkSession.createDataFrame([tuple(r[c] for c in ("model", *metrics)) for r in values], schema)
+
+
+def line_model(spec: ModelSpec, columns: Sequence[str], estimator: Estimator | None = None) -> Pipeline:
+    """A pipeline of a few of the model's numeric inputs; linear without an estimator."""
+    stages: list = [VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="keep")]
+    if spec.classes:
+        stages.insert(0, StringIndexer(inputCol=spec.target, outputCol="label", handleInvalid="error"))
+    return Pipeline(stages=[*stages, estimator or rg.LinearRegression(labelCol=spec.label, solver="normal")])
+
+
 def evaluator(spec: ModelSpec):
     if spec.classes:
         return MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="f1")
@@ -258,8 +308,8 @@ def best_of(board: DataFrame, metric: str) -> DataFrame:
 
 def compared(baseline: DataFrame, tuned: DataFrame, baseline_metric: str, tuned_metric: str) -> DataFrame:
     """Best baseline next to best tuned model."""
-    first = best_of(baseline, baseline_metric).select(F.lit("Best Baseline").alias("version"), "model", F.col(baseline_metric).alias("score"))
-    second = best_of(tuned, tuned_metric).select(F.lit("Best Tuned").alias("version"), "model", F.col(tuned_metric).alias("score"))
+    first = best_of(baseline, baseline_metric).select(F.lit("untuned").alias("version"), "model", F.col(baseline_metric).alias("score"))
+    second = best_of(tuned, tuned_metric).select(F.lit("tuned").alias("version"), "model", F.col(tuned_metric).alias("score"))
     return first.unionByName(second)
 
 

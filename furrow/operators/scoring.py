@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from furrow import fixed_values as fixed
 from furrow.operators import enrich
-from furrow.operators.allocation import allocate
+from furrow.operators.allocation import allocate, allocate_resources
 from furrow.operators.joins import lookup_join
 from furrow.operators.ml import DEMAND, PRICE, PROFIT, YIELD, ModelSpec, prepared, readable_predictions
 from furrow.session import cut_lineage
@@ -134,13 +134,29 @@ def candidate_profits(requests: DataFrame, context: Context, profit: PipelineMod
 
 
 def allocate_requests(
-    requests: DataFrame, context: Context, profit: PipelineModel, min_share: float = fixed.MIN_SHARE, max_share: float = fixed.MAX_SHARE
+    requests: DataFrame, context: Context, profit: PipelineModel, min_share: float = fixed.MIN_SHARE, max_share: float = fixed.MAX_SHARE,
+    places: int | None = 2,
 ) -> DataFrame:
     """Requests with crop lists to area splits, one job for all of them."""
     candidates = candidate_profits(requests, context, profit).selectExpr(
         "request_id as farm", "crop_name as crop", "position", f"area_donums * {fixed.HECTARES_PER_DONUM}D as area", "profit"
     )
-    return allocate(candidates, min_share, max_share).selectExpr(
+    return allocate(candidates, min_share, max_share, places).selectExpr(
         "farm as request_id", "position", "crop as crop_name", "area as area_hectares", "profit as profit_per_hectare",
         "allocation", "status", "coalesce(total_profit, 0D) as expected_total_profit",
     )
+
+
+def plan_requests(
+    requests: DataFrame, context: Context, profit: PipelineModel, medians: DataFrame, water: str = "area * 7D", fertilizer: str = "area * 6.5D"
+) -> DataFrame:
+    """Requests with crop lists to splits under limits: candidate profits meet the medians of their crops.
+
+    ``medians`` has crop_name, water_per_area and fert_per_area; ``water`` and ``fertilizer`` are the limits as
+    expressions of the farm's ``area``. Amounts, prices and status are those of ``allocate_resources``.
+    """
+    candidates = candidate_profits(requests, context, profit).selectExpr(
+        "request_id as farm", "crop_name as crop", f"area_donums * {fixed.HECTARES_PER_DONUM}D as area", "profit"
+    )
+    known = enrich.with_coefficients(candidates, medians)
+    return allocate_resources(known.selectExpr("*", f"{water} as water_limit", f"{fertilizer} as fertilizer_limit"))

@@ -31,10 +31,10 @@ def crop_baselines(df: DataFrame, key: str = "crop_name") -> DataFrame:
     return df.groupBy(key).agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in averages.items()])
 
 
-def per_area_medians(df: DataFrame, crops: Sequence[str], approximate: bool = False) -> DataFrame:
+def per_area_medians(df: DataFrame, crops: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """Median water and fertilizer per area of the chosen crops."""
     area = at_least(F.col("area_size"), fixed.EPS)
-    rates = df.where(F.col("crop_name").isin(list(crops))).select(
+    rates = (df if crops is None else df.where(F.col("crop_name").isin(list(crops)))).select(
         "crop_name",
         F.try_divide("water_used", area).alias("water_per_area"),
         F.try_divide("fertilizer_used", area).alias("fert_per_area"),

@@ -16,6 +16,7 @@ from furrow.plans.farm_view import farm_records, table
 from furrow.schemas import EVENTS, FARM_RECORD
 from furrow.session import cut_lineage, scratch_path
 from furrow.sources import government, tables
+from furrow.sources import models as models_
 from furrow.streaming.latest import latest_of_stream
 from furrow.streaming.scoring import scored_stream
 
@@ -664,8 +665,8 @@ def _logistic():
 
 def _trained_board(spark, sf, spec, chosen):
     train, test = _training(spark, sf, spec)
-    rows = [ml.train_and_evaluate(name, model, spec, train, test)[1] for name, model in chosen.items()]
-    return ml.leaderboard(spark, rows, "f1" if spec.classes else "r2")
+    models = {name: ml.pipeline(spec, model).fit(train) for name, model in chosen.items()}
+    return ml.evaluated(models, spec, test).orderBy(F.desc("f1" if spec.classes else "r2"), "model")
 
 
 @query
@@ -709,6 +710,124 @@ def tune_profit(spark, sf):
     return ml.with_verdict(ml.leaderboard(spark, [row], "test_r2"), "train_r2", "test_r2")
 
 
+@query
+def train_profit_rest(spark, sf):
+    """The regressors that no other query fits."""
+    cols = {"featuresCol": "features", "labelCol": "profit"}
+    chosen = {"Gaussian GLM": ml.regressors("profit")["Gaussian GLM"], "Factorization Machine": ml.rg.FMRegressor(seed=ml.SEED, maxIter=5, factorSize=2, **cols)}
+    return _trained_board(spark, sf, ml.PROFIT, chosen)
+
+
+@query
+def train_demand_rest(spark, sf):
+    """The classifiers that no other query fits."""
+    forest = ml.cl.RandomForestClassifier(seed=ml.SEED, numTrees=5, maxDepth=4, featuresCol="features", labelCol="label")
+    each = ml.cl.OneVsRest(classifier=_logistic(), featuresCol="features", labelCol="label")
+    return _trained_board(spark, sf, ml.DEMAND, {"Random Forest": forest, "Naive Bayes": ml.classifiers()["Naive Bayes"], "OneVsRest": each})
+
+
+# Models of one or two numeric inputs: SQL repeats them, so everything around them can be compared.
+LINES = {"by area": ["area_size"], "by water": ["water_used"], "by fertilizer": ["fertilizer_used"], "by rain": ["rainfall"]}
+
+
+def _line(spark, sf, spec, columns, estimator=None):
+    """Fitted on all records, saved and loaded again."""
+    inputs_ = [c for c in dict.fromkeys([*columns, spec.target]) if c in FARM_RECORD.fieldNames()]
+    rows = cut_lineage(farm_records(spark, sf, ["record_id", *inputs_]).where(F.col(spec.target).isNotNull()))
+    path = scratch_path(spark, "model")
+    models_.save_model(ml.line_model(spec, columns, estimator).fit(rows.selectExpr(*[f"cast({c} as double) as {c}" if c != spec.target or not spec.classes else c for c in inputs_])), path)
+    return models_.load_model(path)
+
+
+@query
+def line_board(spark, sf):
+    """Four lines for the yield, judged on held-out records in one scan, best first."""
+    names = sorted({c for columns in LINES.values() for c in columns})
+    rows = cut_lineage(farm_records(spark, sf, ["record_id", "actual_yield", *names]))
+    train, test = ml.hash_split(rows, ["record_id"], bucket=F.pmod(F.col("record_id") * 7919 + 42, F.lit(100)))
+    fitted = {name: ml.line_model(ml.YIELD, columns).fit(train) for name, columns in LINES.items()}
+    board = ml.leaderboard(spark, ml.evaluated(fitted, ml.YIELD, test).toPandas().to_dict("records"), "r2")
+    return _round(board, 6, "r2", "rmse", "mae")
+
+
+@query
+def version_comparison(spark, sf):
+    """The best plain line next to the best one with a penalty."""
+    names = sorted({c for columns in LINES.values() for c in columns})
+    rows = cut_lineage(farm_records(spark, sf, ["record_id", "actual_yield", *names]))
+    train, test = ml.hash_split(rows, ["record_id"], bucket=F.pmod(F.col("record_id") * 7919 + 42, F.lit(100)))
+
+    def board(reg):
+        line = ml.rg.LinearRegression(labelCol="actual_yield", solver="normal", regParam=reg)
+        return ml.evaluated({name: ml.line_model(ml.YIELD, columns, line).fit(train) for name, columns in LINES.items()}, ml.YIELD, test)
+
+    return _round(ml.compared(board(0.0), board(5.0), "r2", "r2"), 6, "score")
+
+
+@query
+def line_score_table(spark, sf):
+    model = _line(spark, sf, ml.YIELD, ["area_size"])
+    rows = scoring.score_table(farm_records(spark, sf, ["record_id", *ml.YIELD.raw_columns]), model, ml.YIELD)
+    return _round(rows, 6, "prediction")
+
+
+@query
+def line_score_yield(spark, sf):
+    model = _line(spark, sf, ml.YIELD, ["area_size"])
+    scored = scoring.score_yield(_valid_requests(spark, sf), _context(spark, sf), model)
+    return _round(scored, 6, "predicted_yield").select("request_id", "crop_name", "predicted_yield")
+
+
+@query
+def line_score_profit(spark, sf):
+    """The predicted yield is the input of the profit line."""
+    profit, yields = _line(spark, sf, ml.PROFIT, ["actual_yield"]), _line(spark, sf, ml.YIELD, ["area_size"])
+    scored = scoring.score_profit(_valid_requests(spark, sf), _context(spark, sf), profit, yields)
+    return _round(scored, 6, "actual_yield", "predicted_profit").select("request_id", "crop_name", "actual_yield", "predicted_profit")
+
+
+@query
+def line_score_price(spark, sf):
+    model = _line(spark, sf, ml.PRICE, ["sale_gap_days"])
+    scored = scoring.score_price(_valid_requests(spark, sf), _context(spark, sf), model)
+    return _round(scored, 6, "predicted_price").select("request_id", "crop_name", "predicted_price")
+
+
+@query
+def bayes_score_demand(spark, sf):
+    """Demand levels by counts: the label's text comes from what the pipeline learned."""
+    model = _line(spark, sf, ml.DEMAND, ["sale_gap_days", "humidity"], ml.cl.NaiveBayes(featuresCol="features", labelCol="label"))
+    scored = scoring.score_demand(_valid_requests(spark, sf), _context(spark, sf), model)
+    return scored.select("request_id", "crop_name", "value")
+
+
+@query
+def line_optimise_requests(spark, sf):
+    model = _line(spark, sf, ml.PROFIT, ["actual_yield"])
+    requests = enrich.accepted(enrich.validated(inputs.crop_list_requests(spark, sf)))
+    split = scoring.allocate_requests(requests, _context(spark, sf), model, places=None)
+    shown = _round(split, 6, "allocation", "expected_total_profit", "profit_per_hectare", "area_hectares")
+    return shown.withColumn("position", F.col("position").cast("long"))
+
+
+@query
+def line_plan_requests(spark, sf):
+    """Candidate profits meet the median needs of their crops; one proof per request."""
+    model = _line(spark, sf, ml.PROFIT, ["actual_yield"])
+    requests = enrich.accepted(enrich.validated(inputs.crop_list_requests(spark, sf)))
+    medians = stats.per_area_medians(farm_records(spark, sf, ["crop_name", *AREA_INPUTS]))
+    split = cut_lineage(scoring.plan_requests(requests, _context(spark, sf), model, medians))
+    needs = split.groupBy("farm").agg(*[F.round(F.sum(c), 6).alias(c) for c in ("profit", "water_per_area", "fert_per_area")])
+    return allocation.proven(split).join(needs, "farm").withColumnRenamed("farm", "request_id")
+
+
+@query
+def crop_lookup(spark, sf):
+    """Id and yield per donum of each request's crop."""
+    requests = inputs.farm_requests(spark, sf).select("request_id", "crop_name")
+    return _round(enrich.with_crop_table(requests, inputs.crops_table(spark, sf)), 6, "avg_yield_per_donum")
+
+
 @query
 def tune_linear(spark, sf):
     """The whole linear grid over three folds from one scan: profit by the value of the sales."""
@@ -822,9 +941,21 @@ def stream_latest_levels(spark, sf):
     return latest_of_stream(stream, "user_id", ["ts", "event_id"], "value", fanout=3)
 
 
+@query
+def line_stream_scores(spark, sf):
+    """The yield line over requests that arrive as files: one streaming plan, equal to the batch."""
+    folder = scratch_path(spark, "requests")
+    inputs.farm_requests(spark, sf).repartition(3).write.parquet(folder)
+    model = _line(spark, sf, ml.YIELD, ["area_size"])
+    context = _context(spark, sf).stored()
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    scored, _ = scored_stream(stream, lambda rows: scoring.score_yield(rows, context, model))
+    return _round(scored, 6, "predicted_yield").select("request_id", "crop_name", "predicted_yield")
+
+
 @query
 def stream_scores(spark, sf):
-    """Requests arriving as files, validated and scored by the batch functions."""
+    """Requests arriving as files, validated and scored as one streaming plan."""
     folder = scratch_path(spark, "requests")
     requests = inputs.farm_requests(spark, sf)
     requests.write.parquet(folder)

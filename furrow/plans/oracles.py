@@ -712,6 +712,85 @@ ORACLES["tune_linear"] = _farm(
     """folds AS (SELECT k, reg, el, 1 - sum((y - my - b * (x - mx)) ** 2) / (var_pop(y) * count(*)) AS r2 FROM lines JOIN pairs ON fold = k GROUP BY ALL)""",
     """scored AS (SELECT reg, el, avg(r2) AS r2 FROM folds GROUP BY ALL)""")
 
+
+def _regression(name: str, x: str, y: str, where: str = "true") -> str:
+    return f"{name} AS (SELECT regr_slope({y}, {x}) AS b, regr_intercept({y}, {x}) AS a FROM farm WHERE {where})"
+
+
+YIELD_LINE = _regression("yield_line", "area_size", "actual_yield")
+PROFIT_LINE = _regression("profit_line", "actual_yield", "profit")
+PRICE_LINE = _regression("price_line", "sale_gap_days", "market_price")
+ORACLES["line_score_table"] = _farm("SELECT record_id, round(a + b * area_size, 6) AS prediction FROM farm, yield_line", YIELD_LINE)
+VALID = "area_donums > 0 AND sale > planting"
+_ASKED = REQUESTS[REQUESTS.index("requests AS"):]
+ORACLES["line_score_yield"] = _farm(
+    f"""SELECT request_id, crop_name, round(a + b * (area_donums * 0.1e0), 6) AS predicted_yield
+    FROM requests JOIN places USING (governorate), yield_line WHERE {VALID}""", _ASKED, PLACES, YIELD_LINE)
+ORACLES["line_stream_scores"] = ORACLES["line_score_yield"]
+ORACLES["line_score_profit"] = _farm(
+    f"""SELECT request_id, crop_name, round(y.a + y.b * (area_donums * 0.1e0), 6) AS actual_yield,
+      round(p.a + p.b * (y.a + y.b * (area_donums * 0.1e0)), 6) AS predicted_profit
+    FROM requests JOIN places USING (governorate), yield_line y, profit_line p WHERE {VALID}""", _ASKED, PLACES, YIELD_LINE, PROFIT_LINE)
+ORACLES["line_score_price"] = _farm(
+    f"""SELECT request_id, crop_name, round(a + b * greatest(datediff('day', DATE '1998-01-01', sale), 0), 6) AS predicted_price
+    FROM requests JOIN places USING (governorate), price_line WHERE {VALID}""", _ASKED, PLACES, PRICE_LINE)
+# Naive Bayes of two counts: shares of the labels and of the counts within a label, each plus one.
+ORACLES["bayes_score_demand"] = _farm(
+    f"""SELECT request_id, crop_name, (SELECT arg_max(level, prior + gap * days + damp * wet) FROM learned) AS value FROM (
+      SELECT request_id, crop_name, greatest(datediff('day', DATE '1998-01-01', sale), 0) AS days, coalesce(humidity, 50) AS wet
+      FROM requests JOIN places USING (governorate) LEFT JOIN weather USING (governorate) WHERE {VALID})""",
+    """learned AS (SELECT demand_level AS level, ln(count(*) + 1) AS prior, ln(sum(sale_gap_days) + 1) - ln(sum(sale_gap_days) + sum(humidity) + 2) AS gap,
+      ln(sum(humidity) + 1) - ln(sum(sale_gap_days) + sum(humidity) + 2) AS damp FROM farm WHERE demand_level IS NOT NULL GROUP BY 1)""",
+    _ASKED, PLACES, WEATHER)
+
+_NAMES = _list(row[1] for row in fixed.crop_rows())
+CHOICES = f"""picked AS (
+  SELECT o_orderkey AS request_id, CAST(o_orderkey % 90 + 10 AS DOUBLE) * 0.1e0 AS area,
+    list_transform([1, 2, 3, 5, 7, 11], lambda m: ([{_NAMES}])[(o_orderkey * m + m) % {len(fixed.crop_rows())} + 1]) AS crops
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE {PLACE.format(k='n_nationkey', n='n_name')} IN ({KNOWN})),
+listed AS (SELECT request_id, area, list_filter(crops, lambda c, i: list_position(crops, c) = i) AS crops FROM picked),
+choices AS (SELECT request_id, area, unnest(crops) AS crop_name, unnest(range(len(crops))) AS position FROM listed),
+predicted AS (SELECT c.*, greatest(p.a + p.b * coalesce(base.yield_per_ha, 0), 0) AS profit, coalesce(base.market_price, 100) AS price
+  FROM choices c LEFT JOIN base USING (crop_name), profit_line p),
+candidates AS (SELECT request_id, area, crop_name, position,
+    CASE WHEN max(profit) OVER (PARTITION BY request_id) = 0 THEN price ELSE profit END AS profit FROM predicted)"""
+ORACLES["line_optimise_requests"] = _farm(
+    """SELECT request_id, position, crop_name, round(area, 6) AS area_hectares, round(profit, 6) AS profit_per_hectare, round(x, 6) AS allocation, status,
+      round(CASE WHEN status = 'optimized' THEN sum(x * profit) OVER (PARTITION BY request_id) ELSE 0 END, 6) AS expected_total_profit FROM (
+      SELECT *, CASE WHEN n >= 3 THEN 'optimized' ELSE 'fallback' END AS status,
+        CASE WHEN n >= 3 THEN area * 0.05e0 + greatest(0, least(area * 0.35e0, area - n * area * 0.05e0 - (k - 1) * area * 0.35e0))
+          ELSE area * profit / nullif(weight, 0) END AS x FROM (
+        SELECT *, count(*) OVER w AS n, sum(profit) OVER w AS weight, row_number() OVER (PARTITION BY request_id ORDER BY profit DESC, crop_name) AS k
+        FROM candidates WINDOW w AS (PARTITION BY request_id)))""", BASE, PROFIT_LINE, CHOICES)
+ORACLES["line_plan_requests"] = _farm(
+    """SELECT request_id, CASE WHEN count(*) >= 3 THEN 'optimized' ELSE 'infeasible' END AS status, count(*) AS crops, CASE WHEN count(*) >= 3 THEN true END AS in_bounds, CASE WHEN count(*) >= 3 THEN true END AS as_priced, CASE WHEN count(*) >= 3 THEN true END AS sums_up, CASE WHEN count(*) >= 3 THEN true END AS within_limits, CASE WHEN count(*) >= 3 THEN true END AS slackness,
+      round(sum(profit), 6) AS profit, round(sum(w), 6) AS water_per_area, round(sum(f), 6) AS fert_per_area
+    FROM candidates LEFT JOIN needs USING (crop_name) GROUP BY request_id""", BASE, PROFIT_LINE, CHOICES,
+    """needs AS (SELECT crop_name, quantile_cont(water_used / greatest(area_size, 1e-6), 0.5) AS w,
+      quantile_cont(fertilizer_used / greatest(area_size, 1e-6), 0.5) AS f FROM farm GROUP BY 1)""")
+ORACLES["crop_lookup"] = _with(REQUESTS) + """
+  SELECT request_id, r.crop_name, c.id AS crop_id, round(coalesce(c.y, 0), 6) AS avg_yield_per_donum FROM requests r
+  LEFT JOIN (SELECT brand_no AS id, crop_name, avg(p_size) AS y FROM cropped WHERE brand_no <> 4 GROUP BY ALL) c USING (crop_name)"""
+
+_LINES = {"by area": "area_size", "by water": "water_used", "by fertilizer": "fertilizer_used", "by rain": "rainfall"}
+_SPLIT = "halves AS (SELECT *, (record_id * 7919 + 42) % 100 < 80 AS train FROM farm WHERE actual_yield IS NOT NULL)"
+
+
+def _line_board(reg: float) -> str:
+    return _union(
+        f"SELECT '{name}' AS model, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, sqrt(avg((y - p) ** 2)) AS rmse, avg(abs(y - p)) AS mae"
+        f" FROM (SELECT actual_yield AS y, my + b * ({x} - mx) AS p FROM halves, (SELECT avg(actual_yield) AS my, avg({x}) AS mx,"
+        f" regr_slope(actual_yield, {x}) / (1 + {reg}e0 / stddev_pop(actual_yield)) AS b FROM halves WHERE train) WHERE NOT train)"
+        for name, x in _LINES.items())
+
+
+ORACLES["line_board"] = _farm(
+    "SELECT model, round(r2, 6) AS r2, round(rmse, 6) AS rmse, round(mae, 6) AS mae FROM board", _SPLIT, f"board AS ({_line_board(0.0)})")
+ORACLES["version_comparison"] = _farm(
+    """SELECT 'untuned' AS version, arg_max(model, r2) AS model, round(max(r2), 6) AS score FROM plain
+    UNION ALL SELECT 'tuned', arg_max(model, r2), round(max(r2), 6) FROM bent""", _SPLIT, f"plain AS ({_line_board(0.0)})", f"bent AS ({_line_board(5.0)})")
+
 # --- the whole report -----------------------------------------------------------------
 
 _REPORT = [ORACLES[f"dq_{name}"] for name in ["overview", "record_id", "median_profit", *RULES]]

@@ -85,7 +85,7 @@ def test_training_tuning_and_boards(spark, parts):
     first = ml.leaderboard(spark, [base, {"model": "a", "r2": 0.1, "rmse": 1.0, "mae": 1.0}], "r2")
     second = ml.leaderboard(spark, [row], "test_r2")
     assert [r.model for r in first.collect()] == ["tree", "a"]
-    assert [(r.version, r.model) for r in ml.compared(first, second, "r2", "test_r2").collect()] == [("Best Baseline", "tree"), ("Best Tuned", "tuned")]
+    assert [(r.version, r.model) for r in ml.compared(first, second, "r2", "test_r2").collect()] == [("untuned", "tree"), ("tuned", "tuned")]
 
 
 @pytest.mark.parametrize("train, test, verdict", [(0.9, 0.8, "Overfitting"), (0.6, 0.6, "Underfitting"), (0.8, 0.78, "Well-balanced")])
@@ -111,3 +111,21 @@ def test_readable_predictions(records):
     sizes = {r["demand_level"]: r["count"] for r in known.groupBy("demand_level").count().collect()}
     assert sizes[labels[0]] == max(sizes.values())  # the most frequent level comes first
     assert all(labels[int(r.prediction)] == r.predicted_demand_level for r in scored.select("prediction", "predicted_demand_level").distinct().collect())
+
+
+def test_all_models_are_judged_in_one_scan(spark):
+    rows = [(float(i), float(i % 7), float(2 * i + i % 3), "hi" if i % 5 < 3 else "lo") for i in range(120)] + [(1.0, 2.0, None, "lo")]
+    df = spark.createDataFrame(rows, "a double, b double, y double, level string")
+    spec = ml.ModelSpec("y", (), (), ("a", "b"))
+    models = {name: ml.line_model(spec, [name]).fit(df.dropna()) for name in ("a", "b")}
+    found = {r["model"]: r.asDict() for r in ml.evaluated(models, spec, df).collect()}
+    for name, model in models.items():
+        wanted = ml.regression_metrics(model.transform(df), "y").first().asDict()
+        assert {k: found[name][k] for k in wanted} == pytest.approx(wanted)
+    spec = ml.ModelSpec("level", (), (), ("a", "b"), classes=True)
+    tree = ml.cl.DecisionTreeClassifier(maxDepth=2)
+    models = {name: ml.line_model(spec, [name], tree).fit(df) for name in ("a", "b")}
+    found = {r["model"]: r.asDict() for r in ml.evaluated(models, spec, df).collect()}
+    for name, model in models.items():
+        wanted = ml.classification_metrics(model.transform(df)).first().asDict()
+        assert {k: found[name][k] for k in wanted} == pytest.approx(wanted)

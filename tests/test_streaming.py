@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 
 from furrow.files import Store
+from furrow.operators.joins import lookup_join
 from furrow.operators.stats import latest_per_key
 from furrow.schemas import EVENTS
 from furrow.session import scratch_path
@@ -31,18 +32,38 @@ def test_a_late_old_row_changes_nothing(spark):
     assert rows(latest.published(spark, table, "k")) == [(1, 1.0), (2, 3.0)]
 
 
-def test_requests_are_validated_and_scored_once(spark):
+GOOD = (1, "Tomato", "Amman", 10.0, "2024-01-01", "2024-03-01", False, "Amman")
+BAD = (2, "Tomato", "Nowhere", 10.0, "2024-01-01", "2024-03-01", False, "Amman")
+
+
+@pytest.mark.parametrize("start", [scoring.start_scoring, scoring.start_allocating])
+def test_requests_are_validated_and_scored_once(spark, start):
     folder, out, state = (scratch_path(spark, n) for n in ("req-in", "req-out", "req-state"))
-    good = (1, "Tomato", "Amman", 10.0, "2024-01-01", "2024-03-01", False, "Amman")
-    bad = (2, "Tomato", "Nowhere", 10.0, "2024-01-01", "2024-03-01", False, "Amman")
-    for batch in ([good, bad], [(3, *good[1:])]):
+    for batch in ([GOOD, BAD], [(3, *GOOD[1:])]):
         spark.createDataFrame(batch, FARM_REQUEST).coalesce(1).write.mode("append").json(folder)
         stream = scoring.read_requests(spark, folder, FARM_REQUEST)
-        scoring.start_scoring(stream, lambda df: df.selectExpr("request_id", "area_donums * 2 as score"), out, state).awaitTermination()
+        started = start(stream, lambda df: df.selectExpr("request_id", "area_donums * 2 as score"), out, state)
+        for query in started if isinstance(started, list) else [started]:
+            query.awaitTermination()
     assert rows(spark.read.parquet(f"{out}/scored").select("request_id", "score")) == [(1, 20.0), (3, 20.0)]
     assert rows(spark.read.parquet(f"{out}/rejected").selectExpr("request_id", "reasons[0]")) == [(2, "unknown governorate")]
 
 
+def test_the_scored_stream_is_one_plan(spark):
+    folder, out, state = (scratch_path(spark, n) for n in ("req-in", "req-out", "req-state"))
+    spark.createDataFrame([GOOD, BAD], FARM_REQUEST).write.json(folder)
+    prices = spark.createDataFrame([("Tomato", 2.0)], "crop_name string, price double")
+    stream = scoring.read_requests(spark, folder, FARM_REQUEST)
+    started = scoring.start_scoring(stream, lambda df: lookup_join(df, prices, ["crop_name"]).select("request_id", "price"), out, state)
+    for query in started:
+        query.awaitTermination()
+        sink = query.lastProgress["sink"]["description"]
+        assert "FileSink" in sink and "ForeachBatch" not in sink
+    plan = started[0]._jsq.explainInternal(False) if hasattr(started[0], "_jsq") else ""
+    assert "BroadcastHashJoin" in plan
+    assert rows(spark.read.parquet(f"{out}/scored")) == [(1, 2.0)]
+
+
 def changes(number):
     """Keys that a batch changes, with their new values."""
     draw = random.Random(number)
