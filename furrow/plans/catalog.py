@@ -330,11 +330,13 @@ def supply_score(spark, sf):
 
 
 def _production(spark, sf):
-    return etl.clean_production(inputs.production_wide(spark, sf), inputs.YEARS)
+    wide = inputs.production_wide(spark, sf)
+    return etl.clean_production(wide, inputs.years_of(wide))
 
 
 def _prices(spark, sf, **options):
-    return etl.clean_prices(inputs.prices_wide(spark, sf), inputs.YEARS, **options)
+    wide = inputs.prices_wide(spark, sf)
+    return etl.clean_prices(wide, inputs.years_of(wide), **options)
 
 
 @query
@@ -342,7 +344,7 @@ def melt_years(spark, sf):
     wide = inputs.production_wide(spark, sf)
     names = ["kind", "season", "crop", "location"]
     clean = wide.withColumns({c: s.normal_text(F.col(c)) for c in names})
-    long = reshape.melt_years(clean.withColumn("kind", s.canonical_kind(F.col("kind"))), names, inputs.YEARS)
+    long = reshape.melt_years(clean.withColumn("kind", s.canonical_kind(F.col("kind"))), names, inputs.years_of(wide))
     return long.withColumn("year", F.col("year").cast("long"))
 
 
@@ -418,13 +420,14 @@ def season_output(spark, sf):
 def government_files(spark, sf):
     """Write the production table as untidy text files, read it back and clean it."""
     wide = inputs.production_wide(spark, sf)
-    line = F.concat_ws(";", *[F.concat(F.lit('"'), F.coalesce(F.col(c), F.lit("")), F.lit('"')) for c in ["kind", "season", "crop", "location", *inputs.YEARS]], F.lit(""))
+    years = inputs.years_of(wide)
+    line = F.concat_ws(";", *[F.concat(F.lit('"'), F.coalesce(F.col(c), F.lit("")), F.lit('"')) for c in ["kind", "season", "crop", "location", *years]], F.lit(""))
     folder = scratch_path(spark, "statistics")
     wide.select(line.alias("value")).write.text(folder)
-    header = ["Title of the table", "", "KIND;Season;Crop;Level;" + ";".join(inputs.YEARS) + ";"]
+    header = ["Title of the table", "", "KIND;Season;Crop;Level;" + ";".join(years) + ";"]
     spark.createDataFrame([(h,) for h in header], "value string").coalesce(1).write.mode("append").text(folder)
-    fields = ["kind", "season", "crop", "location", *inputs.YEARS]
-    return etl.clean_production(government.read_table(spark, folder, fields), inputs.YEARS).withColumn("year", F.col("year").cast("long"))
+    fields = ["kind", "season", "crop", "location", *years]
+    return etl.clean_production(government.read_table(spark, folder, fields), years).withColumn("year", F.col("year").cast("long"))
 
 
 @query

@@ -12,7 +12,6 @@ from furrow import fixed_values as fixed
 from furrow.plans.farm_view import crop_of_part, place_of, table
 from furrow.session import spread
 
-YEARS = ["1995", "1996", "1997", "1998", "1999", "2000", "2001"]
 METRICS = {"R": "Farm-Gate Price", "A": "Central Market Prices ", "N": "Packs"}
 AS_OF = "1998-01-01"
 
@@ -31,44 +30,54 @@ def _shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(lines.join(part, lines.l_partkey == part.p_partkey).join(places, lines.l_suppkey == places.s_suppkey), lines)
 
 
+def years(spark: SparkSession, sf_dir: str) -> list[str]:
+    """All ship years of the table, in order."""
+    found = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").cast("string").alias("year")).where("year IS NOT NULL").distinct()
+    return sorted(row["year"] for row in found.collect())
+
+
+def years_of(wide: DataFrame) -> list[str]:
+    """The year columns of a wide table."""
+    return [c for c in wide.columns if c.isdigit()]
+
+
 def production_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly area and production as untidy text; one place reports no production."""
+    """Yearly area and production as untidy text; one place reports an estimate in place of production."""
     base = _shipped(spark, sf_dir).selectExpr(
         "concat(' ', p_brand) as crop", "n_name as location",
         "if(month(l_shipdate) between 5 and 10, ' Summer', 'Winter ') as season",
         "cast(year(l_shipdate) as string) as year", "l_quantity", "p_size",
     )
-    sums = base.where(F.col("year").isin(YEARS)).groupBy("season", "crop", "location", "year").agg(
+    sums = base.groupBy("season", "crop", "location", "year").agg(
         F.sum("l_quantity").cast("long").alias("grown"), F.sum("p_size").cast("long").alias("planted")
     )
     kinds = sums.selectExpr(
         "season", "crop", "location", "year",
-        "inline(array(struct(' Area Harvested' as kind, planted as v), struct('PRODUCTION tons ' as kind, grown as v)))",
-    ).where("not (kind like 'PROD%' and location = 'NATION_3')")
+        "inline(array(struct(' Area Harvested' as kind, planted as v), struct(if(location = 'NATION_3', 'Estimate', 'PRODUCTION tons ') as kind, grown as v)))",
+    )
     text = kinds.selectExpr("kind", "season", "crop", "location", "year", f"if(v < 10, 'n/a', {GROUPED}) as t")
-    return text.groupBy("kind", "season", "crop", "location").pivot("year", YEARS).agg(F.max("t"))
+    return text.groupBy("kind", "season", "crop", "location").pivot("year", years(spark, sf_dir)).agg(F.max("t"))
 
 
 def prices_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly prices per metric, region, crop and month; some crops lack regional rows."""
+    """Yearly prices per metric, region, crop and month; some crops go by another name, some are sold elsewhere."""
     metric = "case l_returnflag " + " ".join(f"when '{k}' then '{v}'" for k, v in METRICS.items()) + " end"
     base = _shipped(spark, sf_dir).selectExpr(
-        f"{metric} as metric", "if(r_regionkey = 0, 'Kingdom', r_name) as region_level", "p_brand as crop",
+        f"{metric} as metric",
+        "case when r_regionkey = 0 then 'Kingdom' when p_brand in ('Brand#3', 'Brand#7') then concat('Outer ', r_name) else r_name end as region_level",
+        "if(p_brand = 'Brand#5', 'Old Brand#5', p_brand) as crop",
         f"{MONTH_NAME} as month", "cast(year(l_shipdate) as string) as year", "cast(floor(l_extendedprice) as bigint) as v",
     )
-    kept = base.where(F.col("year").isin(YEARS)).where(
-        "crop <> 'Brand#5' and not (region_level <> 'Kingdom' and crop in ('Brand#3', 'Brand#7'))"
-    )
-    best = kept.groupBy("metric", "region_level", "crop", "month", "year").agg(F.max("v").alias("v"))
+    best = base.groupBy("metric", "region_level", "crop", "month", "year").agg(F.max("v").alias("v"))
     text = best.selectExpr("metric", "region_level", "crop", "month", "year", f"{GROUPED} as t")
-    return text.groupBy("metric", "region_level", "crop", "month").pivot("year", YEARS).agg(F.max("t"))
+    return text.groupBy("metric", "region_level", "crop", "month").pivot("year", years(spark, sf_dir)).agg(F.max("t"))
 
 
 def price_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place -> price region for most nations; the others have none."""
+    """Place -> price region; some nations are listed by another name, so their places find none."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    both = nation.join(region, nation.n_regionkey == region.r_regionkey).where("n_nationkey < 20")
-    return both.selectExpr("lower(n_name) as location", "if(r_regionkey = 0, 'kingdom', lower(r_name)) as price_region")
+    both = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    return both.selectExpr("if(n_nationkey < 20, lower(n_name), concat('old ', lower(n_name))) as location", "if(r_regionkey = 0, 'kingdom', lower(r_name)) as price_region")
 
 
 def season_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,14 +93,14 @@ def season_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def season_price_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Farm-gate price of the last year per region, crop and month."""
     wide = prices_wide(spark, sf_dir).where(F.col("metric") == METRICS["R"])
-    price = F.regexp_replace(F.col("2000"), ",", "").try_cast("double")
+    price = F.regexp_replace(F.col(years_of(wide)[-1]), ",", "").try_cast("double")
     return wide.select("region_level", "crop", "month", price.alias("price"))
 
 
 def season_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    both = nation.join(region, nation.n_regionkey == region.r_regionkey).where("n_nationkey < 20")
-    return both.selectExpr("n_name as location", "if(r_regionkey = 0, 'Kingdom', r_name) as price_region")
+    both = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    return both.selectExpr("if(n_nationkey < 20, n_name, concat('Old ', n_name)) as location", "if(r_regionkey = 0, 'Kingdom', r_name) as price_region")
 
 
 def farm_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,10 +136,10 @@ def crop_list_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crops_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operational crop table; one crop is not in it."""
+    """Operational crop table; one crop is in it by another name."""
     part = crop_of_part(table(spark, sf_dir, "part").select("p_brand", "p_size"))
-    return part.where("p_brand <> 'Brand#4'").groupBy("p_brand", "crop_name").agg(F.avg("p_size").alias("avg_yield_per_donum")).selectExpr(
-        "cast(substring(p_brand, 7, 9) as bigint) as id", "crop_name as name_en", "avg_yield_per_donum"
+    return part.groupBy("p_brand", "crop_name").agg(F.avg("p_size").alias("avg_yield_per_donum")).selectExpr(
+        "cast(substring(p_brand, 7, 9) as bigint) as id", "if(p_brand = 'Brand#4', concat('Old ', crop_name), crop_name) as name_en", "avg_yield_per_donum"
     )
 
 
@@ -147,15 +156,15 @@ def crop_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crop_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Demand rows; crop 6 has none."""
-    return _stock(spark, sf_dir, "N").where("crop_id <> 6").selectExpr("crop_id", "day as demand_date", "tons as demand_tons")
+    """Demand rows; those of crop 6 go by another id."""
+    return _stock(spark, sf_dir, "N").selectExpr("if(crop_id = 6, 1000006, crop_id) as crop_id", "day as demand_date", "tons as demand_tons")
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations per place from the event table; one place has none."""
+    """Observations per place from the event table; one place is not a known one."""
     places = ", ".join("'" + row[0].replace("'", "\\'") + "'" for row in fixed.place_rows())
-    return table(spark, sf_dir, "events").where("user_id % 12 <> 5").selectExpr(
-        f"elt(cast(user_id % 12 as int) + 1, {places}) as governorate", "ts as observed_at", "value as temperature",
+    return table(spark, sf_dir, "events").selectExpr(
+        f"if(user_id % 12 = 5, 'Elsewhere', elt(cast(user_id % 12 as int) + 1, {places})) as governorate", "ts as observed_at", "value as temperature",
         "cast(event_id % 100 as double) as humidity", "cast(event_id % 7 as double) as rainfall", "cast(user_id % 30 as double) as wind_speed",
     )
 

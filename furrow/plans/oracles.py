@@ -19,7 +19,6 @@ def _list(values) -> str:
 
 
 PLACE = "CASE WHEN {k} < 12 THEN ([" + _list(fixed.LOCATIONS) + "])[{k} + 1] ELSE {n} END"
-YEARS = "(1995, 1996, 1997, 1998, 1999, 2000, 2001)"
 MONTH = "([" + _list(fixed.MONTHS) + "])[month(l_shipdate)]"
 DAY = "CAST({} AS DATE)"
 
@@ -262,25 +261,26 @@ SHIPPED = f"""shipped AS (
   FROM lineitem l JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 PRODUCTION = SHIPPED + f""",
-halves AS (SELECT *, CASE WHEN month(l_shipdate) BETWEEN 5 AND 10 THEN 'summer' ELSE 'winter' END AS season FROM shipped WHERE yr IN {YEARS}),
+halves AS (SELECT *, CASE WHEN month(l_shipdate) BETWEEN 5 AND 10 THEN 'summer' ELSE 'winter' END AS season FROM shipped),
 sums AS (SELECT season, lower(p_brand) AS crop, lower(n_name) AS location, yr, sum(p_size) AS planted, sum(l_quantity) AS grown FROM halves GROUP BY ALL),
 kinds AS (
   SELECT 'area' AS kind, season, crop, location, yr, CASE WHEN planted < 10 THEN 0 ELSE planted END AS v FROM sums UNION ALL
-  SELECT 'production', season, crop, location, yr, CASE WHEN grown < 10 THEN 0 ELSE grown END FROM sums WHERE location <> 'nation_3'),
+  SELECT CASE WHEN location = 'nation_3' THEN 'estimate' ELSE 'production' END, season, crop, location, yr, CASE WHEN grown < 10 THEN 0 ELSE grown END FROM sums),
 melted AS (
   SELECT k.kind, k.season, k.crop, k.location, CAST(y.yr AS BIGINT) AS year, CAST(coalesce(v, 0) AS DOUBLE) AS value
-  FROM (SELECT DISTINCT kind, season, crop, location FROM kinds) k CROSS JOIN (SELECT unnest([1995, 1996, 1997, 1998, 1999, 2000, 2001]) AS yr) y
+  FROM (SELECT DISTINCT kind, season, crop, location FROM kinds) k CROSS JOIN (SELECT DISTINCT yr FROM shipped) y
   LEFT JOIN kinds USING (kind, season, crop, location, yr)),
 production AS (
   SELECT crop, location, season, year, sum(value) FILTER (WHERE kind = 'area') AS area_size, sum(value) FILTER (WHERE kind = 'production') AS total_yield
   FROM melted GROUP BY ALL)"""
 MONTHS = "months AS (SELECT unnest([" + _list(fixed.MONTHS) + "]) AS month, unnest(range(1, 13)) AS month_no)"
 PRICES = f"""price_cells AS (
-  SELECT l_returnflag AS flag, CASE WHEN r_regionkey = 0 THEN 'kingdom' ELSE lower(r_name) END AS region, lower(p_brand) AS crop, mon AS month, yr, max(floor(l_extendedprice)) AS v
-  FROM shipped WHERE yr IN {YEARS} AND p_brand <> 'Brand#5' AND NOT (r_regionkey <> 0 AND p_brand IN ('Brand#3', 'Brand#7')) GROUP BY ALL),
+  SELECT l_returnflag AS flag, CASE WHEN r_regionkey = 0 THEN 'kingdom' WHEN p_brand IN ('Brand#3', 'Brand#7') THEN 'outer ' || lower(r_name) ELSE lower(r_name) END AS region,
+    CASE WHEN p_brand = 'Brand#5' THEN 'old ' ELSE '' END || lower(p_brand) AS crop, mon AS month, yr, max(floor(l_extendedprice)) AS v
+  FROM shipped GROUP BY ALL),
 all_prices AS (
   SELECT k.flag, k.region, k.crop, k.month, CAST(y.yr AS BIGINT) AS year, CAST(coalesce(v, 0) AS DOUBLE) AS price
-  FROM (SELECT DISTINCT flag, region, crop, month FROM price_cells) k CROSS JOIN (SELECT unnest([1995, 1996, 1997, 1998, 1999, 2000, 2001]) AS yr) y
+  FROM (SELECT DISTINCT flag, region, crop, month FROM price_cells) k CROSS JOIN (SELECT DISTINCT yr FROM shipped) y
   LEFT JOIN price_cells USING (flag, region, crop, month, yr)),
 prices AS (SELECT * FROM all_prices WHERE flag = 'R')"""
 REGIONS = """regions AS (
@@ -321,8 +321,8 @@ ORACLES["price_fallback_join"] = _with(PRODUCTION, MONTHS, PRICES, REGIONS, _pri
 ORACLES["price_fan_out"] = _with(
     PRODUCTION, MONTHS, PRICES, REGIONS, "any_price AS (SELECT * FROM all_prices WHERE flag IN ('R', 'A'))", _priced("any_price")
 ) + "SELECT crop, year, count(*) AS n, sum(final_price) AS price_sum FROM priced GROUP BY ALL"
-ORACLES["metric_filter"] = _with(SHIPPED, PRICES) + """, cells AS (SELECT DISTINCT flag, region, p_brand AS crop, month FROM price_cells
-    JOIN (SELECT DISTINCT p_brand FROM part) ON lower(p_brand) = crop),
+ORACLES["metric_filter"] = _with(SHIPPED, PRICES) + """, cells AS (SELECT DISTINCT flag, region, name AS crop, month FROM price_cells
+    JOIN (SELECT DISTINCT CASE WHEN p_brand = 'Brand#5' THEN 'Old ' ELSE '' END || p_brand AS name FROM part) ON lower(name) = crop),
   named AS (SELECT *, CASE flag WHEN 'R' THEN 'Farm-Gate Price' WHEN 'A' THEN 'Central Market Prices ' ELSE 'Packs' END AS metric FROM cells)
   SELECT 'any price' AS rule, metric, crop, count(*) AS n FROM named WHERE flag <> 'N' GROUP BY ALL UNION ALL
   SELECT 'one metric', metric, crop, count(*) FROM named WHERE flag = 'R' GROUP BY ALL UNION ALL
@@ -333,8 +333,8 @@ ORACLES["etl_output"] = _with(PRODUCTION, MONTHS, PRICES, REGIONS, _priced("pric
     round(nullif(total_yield / 12 * 1000, 0), 9) AS quantity_sold_kg, round(nullif(final_price / 1000, 0), 9) AS unit_price_jod,
     round(nullif(total_yield / 12 * 1000 * (final_price / 1000), 0), 6) AS total_sales_jod FROM priced"""
 ORACLES["season_output"] = _with(SHIPPED, SEASONED, f"""price_cells AS (
-    SELECT CASE WHEN r_regionkey = 0 THEN 'Kingdom' ELSE r_name END AS region, p_brand AS crop, mon AS month, max(floor(l_extendedprice)) FILTER (WHERE yr = 2000) AS price
-    FROM shipped WHERE yr IN {YEARS} AND l_returnflag = 'R' AND p_brand <> 'Brand#5' AND NOT (r_regionkey <> 0 AND p_brand IN ('Brand#3', 'Brand#7')) GROUP BY ALL)""",
+    SELECT CASE WHEN r_regionkey = 0 THEN 'Kingdom' ELSE r_name END AS region, p_brand AS crop, mon AS month, max(floor(l_extendedprice)) FILTER (WHERE yr = (SELECT max(yr) FROM shipped)) AS price
+    FROM shipped WHERE l_returnflag = 'R' AND p_brand <> 'Brand#5' AND NOT (r_regionkey <> 0 AND p_brand IN ('Brand#3', 'Brand#7')) GROUP BY ALL)""",
     """regions AS (SELECT n_name AS location, CASE WHEN r_regionkey = 0 THEN 'Kingdom' ELSE r_name END AS price_region
     FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 20)""",
     """priced AS (SELECT s.*, coalesce(r.price_region, 'Kingdom') AS price_region, coalesce(a.price, k.price) / 1000e0 AS unit, monthly * 1000 AS kilos
@@ -649,14 +649,14 @@ ORACLES["request_validation"] = _with(REQUESTS) + f"""
   SELECT request_id, concat_ws('; ', CASE WHEN NOT area_donums > 0 THEN 'area not positive' END, CASE WHEN governorate NOT IN ({KNOWN}) THEN 'unknown governorate' END,
       CASE WHEN sale IS NULL THEN 'unreadable sale date' END, CASE WHEN sale <= planting THEN 'sale not after planting' END) AS reasons,
     CASE WHEN governorate IN ({_list(fixed.MARKET_OPTIONS)}) THEN '' ELSE 'unlisted market' END AS warnings FROM requests"""
-BALANCE = """crops AS (SELECT DISTINCT brand_no AS id, crop_name FROM cropped WHERE brand_no <> 4),
+BALANCE = """crops AS (SELECT DISTINCT brand_no AS id, CASE WHEN brand_no = 4 THEN 'Old ' ELSE '' END || crop_name AS crop_name FROM cropped),
 stock AS (SELECT brand_no AS id, l_returnflag AS flag, CAST(l_shipdate AS DATE) AS day, l_quantity AS tons FROM lineitem JOIN cropped ON l_partkey = p_partkey),
 last AS (SELECT id, flag, tons FROM stock QUALIFY row_number() OVER (PARTITION BY id, flag ORDER BY day DESC, tons DESC) = 1),
 balance AS (SELECT crop_name, s.tons AS supply, d.tons AS demand FROM crops LEFT JOIN (SELECT * FROM last WHERE flag = 'A') s USING (id)
   LEFT JOIN (SELECT * FROM last WHERE flag = 'N' AND id <> 6) d USING (id))"""
 ORACLES["latest_balance"] = _with(REQUESTS, BALANCE) + "SELECT * FROM balance"
-WEATHER = f"""weather AS (SELECT ([{KNOWN}])[user_id % 12 + 1] AS governorate, value AS temperature, CAST(event_id % 100 AS DOUBLE) AS humidity,
-    CAST(event_id % 7 AS DOUBLE) AS rainfall, CAST(user_id % 30 AS DOUBLE) AS wind_speed FROM events WHERE user_id % 12 <> 5
+WEATHER = f"""weather AS (SELECT CASE WHEN user_id % 12 = 5 THEN 'Elsewhere' ELSE ([{KNOWN}])[user_id % 12 + 1] END AS governorate, value AS temperature, CAST(event_id % 100 AS DOUBLE) AS humidity,
+    CAST(event_id % 7 AS DOUBLE) AS rainfall, CAST(user_id % 30 AS DOUBLE) AS wind_speed FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id % 12 ORDER BY ts DESC, value DESC) = 1)"""
 ORACLES["latest_weather"] = _with(WEATHER) + "SELECT * FROM weather"
 PLACES = f"places(governorate, coarse, region_type, lat, lon) AS (SELECT * FROM {_values(fixed.place_rows())})"
