@@ -13,7 +13,8 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.root = root.rstrip("/")
         self._jvm = spark._jvm
-        self._fs = self._path().getFileSystem(spark._jsc.hadoopConfiguration())
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path().getFileSystem(self._conf)
 
     def _path(self, name: str = ""):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -47,3 +48,18 @@ class Store:
 
     def delete(self, name: str = "") -> None:
         self._fs.delete(self._path(name), True)
+
+    def delete_on_exit(self) -> None:
+        """Make the folder and remove it, with all in it, when the JVM ends."""
+        self._fs.mkdirs(self._path())
+        self._fs.deleteOnExit(self._path())
+
+    def stamps(self, paths: list[str]) -> tuple[tuple[str, int, int], ...]:
+        """Path, length and time of change of files of any store."""
+        conf = self._conf
+        found = []
+        for path in paths:
+            place = self._jvm.org.apache.hadoop.fs.Path(self._jvm.java.net.URI(path))
+            status = place.getFileSystem(conf).getFileStatus(place)
+            found.append((path, int(status.getLen()), int(status.getModificationTime())))
+        return tuple(found)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import OrderedDict
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furrow.files import Store
+
 
 def build_session(app: str = "furrow", master: str | None = None, **conf) -> SparkSession:
     """Session with the settings the operators rely on (UTC dates, AQE, ANSI)."""
@@ -42,9 +45,68 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+class _Scratch:
+    """What this driver has below the shared folder: its own folder, and small tables it has stored there."""
+
+    #: Small tables that are remembered; older ones are stored anew.
+    MOST = 256
+    #: A table read from more files is not compared with earlier ones.
+    FILES = 1000
+
+    def __init__(self) -> None:
+        self.folders: dict[str, str] = {}
+        self.known: OrderedDict[tuple, list[tuple[DataFrame, DataFrame, int]]] = OrderedDict()
+
+    def folder(self, spark: SparkSession) -> str:
+        """A folder of this application, removed when its JVM ends."""
+        root = checkpoint_root(spark)
+        if root not in self.folders:
+            store = Store(spark, f"{root}/stages-{uuid.uuid4().hex}")
+            store.delete_on_exit()
+            self.folders[root] = store.root
+        return self.folders[root]
+
+    def key(self, df: DataFrame) -> tuple | None:
+        """What a stored table must share with ``df`` to stand for it, files and their times included."""
+        if df.isStreaming:
+            return None
+        files = df.inputFiles()
+        if len(files) > self.FILES:
+            return None
+        seen = Store(df.sparkSession, self.folder(df.sparkSession)).stamps(sorted(files))
+        return self.folder(df.sparkSession), df.semanticHash(), df.schema.json(), seen
+
+    def find(self, df: DataFrame, key: tuple | None) -> tuple[DataFrame, int] | None:
+        for plan, stored, size in self.known.get(key, []) if key else []:
+            if plan.sparkSession is df.sparkSession and plan.sameSemantics(df):
+                self.known.move_to_end(key)
+                return stored, size
+        return None
+
+    def keep(self, df: DataFrame, key: tuple | None, stored: DataFrame, size: int) -> None:
+        if key:
+            self.known.setdefault(key, []).append((df, stored, size))
+            while len(self.known) > self.MOST:
+                self.known.popitem(last=False)
+
+    def clear(self, spark: SparkSession) -> None:
+        root = checkpoint_root(spark)
+        if root in self.folders:
+            Store(spark, self.folders.pop(root)).delete()
+        self.known.clear()
+
+
+_SCRATCH = _Scratch()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared checkpoint folder."""
-    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder; it goes when the application ends."""
+    return f"{_SCRATCH.folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clean_stages(spark: SparkSession) -> None:
+    """Remove all stages now; tables that were read from them cannot be read any more."""
+    _SCRATCH.clear(spark)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -59,7 +121,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def measured(df: DataFrame) -> tuple[DataFrame, int]:
-    """Store ``df`` and return it with its size in bytes, seen in the same job."""
+    """Store ``df`` and return it with its size in bytes, seen in the same job.
+
+    The same plan over the same files is stored once per application; later calls get what is there.
+    """
+    key = _SCRATCH.key(df)
+    known = _SCRATCH.find(df, key)
+    if known:
+        return known
     width = sum(_fixed_width(f.dataType) for f in df.schema.fields)
     size = F.lit(width).cast("long")
     for field in df.schema.fields:
@@ -69,7 +138,9 @@ def measured(df: DataFrame) -> tuple[DataFrame, int]:
             size = size + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{field.name}`")))), F.lit(0))
     seen = Observation()
     stored = cut_lineage(df.observe(seen, F.coalesce(F.sum(size), F.lit(0)).alias("bytes")))
-    return stored, int(seen.get["bytes"])
+    bytes_ = int(seen.get["bytes"])
+    _SCRATCH.keep(df, key, stored, bytes_)
+    return stored, bytes_
 
 
 def _fixed_width(data_type: T.DataType) -> int:
