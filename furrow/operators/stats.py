@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from furrow import fixed_values as fixed
 from furrow.operators.joins import lookup_join, one_row
 from furrow.operators.ordering import exact_quantiles, sequential_ids
+from furrow.session import cut_lineage
 from furrow.functions.scalars import at_least, in_set, pct_true
 
 
@@ -127,7 +128,8 @@ def summary_numbers(df: DataFrame, column: str, masks: Mapping[str, Column]) ->
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows outside 1.5 interquartile ranges, one line per column."""
+    """Rows outside 1.5 interquartile ranges, one line per column. The columns are stored once for the three scans."""
+    df = cut_lineage(df.select(*columns))
     quartiles = exact_quantiles(df, columns, [0.25, 0.75])
     reach = (F.col("q1") - F.col("q0")) * 1.5
     bounds = quartiles.select(

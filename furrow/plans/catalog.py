@@ -15,7 +15,7 @@ from furrow.plans import etl, inputs
 from furrow.plans.farm_view import farm_records, table
 from furrow.schemas import EVENTS, FARM_RECORD
 from furrow.session import cut_lineage, scratch_path
-from furrow.sources import government, tables
+from furrow.sources import government, tables, whole_files
 from furrow.sources import models as models_
 from furrow.streaming.latest import latest_of_stream
 from furrow.streaming.scoring import scored_stream
@@ -430,6 +430,56 @@ def government_files(spark, sf):
     return etl.clean_production(government.read_table(spark, folder, fields), years).withColumn("year", F.col("year").cast("long"))
 
 
+def _as_files(df, heading, encoding="UTF-8"):
+    """The rows as untidy files: quoted fields, a trailing delimiter, a title and a heading in each."""
+    spark, folder = df.sparkSession, scratch_path(df.sparkSession, "statistics")
+    text = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns], F.lit("").alias("_end"))
+    text.write.options(sep=";", quoteAll=True, emptyValue="", encoding=encoding).csv(folder)
+    lines = spark.createDataFrame([("Title of the table;",), (";".join(heading) + ";",)], "value string").coalesce(1)
+    lines.write.mode("append").text(folder)
+    return folder
+
+
+@query
+def price_files(spark, sf):
+    """Prices to files and back, each file read once."""
+    wide = inputs.prices_wide(spark, sf)
+    names = ["metric", "region_level", "crop", "month", *inputs.years_of(wide)]
+    rows, _ = whole_files.read_files(spark, _as_files(wide.select(*names), ["Kind", "Level", "Crop", "Month", *inputs.years_of(wide)]), names)
+    return etl.clean_prices(rows, inputs.years_of(wide)).withColumn("year", F.col("year").cast("long"))
+
+
+@query
+def latin_files(spark, sf):
+    """The production table as Latin-1 files: a letter of every crop's name is not ASCII."""
+    wide = inputs.production_wide(spark, sf).withColumn("crop", F.concat(F.lit("Café "), F.trim("crop")))
+    names = ["kind", "season", "crop", "location", *inputs.years_of(wide)]
+    folder = _as_files(wide.select(*names), ["Kind", "Season", "Crop", "Level", *inputs.years_of(wide)], encoding="ISO-8859-1")
+    rows, _ = whole_files.read_files(spark, folder, names)
+    return etl.clean_production(rows, inputs.years_of(wide)).withColumn("year", F.col("year").cast("long"))
+
+
+@query
+def season_files(spark, sf):
+    """Five columns per line: the largest value of every crop, place, season and metric."""
+    base = inputs.season_rows(spark, sf).groupBy("metric", "season", "crop", "location").agg(F.max("value_2024").alias("value_2024"))
+    folder = _as_files(base, ["Kind", "Season", "Crop", "Level", "2024"])
+    rows, _ = whole_files.read_files(spark, folder, government.SEASON_PRODUCTION_FIELDS)
+    rows = rows.withColumn("value_2024", F.col("value_2024").try_cast("double")).withColumn("line_no", F.struct("file", "line_no"))
+    names = {"Area": "area_size", "Production": "total_yield"}
+    return reshape.pivot_first(rows, ["season", "crop", "location"], "metric", "value_2024", "line_no", names)
+
+
+@query
+def refused_lines(spark, sf):
+    """What the reader leaves out of the price files, and why."""
+    wide = inputs.prices_wide(spark, sf)
+    names = ["metric", "region_level", "crop", "month", *inputs.years_of(wide)]
+    data, refused = whole_files.read_files(spark, _as_files(wide.select(*names), ["Kind", "Level", "Crop", "Month", *inputs.years_of(wide)]), names)
+    kept = data.agg(F.lit("data").alias("reason"), F.count(F.lit(1)).alias("n"))
+    return refused.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).unionByName(kept)
+
+
 @query
 def csv_round_trip(spark, sf):
     """Farm records to CSV and back through the typed reader."""
@@ -480,7 +530,7 @@ def dq_median_profit(spark, sf):
 
 @query
 def dq_warnings(spark, sf):
-    rows = farm_records(spark, sf)
+    rows = cut_lineage(farm_records(spark, sf))
     return quality.warning_flags(quality.rule_values(rows).unionByName(quality.overview(rows)))
 
 

@@ -318,6 +318,12 @@ ORACLES["monthly_expand"] = _with(PRODUCTION, MONTHS) + (
     "SELECT crop, location, season, year, month, round(total_yield / 12, 9) AS monthly_yield_est FROM production, months")
 ORACLES["price_fallback_join"] = _with(PRODUCTION, MONTHS, PRICES, REGIONS, _priced("prices")) + (
     "SELECT crop, location, season, year, month, price_region, price, price_kingdom, final_price FROM priced")
+ORACLES["price_files"] = _with(PRODUCTION, PRICES) + "SELECT region AS region_level, crop, month, year, price FROM prices"
+ORACLES["refused_lines"] = _with(PRODUCTION, PRICES) + """SELECT 'data' AS reason, count(*) AS n FROM (SELECT DISTINCT flag, region, crop, month FROM price_cells)
+  UNION ALL SELECT 'before the table', 1 UNION ALL SELECT 'heading', 1"""
+ORACLES["latin_files"] = _with(PRODUCTION) + "SELECT * REPLACE ('café ' || crop AS crop) FROM production"
+ORACLES["season_files"] = _with(SHIPPED, SEASONED) + """SELECT season, crop, location, max(v) FILTER (WHERE metric = 'Area') AS area_size,
+    max(v) FILTER (WHERE metric = 'Production') AS total_yield FROM raw GROUP BY ALL"""
 ORACLES["price_fan_out"] = _with(
     PRODUCTION, MONTHS, PRICES, REGIONS, "any_price AS (SELECT * FROM all_prices WHERE flag IN ('R', 'A'))", _priced("any_price")
 ) + "SELECT crop, year, count(*) AS n, sum(final_price) AS price_sum FROM priced GROUP BY ALL"
