@@ -213,7 +213,9 @@ def layout(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def training_windows(docs: DataFrame, per_language: int) -> tuple[list[str], list[bytes], list[int]]:
     """Languages and a bounded sample of labelled windows from ``doc_id, text, lang``."""
     counts = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").groupBy("lang").agg(F.count("*").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    rows = counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the network has no place for all of them")
     languages = sorted(row["lang"] for row in rows)
     share = {row["lang"]: per_language / row["n"] for row in rows}
     kind = F.create_map(*[F.lit(x) for pair in share.items() for x in pair]) if share else F.create_map()
@@ -230,7 +232,9 @@ def training_windows(docs: DataFrame, per_language: int) -> tuple[list[str], lis
 
     chosen = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").where(drawn) if share else docs.limit(0)
     most = 2 * PER_DOCUMENT * per_language * max(1, len(languages))
-    found = map_batches(chosen.select("lang", "text"), each, "lang string, window binary").limit(most).toArrow().to_pydict()
+    found = map_batches(chosen.select("lang", "text"), each, "lang string, window binary")
+    # about half of the bound is drawn; should it be more, the same windows go on every run
+    found = found.orderBy(F.xxhash64("lang", "window"), "lang", "window").limit(most).toArrow().to_pydict()
     # Rows arrive in the order of tasks; sorted, training does not depend on it.
     pairs = sorted(zip(found["lang"], found["window"]))
     return languages, [bytes(x) for _, x in pairs], [languages.index(x) for x, _ in pairs]

@@ -264,7 +264,7 @@ def one_per_group(docs: DataFrame, shingle: int = 4, distance: int = 4, key: str
     found = labelled(docs, shingle, distance, key, text)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "other_mark")
     chosen = found.groupBy("group").agg(F.min(order).alias("least")).select("least.mark", "least.other_mark")
-    names = [f"_{name}" for name in ("mark", "other_mark")]
-    marked = docs.withColumns(dict(zip(names, marks(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")))))
-    kept = marked.join(chosen.toDF(*names), names, "left_semi")
-    return kept.dropDuplicates(names).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = ["mark", "other_mark"]
+    own = [x.alias(n) for n, x in zip(names, marks(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")))]
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own)
+    return marked.join(chosen, names, "left_semi").dropDuplicates(names).select("row.*")

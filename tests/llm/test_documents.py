@@ -346,3 +346,14 @@ def test_walk_goes_on_until_it_has_settled(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "most_rounds", lambda *_: 2)
     with pytest.raises(RuntimeError):
         url_filter.walk(frame, links, 0.85)
+
+
+def test_one_per_group_keeps_columns_of_any_name(spark):
+    rows = [(i, "the same long text " * 9 if i < 4 else f"quite another text {i} " * 9, f"own {i}", i) for i in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _mark string, other_mark int")
+    docs = docs.withColumn("mark", docs["_mark"]).withColumn("_other_mark", docs["_mark"]).withColumn("bits", docs["_mark"])
+    kept = simhash.one_per_group(docs)
+    assert kept.columns == docs.columns
+    found = {r["doc_id"]: r for r in kept.collect()}
+    assert set(found) == {0, 4, 5, 6}
+    assert all(r["_mark"] == r["mark"] == r["_other_mark"] == r["bits"] == f"own {i}" and r["other_mark"] == i for i, r in found.items())

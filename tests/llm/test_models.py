@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from furrow.llm import language_id, lm_score
 
@@ -164,3 +165,12 @@ def test_windows_do_not_depend_on_the_batch():
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "words", None), (2, None, None)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in language_id.identify(docs, carry=["doc_id"]).collect()} == {"und"}
+
+
+def test_more_languages_than_the_network_holds_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    rows = [(i, "some text of its own " * 3, f"l{i % 4}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language_id.training_windows(docs, 5)
+    assert language_id.training_windows(docs.where("lang <> 'l3'"), 5)[0] == ["l0", "l1", "l2"]
