@@ -335,10 +335,12 @@ def feature_importances(model: PipelineModel, scored: DataFrame, top: int = 20)
 
 
 def bake_off(
-    models: Mapping[str, Estimator], categories: Sequence[str], numbers: Sequence[str], target: str, df: DataFrame
+    models: Mapping[str, Estimator], categories: Sequence[str], numbers: Sequence[str], target: str, df: DataFrame,
+    bucket: Column | None = None,
 ) -> tuple[str, PipelineModel, DataFrame]:
-    """Scaled-feature comparison; keeps the best r2, which must exceed 0."""
-    train, test = random_split(df.dropna(subset=[*categories, *numbers, target]))
+    """Scaled-feature comparison; keeps the best r2, which must exceed 0. A ``bucket`` of 0 to 99 makes the split repeatable."""
+    rows = df.dropna(subset=[*categories, *numbers, target])
+    train, test = random_split(rows) if bucket is None else hash_split(rows, [], bucket=bucket)
     index = [f"{c}_index" for c in categories]
     stages = [
         StringIndexer(inputCols=list(categories), outputCols=index, handleInvalid="keep"),

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from furrow import fixed_values as fixed
 from furrow.functions import scalars as s
-from furrow.operators import allocation, enrich, features, finance, linear, ml, moments, ordering, quality, reshape, scoring, stats
+from furrow.operators import allocation, checks, enrich, features, finance, joins, linear, ml, moments, ordering, quality, reshape, scoring, stats
 from furrow.plans import etl, inputs
 from furrow.plans.farm_view import farm_records, table
 from furrow.schemas import EVENTS, FARM_RECORD
@@ -881,6 +882,78 @@ def crop_lookup(spark, sf):
     return _round(enrich.with_crop_table(requests, inputs.crops_table(spark, sf)), 6, "avg_yield_per_donum")
 
 
+def _bucket():
+    return F.pmod(F.col("record_id") * 7919 + 42, F.lit(100))
+
+
+@query
+def encoded_features(spark, sf):
+    """Indexed, encoded, assembled and scaled: a number, and the share of each row's own region and season."""
+    spec = ml.ModelSpec("actual_yield", (), ("region_type", "season"), ("area_size",))
+    rows = cut_lineage(farm_records(spark, sf, ["record_id", *spec.raw_columns]))
+    scale = ml.StandardScaler(inputCol="features", outputCol="scaled_features", withMean=True, withStd=True)
+    made = ml.Pipeline(stages=[*ml.feature_stages(spec), scale]).fit(rows).transform(rows)
+    regions = made.agg((F.max("region_type_idx") + 1).cast("int").alias("_regions"))
+    found = joins.one_row(made.withColumn("_x", vector_to_array("scaled_features")), regions)
+    return found.select(
+        "record_id", F.col("region_type_idx").cast("long").alias("region_index"), F.col("season_idx").cast("long").alias("season_index"),
+        F.round(F.col("_x")[0], 6).alias("area"), F.round(F.col("_x")[1 + F.col("region_type_idx").cast("int")], 6).alias("region"),
+        F.round(F.col("_x")[1 + F.col("_regions") + F.col("season_idx").cast("int")], 6).alias("season"),
+    )
+
+
+@query
+def unseen_labels(spark, sf):
+    """Held-out records with a category that the training part, which lacks a region, never had."""
+    rows = cut_lineage(farm_records(spark, sf, ["record_id", *ml.YIELD.raw_columns]))
+    train, test = ml.hash_split(ml.prepared(rows, ml.YIELD, keep=["record_id"]), ["record_id"], bucket=_bucket())
+    model = ml.Pipeline(stages=ml.feature_stages(ml.YIELD)).fit(train.where("region_type <> 'Desert'"))
+    return ml.unseen_categories(test, model, ml.YIELD)
+
+
+@query
+def bayes_levels(spark, sf):
+    """Records by true and predicted demand level."""
+    columns = ["sale_gap_days", "humidity"]
+    model = _line(spark, sf, ml.DEMAND, columns, ml.cl.NaiveBayes(featuresCol="features", labelCol="label"))
+    rows = farm_records(spark, sf, ["demand_level", *columns]).where("demand_level is not null")
+    scored = ml.readable_predictions(model.transform(rows.withColumns({c: F.col(c).cast("double") for c in columns})), model, "demand_level")
+    return scored.groupBy("demand_level", "predicted_demand_level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def bake_off_line(spark, sf):
+    """Scaled features of one number and one indexed category, judged on held-out records."""
+    rows = cut_lineage(farm_records(spark, sf, ["record_id", "region_type", "unit_price", "market_price"]))
+    line = ml.rg.LinearRegression(featuresCol="scaled_features", labelCol="market_price", solver="normal")
+    board = ml.bake_off({"line": line}, ["region_type"], ["unit_price"], "market_price", rows, bucket=_bucket())[2]
+    return _round(board, 6, "r2", "rmse", "mae")
+
+
+@query
+def inventory_left(spark, sf):
+    """What a tenth more sales would leave of the yield."""
+    rows = farm_records(spark, sf, ["record_id", "actual_yield", "quantity_sold"])
+    left = features.inventory_left(F.col("actual_yield"), F.col("quantity_sold") * 1.1)
+    return rows.select("record_id", F.round(left, 6).alias("inventory_left"))
+
+
+@query
+def dropped_nulls(spark, sf):
+    rows = farm_records(spark, sf, ["record_id", "customer_type", "total_sales", "area_size", "crop_name"])
+    kept = checks.drop_columns(checks.drop_null_rows(rows, ["customer_type", "total_sales"]), ["customer_type"])
+    return checks.cast_columns(kept, {"area_size": "bigint", "crop_name": "bigint"})
+
+
+@query
+def capped_sample(spark, sf):
+    """The first records of a CSV file by profit: the limit is the operator."""
+    folder = scratch_path(spark, "records")
+    tables.write_csv(farm_records(spark, sf, ["record_id", "profit"]), folder)
+    schema = StructType([FARM_RECORD["record_id"], FARM_RECORD["profit"]])
+    return _round(tables.load_sample(spark, folder, 500, schema, order=["profit", "record_id"]), 6, "profit")
+
+
 @query
 def tune_linear(spark, sf):
     """The whole linear grid over three folds from one scan: profit by the value of the sales."""

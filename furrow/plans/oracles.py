@@ -797,6 +797,45 @@ ORACLES["version_comparison"] = _farm(
     """SELECT 'untuned' AS version, arg_max(model, r2) AS model, round(max(r2), 6) AS score FROM plain
     UNION ALL SELECT 'tuned', arg_max(model, r2), round(max(r2), 6) FROM bent""", _SPLIT, f"plain AS ({_line_board(0.0)})", f"bent AS ({_line_board(5.0)})")
 
+
+
+def _indexed(name: str, column: str, rows: str = "farm") -> str:
+    """Labels by falling count, equal ones in order, and their shares."""
+    return (f"{name} AS (SELECT {column} AS label, row_number() OVER (ORDER BY count(*) DESC, {column}) - 1 AS i, count(*) / sum(count(*)) OVER () AS p,"
+            f" sum(count(*)) OVER () AS total FROM {rows} GROUP BY 1)")
+
+
+_OWN = "round((1 - {0}.p) / sqrt({0}.p * (1 - {0}.p) * {0}.total / ({0}.total - 1)), 6)"
+ORACLES["encoded_features"] = _farm(
+    f"""SELECT record_id, CAST(r.i AS BIGINT) AS region_index, CAST(s.i AS BIGINT) AS season_index,
+      round((area_size - m) / d, 6) AS area, {_OWN.format('r')} AS region, {_OWN.format('s')} AS season
+    FROM farm JOIN r ON r.label = region_type JOIN s ON s.label = season, (SELECT avg(area_size) AS m, stddev_samp(area_size) AS d FROM farm)""",
+    _indexed("r", "region_type"), _indexed("s", "season"))
+ORACLES["unseen_labels"] = _farm(
+    _union(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL OR {c} NOT IN (SELECT {c} FROM halves WHERE train AND region_type <> 'Desert' AND {c} IS NOT NULL)) AS unseen"
+           " FROM halves WHERE NOT train" for c in ("crop_name", "farm_location", "region_type")),
+    "halves AS MATERIALIZED (SELECT *, (record_id * 7919 + 42) % 100 < 80 AS train FROM farm)")
+_LEARNED = ORACLES["bayes_score_demand"][ORACLES["bayes_score_demand"].index("learned AS"):].split("FROM farm WHERE demand_level IS NOT NULL GROUP BY 1)")[0] + "FROM farm WHERE demand_level IS NOT NULL GROUP BY 1)"
+ORACLES["bayes_levels"] = _farm(
+    """SELECT demand_level, predicted AS predicted_demand_level, count(*) AS n FROM (SELECT demand_level,
+      (SELECT arg_max(level, prior + gap * sale_gap_days + damp * humidity) FROM learned) AS predicted FROM farm WHERE demand_level IS NOT NULL) GROUP BY ALL""",
+    _LEARNED)
+ORACLES["bake_off_line"] = _farm(
+    """SELECT 'line' AS model, round(1 - sum(e * e) / (var_pop(y) * count(*)), 6) AS r2, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae
+    FROM (SELECT y, y - my - b1 * (x - mx) - b2 * (z - mz) AS e FROM (
+      SELECT *, (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) AS b1, (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) AS b2 FROM points, (
+        SELECT avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS sxx, var_pop(z) AS szz, covar_pop(x, z) AS sxz, covar_pop(x, y) AS sxy, covar_pop(z, y) AS szy
+        FROM points WHERE train)) WHERE NOT train)""",
+    """halves AS MATERIALIZED (SELECT record_id, region_type, unit_price, market_price, (record_id * 7919 + 42) % 100 < 80 AS train FROM farm
+      WHERE region_type IS NOT NULL AND unit_price IS NOT NULL AND market_price IS NOT NULL)""",
+    _indexed("r", "region_type", "(SELECT * FROM halves WHERE train)"),
+    "points AS (SELECT unit_price AS x, coalesce(r.i, (SELECT count(*) FROM r)) * 1e0 AS z, market_price AS y, train FROM halves LEFT JOIN r ON r.label = region_type)")
+ORACLES["inventory_left"] = _farm("SELECT record_id, round(greatest(actual_yield - quantity_sold * 1.1e0, 0), 6) AS inventory_left FROM farm")
+ORACLES["dropped_nulls"] = _farm(
+    """SELECT record_id, total_sales, CAST(area_size AS BIGINT) AS area_size, TRY_CAST(crop_name AS BIGINT) AS crop_name FROM farm
+    WHERE customer_type IS NOT NULL AND total_sales IS NOT NULL""")
+ORACLES["capped_sample"] = _farm("SELECT record_id, round(profit, 6) AS profit FROM (SELECT record_id, profit FROM farm ORDER BY profit, record_id LIMIT 500)")
+
 # --- the whole report -----------------------------------------------------------------
 
 _REPORT = [ORACLES[f"dq_{name}"] for name in ["overview", "record_id", "median_profit", *RULES]]
