@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow import fixed_values as fixed
-from furrow.functions.scalars import demand_pressure, split_list, sufficiency_by_balance
+from furrow.functions.scalars import demand_pressure, fallback, per_hectare, split_list, sufficiency_by_balance
+from furrow.functions.scalars import hectares as in_hectares
 from furrow.operators.joins import lookup_join
 from furrow.operators.stats import latest_per_key
 from furrow.sources import lookups
@@ -124,17 +125,16 @@ def with_baselines(df: DataFrame, baselines: DataFrame) -> DataFrame:
         **{c: F.coalesce(c, F.lit(0.0)) for c in renamed.columns if c.startswith("base_") and c != "base_market_price"},
     }
     if "supply" in df.columns:
-        out["supply"] = F.expr("coalesce(nullif(supply, 0D), base_supply, 0D)")
+        out["supply"] = fallback(F.col("supply"), F.col("base_supply"), F.lit(0.0))
     return joined.withColumns(out)
 
 
 def with_area(df: DataFrame, hectares: str | None = None) -> DataFrame:
     """Hectares of the request and the fertilizer and water the crop needs on them."""
-    area = hectares or f"area_donums * {fixed.HECTARES_PER_DONUM}D"
-    sized = df.selectExpr("*", f"{area} as area_size")
-    return sized.selectExpr(
-        "*", "base_fertilizer_per_ha * area_size as fertilizer_used", "base_water_per_ha * area_size as water_used"
-    )
+    area = F.expr(hectares) if hectares else in_hectares(F.col("area_donums"))
+    sized = df.withColumn("area_size", area)
+    needs = {"fertilizer_used": "base_fertilizer_per_ha", "water_used": "base_water_per_ha"}
+    return sized.withColumns({name: per_hectare(F.col(rate), F.col("area_size")) for name, rate in needs.items()})
 
 
 def with_sale_gap(df: DataFrame, as_of: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.session import cut_lineage
+
 SEED = 42
 FOLDS = 3
 GAP_LIMIT, SCORE_LIMIT = 0.05, 0.7
@@ -279,20 +281,17 @@ def tune_and_evaluate(
 ) -> tuple[CrossValidatorModel, dict]:
     """Cross-validated grid search; metrics of the best model on both parts.
 
-    The training rows are read once per parameter set and fold, so they are kept.
+    The training rows are read once per parameter set and fold, so they are stored first.
     """
     search = CrossValidator(
         estimator=pipeline(spec, estimator), estimatorParamMaps=param_grid(estimator, grid), evaluator=evaluator(spec),
         numFolds=folds, parallelism=parallelism, seed=SEED,
     )
-    kept = train.persist()
-    try:
-        found = search.fit(kept)
-        row = {"model": name}
-        for part, rows in (("train", kept), ("test", test)):
-            row |= {f"{part}_{k}": v for k, v in measured_on(found.bestModel, spec, rows).items()}
-    finally:
-        kept.unpersist()
+    kept = cut_lineage(train)
+    found = search.fit(kept)
+    row = {"model": name}
+    for part, rows in (("train", kept), ("test", test)):
+        row |= {f"{part}_{k}": v for k, v in measured_on(found.bestModel, spec, rows).items()}
     return found, row
 
 

@@ -56,21 +56,24 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles: one row per (keys, measure), columns q0, q1, ...
 
-    A first scan takes bounded sketches that bracket each wanted rank. A second scan
+    A first scan takes bounded sketches that bracket each wanted rank, one per column and group, side by
+    side in one row. A second scan
     keeps the values inside the brackets and only counts those between them, so almost
     nothing is shuffled. The kept values are range-partitioned and only the blocks that
     hold a wanted rank are sorted. Should a bracket miss its rank, all values are used.
     """
     parts = partitions or shuffle_partitions(df.sparkSession)
     group = [*keys, "measure"]
-    cells = ", ".join(f"'{c}', cast({c} as double)" for c in columns)
-    long = df.selectExpr(*keys, f"stack({len(columns)}, {cells}) as (measure, value)")
-    long = long.where("value is not null and not isnan(value)")
+    # NaN is missing, too
+    wide = df.selectExpr(*keys, *[f"nullif(cast({c} as double), double('NaN')) as {c}" for c in columns])
+    cells = ", ".join(f"'{c}', {c}" for c in columns)
+    long = wide.selectExpr(*keys, f"stack({len(columns)}, {cells}) as (measure, value)").where("value is not null")
 
     edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-SLACK, SLACK)]
-    cuts = long.groupBy(*group).agg(
-        F.percentile_approx("value", edges, ACCURACY).alias("_cuts"), (F.count(F.lit(1)) <= SMALL_GROUP).alias("_small")
-    )
+    sketches = [x for c in columns for x in (F.percentile_approx(c, edges, ACCURACY).alias(f"_cuts_{c}"), F.count(c).alias(f"_n_{c}"))]
+    cuts = wide.groupBy(*keys).agg(*sketches).selectExpr(
+        *keys, "inline(array(" + ", ".join(f"struct('{c}' as measure, _cuts_{c} as _cuts, _n_{c} <= {SMALL_GROUP} as _small)" for c in columns) + "))"
+    ).where("_cuts is not null")
     seen = Observation()
     picked = _pick(_counted(long, cuts, group, len(probs)), group, probs, parts)
     picked = cut_lineage(picked.observe(seen, F.coalesce(F.bool_or("_missed"), F.lit(False)).alias("missed")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow import fixed_values as fixed
+from furrow.functions.scalars import money_text, yield_text
 from furrow.operators import enrich
 from furrow.operators.allocation import allocate, allocate_resources
 from furrow.operators.joins import lookup_join
@@ -70,7 +71,7 @@ def score_yield(requests: DataFrame, context: Context, model: PipelineModel) ->
     if "pest_indicator" not in requests.columns:
         farm = farm.withColumn("pest_indicator", F.lit(False))
     scored = predicted(farm, model, YIELD, "predicted_yield")
-    return scored.withColumn("value", F.expr("concat(bround(predicted_yield, 2), ' Tons/Units')"))
+    return scored.withColumn("value", yield_text(F.col("predicted_yield")))
 
 
 def score_profit(requests: DataFrame, context: Context, profit: PipelineModel, yields: PipelineModel) -> DataFrame:
@@ -80,7 +81,7 @@ def score_profit(requests: DataFrame, context: Context, profit: PipelineModel, y
         "* except (_yield)", "coalesce(if(isnan(_yield), null, _yield), base_yield_per_ha * area_size) as actual_yield"
     )
     scored = predicted(grown, profit, PROFIT, "predicted_profit")
-    return scored.withColumn("value", F.expr("concat('$', bround(predicted_profit, 2))"))
+    return scored.withColumn("value", money_text(F.col("predicted_profit")))
 
 
 def market_context(requests: DataFrame, context: Context) -> DataFrame:
@@ -113,7 +114,7 @@ def _inputs(stage: StringIndexerModel) -> list[str]:
 
 def score_price(requests: DataFrame, context: Context, model: PipelineModel) -> DataFrame:
     scored = predicted(market_context(requests, context), model, PRICE, "predicted_price")
-    return scored.withColumn("value", F.expr("concat('$', bround(predicted_price, 2))"))
+    return scored.withColumn("value", money_text(F.col("predicted_price")))
 
 
 def candidate_profits(requests: DataFrame, context: Context, profit: PipelineModel) -> DataFrame:
