@@ -8,6 +8,7 @@ among the pieces of its length, and the plan says in which sequence and where th
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.llm.byte_merges import merger
 from furrow.llm.texts import blobs, column, keyed, map_batches, map_partition, no_cycle_search, shared_file, staged, table, task
 from furrow.llm.token_counts import tokenizer
 
@@ -41,54 +43,58 @@ class Ids(dict):
 
     Such a tokenizer treats words between ASCII blanks one by one, so a bounded cache by word
     gives the ids of the whole text. Plain words (no combining mark, no special string) are put
-    together from their runs, which are far fewer than the words and have a cache of their own;
-    other words go to the library as they are.
+    together from their runs, which are far fewer than the words, are merged by rank and have a
+    cache of their own; other words go to the library as they are, and so do all words of a model
+    without ranks.
     """
 
     def __init__(self, vocabulary: bytes):
         super().__init__()
         self.library = tokenizer(vocabulary)
-        self.runs: dict[str, bytes] = {}
-        self.long: list[bytes] = []
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def cover(self, texts: list[list[bytes]]) -> None:
-        """Adds all words of ``texts``."""
-        with no_cycle_search():
-            self._cover(texts)
-
-    def _cover(self, texts: list[list[bytes]]) -> None:
-        if len(self) > CACHE_SIZE:
-            self.clear()
-        if len(self.runs) > RUN_CACHE_SIZE:
-            self.runs.clear()
-        missed = list(set().union(*texts).difference(self))
-        split, whole = [], []
-        for word in missed:
-            low = word.lower()
-            letters = low.rstrip(MARKS)
-            if letters.isalpha():  # of bytes: a to z alone; what follows is one run
-                split.append((word, (letters.decode(), low[len(letters) :].decode()) if len(letters) < len(low) else (letters.decode(),)))
-                continue
+        self.merger = merger(vocabulary)
+        self.runs = Runs(*self.merger) if self.merger else None
+
+    def __missing__(self, word: bytes) -> bytes:
+        low = word.lower()
+        letters = low.rstrip(MARKS)
+        runs = self.runs
+        if runs is None:
+            made = self._encode(word)
+        elif letters.isalpha():  # of bytes: a to z alone; what follows is one run
+            made = runs[letters] if len(letters) == len(low) else runs[letters] + runs[low[len(letters) :]]
+        else:
             plain = word.decode()
-            if PLAIN.fullmatch(plain) and "<|" not in plain:
-                split.append((word, RUN.findall(low.decode())))
+            if not PLAIN.fullmatch(plain) or "<|" in plain:
+                made = self._encode(word)
             else:
-                whole.append(word)
-        new = list({run for _, runs in split for run in runs}.difference(self.runs))
-        self.runs.update(zip(new, self._encode(new)))
-        for word, runs in split:
-            self[word] = b"".join(map(self.runs.__getitem__, runs))
-        self.update(zip(whole, self._encode([x.decode() for x in whole])))
-        self.long = [x for x in missed if len(x) > KEPT_BYTES]
-        for run in [x for x in new if len(x) > KEPT_BYTES]:
-            del self.runs[run]
+                low = plain.lower()
+                found = (low,) if low.isalpha() else RUN.findall(low)
+                made = b"".join([runs[x.encode()] for x in found])
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= CACHE_SIZE:
+                self.clear()
+            self[word] = made
+        return made
+
+    def _encode(self, word: bytes) -> bytes:
+        return np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+
+class Runs(dict):
+    """Ids of runs in lower case, by their bytes."""
+
+    def __init__(self, merge, end: bytes):
+        super().__init__()
+        self.merge, self.end = merge, end
 
-    def forget_long(self) -> None:
-        for x in self.long:
-            del self[x]
+    def __missing__(self, run: bytes) -> bytes:
+        ids = self.merge(run + self.end)
+        made = struct.pack(f"<{len(ids)}I", *ids)
+        if len(run) <= KEPT_BYTES:
+            if len(self) >= RUN_CACHE_SIZE:
+                self.clear()
+            self[run] = made
+        return made
 
 
 def _ids(vocabulary) -> Ids:
@@ -113,18 +119,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, limit: int, key: str = "doc_id"
         here = task()
         for batch in batches:
             cache = _ids(vocabulary)
-            texts = [x.split() for x in blobs(batch, "text")]
-            cache.cover(texts)
             rows = []
-            for doc_id, words in zip(column(batch, "doc_id"), texts):
-                ids = b"".join([*map(cache.__getitem__, words), end])
-                total = len(ids) // 4
-                for piece, start in enumerate(range(0, total, limit)):
-                    part = ids[4 * start : 4 * (start + limit)]
-                    size = len(part) // 4
-                    rows.append((doc_id, piece, start, size, zlib.crc32(part), here, seen[size]))
-                    seen[size] += 1
-            cache.forget_long()
+            with no_cycle_search():
+                for doc_id, text in zip(column(batch, "doc_id"), blobs(batch, "text")):
+                    ids = b"".join(map(cache.__getitem__, text.split())) + end
+                    total = len(ids) // 4
+                    for piece, start in enumerate(range(0, total, limit)):
+                        part = ids[4 * start : 4 * (start + limit)]
+                        size = len(part) // 4
+                        rows.append((doc_id, piece, start, size, zlib.crc32(part), here, seen[size]))
+                        seen[size] += 1
             if rows:
                 yield table(schema, *map(list, zip(*rows)))
 

@@ -1,5 +1,6 @@
 """Operators on tokens against the libraries themselves."""
 
+import json
 import random
 import zlib
 
@@ -9,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from furrow.llm import packing, pieces, token_counts
+from furrow.llm import byte_merges, packing, pieces, token_counts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,12 +75,48 @@ def test_word_ids_equal_library():
     cache = packing.Ids(blob)
     for text in ODD + noise(500):
         found = text.encode().split()
-        cache.cover([found])
         ids = np.frombuffer(b"".join(map(cache.__getitem__, found)), "<u4").tolist()
-        cache.forget_long()
         assert ids == cache.library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_merging_by_rank_equals_library():
+    for path in (WORDS, BYTES):
+        blob = open(path, "rb").read()
+        merge, end = byte_merges.merger(blob)
+        library = Tokenizer.from_file(path)
+        library.normalizer = None
+        table, _ = byte_merges.ranks(blob)
+        runs = [x.removesuffix(end) if end else x for x in table]
+        for run in [x for x in runs if x]:
+            try:
+                text = run.decode()
+            except UnicodeDecodeError:
+                continue
+            if len(library.pre_tokenizer.pre_tokenize_str(text)) == 1:
+                assert merge(run + end) == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_models_without_ranks_go_to_the_library():
+    file = json.loads(open(WORDS, "rb").read())
+    file["model"]["merges"][0], file["model"]["merges"][1] = file["model"]["merges"][1], file["model"]["merges"][0]
+    blob = json.dumps(file).encode()
+    assert byte_merges.merger(blob) is None
+    cache = packing.Ids(blob)
+    text = "The thin thing's in 12 an\u00e9 x,, " + "ab" * 60
+    assert np.frombuffer(b"".join(map(cache.__getitem__, text.encode().split())), "<u4").tolist() == cache.library.encode(text, add_special_tokens=False).ids
+
+
+def test_caches_of_words_stay_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_SIZE", 50)
+    monkeypatch.setattr(packing, "RUN_CACHE_SIZE", 20)
+    cache = packing.Ids(open(WORDS, "rb").read())
+    for text in noise(100) + ["x" * 100 + " y" * 3]:
+        found = text.encode().split()
+        assert np.frombuffer(b"".join(map(cache.__getitem__, found)), "<u4").tolist() == cache.library.encode(text, add_special_tokens=False).ids
+        assert len(cache) <= 50 and len(cache.runs) <= 20
+    assert b"x" * 100 not in cache and b"x" * 100 not in cache.runs
+
+
 @pytest.mark.parametrize("limit", [2048, 64])
 def test_packing(corpus, no_rows, limit):
     rows = packing.pack(corpus, WORDS, limit=limit).collect()
