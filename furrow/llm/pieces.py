@@ -8,9 +8,13 @@ The transducer is the composition of
 A text composed with it is a lattice of positions; its encoding is the shortest path in the
 tropical semiring (weights add up along a path, the least path wins). For unigram models that is
 all. For merge models (BPE) the path also goes through an acceptor of piece pairs: two pieces may
-follow each other only if merging their characters gives back those two pieces. A sequence with
-only such pairs is the merge result of its text, so exactly one path is left and at every
-position one state survives.
+follow each other only if merging their characters gives back those two pieces; all other pairs
+weigh infinitely much. A sequence with only such pairs is the merge result of its text, so exactly
+one path of finite weight is left, and at every position one state at most can be reached. The
+composition is therefore expanded lazily, the longest piece first, and a state is left for good
+once no piece leads on from it.
+
+The pieces are compiled into a trie whose nodes are the states of the transducer inside a piece.
 
 No piece crosses from another character to a blank or between letters and others, or holds a line
 end (checked when a model is compiled), so the shortest path of a text is put together from those
@@ -66,14 +70,23 @@ class Transducer(dict):
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         if any(WORD.fullmatch(p) is None for p in self.piece):
             raise ValueError("a piece crosses words")
-        self.prefixes = {p[:n] for p in self.piece for n in range(1, len(p) + 1)}
-        self.longest = max(map(len, self.piece), default=1)
+        self.trie = self._trie()
         self.worst = float(self.scores.min(initial=0.0)) - UNKNOWN_COST
         self.pairs: dict[tuple[str, str], bool] = {}
         self.edges: dict[str, tuple[set[str], set[str]] | None] = {}
         self.long: list[str] = []
         self.surface = [self._surface(p, model.trainer_spec.unk_surface) for p in model.pieces]
 
+    def _trie(self) -> dict:
+        """Nodes by character; a piece that ends at a node is there under the empty string."""
+        root: dict = {}
+        for piece in self.piece:
+            node = root
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = piece
+        return root
+
     @staticmethod
     def _surface(piece, unknown: str) -> bytes:
         if piece.type == BYTE:
@@ -124,36 +137,67 @@ class Transducer(dict):
 
     # --- shortest paths
 
+    def arcs(self, text: str, start: int) -> list[str]:
+        """The pieces that can be read from ``start`` on, the shortest first; a character that is no piece is an arc, too."""
+        node, found = self.trie, []
+        for at in range(start, len(text)):
+            node = node.get(text[at])
+            if node is None:
+                break
+            piece = node.get("")
+            if piece is not None:
+                found.append(piece)
+        if not found or len(found[0]) > 1:
+            found.insert(0, text[start])
+        return found
+
     def path(self, text: str) -> list[str]:
         """The pieces (or single unknown characters) on the least path through the lattice of ``text``."""
+        return self.finite_path(text) if self.merges else self.least_path(text)
+
+    def finite_path(self, text: str) -> list[str]:
+        """The one path on which all neighbours may follow each other."""
+        size = len(text)
+        pairs, at = self.pairs, 0
+        path: list[str] = []
+        open_arcs = [self.arcs(text, 0)]
+        reached = {0}
+        while at < size:
+            left = open_arcs[-1]
+            if not left:
+                open_arcs.pop()
+                at -= len(path.pop())
+                continue
+            arc = left.pop()
+            stop = at + len(arc)
+            if stop in reached:
+                continue
+            if path:
+                fits = pairs.get((path[-1], arc))
+                if fits is None:
+                    fits = self.follows(path[-1], arc)
+            else:
+                fits = self.sides(arc) is not None
+            if fits:
+                path.append(arc)
+                reached.add(stop)
+                at = stop
+                if at < size:
+                    open_arcs.append(self.arcs(text, at))
+        return path
+
+    def least_path(self, text: str) -> list[str]:
+        """The path whose sum of weights is least; of equals the one found first."""
         size = len(text)
         cost = [0.0, *[np.inf] * size]
-        last: list[str | None] = [None] * (size + 1)
+        last = [""] * (size + 1)
         for start in range(size):
-            if cost[start] == np.inf:
-                continue
-            before = last[start]
-            for stop in range(start + 1, min(start + self.longest, size) + 1):
-                arc = text[start:stop]
+            for arc in self.arcs(text, start):
                 number = self.piece.get(arc)
-                if number is None:
-                    if stop > start + 1:
-                        if arc not in self.prefixes:
-                            break
-                        continue
-                    weight = -self.worst
-                else:
-                    weight = -self.scores[number]
-                if self.merges:
-                    if last[stop] is not None:
-                        continue
-                    fits = self.follows(before, arc) if before else self.sides(arc) is not None
-                else:
-                    fits = cost[start] + weight < cost[stop]
-                if fits:
+                weight = -(self.worst if number is None else self.scores[number])
+                stop = start + len(arc)
+                if cost[start] + weight < cost[stop]:
                     cost[stop], last[stop] = cost[start] + weight, arc
-                if number is None and arc not in self.prefixes:
-                    break
         found, at = [], size
         while at:
             found.append(last[at])
