@@ -5,6 +5,9 @@ space that belongs to no word. The byte-level tokenizer splits further, but neve
 these, so the sum of their lengths is the length of the text. Texts with special strings or
 rare white space go to the library as a whole.
 
+A pre-token of letters alone, or of letters and marks after them, is one run or two of the model's
+pattern and is merged by rank; every other goes to the library.
+
 Tier one: every task keeps a bounded summary of its frequent pre-tokens; the summaries (not
 the pre-tokens) are added up, the most frequent, at most ``table_size``, are encoded and broadcast.
 It saves work and never changes a count. Tier two: a cache per worker for what was missed.
@@ -12,6 +15,7 @@ It saves work and never changes a count. Tier two: a cache per worker for what w
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.llm.byte_merges import merger
 from furrow.llm.texts import column, keyed, map_batches, map_partition, most_frequent, shared_file, staged, table
 
 PRE_TOKEN = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 #: White space and separators on which libraries may differ; such texts are encoded whole.
-RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Marks that make one run of their own after letters, and letters on which all versions of Unicode agree.
+MARKS = ".,;:!?*$%#&|()-"
+LETTERS = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 TABLE_SIZE = 1 << 16
 #: Longest pre-token, in characters, that the broadcast table and the caches keep.
 KEPT_CHARS = 64
@@ -52,7 +60,35 @@ def lengths(library, texts: list[str]) -> list[int]:
     return [len(x.ids) for x in library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def frequent_lengths(docs: DataFrame, library, table_size: int = TABLE_SIZE) -> tuple[bytes, bytes]:
+class Lengths:
+    """Token counts of pre-tokens."""
+
+    def __init__(self, vocabulary: bytes):
+        self.library = tokenizer(vocabulary)
+        file = json.loads(vocabulary)
+        split = file["pre_tokenizer"] or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        found = merger(vocabulary) if plain and not file["normalizer"] else None
+        self.merge = found[0] if found and not found[1] else None
+
+    def __call__(self, pre_tokens: list[str]) -> Iterator[tuple[str, int]]:
+        """Every pre-token with its count, in any order."""
+        merge, rest = self.merge, []
+        if merge is None:
+            rest = pre_tokens
+        else:
+            for x in pre_tokens:
+                word = x.rstrip(MARKS)
+                if LETTERS.fullmatch(word, x[0] == " "):
+                    n = len(merge(word.encode()))
+                    yield x, n if len(word) == len(x) else n + len(merge(x[len(word) :].encode()))
+                else:
+                    rest.append(x)
+        if rest:
+            yield from zip(rest, lengths(self.library, rest))
+
+
+def frequent_lengths(docs: DataFrame, measure: Lengths, table_size: int = TABLE_SIZE) -> tuple[bytes, bytes]:
     """Frequent pre-tokens (joined by a zero byte) and their token counts (16 bits each)."""
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +106,8 @@ def frequent_lengths(docs: DataFrame, library, table_size: int = TABLE_SIZE) ->
     counts = staged(summaries, "pre-tokens")
     found = counts.where(F.col("n") >= most_frequent(counts, table_size)).select("pre").orderBy("pre").collect()
     words = [row["pre"] for row in found]
-    counts = np.minimum(lengths(library, words) if words else [], 65535).astype(np.uint16)
+    known = dict(measure(words))
+    counts = np.minimum([known[x] for x in words], 65535).astype(np.uint16)
     return zlib.compress("\0".join(words).encode()), counts.tobytes()
 
 
@@ -83,7 +120,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
     spark = docs.sparkSession
     read = keyed(docs, key, text)
     vocabulary = shared_file(spark, tokenizer_path)
-    frequent = spark.sparkContext.broadcast(frequent_lengths(read, tokenizer(vocabulary.value)))
+    frequent = spark.sparkContext.broadcast(frequent_lengths(read, Lengths(vocabulary.value)))
     schema = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())]
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -105,7 +142,8 @@ class Worker:
     """What one Python worker keeps between batches and tasks: the broadcast table and a bounded cache."""
 
     def __init__(self, vocabulary: bytes, words: bytes, counts: bytes):
-        self.library = tokenizer(vocabulary)
+        self.lengths = Lengths(vocabulary)
+        self.library = self.lengths.library
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         text = zlib.decompress(words).decode()
         self.first = dict(zip(text.split("\0"), np.frombuffer(counts, np.uint16).tolist())) if counts else {}
@@ -118,7 +156,7 @@ class Worker:
             self.known = dict(self.first)
         missed = list(asked.difference(self.known))
         if missed:
-            self.known.update(zip(missed, lengths(self.library, missed)))
+            self.known.update(self.lengths(missed))
             self.long = [x for x in missed if len(x) > KEPT_CHARS]
         return self.known
 
