@@ -272,7 +272,7 @@ def decode(rows: DataFrame, model_path: str) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = _transducer(sent)
-        texts = [made.decode(ids) for ids in _ids(batch.column(1))]
+        texts = [made.decode(ids.tolist()) for ids in _ids(batch.column(1))]
         return table([("doc_id", pa.int64()), ("decoded", pa.string())], batch.column(0), texts)
 
     return map_batches(rows.select("doc_id", "ids"), each, "doc_id long, decoded string")
@@ -294,9 +294,9 @@ def round_trip(encoded: DataFrame, model_path: str) -> DataFrame:
         made = _transducer(sent)
         sizes, sums, digests, same = [], [], [], []
         for ids, text in zip(_ids(batch.column(1)), blobs(batch, "text")):
-            decoded = made.decode(ids).encode()
+            decoded = made.decode(ids.tolist()).encode()
             sizes.append(len(ids))
-            sums.append(zlib.crc32(np.array(ids, "<u4").tobytes()))
+            sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
             digests.append(sha256(decoded).hexdigest())
             same.append(decoded == text)
         return table(schema, batch.column(0), sizes, sums, batch.column(2), digests, same)
@@ -307,5 +307,8 @@ def round_trip(encoded: DataFrame, model_path: str) -> DataFrame:
     )
 
 
-def _ids(lists: pa.Array) -> list[list[int]]:
-    return [x or [] for x in lists.to_pylist()]
+def _ids(lists: pa.Array) -> list[np.ndarray]:
+    """The ids of every row, cut from the flat values; null is none."""
+    values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    valid = lists.is_valid().to_numpy(zero_copy_only=False)
+    return [values[a:b] if there else values[:0] for a, b, there in zip(ends, ends[1:], valid)]
