@@ -14,7 +14,8 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.session import cut_lineage
+from furrow.session import cut_lineage, scratch_path
+from furrow.sources.models import load_model, save_model
 
 SEED = 42
 FOLDS = 3
@@ -121,6 +122,18 @@ def pipeline(spec: ModelSpec, estimator: Estimator) -> Pipeline:
     return Pipeline(stages=[*feature_stages(spec), estimator])
 
 
+def fitted(estimator: Pipeline, train: DataFrame) -> PipelineModel:
+    """The fitted pipeline, without the summaries of its training.
+
+    The summary of a classifier of two classes holds the session, which no task can carry once that has observed
+    anything; models that are saved and loaded have none.
+    """
+    model = estimator.fit(train)
+    path = scratch_path(train.sparkSession, "model")
+    save_model(model, path)
+    return load_model(path)
+
+
 def regressors(label: str, features: str = "features") -> dict[str, Estimator]:
     cols = {"featuresCol": features, "labelCol": label}
     return {
@@ -215,7 +228,7 @@ def measured_on(model: PipelineModel, spec: ModelSpec, df: DataFrame) -> dict[st
 def train_and_evaluate(
     name: str, estimator: Estimator, spec: ModelSpec, train: DataFrame, test: DataFrame
 ) -> tuple[PipelineModel, dict]:
-    model = pipeline(spec, estimator).fit(train)
+    model = fitted(pipeline(spec, estimator), train)
     return model, {"model": name, **measured_on(model, spec, test)}
 
 

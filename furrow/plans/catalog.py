@@ -706,7 +706,7 @@ def _training(spark, sf, spec):
 
 def _fitted(spark, sf, spec, estimator):
     train, _ = _training(spark, sf, spec)
-    return ml.pipeline(spec, estimator).fit(train)
+    return ml.fitted(ml.pipeline(spec, estimator), train)
 
 
 def _tree(spec, depth=5):
@@ -719,7 +719,7 @@ def _logistic():
 
 def _trained_board(spark, sf, spec, chosen):
     train, test = _training(spark, sf, spec)
-    models = {name: ml.pipeline(spec, model).fit(train) for name, model in chosen.items()}
+    models = {name: ml.fitted(ml.pipeline(spec, model), train) for name, model in chosen.items()}
     return ml.evaluated(models, spec, test).orderBy(F.desc("f1" if spec.classes else "r2"), "model")
 
 
@@ -974,7 +974,7 @@ def tune_profit_states(spark, sf):
 @query
 def feature_importances(spark, sf):
     train, _ = _training(spark, sf, ml.YIELD)
-    model = ml.pipeline(ml.YIELD, _tree(ml.YIELD)).fit(train)
+    model = ml.fitted(ml.pipeline(ml.YIELD, _tree(ml.YIELD)), train)
     return ml.feature_importances(model, model.transform(train))
 
 
@@ -1029,7 +1029,7 @@ def score_price(spark, sf):
 def readable_predictions(spark, sf):
     """Predicted next to true demand levels, counted."""
     train, test = _training(spark, sf, ml.DEMAND)
-    model = ml.pipeline(ml.DEMAND, _logistic()).fit(train)
+    model = ml.fitted(ml.pipeline(ml.DEMAND, _logistic()), train)
     scored = ml.readable_predictions(model.transform(test), model, "demand_level")
     return scored.groupBy("demand_level", "predicted_demand_level").agg(F.count(F.lit(1)).alias("n"))
 
@@ -1037,7 +1037,7 @@ def readable_predictions(spark, sf):
 @query
 def unseen_categories(spark, sf):
     train, test = _training(spark, sf, ml.YIELD)
-    model = ml.pipeline(ml.YIELD, _tree(ml.YIELD, 2)).fit(train.where("crop_name <> 'Tomato'"))
+    model = ml.fitted(ml.pipeline(ml.YIELD, _tree(ml.YIELD, 2)), train.where("crop_name <> 'Tomato'"))
     return ml.unseen_categories(test, model, ml.YIELD)
 
 
