@@ -14,7 +14,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.session import cut_lineage, scratch_path
+from furrow.session import TASK_ROWS, cut_lineage, read_by, scratch_path
 from furrow.sources.models import load_model, save_model
 
 SEED = 42
@@ -125,10 +125,12 @@ def pipeline(spec: ModelSpec, estimator: Estimator) -> Pipeline:
 def fitted(estimator: Pipeline, train: DataFrame) -> PipelineModel:
     """The fitted pipeline, without the summaries of its training.
 
-    The summary of a classifier of two classes holds the session, which no task can carry once that has observed
-    anything; models that are saved and loaded have none.
+    Trees, boosting and iterations keep their rows as objects, several times their size on disk, so a task takes at
+    most about ``TASK_ROWS`` of them. The summary of a classifier of two classes holds the session, which no task
+    can carry once that has observed anything; models that are saved and loaded have none.
     """
-    model = estimator.fit(train)
+    with read_by(train.sparkSession, -(-train.count() // TASK_ROWS)):
+        model = estimator.fit(train)
     path = scratch_path(train.sparkSession, "model")
     save_model(model, path)
     return load_model(path)
@@ -300,8 +302,9 @@ def tune_and_evaluate(
         estimator=pipeline(spec, estimator), estimatorParamMaps=param_grid(estimator, grid), evaluator=evaluator(spec),
         numFolds=folds, parallelism=parallelism, seed=SEED,
     )
-    kept = cut_lineage(train)
-    found = search.fit(kept)
+    kept = cut_lineage(train, TASK_ROWS)
+    with read_by(kept.sparkSession, -(-kept.count() // TASK_ROWS)):
+        found = search.fit(kept)
     row = {"model": name}
     for part, rows in (("train", kept), ("test", test)):
         row |= {f"{part}_{k}": v for k, v in measured_on(found.bestModel, spec, rows).items()}

@@ -15,7 +15,7 @@ from furrow.operators import allocation, checks, enrich, features, finance, join
 from furrow.plans import etl, inputs
 from furrow.plans.farm_view import farm_records, table
 from furrow.schemas import EVENTS, FARM_RECORD
-from furrow.session import cut_lineage, scratch_path
+from furrow.session import TASK_ROWS, cut_lineage, scratch_path
 from furrow.sources import government, tables, whole_files
 from furrow.sources import models as models_
 from furrow.streaming.latest import latest_of_stream
@@ -701,7 +701,7 @@ def _training(spark, sf, spec):
         names.append("demand_level")
     rows = farm_records(spark, sf, ["record_id", *dict.fromkeys(names)])
     # fitting reads its rows many times: the joins behind them run once
-    return ml.hash_split(cut_lineage(ml.prepared(rows, spec, keep=["record_id"])), ["record_id"])
+    return ml.hash_split(cut_lineage(ml.prepared(rows, spec, keep=["record_id"]), TASK_ROWS), ["record_id"])
 
 
 def _fitted(spark, sf, spec, estimator):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections import OrderedDict
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -109,14 +111,14 @@ def clean_stages(spark: SparkSession) -> None:
     _SCRATCH.clear(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """Written to the shared folder as parquet and read back.
 
     Computed once, survives lost executors, and later steps still read only the columns and
-    row groups that they need.
+    row groups that they need. Files of at most ``rows_per_file`` rows (0: any) can be read by as many tasks.
     """
     path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -153,6 +155,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 # A task should hold about this much of a file.
 TASK_BYTES = 64 * 1024 * 1024
+# A task that keeps its rows as objects should hold about so many.
+TASK_ROWS = 250_000
+
+
+@contextmanager
+def read_by(spark: SparkSession, tasks: int) -> Iterator[None]:
+    """Files are read by about so many tasks within the block, or by one per core if that is more.
+
+    Left to itself a scan gives each task up to 128 MB of a file, however many rows that is.
+    """
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    if tasks > max(spark.sparkContext.defaultParallelism, int(before or 0)):
+        spark.conf.set(name, tasks)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def spread(df: DataFrame, source: DataFrame) -> DataFrame:
