@@ -1067,14 +1067,22 @@ def stream_latest_levels(spark, sf):
     return latest_of_stream(stream, "user_id", ["ts", "event_id"], "value", fanout=3)
 
 
+def _request_files(spark, sf, folder):
+    """Writes the requests to at least three files of about ``TASK_ROWS`` rows at most, and returns their number."""
+    requests = inputs.farm_requests(spark, sf)
+    files = max(3, -(-table(spark, sf, "lineitem").count() // TASK_ROWS))
+    requests.repartition(files).write.parquet(folder)
+    return files
+
+
 @query
 def line_stream_scores(spark, sf):
     """The yield line over requests that arrive as files: one streaming plan, equal to the batch."""
     folder = scratch_path(spark, "requests")
-    inputs.farm_requests(spark, sf).repartition(3).write.parquet(folder)
+    files = _request_files(spark, sf, folder)
     model = _line(spark, sf, ml.YIELD, ["area_size"])
     context = _context(spark, sf).stored()
-    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(folder)
     scored, _ = scored_stream(stream, lambda rows: scoring.score_yield(rows, context, model))
     return _round(scored, 6, "predicted_yield").select("request_id", "crop_name", "predicted_yield")
 

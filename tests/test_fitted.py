@@ -4,6 +4,7 @@ from pyspark.ml import classification as cl
 from pyspark.sql import functions as F
 
 from furrow.operators import ml
+from furrow.plans import catalog
 from furrow.session import cut_lineage, measured, read_by
 
 LEVELS = ml.ModelSpec("level", (), ("kind",), ("x",), classes=True)
@@ -50,3 +51,11 @@ def test_settings_of_the_caller_come_back(spark):
         assert spark.conf.get(name) == "50"
     finally:
         spark.conf.unset(name)
+
+
+def test_requests_arrive_in_bounded_files(spark, data, monkeypatch, tmp_path):
+    """A stream reads whole files in its tasks: their number grows with the requests."""
+    monkeypatch.setattr(catalog, "TASK_ROWS", 500)
+    files = catalog._request_files(spark, data, str(tmp_path / "requests"))
+    sizes = spark.read.parquet(str(tmp_path / "requests")).groupBy(F.input_file_name()).count().toPandas()["count"]
+    assert len(sizes) == files >= 12 and max(sizes) <= 600
