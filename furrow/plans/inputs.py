@@ -128,7 +128,8 @@ def crop_list_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks = ", ".join(f"elt(cast((o_orderkey * {m} + {m}) % {n} as int) + 1, {names})" for m in (1, 2, 3, 5, 7, 11))
     orders = table(spark, sf_dir, "orders")
     customer = place_of(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "nation"), "c_nationkey", "governorate")
-    return orders.join(customer, orders.o_custkey == customer.c_custkey).selectExpr(
+    # a request becomes several candidates, and the table behind it has few row groups
+    return spread(orders.join(customer, orders.o_custkey == customer.c_custkey), orders).selectExpr(
         "o_orderkey as request_id", "cast(o_orderkey % 90 + 10 as double) as area_donums", "governorate",
         "cast(to_date(o_orderdate) as string) as planting_date", "cast(date_add(to_date(o_orderdate), 120) as string) as sale_date",
         f"concat_ws(' , ', {picks}) as crops_list",
