@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import groupby
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -233,6 +234,8 @@ ORDER_FLAGS = {
 }
 
 CROP_FACTS = {"crop_season", "crop_duration", "yield_sales", "prices"}
+# Rules in one aggregate: its buffers must stay under the 100 fields that code is generated for.
+PART = 24
 GROUPED = ["crop_name", "demand_level", "supply_level", "sufficiency_status", "customer_type", "region_type"]
 
 
@@ -248,14 +251,35 @@ def with_shared_values(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def rule_values(df: DataFrame, *sections: str) -> DataFrame:
-    """(section, rule, value) of the chosen sections, all from one scan.
+    """(section, rule, value) of the chosen sections, from one scan per part of the rules.
+
+    A single aggregate of all rules is too wide for generated code and takes several times as long.
 
     A flag whose means are missing is raised only where an order was required.
     """
     rules = [r for r in RULES if not sections or r.section in sections]
-    records = with_shared_values(with_crop_facts(df) if not sections or CROP_FACTS & set(sections) else df, rules)
-    row = records.selectExpr(*[f"cast({r.value} as double) as {r.name}" for r in rules])
     flags = {key: test for key, test in ORDER_FLAGS.items() if not sections or key[0] in sections}
+    return _all([_measured(df, part, flags) for part in _parts(rules)])
+
+
+def _parts(rules: Sequence[Rule]) -> list[list[Rule]]:
+    """The rules by whole sections, at most about ``PART`` together."""
+    parts: list[list[Rule]] = []
+    for _, section in groupby(rules, lambda r: r.section):
+        named = [*section]
+        if parts and len(parts[-1]) + len(named) <= PART:
+            parts[-1] += named
+        else:
+            parts.append(named)
+    return parts
+
+
+def _measured(df: DataFrame, rules: Sequence[Rule], flags: dict[tuple[str, str], str]) -> DataFrame:
+    """The rules' values, and the flags of their sections, from one aggregate."""
+    sections = {r.section for r in rules}
+    records = with_shared_values(with_crop_facts(df) if CROP_FACTS & sections else df, rules)
+    row = records.selectExpr(*[f"cast({r.value} as double) as {r.name}" for r in rules])
+    flags = {key: test for key, test in flags.items() if key[0] in sections}
     if flags:
         raised = [
             f"cast(coalesce({test}, {str(section == 'levels').lower()}) as double) as {name}"

@@ -131,3 +131,15 @@ def test_missing_required_columns(spark):
     df = spark.createDataFrame([record()], FARM_RECORD).drop("profit")
     found = {r.rule: r.value for r in quality.required_columns(df).collect()}
     assert found["missing_profit"] == 1.0 and found["missing_required_columns_count"] == 1.0
+
+
+def test_rules_fit_into_aggregates_that_code_is_generated_for(spark):
+    parts = quality._parts(quality.RULES)
+    assert [r for part in parts for r in part] == quality.RULES
+    sections = [r.section for part in parts for r in {r.section: r for r in part}.values()]
+    assert len(sections) == len(set(sections))
+    rows = spark.createDataFrame([record()], FARM_RECORD)
+    found = quality.rule_values(rows)
+    assert found.count() == len(quality.RULES) + len(quality.ORDER_FLAGS)
+    # each rule takes two buffers at most; from 100 fields on no code is generated
+    assert max(2 * len(part) for part in parts) < 100
