@@ -18,7 +18,7 @@ from .test_documents import brute_fingerprint, brute_groups, brute_lines  # noqa
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, data, name):
     sql = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "labels"):
         sql.execute(f"create view {table} as select * from '{data}/{table}.parquet'")
     found = sql.execute(ORACLES[name])
     columns = [c[0] for c in found.description]
@@ -69,4 +69,4 @@ def test_run_is_registered(spark, data):
     import __spark_entry__ as driver
 
     assert driver.queries()["pipeline"] is corpus_pipeline.run
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
