@@ -27,8 +27,12 @@ SAMPLES = 64
 GRID = 1 << 14
 #: Term and weight pairs that a worker keeps; each takes SAMPLES * 8 bytes.
 KEPT_PAIRS = 60_000
-#: Pairs that are evaluated at a time.
+#: Pairs that are looked up at a time, and that are evaluated at a time: those stay in the processor's cache.
 BLOCK = 4096
+CHUNK = 256
+#: Places for pairs that come when a worker has its first ones, and after how many times all places such pairs it begins anew.
+RECENT_PAIRS = 2 * BLOCK
+RENEWED = 16
 SIGN = np.uint32(0x80000000)
 
 
@@ -50,52 +54,101 @@ class Samples:
     """
 
     def __init__(self, samples: int = SAMPLES, kept: int = KEPT_PAIRS):
-        self.samples, self.kept = samples, max(kept, 2 * BLOCK)
+        self.samples, self.kept = samples, max(kept, 2 * RECENT_PAIRS)
         self.seeds = np.array([xxhash.xxh64_intdigest(str(k), 7) for k in range(samples)], np.uint64)
         scale = _gamma_quantiles(GRID)
         self.r = scale.astype(np.float32)
         self.log_c = np.log(scale).astype(np.float32)
         self.place: dict[bytes, int] = {}
         self.values = np.empty((self.kept, samples), np.uint64)
+        self.recent: list[bytes] = []  # the pairs in the last RECENT_PAIRS places
+        self.turns = 0
 
     def evaluate(self, keys: list[bytes]) -> np.ndarray:
         """``keys``: a term, or a term, a zero byte and its weight if that is over 1."""
         parts = [x.partition(b"\0") for x in keys]
-        terms = np.array([xxhash.xxh64_intdigest(x[0]) for x in parts], np.uint64)[:, None]
-        weight = np.log(np.array([int(x[2] or 1) for x in parts], np.float32))[:, None]
+        terms = np.fromiter((xxhash.xxh64_intdigest(x[0]) for x in parts), np.uint64, len(parts))
+        counts = np.array([int(x[2] or 1) for x in parts], np.float32)
+        found = np.empty((len(keys), self.samples), np.uint64)
+        for single in (True, False):
+            at = np.flatnonzero((counts == 1) == single)
+            for start in range(0, len(at), CHUNK):
+                own = at[start : start + CHUNK]
+                found[own] = self._evaluate(terms[own][:, None], None if single else np.log(counts[own])[:, None])
+        return found
+
+    def _evaluate(self, terms: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
+        """Of a chunk of terms; ``weight`` is the logarithm, None if all are 0: then every t is 0."""
         x = terms * np.uint64(0x9E3779B97F4A7C15) ^ self.seeds
-        x ^= x >> np.uint64(30)
+        moved = x >> np.uint64(30)
+        x ^= moved
         x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
+        x ^= np.right_shift(x, np.uint64(27), out=moved)
         x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        r = self.r[(x & np.uint64(GRID - 1)).astype(np.int32)]
-        log_c = self.log_c[(x >> np.uint64(14) & np.uint64(GRID - 1)).astype(np.int32)]
-        b = (x >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-        t = np.floor(weight / r + b)
-        order = (log_c - r * (t - b + np.float32(1))).view(np.uint32)
-        order = np.where(order & SIGN, ~order, order | SIGN)
-        sign = (terms ^ t.astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
-        sign = (sign >> np.uint64(32)) % np.uint64(65535) + np.uint64(1)
-        return order.astype(np.uint64) << np.uint64(32) | sign
+        x ^= np.right_shift(x, np.uint64(31), out=moved)
+        r = self.r.take(np.bitwise_and(x, np.uint64(GRID - 1), out=moved).view(np.int64))
+        np.right_shift(x, np.uint64(14), out=moved)
+        moved &= np.uint64(GRID - 1)
+        log_c = self.log_c.take(moved.view(np.int64))
+        b = np.right_shift(x, np.uint64(40), out=moved).astype(np.int32).astype(np.float32)
+        b *= np.float32(2.0**-24)
+        if weight is None:
+            step = np.float32(1) - b
+            sign = terms
+        else:
+            t = np.floor(weight / r + b)
+            step = t - b
+            step += np.float32(1)
+            sign = terms ^ t.astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        step *= r
+        order = np.subtract(log_c, step, out=log_c).view(np.uint32)
+        order ^= (order.view(np.int32) >> 31).view(np.uint32) | SIGN  # all bits of a negative number, else the first
+        sign = (sign * np.uint64(0x165667B19E3779F9) >> np.uint64(32)).astype(np.uint32)
+        # sign % 65535 + 1: 65536 leaves 1, so the two halves are added
+        sign = (sign >> 16) + (sign & np.uint32(0xFFFF)) + np.uint32(1)
+        sign += sign >> 16
+        sign = (sign & np.uint32(0xFFFF)) + (sign >> 17)
+        found = order.astype(np.uint64)
+        found <<= np.uint64(32)
+        found |= sign
+        return found
 
     def rows(self, keys: list[bytes]) -> np.ndarray:
-        """Places of at most ``BLOCK`` keys in ``values``."""
-        missed = [x for x in keys if x not in self.place]
-        if len(self.place) + len(missed) > self.kept:
-            self.place.clear()
-            missed = keys
-        if missed:
-            start = len(self.place)
-            self.values[start : start + len(missed)] = self.evaluate(missed)
-            self.place.update(zip(missed, range(start, start + len(missed))))
-        return np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))
+        """Places of at most ``BLOCK`` different keys in ``values``.
+
+        The first pairs that come stay; those after them share the last places, which are given away
+        when they are full. From time to time all are, as texts may change.
+        """
+        place = self.place
+        known = place.get
+        found = np.array([known(x, -1) for x in keys], np.int64)
+        gaps = np.flatnonzero(found < 0)
+        if not len(gaps):
+            return found
+        if len(place) + len(gaps) > self.kept:
+            self.turns += 1
+            if self.turns * RECENT_PAIRS > RENEWED * self.kept:
+                place.clear()
+                self.turns = 0
+            else:
+                for x in self.recent:
+                    del place[x]
+            self.recent.clear()
+            return self.rows(keys)
+        missed = [keys[i] for i in gaps.tolist()]
+        start = len(place)
+        found[gaps] = np.arange(start, start + len(missed))
+        self.values[start : start + len(missed)] = self.evaluate(missed)
+        place.update(zip(missed, range(start, start + len(missed))))
+        self.recent += missed[max(0, self.kept - RECENT_PAIRS - start) :]
+        return found
 
     def signature(self, text: bytes) -> np.ndarray:
         """One 16-bit sign per sample; all zero for a text without words."""
         counts = Counter(text.lower().split())
-        keys = [x if n == 1 else b"%b\0%d" % (x, n) for x, n in counts.items() if b"\0" not in x]
-        keys += [b"%b\0%d" % (x.replace(b"\0", b"\xff"), n) for x, n in counts.items() if b"\0" in x]
+        if b"\0" in text:
+            counts = {x.replace(b"\0", b"\xff"): n for x, n in counts.items()}
+        keys = [x if n == 1 else b"%b\0%d" % (x, n) for x, n in counts.items()]
         if not keys:
             return np.zeros(self.samples, np.uint16)
         best = None

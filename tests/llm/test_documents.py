@@ -32,6 +32,46 @@ def test_samples_estimate_the_similarity():
     assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.04
 
 
+def plain_sample(maker, term, weight):
+    """Order and sign of one pair, sample by sample."""
+    found = []
+    for seed in maker.seeds.tolist():
+        x = (xxhash.xxh64_intdigest(term) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) ^ seed
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ x >> shift) * factor & (1 << 64) - 1
+        r, log_c = maker.r[x % fingerprints.GRID], maker.log_c[(x >> 14) % fingerprints.GRID]
+        b = np.float32(x >> 40) * np.float32(2.0**-24)
+        t = np.floor(np.log(np.float32(weight)) / r + b)
+        order = int(np.float32(log_c - r * (t - b + np.float32(1))).view(np.uint32))
+        order = order ^ 0xFFFFFFFF if order >> 31 else order | 1 << 31
+        sign = (xxhash.xxh64_intdigest(term) ^ (int(t) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)) * 0x165667B19E3779F9 & (1 << 64) - 1
+        found.append(order << 32 | (sign >> 32) % 65535 + 1)
+    return found
+
+
+def test_samples_against_plain_numbers():
+    maker = fingerprints.Samples(40)
+    pairs = [(f"w{i}".encode(), 1 + i % 4 * (i % 3)) for i in range(600)]
+    made = maker.evaluate([x if n == 1 else b"%b\0%d" % (x, n) for x, n in pairs])
+    for i in range(0, 600, 13):
+        assert made[i].tolist() == plain_sample(maker, *pairs[i])
+
+
+def test_frequent_pairs_are_evaluated_once():
+    """However many rare pairs pass through a full table, and signatures do not depend on it."""
+    maker, asked = fingerprints.Samples(4, kept=20_000), Counter()
+    evaluate = maker.evaluate
+    maker.evaluate = lambda keys: (asked.update(keys), evaluate(keys))[1]
+    common = [f"c{i}" for i in range(50)]
+    texts = [" ".join(common + [f"r{k}x{i}" for i in range(3000)]).encode() for k in range(30)]
+    made = [maker.signature(x).tolist() for x in texts]
+    assert {asked[x.encode()] for x in common} == {1}
+    assert made[::7] == [fingerprints.Samples(4).signature(x).tolist() for x in texts[::7]]
+    for k in range(30, 200):  # the table is begun anew now and then, and never overflows
+        maker.signature(" ".join(common + [f"r{k}x{i}" for i in range(3000)]).encode())
+    assert len(maker.place) <= maker.kept and 2 <= asked[b"c0"] < 10
+
+
 def test_neighbours(corpus, no_rows):
     docs = corpus.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()))
