@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.texts import blobs, column, map_batches, map_partition, staged, table, task
+from furrow.llm.texts import blobs, column, kept_by_worker, map_batches, map_partition, staged, table, task
 
 SAMPLES = 64
 GRID = 1 << 14
@@ -158,7 +158,7 @@ class Samples:
         return (best & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-_samples: dict[int, Samples] = {}
+_samples: dict[int, Samples] = kept_by_worker(__name__)
 
 
 def samples(number: int) -> Samples:

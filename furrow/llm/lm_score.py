@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.texts import blobs, column, map_partition, most_frequent, staged, table, task
+from furrow.llm.texts import blobs, column, kept_by_worker, map_partition, most_frequent, staged, table, task
 
 ORDER = 5
 #: Contexts in the broadcast trie at most; the others are met in a join.
@@ -44,7 +44,7 @@ HELD_WORDS = 200_000
 HELD_RUNS = 1 << 20
 CHUNK = 1 << 22
 
-_models: dict[int, tuple] = {}
+_models: dict[int, tuple] = kept_by_worker(__name__)
 
 
 def held_out(key: Column, parts: int = 7, part: int = 2) -> Column:

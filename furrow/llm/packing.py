@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.byte_merges import merger
-from furrow.llm.texts import blobs, column, keyed, map_batches, map_partition, no_cycle_search, shared_file, staged, table, task
+from furrow.llm.texts import blobs, column, kept_by_worker, keyed, map_batches, map_partition, no_cycle_search, shared_file, staged, table, task
 from furrow.llm.token_counts import tokenizer
 
 #: Patterns are built on this many length classes and hold at most so many documents.
@@ -27,15 +27,15 @@ CLASSES = 64
 DEPTH = 4
 #: Sequences with more room than this are packed again by best fit.
 SPARE = 4
-CACHE_SIZE = 400_000
-RUN_CACHE_SIZE = 300_000
+CACHE_SIZE = 200_000
+RUN_CACHE_SIZE = 150_000
 KEPT_BYTES = 64
 #: Visible characters below the combining marks (U+0130 has one in lower case), and the runs that the tokenizer's pattern makes of them.
 PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
 MARKS = b".,;:!?*$%#&|()-"
 RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\\w]|_)+")
 
-_workers: dict[int, Ids] = {}
+_workers: dict[int, Ids] = kept_by_worker(__name__)
 
 
 class Ids(dict):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.texts import blobs, column, keyed, map_batches, no_cycle_search, shared_file, table
+from furrow.llm.texts import blobs, column, kept_by_worker, keyed, map_batches, no_cycle_search, shared_file, table
 
 BLANK = "\u2581"
 #: A line end, or blanks with the letters or the other characters after them; \u00b2 and its like are no letters.
@@ -234,7 +234,7 @@ class Transducer(dict):
 
 
 
-_transducers: dict[int, Transducer] = {}
+_transducers: dict[int, Transducer] = kept_by_worker(__name__)
 
 
 def _transducer(sent) -> Transducer:

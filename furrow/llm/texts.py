@@ -22,6 +22,10 @@ BLANKS = b" \t\n\x0b\x0c\r"
 BATCH_ROWS = 1000
 
 
+#: What operators keep in a Python worker from task to task, by their module.
+_kept: dict[str, dict] = {}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -35,15 +39,39 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch |
             if made is not None:
                 yield made
 
-    return map_partition(df, run, schema)
+    return map_partition(df, run, schema, each.__module__)
+
+
+def map_partition(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str | None = None
+) -> DataFrame:
+    """``owner``: the module of the operator, by default that of ``run``; what other operators keep in the worker goes."""
+    owner = owner or run.__module__
 
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(owner)
+        yield from run(batches)
 
-def map_partition(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     reachable(df.sparkSession)
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(alone, schema)
+
+
+def kept_by_worker(owner: str) -> dict:
+    """A place for tables that an operator's module keeps in a worker; it is emptied when another operator comes."""
+    return _kept.setdefault(owner, {})
+
+
+def forget_others(owner: str) -> None:
+    """A worker lives through many steps, and shares an executor's memory: it keeps the tables of one operator."""
+    gone = [tables for name, tables in _kept.items() if name != owner and tables]
+    for tables in gone:
+        tables.clear()
+    if gone:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def reachable(spark: SparkSession) -> None:

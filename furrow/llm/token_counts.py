@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.byte_merges import merger
-from furrow.llm.texts import column, keyed, map_batches, map_partition, most_frequent, shared_file, staged, table
+from furrow.llm.texts import column, kept_by_worker, keyed, map_batches, map_partition, most_frequent, shared_file, staged, table
 
 PRE_TOKEN = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 #: White space and separators on which libraries may differ; such texts are encoded whole.
@@ -42,7 +42,7 @@ KEPT_CHARS = 64
 CACHE_SIZE = 400_000
 SUMMARY_SIZE = 1 << 15
 
-_workers: dict[int, Worker] = {}
+_workers: dict[int, Worker] = kept_by_worker(__name__)
 
 
 def tokenizer(blob: bytes):

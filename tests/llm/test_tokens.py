@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from furrow.llm import byte_merges, packing, pieces, token_counts
+from furrow.llm import byte_merges, packing, pieces, texts, token_counts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -158,3 +159,21 @@ def test_plan_holds_every_piece_once():
     assert {n: c for n, c in found.items() if c} == histogram
     bound = sum(n * c for n, c in histogram.items()) / 2048
     assert sum(c for _, c in plan.groups) <= 1.04 * bound + 2
+
+
+def test_a_worker_keeps_the_tables_of_one_operator(spark):
+    """What packing keeps goes when another operator comes to the worker."""
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(64)], "doc_id long, text string").repartition(8)
+    assert packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048).agg({"ids_crc32": "max"}).first()[0] > 0
+
+    def each(batch):
+        return pa.RecordBatch.from_pydict({"tables": [len(packing._workers) + len(token_counts._workers)]})
+
+    assert {r["tables"] for r in texts.map_batches(docs, each, "tables long").collect()} == {0}
+
+    def own(batch):
+        packing._workers[1] = None
+        texts.forget_others(packing.__name__)
+        return pa.RecordBatch.from_pydict({"tables": [len(packing._workers)]})
+
+    assert {r["tables"] for r in texts.map_batches(docs, own, "tables long").collect()} == {1}
