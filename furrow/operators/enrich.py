@@ -15,9 +15,27 @@ from furrow.sources import lookups
 
 def validated(df: DataFrame) -> DataFrame:
     """Add ``reasons`` (why a request is rejected) and ``warnings``; rules without a column are skipped."""
+    checks = [f"if({test}, '{reason}', null)" for test, reason in _rules(df)]
+    options = ", ".join(f"'{m}'" for m in fixed.MARKET_OPTIONS)
+    warning = f"if(not market_location in ({options}), 'unlisted market', null)" if "market_location" in df.columns else "null"
+    return df.selectExpr(
+        "*",
+        f"array_compact(array({', '.join(checks)})) as reasons",
+        f"array_compact(array(cast({warning} as string))) as warnings",
+    )
+
+
+def valid(df: DataFrame) -> DataFrame:
+    """The same rows as ``accepted(validated(df))``; every rule can be checked before the joins that it does not need."""
+    for test, _ in _rules(df):
+        df = df.where(f"not coalesce({test}, false)")
+    return df
+
+
+def _rules(df: DataFrame) -> list[tuple[str, str]]:
+    """Tests that reject a request, with their reasons."""
     have = set(df.columns)
     known = ", ".join("'" + row[0].replace("'", "\\'") + "'" for row in fixed.place_rows())
-    options = ", ".join(f"'{m}'" for m in fixed.MARKET_OPTIONS)
     day = "try_to_date(cast({} as string))"
     rules = [
         ("crop_name", "coalesce(length(crop_name), 0) not between 1 and 100", "crop_name length"),
@@ -26,17 +44,10 @@ def validated(df: DataFrame) -> DataFrame:
         ("planting_date", f"{day.format('planting_date')} is null", "unreadable planting date"),
         ("sale_date", f"{day.format('sale_date')} is null", "unreadable sale date"),
     ]
-    checks = [f"if({test}, '{reason}', null)" for column, test, reason in rules if column in have]
+    tests = [(test, reason) for column, test, reason in rules if column in have]
     if {"planting_date", "sale_date"} <= have:
-        checks.append(
-            f"if({day.format('sale_date')} <= {day.format('planting_date')}, 'sale not after planting', null)"
-        )
-    warning = f"if(not market_location in ({options}), 'unlisted market', null)" if "market_location" in have else "null"
-    return df.selectExpr(
-        "*",
-        f"array_compact(array({', '.join(checks)})) as reasons",
-        f"array_compact(array(cast({warning} as string))) as warnings",
-    )
+        tests.append((f"{day.format('sale_date')} <= {day.format('planting_date')}", "sale not after planting"))
+    return tests
 
 
 def accepted(df: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml import classification as cl
 from pyspark.ml import regression as rg
@@ -84,7 +86,7 @@ def prepared(df: DataFrame, spec: ModelSpec, target: bool = True, keep: Sequence
         else:
             made.append(f"cast({name} as double) as {name}")
     for name in spec.dates:
-        prefix, day = name.split("_")[0], f"try_to_date(cast({name} as string))"
+        prefix, day = name.split("_")[0], name if have[name] == "date" else f"try_to_date(cast({name} as string))"
         made += [f"year({day}) as {prefix}_year", f"month({day}) as {prefix}_month", f"day({day}) as {prefix}_day"]
     extra = [c for c in keep if c not in spec.categories]
     return df.selectExpr(*extra, *spec.categories, *made, *([spec.target] if target else []))
@@ -125,13 +127,34 @@ def pipeline(spec: ModelSpec, estimator: Estimator) -> Pipeline:
 def fitted(estimator: Pipeline, train: DataFrame) -> PipelineModel:
     """The fitted pipeline, without the summaries of its training.
 
-    Trees, boosting and iterations keep their rows as objects, several times their size on disk, so a task takes at
-    most about ``TASK_ROWS`` of them. The summary of a classifier of two classes holds the session, which no task
-    can carry once that has observed anything; models that are saved and loaded have none.
+    The summary of a classifier of two classes holds the session, which no task can carry once that has observed
+    anything; models that are saved and loaded have none.
     """
+    *before, last = estimator.getStages()
+    with _encoded(estimator.copy().setStages(before), train, [last]) as (encoder, rows):
+        return _reloaded(PipelineModel([*encoder.stages, last.fit(rows)]), rows.sparkSession)
+
+
+@contextmanager
+def _encoded(features: Pipeline, train: DataFrame, estimators: Iterable[Estimator]) -> Iterator[tuple[PipelineModel, DataFrame]]:
+    """The fitted feature stages and the rows they encode, on the executors' disks within the block.
+
+    Encoding costs more than reading back, and a fit goes over its rows two to four times. Trees, boosting and iterations
+    keep their rows as objects, several times their size on disk, so a task takes at most about ``TASK_ROWS`` of them.
+    """
+    read = ("featuresCol", "labelCol", "weightCol")
+    columns = dict.fromkeys(e.getOrDefault(p) for e in estimators for p in read if e.hasParam(p) and e.isDefined(p))
     with read_by(train.sparkSession, -(-train.count() // TASK_ROWS)):
-        model = estimator.fit(train)
-    path = scratch_path(train.sparkSession, "model")
+        encoder = features.fit(train)
+        rows = encoder.transform(train).select(*columns).persist(StorageLevel.DISK_ONLY)
+        try:
+            yield encoder, rows
+        finally:
+            rows.unpersist()
+
+
+def _reloaded(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+    path = scratch_path(spark, "model")
     save_model(model, path)
     return load_model(path)
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow import fixed_values as fixed
@@ -41,8 +41,18 @@ class Context:
 
 def predicted(df: DataFrame, model: PipelineModel, spec: ModelSpec, name: str) -> DataFrame:
     """Prediction next to the input columns, which travel through the pipeline unjoined."""
-    inputs = prepared(df.withColumn("_row", F.struct(*df.columns)), spec, target=False, keep=["_row"])
-    return model.transform(inputs).select("_row.*", F.col("prediction").alias(name))
+    inputs, columns = _beside(df, df.columns, spec)
+    return model.transform(inputs).select(*columns, F.col("prediction").alias(name))
+
+
+def _beside(df: DataFrame, kept: list[str], spec: ModelSpec) -> tuple[DataFrame, list[Column]]:
+    """The model's inputs with copies of the ``kept`` columns, and those copies by their old names.
+
+    Columns and no struct: those that nothing reads later are not carried along.
+    """
+    copies = {f"_in_{i}": F.col(f"`{c}`") for i, c in enumerate(kept)}
+    inputs = prepared(df.withColumns(copies), spec, target=False, keep=list(copies))
+    return inputs, [F.col(copy).alias(c) for copy, c in zip(copies, kept)]
 
 
 def enriched(requests: DataFrame, context: Context, hectares: str | None = None, filled_supply: bool = False) -> DataFrame:

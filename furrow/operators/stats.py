@@ -20,8 +20,8 @@ def group_sums(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(*sums)
 
 
-def crop_baselines(df: DataFrame, key: str = "crop_name") -> DataFrame:
-    """Average price, per-area rates and supply score per crop, missing ones 0."""
+def crop_baselines(df: DataFrame, key: str = "crop_name", more: Mapping[str, Column] | None = None) -> DataFrame:
+    """Average price, per-area rates and supply score per crop, missing ones 0; ``more`` aggregates as they are."""
     averages = {
         "market_price": F.avg("market_price"),
         "yield_per_ha": F.avg(F.try_divide("actual_yield", "area_size")),
@@ -29,7 +29,8 @@ def crop_baselines(df: DataFrame, key: str = "crop_name") -> DataFrame:
         "water_per_ha": F.avg(F.try_divide("water_used", "area_size")),
         "supply": F.avg("supply_score"),
     }
-    return df.groupBy(key).agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in averages.items()])
+    found = [F.coalesce(c, F.lit(0.0)).alias(n) for n, c in averages.items()]
+    return df.groupBy(key).agg(*found, *[c.alias(n) for n, c in (more or {}).items()])
 
 
 def per_area_medians(df: DataFrame, crops: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:

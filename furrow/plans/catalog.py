@@ -15,7 +15,7 @@ from furrow.operators import allocation, checks, enrich, features, finance, join
 from furrow.plans import etl, inputs
 from furrow.plans.farm_view import farm_records, table
 from furrow.schemas import EVENTS, FARM_RECORD
-from furrow.session import TASK_ROWS, cut_lineage, scratch_path
+from furrow.session import TASK_ROWS, cut_lineage, few_tasks, scratch_path
 from furrow.sources import government, tables, whole_files
 from furrow.sources import models as models_
 from furrow.streaming.latest import latest_of_stream
@@ -646,10 +646,10 @@ def request_enrichment(spark, sf):
 
 def _context(spark, sf, demand=True):
     rows = farm_records(spark, sf, ["crop_name", "market_price", *AREA_INPUTS, "supply_score", "demand_score"])
-    baselines = stats.crop_baselines(rows)
     if demand:
-        scores = rows.groupBy("crop_name").agg(F.avg("demand_score").alias("demand"))
-        baselines = baselines.join(scores, "crop_name")
+        baselines = stats.crop_baselines(rows.where("crop_name is not null"), more={"demand": F.avg("demand_score")})
+    else:
+        baselines = stats.crop_baselines(rows)
     return scoring.Context(baselines, _balance(spark, sf), inputs.weather(spark, sf), inputs.AS_OF)
 
 
@@ -695,11 +695,26 @@ def leaderboard(spark, sf):
     return ml.best_of(board, "r2").withColumn("version", F.lit("best")).unionByName(board.withColumn("version", F.lit("all")))
 
 
+def _record_columns(*specs):
+    """Columns of the records that the models need, besides the key."""
+    raw = [c for spec in specs for c in spec.raw_columns]
+    names = [c for c in raw if c in FARM_RECORD.fieldNames()]
+    return list(dict.fromkeys([*names, "demand_level"] if "demand_level_ord" in raw else names))
+
+
+def _trainings(spark, sf, *specs):
+    """``_training`` of several models; records of large tables are joined once for all of them.
+
+    Small tables are joined for each: their rows are dealt by content, and fits sample by task.
+    """
+    if few_tasks(table(spark, sf, "lineitem")):
+        return [_training(spark, sf, spec) for spec in specs]
+    rows = cut_lineage(farm_records(spark, sf, ["record_id", *_record_columns(*specs)]), TASK_ROWS)
+    return [ml.hash_split(ml.prepared(rows, spec, keep=["record_id"]), ["record_id"]) for spec in specs]
+
+
 def _training(spark, sf, spec):
-    names = [c for c in spec.raw_columns if c in FARM_RECORD.fieldNames()]
-    if "demand_level_ord" in spec.raw_columns:
-        names.append("demand_level")
-    rows = farm_records(spark, sf, ["record_id", *dict.fromkeys(names)])
+    rows = farm_records(spark, sf, ["record_id", *_record_columns(spec)])
     # fitting reads its rows many times: the joins behind them run once
     return ml.hash_split(cut_lineage(ml.prepared(rows, spec, keep=["record_id"]), TASK_ROWS), ["record_id"])
 
@@ -997,7 +1012,7 @@ def score_table(spark, sf):
 
 
 def _valid_requests(spark, sf):
-    return enrich.accepted(enrich.validated(inputs.farm_requests(spark, sf)))
+    return enrich.valid(inputs.farm_requests(spark, sf))
 
 
 @query
@@ -1008,7 +1023,8 @@ def score_yield(spark, sf):
 
 @query
 def score_profit(spark, sf):
-    profit, yields = (_fitted(spark, sf, spec, _tree(spec)) for spec in (ml.PROFIT, ml.YIELD))
+    specs = (ml.PROFIT, ml.YIELD)
+    profit, yields = (ml.fitted(ml.pipeline(spec, _tree(spec)), train) for spec, (train, _) in zip(specs, _trainings(spark, sf, *specs)))
     scored = scoring.score_profit(_valid_requests(spark, sf), _context(spark, sf), profit, yields)
     return scored.select("request_id", "crop_name", "actual_yield", "predicted_profit", "value")
 

@@ -109,11 +109,9 @@ def farm_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = crop_of_part(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"))
     orders = table(spark, sf_dir, "orders")
     customer = place_of(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "nation"), "c_nationkey", "place")
-    joined = (
-        lines.join(part, lines.l_partkey == part.p_partkey)
-        .join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(customer, orders.o_custkey == customer.c_custkey)
-    )
+    # the place first: requests without a valid one then skip the larger joins
+    placed = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    joined = lines.join(placed, lines.l_orderkey == placed.o_orderkey).join(part, lines.l_partkey == part.p_partkey)
     return spread(joined, lines).selectExpr(
         "l_orderkey * 10 + l_linenumber as request_id", "crop_name", "place as governorate", "place as market_location",
         "cast(p_size - 3 as double) as area_donums", "cast(to_date(o_orderdate) as string) as planting_date",

@@ -155,6 +155,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 # A task should hold about this much of a file.
 TASK_BYTES = 64 * 1024 * 1024
+# A file of so much per core has row groups for all cores, unless they are large.
+SPLIT_BYTES = 16 * 1024 * 1024
 # A task that keeps its rows as objects should hold about so many.
 TASK_ROWS = 250_000
 
@@ -181,9 +183,18 @@ def read_by(spark: SparkSession, tasks: int) -> Iterator[None]:
 def spread(df: DataFrame, source: DataFrame) -> DataFrame:
     """Use all cores for rows that come from a small table stored in few row groups.
 
-    When ``source`` holds more than ``TASK_BYTES`` per core its scan is split already
-    and the rows are left as they are: shuffling them would only cost.
+    When the scan of ``source`` is split already the rows are left as they are: shuffling them would only cost.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if few_tasks(source) else df
+
+
+def few_tasks(source: DataFrame) -> bool:
+    """Whether a scan leaves cores idle: one of less than ``SPLIT_BYTES`` per core, or of less than ``TASK_BYTES``
+    with more than twice an even share of its rows in one task. Rows are counted without reading a column."""
+    cores = source.sparkSession.sparkContext.defaultParallelism
     size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * TASK_BYTES else df
+    if not cores * SPLIT_BYTES <= size < cores * TASK_BYTES:
+        return size < cores * TASK_BYTES
+    counts = source.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"))
+    most, rows = counts.agg(F.max("n"), F.sum("n")).first()
+    return not rows or most * cores > 2 * rows
