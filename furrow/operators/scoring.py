@@ -107,9 +107,9 @@ def market_context(requests: DataFrame, context: Context) -> DataFrame:
 
 def score_demand(requests: DataFrame, context: Context, model: PipelineModel) -> DataFrame:
     inputs = enrich.with_weather(market_context(requests, context), context.weather)
-    rows = prepared(inputs.withColumn("_row", F.struct(*requests.columns)), DEMAND, target=False, keep=["_row"])
+    rows, columns = _beside(inputs, requests.columns, DEMAND)
     scored = readable_predictions(for_scoring(model, DEMAND).transform(rows), model, DEMAND.target)
-    return scored.select("_row.*", "prediction", F.col("predicted_demand_level").alias("value"))
+    return scored.select(*columns, "prediction", F.col("predicted_demand_level").alias("value"))
 
 
 def for_scoring(model: PipelineModel, spec: ModelSpec) -> PipelineModel:

@@ -109,15 +109,15 @@ def farm_records(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None
         if "crop_name" in wanted:
             part = crop_of_part(part)
         rows = rows.join(part, rows.l_partkey == part.p_partkey)
+    nation = table(spark, sf_dir, "nation")
     if needed & {"orders", "customer"}:
         orders = table(spark, sf_dir, "orders")
+        if "customer" in needed:  # joined with the fewer rows of the orders, before the lines
+            customer = table(spark, sf_dir, "customer")
+            if "market_location" in wanted:
+                customer = place_of(customer, nation, "c_nationkey", "market_location")
+            orders = orders.join(customer, orders.o_custkey == customer.c_custkey)
         rows = rows.join(orders, rows.l_orderkey == orders.o_orderkey)
-    nation = table(spark, sf_dir, "nation")
-    if "customer" in needed:
-        customer = table(spark, sf_dir, "customer")
-        if "market_location" in wanted:
-            customer = place_of(customer, nation, "c_nationkey", "market_location")
-        rows = rows.join(customer, rows.o_custkey == customer.c_custkey)
     if "supplier" in needed:
         supplier = place_of(table(spark, sf_dir, "supplier"), nation, "s_nationkey", "farm_location")
         rows = rows.join(supplier, rows.l_suppkey == supplier.s_suppkey)

@@ -116,3 +116,13 @@ def test_columns_that_nothing_reads_are_not_carried_through_a_model(spark, count
     assert scored.columns == ["x", "kind", "my note", "unread", "found"]
     assert "my note" in plan(scored) and "my note" not in plan(scored.select("kind", "found"))
     assert rows(scored.drop("unread")) == rows(model.transform(train).select("x", "kind", F.col("y").alias("my note"), "prediction"))
+
+
+def test_customers_are_joined_with_orders_before_the_lines(spark, data):
+    made = farm_records(spark, data, ["record_id", "customer_type", "market_location"])
+    text = plan(made)
+    assert text.index(" = o_orderkey#") < text.index(" = c_custkey#")
+    lines, orders, customer, nation = (table(spark, data, t) for t in ("lineitem", "orders", "customer", "nation"))
+    kept = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customer, orders.o_custkey == customer.c_custkey)
+    kept = kept.join(nation, customer.c_nationkey == nation.n_nationkey)
+    assert rows(made.select("record_id")) == rows(kept.selectExpr("l_orderkey * 10 + l_linenumber as record_id"))
