@@ -135,6 +135,12 @@ def fitted(estimator: Pipeline, train: DataFrame) -> PipelineModel:
         return _reloaded(PipelineModel([*encoder.stages, last.fit(rows)]), rows.sparkSession)
 
 
+def fitted_all(spec: ModelSpec, estimators: Mapping[str, Estimator], train: DataFrame) -> tuple[PipelineModel, dict[str, PipelineModel]]:
+    """The fitted feature stages, and every estimator fitted on the rows that they encoded once; for encoded rows."""
+    with _encoded(Pipeline(stages=feature_stages(spec)), train, estimators.values()) as (encoder, rows):
+        return encoder, {name: _reloaded(PipelineModel([e.fit(rows)]), rows.sparkSession) for name, e in estimators.items()}
+
+
 @contextmanager
 def _encoded(features: Pipeline, train: DataFrame, estimators: Iterable[Estimator]) -> Iterator[tuple[PipelineModel, DataFrame]]:
     """The fitted feature stages and the rows they encode, on the executors' disks within the block.
@@ -261,7 +267,7 @@ def evaluated(models: Mapping[str, PipelineModel], spec: ModelSpec, df: DataFram
     """Metrics of every model, one row each, from one scan of the rows.
 
     The models' predictions are columns of one row. Regression metrics are one wide aggregate; classes are
-    counted per model, label and prediction.
+    counted per model, label and prediction. Models of encoded rows (``fitted_all``) take those.
     """
     scored, kept = df, list(df.columns)
     for i, model in enumerate(models.values()):

@@ -734,8 +734,8 @@ def _logistic():
 
 def _trained_board(spark, sf, spec, chosen):
     train, test = _training(spark, sf, spec)
-    models = {name: ml.fitted(ml.pipeline(spec, model), train) for name, model in chosen.items()}
-    return ml.evaluated(models, spec, test).orderBy(F.desc("f1" if spec.classes else "r2"), "model")
+    encoder, models = ml.fitted_all(spec, chosen, train)
+    return ml.evaluated(models, spec, encoder.transform(test)).orderBy(F.desc("f1" if spec.classes else "r2"), "model")
 
 
 @query

@@ -10,6 +10,7 @@ from furrow.plans.farm_view import farm_records, table
 from tests.conftest import rows
 
 KINDS = ml.ModelSpec("y", (), ("kind",), ("x",))
+LEVELS = ml.ModelSpec("level", (), ("kind",), ("x",), classes=True)
 
 
 def plan(df):
@@ -43,6 +44,21 @@ def test_a_fit_encodes_its_rows_once(counted):
     assert not train.sparkSession.sparkContext._jsc.getPersistentRDDs()
 
 
+def test_a_board_encodes_its_rows_once_for_all_models(spark, counted, monkeypatch):
+    train, seen = counted
+    test = train.localCheckpoint()
+    seen.value = 0
+    monkeypatch.setattr(catalog, "_training", lambda *_: (train, test))
+    line = ml.cl.LogisticRegression(labelCol="label", maxIter=3)
+    chosen = {"each": ml.cl.OneVsRest(classifier=line, labelCol="label"), "tree": ml.cl.DecisionTreeClassifier(labelCol="label", seed=1), "bayes": ml.cl.NaiveBayes()}
+    board = catalog._trained_board(spark, "", LEVELS, chosen)
+    assert seen.value == 2000
+    found = {r.model: r.asDict() for r in board.collect()}
+    for name, estimator in chosen.items():
+        model = ml.pipeline(LEVELS, estimator).fit(test)
+        assert {"model": name, **ml.measured_on(model, LEVELS, test)} == pytest.approx(found[name])
+
+
 def test_records_are_joined_once_for_several_models(spark, data, monkeypatch):
     stored = []
     monkeypatch.setattr(catalog, "few_tasks", lambda source: False)
