@@ -729,7 +729,7 @@ def _tree(spec, depth=5):
 
 
 def _logistic():
-    return ml.cl.LogisticRegression(featuresCol="features", labelCol="label", maxIter=5)
+    return ml.classifiers()["Logistic Regression"]
 
 
 def _trained_board(spark, sf, spec, chosen):
@@ -769,7 +769,7 @@ def train_price(spark, sf):
 @query
 def train_demand(spark, sf):
     zoo = ml.classifiers()
-    return _trained_board(spark, sf, ml.DEMAND, {"Logistic Regression": _logistic(), "Decision Tree": zoo["Decision Tree"]})
+    return _trained_board(spark, sf, ml.DEMAND, {n: zoo[n] for n in ("Logistic Regression", "Decision Tree")})
 
 
 @query
