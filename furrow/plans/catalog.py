@@ -790,9 +790,8 @@ def train_profit_rest(spark, sf):
 @query
 def train_demand_rest(spark, sf):
     """The classifiers that no other query fits."""
-    forest = ml.cl.RandomForestClassifier(seed=ml.SEED, numTrees=5, maxDepth=4, featuresCol="features", labelCol="label")
-    each = ml.cl.OneVsRest(classifier=_logistic(), featuresCol="features", labelCol="label")
-    return _trained_board(spark, sf, ml.DEMAND, {"Random Forest": forest, "Naive Bayes": ml.classifiers()["Naive Bayes"], "OneVsRest": each})
+    zoo = ml.classifiers()
+    return _trained_board(spark, sf, ml.DEMAND, {n: zoo[n] for n in ("Random Forest", "Naive Bayes", "OneVsRest")})
 
 
 # Models of one or two numeric inputs: SQL repeats them, so everything around them can be compared.

@@ -49,3 +49,12 @@ def test_train_demand_iterates_the_logistic_regression_to_its_end(spark, records
     assert set(board) == {"Logistic Regression", "Decision Tree"}
     line = ml.cl.LogisticRegression(**COLS)
     check(board, "Logistic Regression", line.copy().setMaxIter(100), line.copy().setMaxIter(5), ml.DEMAND, records)
+
+
+def test_train_demand_rest_grows_a_whole_forest_and_iterates_to_the_end(spark, records, monkeypatch):
+    board = board_of("train_demand_rest", records, spark, monkeypatch)
+    assert set(board) == {"Random Forest", "Naive Bayes", "OneVsRest"}
+    forest, line = ml.cl.RandomForestClassifier(seed=ml.SEED, **COLS), ml.cl.LogisticRegression(**COLS)
+    check(board, "Random Forest", forest.copy().setNumTrees(20).setMaxDepth(5), forest.copy().setNumTrees(5).setMaxDepth(4), ml.DEMAND, records)
+    whole, less = (ml.cl.OneVsRest(classifier=line.copy().setMaxIter(n), **COLS) for n in (100, 5))
+    check(board, "OneVsRest", whole, less, ml.DEMAND, records)
