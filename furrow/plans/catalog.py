@@ -782,9 +782,8 @@ def tune_profit(spark, sf):
 @query
 def train_profit_rest(spark, sf):
     """The regressors that no other query fits."""
-    cols = {"featuresCol": "features", "labelCol": "profit"}
-    chosen = {"Gaussian GLM": ml.regressors("profit")["Gaussian GLM"], "Factorization Machine": ml.rg.FMRegressor(seed=ml.SEED, maxIter=5, factorSize=2, **cols)}
-    return _trained_board(spark, sf, ml.PROFIT, chosen)
+    zoo = ml.regressors("profit")
+    return _trained_board(spark, sf, ml.PROFIT, {n: zoo[n] for n in ("Gaussian GLM", "Factorization Machine")})
 
 
 @query

@@ -58,3 +58,10 @@ def test_train_demand_rest_grows_a_whole_forest_and_iterates_to_the_end(spark, r
     check(board, "Random Forest", forest.copy().setNumTrees(20).setMaxDepth(5), forest.copy().setNumTrees(5).setMaxDepth(4), ml.DEMAND, records)
     whole, less = (ml.cl.OneVsRest(classifier=line.copy().setMaxIter(n), **COLS) for n in (100, 5))
     check(board, "OneVsRest", whole, less, ml.DEMAND, records)
+
+
+def test_train_profit_rest_iterates_the_factorization_machine_with_all_factors(spark, records, monkeypatch):
+    board = board_of("train_profit_rest", records, spark, monkeypatch)
+    assert set(board) == {"Gaussian GLM", "Factorization Machine"}
+    machine = ml.rg.FMRegressor(labelCol="profit", seed=ml.SEED, **COLS)
+    check(board, "Factorization Machine", machine.copy().setMaxIter(100).setFactorSize(8), machine.copy().setMaxIter(5).setFactorSize(2), ml.PROFIT, records)
