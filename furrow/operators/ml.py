@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml import classification as cl
 from pyspark.ml import regression as rg
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -16,6 +16,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.operators.machines import fitted_machine
 from furrow.session import TASK_ROWS, cut_lineage, read_by, scratch_path
 from furrow.sources.models import load_model, save_model
 
@@ -132,13 +133,13 @@ def fitted(estimator: Pipeline, train: DataFrame) -> PipelineModel:
     """
     *before, last = estimator.getStages()
     with _encoded(estimator.copy().setStages(before), train, [last]) as (encoder, rows):
-        return _reloaded(PipelineModel([*encoder.stages, last.fit(rows)]), rows.sparkSession)
+        return _reloaded(PipelineModel([*encoder.stages, _fit(last, rows)]), rows.sparkSession)
 
 
 def fitted_all(spec: ModelSpec, estimators: Mapping[str, Estimator], train: DataFrame) -> tuple[PipelineModel, dict[str, PipelineModel]]:
     """The fitted feature stages, and every estimator fitted on the rows that they encoded once; for encoded rows."""
     with _encoded(Pipeline(stages=feature_stages(spec)), train, estimators.values()) as (encoder, rows):
-        return encoder, {name: _reloaded(PipelineModel([e.fit(rows)]), rows.sparkSession) for name, e in estimators.items()}
+        return encoder, {name: _reloaded(PipelineModel([_fit(e, rows)]), rows.sparkSession) for name, e in estimators.items()}
 
 
 @contextmanager
@@ -159,6 +160,11 @@ def _encoded(features: Pipeline, train: DataFrame, estimators: Iterable[Estimato
             rows.unpersist()
 
 
+def _fit(estimator: Estimator, rows: DataFrame) -> Model:
+    """Fitted on encoded rows; factorization machines on blocks of them."""
+    return fitted_machine(estimator, rows) if isinstance(estimator, rg.FMRegressor) else estimator.fit(rows)
+
+
 def _reloaded(model: PipelineModel, spark: SparkSession) -> PipelineModel:
     path = scratch_path(spark, "model")
     save_model(model, path)
